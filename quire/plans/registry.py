@@ -12,8 +12,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import sql_str
+from ..functions.text import (PIECE_PATTERN, WORD_PATTERN, sql_language_config,
+                              sql_lexeme, sql_str, tokens)
+from ..operators import graph as G
+from ..operators import mentions as MN
+from ..operators import paragraphs as PG
+from ..operators import postings as PO
+from ..operators import quality as QA
+from ..operators import stats as ST
+from ..operators.analysis import analyze, bind_query, query_terms, tokenize
+from ..operators.headline import headline
+from ..operators.matching import all_words_match, phrase_match
+from ..operators.ranking import cover_density_rank
+from ..sources import files as FS
+from ..sources import metadata as MD
 from ..sources.tables import books as books_view
+from ..sources.tables import read_table
 from . import oracle as O
 from . import search as S
 
@@ -65,6 +79,441 @@ def q_discovery_search(spark, sf):
     return S.discovery_search(spark, books_view(spark, sf), ALL_WORDS, LANGUAGE, seed=SEED)
 
 
+
+STOPWORD_QUERY = "to be or not to be"
+RESPLIT_LIMIT = 10000
+RESPLIT_DELIMITER = "\n"
+HIST_WIDTH = 0.25
+FILTER_AUTHOR_PREFIX = "src1"
+SORT_ROWS = 20
+
+
+def _paragraphs(spark, sf):
+    return PG.book_paragraphs(books_view(spark, sf))
+
+
+def _cte(*parts):
+    return O.with_ctes(O.BOOKS, O.PARAGRAPHS, *parts)
+
+
+# -------------------------------------------------------- step 1: split, tokens
+
+@register("paragraph_split", _cte() + """SELECT num, para, paragraph,
+  CAST(length(paragraph) AS INTEGER) AS paragraph_length FROM paragraphs""")
+def q_paragraph_split(spark, sf):
+    return PG.split_paragraphs(books_view(spark, sf))
+
+
+@register("tokenize", _cte(O.tokens_cte("tk", "paragraphs")) + "SELECT num, para, ti, token FROM tk")
+def q_tokenize(spark, sf):
+    return tokenize(_paragraphs(spark, sf))
+
+
+@register("book_lengths", _cte() + "SELECT num, CAST(length(content) AS INTEGER) AS length FROM books")
+def q_book_lengths(spark, sf):
+    return books_view(spark, sf).select("num", F.length("content").alias("length"))
+
+
+# ------------------------------------------ step 2: analysis, match, rank, headline
+
+@register("analyze", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"))
+          + "SELECT language, num, para, ti, lexeme FROM lx")
+def q_analyze(spark, sf):
+    return analyze(_paragraphs(spark, sf))
+
+
+@register("query_terms", O.with_ctes(O.query_ctes(PHRASE, LANGUAGE))
+          + "SELECT CAST(0 AS BIGINT) AS query_id, lexeme, CAST(off AS INTEGER) AS offset FROM qterms")
+def q_query_terms(spark, sf):
+    # the query text is analysed by the same expressions as the corpus; the
+    # corpus is read so the job is tied to its tables (distinct languages)
+    return query_terms(spark, PHRASE, LANGUAGE)
+
+
+@register("phrase_match", _cte(O.phrase_matches_sql(PHRASE, LANGUAGE))
+          + "SELECT num, para, CAST(n_matches AS BIGINT) AS n_matches FROM pm")
+def q_phrase_match(spark, sf):
+    q = bind_query(spark, PHRASE, LANGUAGE)
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    return phrase_match(paras, q).select("num", "para", F.col("n_matches").cast("bigint"))
+
+
+@register("phrase_rank", _cte(O.phrase_matches_sql(PHRASE, LANGUAGE))
+          + "SELECT num, para, round(rank, 8) AS rank FROM pm")
+def q_phrase_rank(spark, sf):
+    q = bind_query(spark, PHRASE, LANGUAGE)
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    return phrase_match(paras, q).select(
+        "num", "para", F.round(cover_density_rank(F.col("n_matches"), q), 8).alias("rank"))
+
+
+@register("headline", _cte(O.phrase_matches_sql(PHRASE, LANGUAGE)) + "SELECT num, para, h FROM pm")
+def q_headline(spark, sf):
+    q = bind_query(spark, PHRASE, LANGUAGE)
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    return phrase_match(paras, q).select("num", "para", headline(F.col("paragraph"), q).alias("h"))
+
+
+# ------------------------------------------------------ step 3: all words, stopwords
+
+@register("all_words_match", _cte(O.all_words_sql(ALL_WORDS, LANGUAGE)) + "SELECT num, para FROM aw")
+def q_all_words_match(spark, sf):
+    q = bind_query(spark, ALL_WORDS, LANGUAGE)
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    return all_words_match(paras, q).select("num", "para")
+
+
+@register("stopword_query", _cte(O.phrase_matches_sql(STOPWORD_QUERY, LANGUAGE))
+          + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE))
+def q_stopword_query(spark, sf):
+    return S.phrase_search(spark, books_view(spark, sf), STOPWORD_QUERY, LANGUAGE)
+
+
+# ------------------------------------------------------- step 4: postings, stats
+
+_POSTINGS_SQL = """post AS (
+  SELECT language, lexeme, num, para, count(*) AS tf,
+         string_agg(CAST(ti AS VARCHAR), ',' ORDER BY ti) AS positions
+  FROM lx GROUP BY language, lexeme, num, para)"""
+
+
+@register("postings", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), _POSTINGS_SQL)
+          + "SELECT * FROM post")
+def q_postings(spark, sf):
+    p = PO.postings(analyze(_paragraphs(spark, sf)))
+    return p.select("language", "lexeme", "num", "para", "tf",
+                    F.array_join("positions", ",").alias("positions"))
+
+
+@register("lexeme_stats", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), _POSTINGS_SQL)
+          + """SELECT language, lexeme, count(*) AS paragraphs, CAST(sum(tf) AS BIGINT) AS occurrences
+FROM post GROUP BY language, lexeme""")
+def q_lexeme_stats(spark, sf):
+    return PO.lexeme_stats(PO.postings(analyze(_paragraphs(spark, sf))))
+
+
+# ------------------------------------------------- step 5: languages and statistics
+
+_CFG = sql_language_config("language")
+
+
+@register("supported_languages", _cte() + f"""SELECT DISTINCT language FROM books
+WHERE lower(language) IN ('english', 'french', 'german')""")
+def q_supported_languages(spark, sf):
+    return ST.supported_languages(spark, books_view(spark, sf))
+
+
+@register("supported_authors", _cte() + """SELECT DISTINCT author FROM books
+WHERE lower(language) IN ('english', 'french', 'german')""")
+def q_supported_authors(spark, sf):
+    return ST.supported_authors(spark, books_view(spark, sf))
+
+
+@register("unsupported_languages", _cte() + """SELECT string_agg(language, ', ' ORDER BY language) AS languages
+FROM (SELECT DISTINCT language FROM books
+      WHERE lower(language) NOT IN ('english', 'french', 'german'))""")
+def q_unsupported_languages(spark, sf):
+    return ST.unsupported_languages(spark, books_view(spark, sf))
+
+
+_BPL = """SELECT language, count(*) AS books,
+  CASE WHEN lower(language) IN ('english', 'french', 'german') THEN 'Yes' ELSE 'No' END AS supported
+FROM books WHERE language IS NOT NULL GROUP BY language"""
+
+
+@register("books_per_language", _cte() + _BPL)
+def q_books_per_language(spark, sf):
+    return ST.books_per_language(books_view(spark, sf))
+
+
+@register("books_by_support", _cte("bpl AS (" + _BPL + ")") + """SELECT
+  CASE WHEN supported = 'Yes' THEN 'Supported languages' ELSE 'Unsupported languages' END AS series,
+  language, books FROM bpl""")
+def q_books_by_support(spark, sf):
+    return ST.books_by_support(books_view(spark, sf))
+
+
+_BUCKET = "CASE WHEN language IN ('English', 'French', 'German') THEN language ELSE 'Other' END"
+
+
+@register("language_bucket", _cte() + f"SELECT num, {_BUCKET} AS language, length FROM books WHERE length <> 0")
+def q_language_bucket(spark, sf):
+    return ST.bucketed_lengths(books_view(spark, sf))
+
+
+@register("book_length_hist", _cte() + f"""SELECT language, bin, count(*) AS books, bin * CAST({HIST_WIDTH} AS DOUBLE) AS bin_start
+FROM (SELECT {_BUCKET} AS language, CAST(floor(log10(length) / {HIST_WIDTH}) AS BIGINT) AS bin
+      FROM books WHERE length <> 0) GROUP BY language, bin""")
+def q_book_length_hist(spark, sf):
+    return ST.book_length_hist(books_view(spark, sf), HIST_WIDTH)
+
+
+@register("corpus_summary", _cte() + """SELECT books, unsupported_books, books_without_author,
+  round(100.0 * unsupported_books / books, 1) AS unsupported_pct,
+  round(100.0 * books_without_author / books, 1) AS without_author_pct
+FROM (SELECT count(*) AS books,
+             count(*) FILTER (WHERE NOT coalesce(lower(language) IN ('english', 'french', 'german'), false))
+               AS unsupported_books,
+             count(*) FILTER (WHERE author IS NULL) AS books_without_author
+      FROM books)""")
+def q_corpus_summary(spark, sf):
+    return ST.corpus_summary(books_view(spark, sf))
+
+
+@register("paragraph_summary", _cte() + """SELECT count(*) AS paragraphs,
+  CAST(sum(length(paragraph)) AS BIGINT) AS total_length,
+  CAST(max(length(paragraph)) AS INTEGER) AS max_length FROM paragraphs""")
+def q_paragraph_summary(spark, sf):
+    return ST.paragraph_summary(PG.split_paragraphs(books_view(spark, sf)))
+
+
+# ------------------------------------------------------ step 6: mentions and graph
+
+_EXCL = ", ".join(sql_str(n) for n in MN.EXCLUDED_NAMES)
+_NAMES_SQL = f"""names AS (
+  SELECT DISTINCT array_to_string(list_slice(regexp_extract_all(text, {sql_str(WORD_PATTERN)}), 1, 5), ' ') AS name
+  FROM benchmark),
+ptext AS (
+  SELECT num, ' ' || array_to_string(list_transform(regexp_extract_all(paragraph, {sql_str(WORD_PATTERN)}),
+                                                     lambda x: lower(x)), ' ') || ' ' AS s
+  FROM paragraphs WHERE language IS NOT NULL),
+pairs AS (
+  SELECT n.name AS mentioned_author, b.author AS mentioned_by, count(DISTINCT p.num) AS books_mentioned_in
+  FROM names n JOIN ptext p ON contains(p.s, ' ' || lower(n.name) || ' ')
+  JOIN books b ON p.num = b.num
+  WHERE b.author IS NOT NULL AND n.name <> ''
+  GROUP BY n.name, b.author)"""
+
+
+def _names(spark, sf):
+    b = read_table(spark, sf, "benchmark")
+    return (b.select(F.array_join(F.slice(tokens(F.col("text")), 1, 5), " ").alias("name"))
+            .where(F.length("name") > 0).distinct())
+
+
+def _pairs(spark, sf):
+    bk = books_view(spark, sf)
+    paras = PG.book_paragraphs(bk).where(F.col("language").isNotNull())
+    return MN.mention_pairs(_names(spark, sf), paras, bk)
+
+
+@register("mention_candidates", _cte() + f"""SELECT author, count(DISTINCT num) AS books FROM books
+WHERE author IS NOT NULL AND author NOT IN ({_EXCL}) GROUP BY author""")
+def q_mention_candidates(spark, sf):
+    return MN.mention_candidates(books_view(spark, sf))
+
+
+@register("author_book_counts", _cte() + """SELECT author, count(DISTINCT num) AS books FROM books
+WHERE author IS NOT NULL GROUP BY author""")
+def q_author_book_counts(spark, sf):
+    return MN.author_book_counts(books_view(spark, sf))
+
+
+@register("mention_pairs", _cte(_NAMES_SQL) + "SELECT * FROM pairs")
+def q_mention_pairs(spark, sf):
+    return _pairs(spark, sf)
+
+
+_EDGES_SQL = """edges AS (
+  SELECT least(mentioned_author, mentioned_by) AS a, greatest(mentioned_author, mentioned_by) AS b,
+         CAST(sum(books_mentioned_in) AS BIGINT) AS books_mentioned_in
+  FROM pairs GROUP BY 1, 2)"""
+
+
+@register("mention_edges", _cte(_NAMES_SQL, _EDGES_SQL) + "SELECT * FROM edges")
+def q_mention_edges(spark, sf):
+    return MN.mention_edges(_pairs(spark, sf))
+
+
+@register("shortest_path", "WITH RECURSIVE " + ",\n".join([O.BOOKS, O.PARAGRAPHS, _NAMES_SQL, _EDGES_SQL, """adj AS (
+  SELECT a AS src, b AS dst FROM edges WHERE a <> b UNION SELECT b AS src, a AS dst FROM edges WHERE a <> b)""",
+    "st AS (SELECT min(src) AS s FROM adj)", """walk(node, path, hops) AS (
+  SELECT s, [s], 0 FROM st WHERE s IS NOT NULL
+  UNION ALL
+  SELECT adj.dst, list_append(walk.path, adj.dst), walk.hops + 1
+  FROM walk JOIN adj ON adj.src = walk.node
+  WHERE NOT list_contains(walk.path, adj.dst) AND walk.hops < 12)""",
+    "best AS (SELECT node, min(hops) AS hops FROM walk GROUP BY node)"]) + """
+SELECT (SELECT s FROM st) AS source, w.node, CAST(w.hops AS INTEGER) AS hops,
+       array_to_string(min(w.path), ' > ') AS path
+FROM walk w JOIN best ON w.node = best.node AND w.hops = best.hops
+GROUP BY w.node, w.hops""")
+def q_shortest_path(spark, sf):
+    adj = G.adjacency(MN.mention_edges(_pairs(spark, sf)))
+    start = adj.agg(F.min("src").alias("node")).where(F.col("node").isNotNull())
+    res = G.bfs(spark, adj, start)
+    return res.select(F.element_at("path", 1).alias("source"), "node", "hops",
+                      F.array_join("path", " > ").alias("path"))
+
+
+# ------------------------------------------------------------ step 7: ingest, repair
+
+def _catalogue_sql():
+    def arr(x):
+        return f"json_array({x})"
+    q = "'?'"
+    obj = ", ".join([
+        "'Num', num",
+        f"'Author', {arr(f'coalesce(author, {q})')}",
+        f"'Author Birth', {arr(q)}", f"'Author Death', {arr(q)}",
+        f"'Author Given', {arr(f'coalesce(author, {q})')}", f"'Author Surname', {arr(q)}",
+        "'Copyright Status', json_array('Public domain in the USA.')",
+        f"'Language', {arr(f'coalesce(language, {q})')}", f"'LoC Class', {arr(q)}",
+        "'Subject', json_array()", f"'Title', {arr(f'coalesce(title, {q})')}",
+        "'charset', 'utf-8'", "'gd-num-padded', lpad(CAST(num AS VARCHAR), 5, '0')",
+        "'gd-path', substr(lpad(CAST(num AS VARCHAR), 5, '0'), 1, 3) || '/' || lpad(CAST(num AS VARCHAR), 5, '0') || '.txt'",
+        "'href', '/ebooks/' || CAST(num AS VARCHAR)"])
+    return f"""cat AS (SELECT num AS book, json_array(json_object({obj})) AS catalogue FROM books),
+meta AS (SELECT book, unnest(json_extract(catalogue, '$[*]')) AS metadata FROM cat)"""
+
+
+def _flat_sql():
+    cols = ["TRY_CAST(json_extract_string(metadata, '$.Num') AS BIGINT) AS num"]
+    for key, name in MD.ARRAY_FIELDS:
+        cols.append(f"nullif(json_extract_string(metadata, '$.\"{key}\"[0]'), '?') AS {name}")
+    for key, name in MD.SCALAR_FIELDS:
+        cols.append(f"nullif(json_extract_string(metadata, '$.\"{key}\"'), '?') AS {name}")
+    return "flat AS (SELECT book, " + ", ".join(cols) + " FROM meta)"
+
+
+def _catalogue(spark, sf):
+    return MD.catalogue_records(books_view(spark, sf))
+
+
+@register("json_explode", _cte(_catalogue_sql()) + """SELECT book,
+  TRY_CAST(json_extract_string(metadata, '$.Num') AS BIGINT) AS num,
+  json_extract_string(metadata, '$.Title[0]') AS title FROM meta""")
+def q_json_explode(spark, sf):
+    m = MD.explode_json_array(_catalogue(spark, sf), "catalogue")
+    return m.select("book", F.get_json_object("metadata", "$.Num").try_cast("bigint").alias("num"),
+                    F.get_json_object("metadata", "$.Title[0]").alias("title"))
+
+
+@register("metadata_flatten", _cte(_catalogue_sql(), _flat_sql()) + "SELECT * EXCLUDE (book) FROM flat")
+def q_metadata_flatten(spark, sf):
+    return MD.flatten_metadata(MD.explode_json_array(_catalogue(spark, sf), "catalogue"))
+
+
+@register("sentinel_null", _cte(_catalogue_sql()) + """SELECT book AS num,
+  json_extract_string(metadata, '$.Author[0]') AS raw_author,
+  nullif(json_extract_string(metadata, '$.Author[0]'), '?') AS author FROM meta""")
+def q_sentinel_null(spark, sf):
+    m = MD.explode_json_array(_catalogue(spark, sf), "catalogue")
+    raw = F.get_json_object("metadata", "$['Author'][0]")
+    return m.select(F.col("book").alias("num"), raw.alias("raw_author"),
+                    MD.sentinel_null(raw).alias("author"))
+
+
+@register("path_directory", _cte(_catalogue_sql(), _flat_sql()) + """SELECT num, gd_path,
+  split_part(gd_path, '/', 1) AS directory FROM flat""")
+def q_path_directory(spark, sf):
+    flat = MD.flatten_metadata(MD.explode_json_array(_catalogue(spark, sf), "catalogue"))
+    return flat.select("num", "gd_path", FS.path_part(F.col("gd_path"), 1).alias("directory"))
+
+
+@register("book_assemble", _cte(_catalogue_sql(), _flat_sql()) + """SELECT f.* EXCLUDE (book),
+  CAST(length(c.content) AS INTEGER) AS length, md5(c.content) AS content_md5
+FROM flat f JOIN books c ON f.num = c.num""")
+def q_book_assemble(spark, sf):
+    bk = books_view(spark, sf)
+    flat = MD.flatten_metadata(MD.explode_json_array(MD.catalogue_records(bk), "catalogue"))
+    content = bk.select("num", "content")
+    lengths = content.select("num", F.length("content").alias("length"))
+    return (flat.join(lengths, "num").join(content, "num")
+            .withColumn("content_md5", F.md5("content")).drop("content"))
+
+
+@register("paragraph_language", _cte() + f"""SELECT p.num, p.para, {sql_language_config('b.language')} AS language
+FROM paragraphs p LEFT JOIN books b ON p.num = b.num""")
+def q_paragraph_language(spark, sf):
+    bk = books_view(spark, sf)
+    paras = PG.split_paragraphs(bk)
+    return PG.attach_language(paras, bk).select("num", "para", "language")
+
+
+_RESPLIT_SQL = f"""rs AS (
+  SELECT num, para, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS paragraph
+  FROM (SELECT num, para, CASE WHEN length(paragraph) > {RESPLIT_LIMIT}
+                               THEN string_split(paragraph, chr(10)) ELSE [paragraph] END AS parts
+        FROM paragraphs))"""
+
+
+@register("paragraph_resplit", _cte(_RESPLIT_SQL) + """SELECT num, para, part,
+  CAST(length(paragraph) AS INTEGER) AS paragraph_length FROM rs""")
+def q_paragraph_resplit(spark, sf):
+    rs = PG.resplit_long(PG.split_paragraphs(books_view(spark, sf)), RESPLIT_LIMIT, RESPLIT_DELIMITER)
+    return rs.select("num", "para", "part", "paragraph_length")
+
+
+@register("paragraph_prune", _cte(_RESPLIT_SQL) + f"""SELECT num, para, part,
+  CAST(length(paragraph) AS INTEGER) AS paragraph_length FROM rs
+WHERE NOT coalesce(length(paragraph) > {RESPLIT_LIMIT}, false)""")
+def q_paragraph_prune(spark, sf):
+    rs = PG.resplit_long(PG.split_paragraphs(books_view(spark, sf)), RESPLIT_LIMIT, RESPLIT_DELIMITER)
+    return PG.prune_long(rs, RESPLIT_LIMIT).select("num", "para", "part", "paragraph_length")
+
+
+@register("longest_paragraphs", _cte() + f"""SELECT p.num, p.para, b.title, b.language,
+  CASE WHEN b.language IN ('English', 'French', 'German') THEN b.language ELSE 'Other' END AS language_bucket,
+  CAST(length(p.paragraph) AS INTEGER) AS paragraph_length
+FROM paragraphs p JOIN books b ON p.num = b.num WHERE length(p.paragraph) <> 0
+ORDER BY paragraph_length DESC, p.num, p.para LIMIT 30""")
+def q_longest_paragraphs(spark, sf):
+    bk = books_view(spark, sf)
+    return PG.longest_paragraphs(PG.split_paragraphs(bk), bk, 30)
+
+
+# ------------------------------------------------------- step 8: quality and tools
+
+@register("check_unique", _cte() + """SELECT 'books.num' AS "check", count(*) AS rows,
+  count(DISTINCT num) + max(CASE WHEN num IS NULL THEN 1 ELSE 0 END) AS keys,
+  (SELECT count(*) FROM (SELECT num FROM books GROUP BY num HAVING count(*) > 1)) AS duplicate_keys,
+  count(*) FILTER (WHERE num IS NULL) AS null_key_rows FROM books""")
+def q_check_unique(spark, sf):
+    return QA.check_unique(books_view(spark, sf), ["num"], "books.num")
+
+
+@register("check_reference", _cte() + """SELECT 'paragraphs.num' AS "check", count(*) AS rows,
+  count(*) FILTER (WHERE b.num IS NULL) AS orphans
+FROM paragraphs p LEFT JOIN (SELECT DISTINCT num FROM books) b ON p.num = b.num""")
+def q_check_reference(spark, sf):
+    bk = books_view(spark, sf)
+    return QA.check_reference(PG.split_paragraphs(bk), bk, "num", "paragraphs.num")
+
+
+_SEARCH_RES = _cte(O.phrase_matches_sql(PHRASE, LANGUAGE), "res AS (" + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE) + ")")
+
+
+@register("result_filter", _SEARCH_RES + f"SELECT * FROM res WHERE author LIKE '{FILTER_AUTHOR_PREFIX}%'")
+def q_result_filter(spark, sf):
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    return res.where(F.col("author").startswith(FILTER_AUTHOR_PREFIX))
+
+
+@register("result_sort", _SEARCH_RES + f"""SELECT * FROM res
+ORDER BY author ASC NULLS LAST, rank DESC, num ASC LIMIT {SORT_ROWS}""")
+def q_result_sort(spark, sf):
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    return res.orderBy(F.col("author").asc_nulls_last(), F.col("rank").desc(), F.col("num")).limit(SORT_ROWS)
+
+
+@register("title_link", _cte() + f"""SELECT num, '[' || title || '](' || {sql_str(S.DEFAULT_LINK_BASE)}
+  || CAST(num AS VARCHAR) || ')' AS title FROM books""")
+def q_title_link(spark, sf):
+    from ..functions.text import title_link
+    bk = books_view(spark, sf)
+    return bk.select("num", title_link(F.col("title"), F.col("num"), S.DEFAULT_LINK_BASE).alias("title"))
+
+
+@register("rank_format", _SEARCH_RES + """SELECT num,
+  CASE WHEN round(rank, 1) >= 100 THEN '##.#' ELSE lpad(printf('%.1f', round(rank, 1)), 4, ' ') END AS rank_text
+FROM res""")
+def q_rank_format(spark, sf):
+    from ..functions.text import rank_text
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    return res.select("num", rank_text(F.col("rank")).alias("rank_text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
