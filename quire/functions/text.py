@@ -62,6 +62,41 @@ def config(name: str) -> TextConfig:
 
 
 # ---------------------------------------------------------------- Spark side
+#
+# The analyser expressions are built from their SQL text (the same text the
+# oracle uses) with one ``expr`` call each: building them literal by literal
+# through the Python API costs hundreds of gateway calls per query plan.
+
+def spark_sql_str(s: str) -> str:
+    """A Spark SQL string literal (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lexeme_sql(var: str, cfg: TextConfig | str) -> Column:
+    """Lexeme of the token column (or lambda variable in SQL) named ``var``."""
+    return F.expr(sql_lexeme(var, cfg))
+
+
+def lexemes_of(text_sql: str, cfg: TextConfig | str, empty_for_stop: bool = True) -> Column:
+    """Array of lexemes of the text column ``text_sql``, by position.
+
+    Stopword positions hold '' (never a lexeme) when ``empty_for_stop``,
+    else NULL.
+    """
+    lx = sql_lexeme("t", cfg)
+    if empty_for_stop:
+        lx = f"coalesce({lx}, '')"
+    return F.expr(f"transform(regexp_extract_all({text_sql}, {spark_sql_str(WORD_PATTERN)}, 0), t -> {lx})")
+
+
+def marked_sql(text_sql: str, cfg: TextConfig | str, lexemes, start: str, stop: str) -> str:
+    """SQL: words of ``text_sql`` whose lexeme is in ``lexemes`` wrapped in markers."""
+    lx = sql_lexeme("x", cfg)
+    inlist = sql_list(lexemes) if lexemes else "(NULL)"
+    return (f"array_join(transform(regexp_extract_all({text_sql}, {spark_sql_str(PIECE_PATTERN)}, 0), "
+            f"x -> CASE WHEN {lx} IN {inlist} THEN concat({sql_str(start)}, x, {sql_str(stop)}) "
+            f"ELSE x END), '')")
+
 
 def tokens(text: Column) -> Column:
     """Array of tokens of ``text``, in order."""
@@ -97,14 +132,20 @@ def lexeme(token: Column, cfg: TextConfig | str) -> Column:
     return out
 
 
-def lexeme_by_language(token: Column, language: Column) -> Column:
-    """Lexeme under the analyser named by ``language`` (NULL if none)."""
-    expr = None
-    for name in LANGUAGE_CONFIGS:
-        branch = lexeme(token, name)
-        expr = (F.when(language == name, branch) if expr is None
-                else expr.when(language == name, branch))
-    return expr
+def lexeme_by_language(token: Column | str, language: str = "language") -> Column:
+    """Lexeme under the analyser named by column ``language`` (NULL if none).
+
+    ``token`` is a column name (the SQL form is used, see above).
+    """
+    name = token if isinstance(token, str) else None
+    if name is None:
+        expr = None
+        for n in LANGUAGE_CONFIGS:
+            branch = lexeme(token, n)
+            expr = (F.when(F.col(language) == n, branch) if expr is None
+                    else expr.when(F.col(language) == n, branch))
+        return expr
+    return F.expr(sql_lexeme_by_language(name, language))
 
 
 def language_config(language: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import (TextConfig, config, lexeme, lexeme_by_language,
-                              tokens)
+                              lexemes_of, tokens)
 
 
 def tokenize(paragraphs: DataFrame, keys=("num", "para")) -> DataFrame:
@@ -34,7 +34,7 @@ def analyze(paragraphs: DataFrame) -> DataFrame:
             .select("language", "num", "para",
                     F.posexplode(tokens(F.col("paragraph"))).alias("ti", "token")))
     return (toks.select("language", "num", "para", "ti",
-                        lexeme_by_language(F.col("token"), F.col("language")).alias("lexeme"))
+                        lexeme_by_language("token", "language").alias("lexeme"))
             .where(F.col("lexeme").isNotNull()))
 
 
@@ -85,7 +85,15 @@ class BoundQuery:
 
 
 def bind_query(spark: SparkSession, text: str, cfg: TextConfig | str) -> BoundQuery:
-    """Analyse ``text`` with Spark (same expressions as the corpus) and bind it."""
+    """Analyse ``text`` with the corpus's own expressions and bind it.
+
+    The analysis is a projection over a one-row local relation, which the
+    optimizer evaluates on the driver (no job is scheduled); offsets are then
+    shifted so the first kept term is at 0.
+    """
     cfg = config(cfg) if isinstance(cfg, str) else cfg
-    rows = query_terms(spark, text, cfg).orderBy("offset").collect()
-    return BoundQuery(text, cfg, tuple((r["lexeme"], int(r["offset"])) for r in rows))
+    q = spark.createDataFrame([(text,)], "query string")
+    row = q.select(lexemes_of("query", cfg, empty_for_stop=False).alias("lx")).first()
+    kept = [(lx, i) for i, lx in enumerate(row["lx"] or []) if lx is not None]
+    base = kept[0][1] if kept else 0
+    return BoundQuery(text, cfg, tuple((lx, i - base) for lx, i in kept))

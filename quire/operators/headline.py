@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import lexeme, pieces
+from ..functions.text import lexeme, marked_sql, pieces
 from .analysis import BoundQuery
 
 START_SEL = "**"
@@ -29,11 +29,15 @@ def _mark(x: Column, q: BoundQuery) -> Column:
     return F.when(hit, F.concat(F.lit(START_SEL), x, F.lit(STOP_SEL))).otherwise(x)
 
 
-def headline(paragraph: Column, q: BoundQuery, mode: str = "full",
+def headline(paragraph: Column | str, q: BoundQuery, mode: str = "full",
              words: int = 35) -> Column:
-    ps = pieces(paragraph)
     if mode == "full" or not q.lexemes:
-        return F.array_join(F.transform(ps, lambda x: _mark(x, q)), "")
+        if isinstance(paragraph, str):
+            return F.expr(marked_sql(paragraph, q.config, q.lexemes, START_SEL, STOP_SEL))
+        return F.array_join(F.transform(pieces(paragraph), lambda x: _mark(x, q)), "")
+    if isinstance(paragraph, str):
+        paragraph = F.col(paragraph)
+    ps = pieces(paragraph)
     if mode != "fragments":
         raise ValueError(f"unknown headline mode {mode!r}")
     # word index of every piece (gaps get the index of the next word), the

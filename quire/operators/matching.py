@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TextConfig, lexeme, tokens
+from ..functions.text import TextConfig, lexemes_of
 from .analysis import BoundQuery
 
 
-def lexeme_array(paragraph: Column, cfg: TextConfig) -> Column:
-    """Lexemes by position; '' where the token is a stopword."""
-    return F.transform(tokens(paragraph), lambda t: F.coalesce(lexeme(t, cfg), F.lit("")))
+def lexeme_array(paragraph: str, cfg: TextConfig) -> Column:
+    """Lexemes of text column ``paragraph`` by position; '' for a stopword."""
+    return lexemes_of(paragraph, cfg)
 
 
 def _probe(lx: str, cfg: TextConfig) -> str:
@@ -85,7 +85,7 @@ def phrase_match(paragraphs: DataFrame, q: BoundQuery) -> DataFrame:
     if not q.terms:
         return paragraphs.where(F.lit(False)).withColumn("n_matches", F.lit(0))
     cand = with_once(paragraphs.where(prefilter(F.col("paragraph"), q)),
-                     lexemes=lexeme_array(F.col("paragraph"), q.config))
+                     lexemes=lexeme_array("paragraph", q.config))
     return (cand.withColumn("n_matches", phrase_count(F.col("lexemes"), q))
             .where(F.col("n_matches") > 0).drop("lexemes"))
 
@@ -95,7 +95,7 @@ def all_words_match(paragraphs: DataFrame, q: BoundQuery) -> DataFrame:
     if not q.terms:
         return paragraphs.where(F.lit(False))
     cand = with_once(paragraphs.where(prefilter(F.col("paragraph"), q)),
-                     lexemes=lexeme_array(F.col("paragraph"), q.config))
+                     lexemes=lexeme_array("paragraph", q.config))
     cond = F.lit(True)
     for t in q.lexemes:
         cond = cond & F.array_contains(F.col("lexemes"), F.lit(t))
@@ -123,13 +123,15 @@ def phrase_match_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     big side is never shuffled for the join; the aggregation is partial
     (map-side) first and only matched candidates cross the network.
     A phrase occurrence starts at ``ti - offset`` and is complete when every
-    offset of the query is present there.
+    offset of the query is present there. A position holds one lexeme, so
+    each term adds at most one row per start: ``count(*)`` counts the
+    distinct offsets found without a distinct aggregate.
     """
     n = terms.groupBy("query_id").agg(F.countDistinct("offset").alias("n_terms"))
     t = F.broadcast(terms.join(n, "query_id"))
     hits = (explode_positions(postings).join(t, on="lexeme")
             .groupBy("query_id", "num", "para", (F.col("ti") - F.col("offset")).alias("start"))
-            .agg(F.countDistinct("offset").alias("found"), F.first("n_terms").alias("n_terms"))
+            .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
             .where(F.col("found") == F.col("n_terms")))
     return hits.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
 
@@ -138,8 +140,11 @@ def all_words_match_postings(postings: DataFrame, terms: DataFrame) -> DataFrame
     """``query_id, num, para`` where every distinct term lexeme occurs."""
     n = terms.groupBy("query_id").agg(F.countDistinct("lexeme").alias("n_terms"))
     t = F.broadcast(terms.select("query_id", "lexeme").distinct().join(n, "query_id"))
-    return (postings.select("num", "para", "lexeme").join(t, on="lexeme")
+    p = postings.select("num", "para", "lexeme")
+    if "positions" not in postings.columns:  # one row per position: reduce first
+        p = p.distinct()
+    return (p.join(t, on="lexeme")
             .groupBy("query_id", "num", "para")
-            .agg(F.countDistinct("lexeme").alias("found"), F.first("n_terms").alias("n_terms"))
+            .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
             .where(F.col("found") == F.col("n_terms"))
             .select("query_id", "num", "para"))

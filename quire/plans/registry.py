@@ -151,7 +151,7 @@ def q_phrase_rank(spark, sf):
 def q_headline(spark, sf):
     q = bind_query(spark, PHRASE, LANGUAGE)
     paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
-    return phrase_match(paras, q).select("num", "para", headline(F.col("paragraph"), q).alias("h"))
+    return phrase_match(paras, q).select("num", "para", headline("paragraph", q).alias("h"))
 
 
 # ------------------------------------------------------ step 3: all words, stopwords

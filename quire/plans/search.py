@@ -112,7 +112,7 @@ def phrase_matches(spark: SparkSession, books: DataFrame, query: str | BoundQuer
     m = phrase_match(paras, q)
     return m.select("num", "para", "n_matches",
                     cover_density_rank(F.col("n_matches"), q).alias("rank"),
-                    headline(F.col("paragraph"), q, mode).alias("h"))
+                    headline("paragraph", q, mode).alias("h"))
 
 
 def phrase_search(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
@@ -138,7 +138,7 @@ def discovery_search(spark: SparkSession, books: DataFrame, query: str | BoundQu
     """``n`` books with all query words in one paragraph, seeded random order."""
     q = _as_query(spark, query, language)
     paras = paragraphs if paragraphs is not None else _language_paragraphs(books, q.config.name)
-    m = all_words_match(paras, q).select("num", headline(F.col("paragraph"), q, mode).alias("h"))
+    m = all_words_match(paras, q).select("num", headline("paragraph", q, mode).alias("h"))
     res = rollup_books(m, books, link_base, with_rank=False)
     rand = seeded_random(F.col("num"), seed)
     return res.withColumn("rand", rand).orderBy("rand", "num").limit(n)
@@ -170,7 +170,7 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
     return (hits.join(paras, ["num", "para"])
             .select("num", "para", "n_matches",
                     cover_density_rank(F.col("n_matches"), q).alias("rank"),
-                    headline(F.col("paragraph"), q, mode).alias("h")))
+                    headline("paragraph", q, mode).alias("h")))
 
 
 def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
