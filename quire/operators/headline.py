@@ -13,11 +13,12 @@ windows of ``words`` tokens centred on marked words, joined with ``' ... '``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexeme, marked_sql, pieces
 from .analysis import BoundQuery
+from .matching import with_once
 
 START_SEL = "**"
 STOP_SEL = "**"
@@ -29,28 +30,44 @@ def _mark(x: Column, q: BoundQuery) -> Column:
     return F.when(hit, F.concat(F.lit(START_SEL), x, F.lit(STOP_SEL))).otherwise(x)
 
 
-def headline(paragraph: Column | str, q: BoundQuery, mode: str = "full",
-             words: int = 35) -> Column:
-    if mode == "full" or not q.lexemes:
-        if isinstance(paragraph, str):
-            return F.expr(marked_sql(paragraph, q.config, q.lexemes, START_SEL, STOP_SEL))
-        return F.array_join(F.transform(pieces(paragraph), lambda x: _mark(x, q)), "")
+def headline(paragraph: Column | str, q: BoundQuery) -> Column:
+    """Full headline: the whole text with query words marked."""
     if isinstance(paragraph, str):
-        paragraph = F.col(paragraph)
-    ps = pieces(paragraph)
+        return F.expr(marked_sql(paragraph, q.config, q.lexemes, START_SEL, STOP_SEL))
+    return F.array_join(F.transform(pieces(paragraph), lambda x: _mark(x, q)), "")
+
+
+def with_headline(df: DataFrame, text: str, q: BoundQuery, mode: str = "full",
+                  words: int = 35, out: str = "h") -> DataFrame:
+    """Add the excerpt column ``out`` for text column ``text``.
+
+    ``fragments``: a piece is kept when a marked word lies within ``words/2``
+    words of it; runs of kept pieces are joined with ``' ... '``. Each
+    intermediate array (pieces, hit flags, near flags) is materialised once
+    per row, so every step is one pass over the paragraph times the window.
+    """
+    if mode == "full" or not q.lexemes:
+        return df.withColumn(out, headline(text, q))
     if mode != "fragments":
         raise ValueError(f"unknown headline mode {mode!r}")
-    # word index of every piece (gaps get the index of the next word), the
-    # indices of marked words, then keep pieces within ``half`` words of one
-    half = words // 2
-    is_word = F.transform(ps, lambda x: F.regexp_like(x, F.lit(r"^[\p{L}\p{N}]")))
-    hit = F.transform(ps, lambda x: F.coalesce(lexeme(x, q.config).isin(list(q.lexemes)), F.lit(False)))
-    idx = F.sequence(F.lit(0), F.size(ps) - 1)
-    hits = F.filter(idx, lambda i: F.get(hit, i))
-    near = F.transform(idx, lambda i: F.exists(hits, lambda h: F.abs(h - i) <= 2 * half))
-    keep = F.transform(idx, lambda i: F.get(near, i) & (F.get(is_word, i) | (
-        F.coalesce(F.get(near, i - 1), F.lit(False)) & F.coalesce(F.get(near, i + 1), F.lit(False)))))
-    out = F.transform(idx, lambda i: F.when(
-        F.get(keep, i), _mark(F.get(ps, i), q)).when(
-        F.coalesce(F.get(keep, i - 1), F.lit(False)), F.lit(FRAGMENT_DELIMITER)).otherwise(F.lit("")))
-    return F.trim(F.array_join(out, ""))
+    w = 2 * (words // 2)  # pieces alternate word / gap: words -> pieces
+    lx = list(q.lexemes)
+    d = with_once(df, _ps=pieces(F.col(text)))
+    d = with_once(d, _hit=F.transform("_ps", lambda x: F.coalesce(lexeme(x, q.config).isin(lx), F.lit(False))))
+    d = with_once(d, _near=F.transform("_hit", lambda _x, i: F.exists(
+        F.slice("_hit", F.greatest(i - w, F.lit(0)) + 1, i + w - F.greatest(i - w, F.lit(0)) + 1),
+        lambda y: y)))
+    word = F.lit(r"^[\p{L}\p{N}]")
+
+    def piece_out(x, i):
+        near = F.coalesce(F.get(F.col("_near"), i), F.lit(False))
+        prev = F.coalesce(F.get(F.col("_near"), i - 1), F.lit(False))
+        nxt = F.coalesce(F.get(F.col("_near"), i + 1), F.lit(False))
+        keep = near & (F.regexp_like(x, word) | (prev & nxt))
+        mark = F.when(F.get(F.col("_hit"), i), F.concat(F.lit(START_SEL), x, F.lit(STOP_SEL))).otherwise(x)
+        # the first piece after a fragment carries the delimiter
+        return F.when(keep, mark).when(prev, F.lit(FRAGMENT_DELIMITER)).otherwise(F.lit(""))
+
+    joined = F.array_join(F.transform("_ps", piece_out), "")
+    body = F.trim(F.regexp_replace(joined, r"\Q" + FRAGMENT_DELIMITER + r"\E$", ""))
+    return d.withColumn(out, body).drop("_ps", "_hit", "_near")

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import title_link
 from ..operators.analysis import BoundQuery, bind_query
-from ..operators.headline import headline
+from ..operators.headline import with_headline
 from ..operators.matching import (all_words_match, all_words_match_postings,
                                   phrase_match, phrase_match_postings,
                                   term_table)
@@ -109,10 +109,9 @@ def phrase_matches(spark: SparkSession, books: DataFrame, query: str | BoundQuer
     """``num, para, n_matches, rank, h`` for every matching paragraph."""
     q = _as_query(spark, query, language)
     paras = paragraphs if paragraphs is not None else _language_paragraphs(books, q.config.name)
-    m = phrase_match(paras, q)
+    m = with_headline(phrase_match(paras, q), "paragraph", q, mode)
     return m.select("num", "para", "n_matches",
-                    cover_density_rank(F.col("n_matches"), q).alias("rank"),
-                    headline("paragraph", q, mode).alias("h"))
+                    cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
 
 
 def phrase_search(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
@@ -138,7 +137,7 @@ def discovery_search(spark: SparkSession, books: DataFrame, query: str | BoundQu
     """``n`` books with all query words in one paragraph, seeded random order."""
     q = _as_query(spark, query, language)
     paras = paragraphs if paragraphs is not None else _language_paragraphs(books, q.config.name)
-    m = all_words_match(paras, q).select("num", headline("paragraph", q, mode).alias("h"))
+    m = with_headline(all_words_match(paras, q), "paragraph", q, mode).select("num", "h")
     res = rollup_books(m, books, link_base, with_rank=False)
     rand = seeded_random(F.col("num"), seed)
     return res.withColumn("rand", rand).orderBy("rand", "num").limit(n)
@@ -167,10 +166,9 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
                           & F.col("lexeme").isin(list(q.lexemes)))
     hits = phrase_match_postings(post, term_table(spark, q)).drop("query_id")
     paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
-    return (hits.join(paras, ["num", "para"])
-            .select("num", "para", "n_matches",
-                    cover_density_rank(F.col("n_matches"), q).alias("rank"),
-                    headline("paragraph", q, mode).alias("h")))
+    m = with_headline(hits.join(paras, ["num", "para"]), "paragraph", q, mode)
+    return m.select("num", "para", "n_matches",
+                    cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
 
 
 def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
