@@ -3,8 +3,8 @@
 The frontier is a DataFrame ``(node, path)``. Each hop joins it to the
 adjacency list, drops nodes already reached (anti join), keeps the
 lexicographically smallest path per new node, and is checkpointed to the
-shared checkpoint folder so the lineage stays one hop long and a lost
-executor only recomputes one hop. The loop on the driver runs once per hop
+shared checkpoint folder as a table, so the lineage stays one hop long and a
+lost executor only recomputes one hop. The loop on the driver runs once per hop
 (at most the graph's diameter); no node list or path set is collected.
 
 Edges are unweighted, as in the reference (its weight attribute is never
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 
 def adjacency(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,26 +34,36 @@ def bfs(spark: SparkSession, adj: DataFrame, start: DataFrame,
     ``start`` is a one-column DataFrame ``node`` (one row; derived from the
     data, so nothing is passed through the driver). Ties between shortest
     paths go to the lexicographically smallest path.
+
+    The adjacency and every hop's new frontier are written as Parquet under
+    the shared checkpoint folder (``hops/hop=N``): each hop is computed once,
+    its lineage starts at the written tables, and the set of reached nodes
+    is simply the partitioned table of all hops so far.
     """
-    checkpoint_dir(spark)
-    adj = adj.checkpoint()
+    base = scratch_path(spark, "bfs")
+    adj.write.parquet(f"{base}/adj")
+    adj = spark.read.parquet(f"{base}/adj")
+    hops = f"{base}/hops"
     nodes = adj.select(F.col("src").alias("node")).distinct()
-    frontier = (start.join(nodes, "node", "left_semi")
-                .select("node", F.array("node").alias("path")).checkpoint())
-    reached = frontier
+    first = start.join(nodes, "node", "left_semi").select("node", F.array("node").alias("path"))
+    first.write.parquet(f"{hops}/hop=0")
     hop = 0
-    while not frontier.isEmpty():
+    while True:
+        frontier = spark.read.parquet(f"{hops}/hop={hop}")
+        if frontier.isEmpty():
+            break
         if target is not None and not frontier.where(F.col("node") == target).isEmpty():
             break
         if max_hops is not None and hop >= max_hops:
             break
+        reached = spark.read.parquet(hops).select("node")
         step = (frontier.join(adj, frontier["node"] == adj["src"])
                 .select(adj["dst"].alias("node"), F.concat("path", F.array(adj["dst"])).alias("path"))
-                .join(reached.select("node"), "node", "left_anti")
+                .join(reached, "node", "left_anti")
                 .groupBy("node").agg(F.min("path").alias("path")))
-        frontier = step.checkpoint()
-        reached = reached.unionByName(frontier).checkpoint()
         hop += 1
+        step.write.parquet(f"{hops}/hop={hop}")
+    reached = spark.read.parquet(hops)
     return reached.select("node", (F.size("path") - 1).alias("hops"), "path")
 
 

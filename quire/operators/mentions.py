@@ -8,8 +8,10 @@ starting at each position. Both sides meet in a hash equi-join on
 ``(k, gram)``; the work is linear in the text and the output holds only
 real mentions, never a pair per (name, paragraph).
 
-Grams are de-duplicated per paragraph before leaving it, and the join's
-name side is broadcast only after its row count has been checked.
+Grams start only at positions holding the first word of some name (a
+literal set, when small), and the join's name side is broadcast only after
+its row count has been checked; the (name, book) hits are de-duplicated
+after the join.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import sql_list, tokens
 from .matching import with_once
 
 # Author names the reference excludes from mention matching.
@@ -29,6 +31,9 @@ EXCLUDED_NAMES = (
 
 # Largest name table broadcast to every task; above it the join shuffles.
 BROADCAST_NAME_ROWS = 2_000_000
+# Largest set of first words used as a literal start filter; above it every
+# position starts a gram and the join alone selects the mentions.
+FIRST_TOKEN_LITERALS = 20_000
 
 
 def simple_tokens(text: Column) -> Column:
@@ -55,23 +60,28 @@ def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
             .where(F.col("k") > 0))
 
 
-def paragraph_grams(paragraphs: DataFrame, ks: list[int]) -> DataFrame:
-    """``num, k, gram``: distinct k-grams of each paragraph for k in ``ks``."""
+def paragraph_grams(paragraphs: DataFrame, ks: list[int],
+                    first_tokens: list[str] | None = None) -> DataFrame:
+    """``num, k, gram``: the k-grams of each paragraph for k in ``ks``.
+
+    With ``first_tokens`` only positions holding one of them start a gram
+    (no name can start anywhere else). Each k is one SQL expression over the
+    paragraph's token array, evaluated once per row.
+    """
     p = with_once(paragraphs.select("num", "paragraph"), toks=simple_tokens(F.col("paragraph")))
+    start_ok = ""
+    if first_tokens:
+        start_ok = f"element_at(toks, i) IN {sql_list(first_tokens)}"
     per_k = []
     for k in ks:
-        starts = F.when(F.size("toks") >= k, F.sequence(F.lit(1), F.size("toks") - k + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        per_k.append(F.transform(starts, _gram_at(k)))
-    grams = F.array_distinct(F.flatten(F.array(*per_k))) if len(per_k) > 1 else F.array_distinct(per_k[0])
-    return p.select("num", F.inline(grams))
-
-
-def _gram_at(k: int):
-    # a one-argument lambda: transform() treats a second parameter as the index
-    def gram(i):
-        return F.struct(F.lit(k).alias("k"), F.array_join(F.slice(F.col("toks"), i, k), " ").alias("gram"))
-    return gram
+        starts = (f"CASE WHEN size(toks) >= {k} THEN sequence(1, size(toks) - {k} + 1) "
+                  f"ELSE CAST(array() AS array<int>) END")
+        if start_ok:
+            starts = f"filter({starts}, i -> {start_ok})"
+        per_k.append(f"transform({starts}, i -> named_struct('k', {k}, "
+                     f"'gram', array_join(slice(toks, i, {k}), ' ')))")
+    grams = per_k[0] if len(per_k) == 1 else "flatten(array(" + ", ".join(per_k) + "))"
+    return p.select("num", F.inline(F.expr(grams)))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -92,11 +102,18 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
     # the set of name lengths is tiny (words per name) and decides which
     # gram lengths the paragraphs must emit
     ks = sorted(r["k"] for r in keys.select("k").distinct().collect())
+    # first words of the names, as a literal set when it is small enough to
+    # ship inside the plan (checked by fetching at most one row over the bound)
+    firsts = [r["w"] for r in keys.select(F.split("gram", " ").getItem(0).alias("w"))
+              .distinct().limit(FIRST_TOKEN_LITERALS + 1).collect()]
+    if len(firsts) > FIRST_TOKEN_LITERALS:
+        firsts = None
     if not ks:
         return names.sparkSession.createDataFrame(
             [], "mentioned_author string, mentioned_by string, books_mentioned_in long")
     keys = broadcast_if_small(keys, BROADCAST_NAME_ROWS)
-    hits = paragraph_grams(paragraphs, ks).join(keys, on=["k", "gram"]).select("name", "num").distinct()
+    hits = (paragraph_grams(paragraphs, ks, firsts).join(keys, on=["k", "gram"])
+            .select("name", "num").distinct())
     by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
     return (hits.join(by, "num")
             .groupBy(F.col("name").alias("mentioned_author"), "mentioned_by")

@@ -47,11 +47,13 @@ def build_index(spark: SparkSession, books: DataFrame, path: str,
     n = files_per_language or int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats")}
     paras = book_paragraphs(books)
-    write_table(paras, out["paragraphs"], partition_by=["language"])
+    write_table(paras, out["paragraphs"], partition_by=["language"], sort_within=["num", "para"])
     stored = spark.read.parquet(out["paragraphs"])
-    post = postings(analyze(stored))
-    post = post.repartitionByRange(n, "language", "lexeme", "num")
-    write_table(post, out["postings"], partition_by=["language"],
+    # one shuffle: the range partitioning on (language, lexeme, num) already
+    # clusters every (language, lexeme, num, para) group, so the grouping
+    # that builds the position lists needs no exchange of its own
+    ranged = analyze(stored).repartitionByRange(n, "language", "lexeme", "num")
+    write_table(postings(ranged), out["postings"], partition_by=["language"],
                 sort_within=["lexeme", "num", "para"])
     stats = lexeme_stats(spark.read.parquet(out["postings"]))
     write_table(stats.coalesce(max(1, n // 4)), out["lexeme_stats"], partition_by=["language"])
