@@ -38,21 +38,22 @@ def analyze(paragraphs: DataFrame) -> DataFrame:
             .where(F.col("lexeme").isNotNull()))
 
 
-def query_terms(spark: SparkSession, queries: list[tuple[int, str]] | str,
+def query_terms(spark: SparkSession, queries: DataFrame | list[tuple[int, str]] | str,
                 cfg: TextConfig | str) -> DataFrame:
     """``query_id, lexeme, offset``: the phrase-query form of each query text.
 
-    The same analyser as the paragraphs, applied to a small DataFrame of query
-    strings. Offsets count stopwords (``a to b`` gives offsets 0 and 2) and are
-    shifted so the first kept term has offset 0. A query of stopwords only
-    has no rows, so it matches nothing.
+    ``queries`` is a DataFrame ``(query_id, query)`` (or a list / one string).
+    The same analyser as the paragraphs is applied. Offsets count stopwords
+    (``a to b`` gives offsets 0 and 2) and are shifted so the first kept term
+    has offset 0. A query of stopwords only has no rows, so it matches nothing.
     """
     cfg = config(cfg) if isinstance(cfg, str) else cfg
     if isinstance(queries, str):
         queries = [(0, queries)]
-    q = spark.createDataFrame(queries, "query_id long, query string")
-    t = (q.select("query_id", F.posexplode(tokens(F.col("query"))).alias("pos", "token"))
-         .select("query_id", "pos", lexeme(F.col("token"), cfg).alias("lexeme"))
+    if not isinstance(queries, DataFrame):
+        queries = spark.createDataFrame(queries, "query_id long, query string")
+    t = (queries.select("query_id", F.posexplode(lexemes_of("query", cfg, empty_for_stop=False))
+                        .alias("pos", "lexeme"))
          .where(F.col("lexeme").isNotNull()))
     w = Window.partitionBy("query_id")
     return t.select("query_id", "lexeme",

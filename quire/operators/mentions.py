@@ -1,14 +1,16 @@
 """Which names are mentioned in whose books: the text join, as an equi-join.
 
 The reference joins every candidate name to every paragraph with a
-full-text match predicate (a theta join). Here a name of k words becomes
-one key ``(k, 'w1 w2 .. wk')`` (lowercased tokens, the ``simple`` analyser)
-and every paragraph emits, for each name length k that exists, the k-grams
-starting at each position. Both sides meet in a hash equi-join on
-``(k, gram)``; the work is linear in the text and the output holds only
-real mentions, never a pair per (name, paragraph).
-
-Grams start only at positions holding the first word of some name (a
+full-text match predicate (a theta join). Here a name of k words (lowercased
+tokens, the ``simple`` analyser) is keyed by its first ``m = min(k, 4)``
+words. Every paragraph position where a name can start emits the window of
+the next ``max k`` words and, for each key length m in use, its first m
+words. Both sides meet in a hash equi-join on ``(m, key)``; names longer
+than their key are then verified against the window. The work is linear in
+the text and the output holds only real mentions, never a pair per
+(name, paragraph).
+
+Windows start only at positions whose first words equal a name key (a
 literal set, when small), and the join's name side is broadcast only after
 its row count has been checked; the (name, book) hits are de-duplicated
 after the join.
@@ -31,9 +33,11 @@ EXCLUDED_NAMES = (
 
 # Largest name table broadcast to every task; above it the join shuffles.
 BROADCAST_NAME_ROWS = 2_000_000
-# Largest set of first words used as a literal start filter; above it every
-# position starts a gram and the join alone selects the mentions.
-FIRST_TOKEN_LITERALS = 20_000
+# Largest set of name keys used as a literal start filter; above it every
+# position starts a window and the join alone selects the mentions.
+KEY_LITERALS = 20_000
+# Words of a name used as the join key; longer names are verified after it.
+KEY_WORDS = 4
 
 
 def simple_tokens(text: Column) -> Column:
@@ -53,35 +57,41 @@ def author_book_counts(books: DataFrame) -> DataFrame:
 
 
 def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
-    """``name, k, gram`` for every name with at least one token."""
-    toks = simple_tokens(F.col(name_col))
-    return (names.select(F.col(name_col).alias("name"), F.size(toks).alias("k"),
-                         F.array_join(toks, " ").alias("gram"))
-            .where(F.col("k") > 0))
-
-
-def paragraph_grams(paragraphs: DataFrame, ks: list[int],
-                    first_tokens: list[str] | None = None) -> DataFrame:
-    """``num, k, gram``: the k-grams of each paragraph for k in ``ks``.
+    """``name, k, gram, m, key`` for every name with at least one token.
 
-    With ``first_tokens`` only positions holding one of them start a gram
-    (no name can start anywhere else). Each k is one SQL expression over the
-    paragraph's token array, evaluated once per row.
+    ``gram`` is the whole name in lowercased tokens; ``key`` its first
+    ``m = min(k, KEY_WORDS)`` of them, the join key.
+    """
+    toks = simple_tokens(F.col(name_col))
+    g = (names.select(F.col(name_col).alias("name"), F.size(toks).alias("k"),
+                      F.array_join(toks, " ").alias("gram"))
+         .where(F.col("k") > 0))
+    m = F.least(F.col("k"), F.lit(KEY_WORDS))
+    return g.select("*", m.alias("m"),
+                    F.expr(f"substring_index(gram, ' ', least(k, {KEY_WORDS}))").alias("key"))
+
+
+def paragraph_windows(paragraphs: DataFrame, width: int,
+                      keys_by_m: dict[int, list[str]] | None = None) -> DataFrame:
+    """``num, window``: the next ``width`` tokens from each start position.
+
+    With ``keys_by_m`` (name keys by key length, as literal sets) a window is
+    only built where the text's first m words equal a key of length m for
+    some m: first the first word is tested, then the key, and only the
+    survivors pay for the full window. Without it every position starts a
+    window. One SQL expression over the paragraph's token array.
     """
     p = with_once(paragraphs.select("num", "paragraph"), toks=simple_tokens(F.col("paragraph")))
-    start_ok = ""
-    if first_tokens:
-        start_ok = f"element_at(toks, i) IN {sql_list(first_tokens)}"
-    per_k = []
-    for k in ks:
-        starts = (f"CASE WHEN size(toks) >= {k} THEN sequence(1, size(toks) - {k} + 1) "
-                  f"ELSE CAST(array() AS array<int>) END")
-        if start_ok:
-            starts = f"filter({starts}, i -> {start_ok})"
-        per_k.append(f"transform({starts}, i -> named_struct('k', {k}, "
-                     f"'gram', array_join(slice(toks, i, {k}), ' ')))")
-    grams = per_k[0] if len(per_k) == 1 else "flatten(array(" + ", ".join(per_k) + "))"
-    return p.select("num", F.inline(F.expr(grams)))
+    starts = "sequence(1, size(toks))"
+    if keys_by_m:
+        firsts = sorted({k.split(" ", 1)[0] for ks in keys_by_m.values() for k in ks})
+        starts = f"filter({starts}, i -> element_at(toks, i) IN {sql_list(firsts)})"
+        test = " OR ".join(
+            f"array_join(slice(toks, i, {m}), ' ') IN {sql_list(sorted(ks))}"
+            for m, ks in sorted(keys_by_m.items()))
+        starts = f"filter({starts}, i -> {test})"
+    windows = f"transform({starts}, i -> array_join(slice(toks, i, {width}), ' '))"
+    return p.where(F.size("toks") > 0).select("num", F.explode(F.expr(windows)).alias("window"))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -97,22 +107,33 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
     paragraph``; ``books``: ``num, author``. A mention counts once per book
     (``count(distinct num)``); books without author are left out, as are
     names of no token. Self-mentions are kept, as in the reference.
+
+    Plan: paragraph windows (the next ``max k`` words from every position
+    where a name can start) get one key per key length ``m``
+    (``substring_index``), meet the names in an equi-join on ``(m, key)``,
+    and a name longer than its key is verified against the window.
     """
     keys = name_keys(names, name_col)
-    # the set of name lengths is tiny (words per name) and decides which
-    # gram lengths the paragraphs must emit
-    ks = sorted(r["k"] for r in keys.select("k").distinct().collect())
-    # first words of the names, as a literal set when it is small enough to
-    # ship inside the plan (checked by fetching at most one row over the bound)
-    firsts = [r["w"] for r in keys.select(F.split("gram", " ").getItem(0).alias("w"))
-              .distinct().limit(FIRST_TOKEN_LITERALS + 1).collect()]
-    if len(firsts) > FIRST_TOKEN_LITERALS:
-        firsts = None
-    if not ks:
+    # plan parameters from the (small) name table: key lengths, longest name,
+    # and the keys themselves when few enough to ship inside the plan (at
+    # most one row over the bound is fetched)
+    shape = keys.agg(F.collect_set("m").alias("ms"), F.max("k").alias("max_k")).first()
+    if not shape["ms"]:
         return names.sparkSession.createDataFrame(
             [], "mentioned_author string, mentioned_by string, books_mentioned_in long")
+    ms, max_k = sorted(shape["ms"]), int(shape["max_k"])
+    key_rows = keys.select("m", "key").distinct().limit(KEY_LITERALS + 1).collect()
+    keys_by_m = None
+    if len(key_rows) <= KEY_LITERALS:
+        keys_by_m = {}
+        for r in key_rows:
+            keys_by_m.setdefault(r["m"], []).append(r["key"])
+    windows = paragraph_windows(paragraphs, max_k, keys_by_m)
+    keyed = windows.select("num", "window", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.substring_index("window", " ", m).alias("key")) for m in ms])))
     keys = broadcast_if_small(keys, BROADCAST_NAME_ROWS)
-    hits = (paragraph_grams(paragraphs, ks, firsts).join(keys, on=["k", "gram"])
+    whole = (F.col("window") == F.col("gram")) | F.col("window").startswith(F.concat(F.col("gram"), F.lit(" ")))
+    hits = (keyed.join(keys, on=["m", "key"]).where(whole)
             .select("name", "num").distinct())
     by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
     return (hits.join(by, "num")

@@ -122,12 +122,17 @@ def q_analyze(spark, sf):
     return analyze(_paragraphs(spark, sf))
 
 
-@register("query_terms", O.with_ctes(O.query_ctes(PHRASE, LANGUAGE))
-          + "SELECT CAST(0 AS BIGINT) AS query_id, lexeme, CAST(off AS INTEGER) AS offset FROM qterms")
+@register("query_terms", O.with_ctes(f"""qt AS (
+  SELECT item_id AS query_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
+  FROM (SELECT item_id, regexp_extract_all(text, {sql_str(WORD_PATTERN)}) AS t FROM benchmark))""",
+    f"ql AS (SELECT query_id, pos, {sql_lexeme('token', LANGUAGE)} AS lexeme FROM qt)")
+    + """SELECT query_id, lexeme, CAST(pos - min(pos) OVER (PARTITION BY query_id) AS INTEGER) AS offset
+FROM ql WHERE lexeme IS NOT NULL""")
 def q_query_terms(spark, sf):
-    # the query text is analysed by the same expressions as the corpus; the
-    # corpus is read so the job is tied to its tables (distinct languages)
-    return query_terms(spark, PHRASE, LANGUAGE)
+    # every benchmark passage analysed as a phrase query
+    items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                      F.col("text").alias("query"))
+    return query_terms(spark, items, LANGUAGE)
 
 
 @register("phrase_match", _cte(O.phrase_matches_sql(PHRASE, LANGUAGE))
@@ -271,24 +276,24 @@ def q_paragraph_summary(spark, sf):
 
 _EXCL = ", ".join(sql_str(n) for n in MN.EXCLUDED_NAMES)
 _NAMES_SQL = f"""names AS (
-  SELECT DISTINCT array_to_string(list_slice(regexp_extract_all(text, {sql_str(WORD_PATTERN)}), 1, 5), ' ') AS name
-  FROM benchmark),
+  SELECT name, array_to_string(list_transform(regexp_extract_all(name, {sql_str(WORD_PATTERN)}),
+                                              lambda x: lower(x)), ' ') AS name_key
+  FROM (SELECT DISTINCT text AS name FROM benchmark)),
 ptext AS (
   SELECT num, ' ' || array_to_string(list_transform(regexp_extract_all(paragraph, {sql_str(WORD_PATTERN)}),
                                                      lambda x: lower(x)), ' ') || ' ' AS s
   FROM paragraphs WHERE language IS NOT NULL),
 pairs AS (
   SELECT n.name AS mentioned_author, b.author AS mentioned_by, count(DISTINCT p.num) AS books_mentioned_in
-  FROM names n JOIN ptext p ON contains(p.s, ' ' || lower(n.name) || ' ')
+  FROM names n JOIN ptext p ON contains(p.s, ' ' || n.name_key || ' ')
   JOIN books b ON p.num = b.num
-  WHERE b.author IS NOT NULL AND n.name <> ''
+  WHERE b.author IS NOT NULL AND n.name_key <> ''
   GROUP BY n.name, b.author)"""
 
 
 def _names(spark, sf):
-    b = read_table(spark, sf, "benchmark")
-    return (b.select(F.array_join(F.slice(tokens(F.col("text")), 1, 5), " ").alias("name"))
-            .where(F.length("name") > 0).distinct())
+    # the names looked for are the benchmark passages, whole
+    return read_table(spark, sf, "benchmark").select(F.col("text").alias("name")).distinct()
 
 
 def _pairs(spark, sf):
