@@ -2,12 +2,13 @@
 
 ``postings``: one row per (language, lexeme, num, para) with the sorted
 positions and the term frequency -- the lexeme vector of a paragraph, grouped
-by lexeme. Written partitioned by ``language`` and, inside each language,
-range-partitioned and sorted by ``lexeme`` (then ``num``), so:
+by lexeme. Written partitioned by ``language``; inside each language the rows
+are hashed over files by (lexeme, num) and every file is sorted by
+``lexeme``, so:
 
 - a search reads one language directory (partition pruning);
 - ``lexeme IN (...)`` skips row groups by their min/max statistics;
-- one very frequent lexeme is spread over several files by ``num``.
+- one very frequent lexeme is spread over many files by ``num``.
 
 ``lexeme_stats``: per (language, lexeme) the number of paragraphs containing
 it and the number of occurrences; small, used to order query terms.
@@ -47,13 +48,16 @@ def build_index(spark: SparkSession, books: DataFrame, path: str,
     n = files_per_language or int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats")}
     paras = book_paragraphs(books)
-    write_table(paras, out["paragraphs"], partition_by=["language"], sort_within=["num", "para"])
+    write_table(paras, out["paragraphs"], partition_by=["language"])
     stored = spark.read.parquet(out["paragraphs"])
-    # one shuffle: the range partitioning on (language, lexeme, num) already
-    # clusters every (language, lexeme, num, para) group, so the grouping
-    # that builds the position lists needs no exchange of its own
-    ranged = analyze(stored).repartitionByRange(n, "language", "lexeme", "num")
-    write_table(postings(ranged), out["postings"], partition_by=["language"],
+    # one shuffle: hashing on (language, lexeme, num) already clusters every
+    # (language, lexeme, num, para) group, so the grouping that builds the
+    # position lists needs no exchange of its own; ``num`` in the key spreads
+    # a very frequent lexeme over many files. Each file is sorted by lexeme,
+    # which is what row-group skipping needs (no sampling pass over the text,
+    # as a range partitioning would run).
+    spread = analyze(stored).repartition(n, "language", "lexeme", "num")
+    write_table(postings(spread), out["postings"], partition_by=["language"],
                 sort_within=["lexeme", "num", "para"])
     stats = lexeme_stats(spark.read.parquet(out["postings"]))
     write_table(stats.coalesce(max(1, n // 4)), out["lexeme_stats"], partition_by=["language"])

@@ -38,6 +38,8 @@ DISCOVERY_ROWS = 30
 DEFAULT_LINK_BASE = "ebooks/"
 # Salt buckets for the per-book excerpt selection (spreads one hot book).
 EXCERPT_SALT = 64
+# Largest hit list an index search turns into a literal paragraph filter.
+HIT_LITERALS = 10000
 
 
 def excerpt_bound(limit: int = EXCERPT_LIMIT, sep: str = EXCERPT_SEPARATOR) -> int:
@@ -69,10 +71,14 @@ def rollup_books(matched: DataFrame, books: DataFrame, link_base: str = DEFAULT_
     n = excerpt_bound()
     m = matched.withColumn("h", F.substring("h", 1, EXCERPT_LIMIT))
     rank = F.col("rank") if with_rank else F.lit(0.0)
-    by_h = m.groupBy("num", "h").agg(F.sum(rank).alias("rs"), F.count("*").alias("rc"))
+    # partitioned once by (num, bucket): the (num, bucket, h) aggregate and
+    # the bucket window both reuse that exchange
+    by_h = (m.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(salt)))
+            .repartition("num", "bucket")
+            .groupBy("num", "bucket", "h").agg(F.sum(rank).alias("rs"), F.count("*").alias("rc")))
     w1 = Window.partitionBy("num", "bucket").orderBy("h")
     w1all = Window.partitionBy("num", "bucket")
-    first = (by_h.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(salt)))
+    first = (by_h
              .select("num", "h", F.row_number().over(w1).alias("r1"),
                      F.sum("rs").over(w1all).alias("brs"), F.sum("rc").over(w1all).alias("brc"))
              .where(F.col("r1") <= n))
@@ -166,7 +172,17 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
                           & F.col("lexeme").isin(list(q.lexemes)))
     hits = phrase_match_postings(post, term_table(spark, q)).drop("query_id")
     paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
-    m = with_headline(hits.join(paras, ["num", "para"]), "paragraph", q, mode)
+    # few hits (checked by fetching at most one row over the bound): their
+    # book ids become a literal filter on the paragraph scan, which skips the
+    # row groups of other books; otherwise a plain join
+    few = hits.limit(HIT_LITERALS + 1).collect()
+    if len(few) <= HIT_LITERALS:
+        if not few:
+            return spark.createDataFrame([], "num long, para int, n_matches long, rank double, h string")
+        nums = ", ".join(str(n) for n in sorted({r["num"] for r in few}))
+        hits = F.broadcast(spark.createDataFrame(few, "num long, para int, n_matches long"))
+        paras = paras.where(F.expr(f"num IN ({nums})"))
+    m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode)
     return m.select("num", "para", "n_matches",
                     cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
 
