@@ -116,20 +116,27 @@ def term_table(spark, q: BoundQuery, query_id: int = 0) -> DataFrame:
                                  "query_id long, lexeme string, offset int")
 
 
-def phrase_match_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",),
+                          broadcast: bool = True) -> DataFrame:
     """``query_id, num, para, n_matches`` from positional postings.
 
-    ``terms`` (query_id, lexeme, offset) is query-sized and broadcast, so the
-    big side is never shuffled for the join; the aggregation is partial
-    (map-side) first and only matched candidates cross the network.
+    ``terms`` (query_id, lexeme, offset [, language]) is query-sized and
+    broadcast (when ``broadcast``; callers with data-sized term tables check
+    their size first), so the big side is never shuffled for the join; the
+    aggregation is partial (map-side) first and only matched candidates
+    cross the network. ``on`` are the join columns (add ``language`` when
+    the terms differ per analyser).
     A phrase occurrence starts at ``ti - offset`` and is complete when every
     offset of the query is present there. A position holds one lexeme, so
     each term adds at most one row per start: ``count(*)`` counts the
     distinct offsets found without a distinct aggregate.
     """
-    n = terms.groupBy("query_id").agg(F.countDistinct("offset").alias("n_terms"))
-    t = F.broadcast(terms.join(n, "query_id"))
-    hits = (explode_positions(postings).join(t, on="lexeme")
+    on = list(on)
+    qkeys = ["query_id"] + [c for c in on if c != "lexeme"]
+    n = terms.groupBy(*qkeys).agg(F.countDistinct("offset").alias("n_terms"))
+    t = terms.join(n, qkeys)
+    t = F.broadcast(t) if broadcast else t
+    hits = (explode_positions(postings).join(t, on=on)
             .groupBy("query_id", "num", "para", (F.col("ti") - F.col("offset")).alias("start"))
             .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
             .where(F.col("found") == F.col("n_terms")))

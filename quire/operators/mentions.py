@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_list, tokens
-from .matching import with_once
+from .matching import phrase_match_postings, with_once
 
 # Author names the reference excludes from mention matching.
 EXCLUDED_NAMES = (
@@ -141,6 +141,40 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
             .agg(F.countDistinct("num").alias("books_mentioned_in")))
 
 
+def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFrame,
+                           name_config: str | None = None, name_col: str = "name") -> DataFrame:
+    """Mention pairs over analysed paragraphs: each name is a phrase query.
+
+    ``analyzed``: positional lexemes ``language, num, para, ti, lexeme`` (the
+    paragraphs' own analysers). ``name_config=None`` analyses each name with
+    the analyser of the paragraphs it is matched against (stopwords leave
+    gaps, as in the text); ``name_config='simple'`` is the reference's mixed
+    mode, where a name word that the paragraph analyser drops or stems can
+    never match. One join of positional lexemes to the name terms on
+    (language, lexeme), grouped by phrase start -- no pair per (name,
+    paragraph) is formed.
+    """
+    from ..functions.text import LANGUAGE_CONFIGS
+    from .analysis import query_terms
+
+    q = names.select(F.col(name_col).alias("query_id"), F.col(name_col).alias("query")).distinct()
+    spark = names.sparkSession
+    parts = []
+    for lang in LANGUAGE_CONFIGS:
+        t = query_terms(spark, q, name_config or lang)
+        parts.append(t.withColumn("language", F.lit(lang)))
+    terms = parts[0]
+    for t in parts[1:]:
+        terms = terms.unionByName(t)
+    small = terms.count() <= BROADCAST_NAME_ROWS
+    hits = (phrase_match_postings(analyzed, terms, on=("language", "lexeme"), broadcast=small)
+            .select(F.col("query_id").alias("name"), "num").distinct())
+    by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
+    return (hits.join(by, "num")
+            .groupBy(F.col("name").alias("mentioned_author"), "mentioned_by")
+            .agg(F.countDistinct("num").alias("books_mentioned_in")))
+
+
 def mention_edges(pairs: DataFrame) -> DataFrame:
     """Undirected edges ``a <= b`` with the summed weight of both directions."""
     a = F.least("mentioned_author", "mentioned_by")

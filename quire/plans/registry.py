@@ -319,6 +319,34 @@ def q_mention_pairs(spark, sf):
     return _pairs(spark, sf)
 
 
+_MIXED_NAME_TERMS = "UNION ALL ".join(f"""
+  SELECT '{lang}' AS language, name, pos, {sql_lexeme('token', lang)} AS lexeme FROM ntok """
+                                      for lang in ("english", "french", "german"))
+
+
+@register("mention_pairs_postings", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), f"""ntok AS (
+  SELECT name, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
+  FROM (SELECT DISTINCT text AS name, regexp_extract_all(text, {sql_str(WORD_PATTERN)}) AS t FROM benchmark)),
+nlex AS ({_MIXED_NAME_TERMS}),
+nterms AS (
+  SELECT language, name, lexeme, pos - min(pos) OVER (PARTITION BY language, name) AS off
+  FROM nlex WHERE lexeme IS NOT NULL),
+nn AS (SELECT language, name, count(DISTINCT off) AS n FROM nterms GROUP BY language, name),
+starts AS (
+  SELECT t.name, lx.num, lx.para, lx.ti - t.off AS st
+  FROM lx JOIN nterms t ON lx.language = t.language AND lx.lexeme = t.lexeme
+  JOIN nn ON nn.language = t.language AND nn.name = t.name
+  GROUP BY t.name, lx.num, lx.para, lx.ti - t.off, nn.n
+  HAVING count(*) = nn.n),
+hits AS (SELECT DISTINCT name, num FROM starts)""") + """SELECT h.name AS mentioned_author, b.author AS mentioned_by,
+  count(DISTINCT h.num) AS books_mentioned_in
+FROM hits h JOIN books b ON h.num = b.num WHERE b.author IS NOT NULL
+GROUP BY h.name, b.author""")
+def q_mention_pairs_postings(spark, sf):
+    bk = books_view(spark, sf)
+    return MN.mention_pairs_postings(_names(spark, sf), analyze(PG.book_paragraphs(bk)), bk)
+
+
 _EDGES_SQL = """edges AS (
   SELECT least(mentioned_author, mentioned_by) AS a, greatest(mentioned_author, mentioned_by) AS b,
          CAST(sum(books_mentioned_in) AS BIGINT) AS books_mentioned_in

@@ -81,3 +81,18 @@ def test_shortest_path(spark):
     assert [r.node for r in G.shortest_path(spark, edges, "a", "a").collect()] == ["a"]
     assert G.shortest_path(spark, edges, "a", "y").count() == 0
     assert G.shortest_path(spark, edges, "nobody", "a").count() == 0
+
+
+def test_mentions_over_analysed_paragraphs(spark):
+    from quire.operators.analysis import analyze
+    names = spark.createDataFrame([("Cat of Dogs",), ("Bird",)], "name string")
+    paras = spark.createDataFrame([(1, 0, "a cat the dogs flew", "english"), (2, 0, "Birds and birds", "english")],
+                                  "num long, para int, paragraph string, language string")
+    bk = spark.createDataFrame([(1, "A"), (2, "B")], "num long, author string")
+    # names analysed like the paragraphs: stopword gap kept, plural stemmed
+    got = MN.mention_pairs_postings(names, analyze(paras), bk).collect()
+    assert sorted((r.mentioned_author, r.mentioned_by) for r in got) == [("Bird", "B"), ("Cat of Dogs", "A")]
+    # the reference's mixed mode: a 'simple' name word that the paragraph
+    # analyser drops ('of') or stems ('dogs') can never match; 'bird' can
+    mixed = MN.mention_pairs_postings(names, analyze(paras), bk, name_config="simple").collect()
+    assert [(r.mentioned_author, r.mentioned_by) for r in mixed] == [("Bird", "B")]
