@@ -158,18 +158,32 @@ def seeded_random(num: Column, seed: int) -> Column:
 
 def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                          query: str | BoundQuery, language: str = "english",
-                         mode: str = "full") -> DataFrame:
+                         mode: str = "full", stats: DataFrame | None = None) -> DataFrame:
     """Same rows as ``phrase_matches``, from stored postings.
 
     The language is a partition column and the query lexemes are literals, so
     both reach the Parquet scan (partition pruning + row-group skipping on
-    the lexeme-sorted files).
+    the lexeme-sorted files). With ``stats`` (``lexeme_stats``), the rarest
+    query lexeme goes first: a lexeme absent from the corpus ends the search
+    at once, and the postings of all terms are semi-joined to the paragraphs
+    holding the rarest one before the phrase aggregation, so a very common
+    word never drives a large shuffle.
     """
     q = _as_query(spark, query, language)
+    empty = "num long, para int, n_matches long, rank double, h string"
     if not q.terms:
-        return spark.createDataFrame([], "num long, para int, n_matches long, rank double, h string")
-    post = postings.where((F.col("language") == q.config.name)
-                          & F.col("lexeme").isin(list(q.lexemes)))
+        return spark.createDataFrame([], empty)
+    lang = F.col("language") == q.config.name
+    post = postings.where(lang & F.col("lexeme").isin(list(q.lexemes)))
+    if stats is not None:
+        freq = {r["lexeme"]: r["paragraphs"] for r in stats.where(lang & F.col("lexeme").isin(list(q.lexemes)))
+                .select("lexeme", "paragraphs").collect()}
+        if len(freq) < len(q.lexemes):
+            return spark.createDataFrame([], empty)
+        if len(q.lexemes) > 1:
+            rare = min(q.lexemes, key=lambda lx: (freq[lx], lx))
+            cand = postings.where(lang & (F.col("lexeme") == rare)).select("num", "para")
+            post = post.join(cand, ["num", "para"], "left_semi")
     hits = phrase_match_postings(post, term_table(spark, q)).drop("query_id")
     paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
     # few hits (checked by fetching at most one row over the bound): their
@@ -189,8 +203,9 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
 
 def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                         books: DataFrame, query: str | BoundQuery, language: str = "english",
-                        link_base: str = DEFAULT_LINK_BASE, mode: str = "full") -> DataFrame:
-    m = index_phrase_matches(spark, postings, paragraphs, query, language, mode)
+                        link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
+                        stats: DataFrame | None = None) -> DataFrame:
+    m = index_phrase_matches(spark, postings, paragraphs, query, language, mode, stats)
     return rollup_books(m, books, link_base, with_rank=True)
 
 

@@ -84,6 +84,11 @@ def test_index_search_many_hits_path(spark, small_books, tmp_dir, monkeypatch):
     idx = read_index(spark, tmp_dir + "/idx2")
     monkeypatch.setattr(S, "HIT_LITERALS", 3)  # force the join path
     scan = S.phrase_search(spark, small_books, PHRASE)
-    via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE)
     cols = ["num", "relevant_paragraphs", "rank"]
-    assert sorted(scan.select(cols).collect()) == sorted(via_index.select(cols).collect())
+    for stats in (None, idx["lexeme_stats"]):  # plain, and rarest lexeme first
+        via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
+                                          stats=stats)
+        assert sorted(scan.select(cols).collect()) == sorted(via_index.select(cols).collect())
+    missing = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books,
+                                    "attion zzqqxx", stats=idx["lexeme_stats"])
+    assert missing.count() == 0
