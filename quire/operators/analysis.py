@@ -38,6 +38,23 @@ def analyze(paragraphs: DataFrame) -> DataFrame:
             .where(F.col("lexeme").isNotNull()))
 
 
+def normalize_with_dictionary(analyzed: DataFrame, dictionary: DataFrame,
+                              max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """The ``dictionary`` normaliser: replace lexemes found in a word list.
+
+    ``dictionary`` is ``(language, word, lexeme)``, e.g. a stemmer's output
+    computed once over the *distinct* vocabulary (``lexeme_stats``) rather
+    than once per token. Words not in it keep their lexeme. The dictionary is
+    broadcast only when its counted size is within ``max_broadcast_rows``;
+    larger ones are joined with a shuffle.
+    """
+    d = dictionary.select("language", F.col("word").alias("lexeme"), F.col("lexeme").alias("_norm"))
+    d = F.broadcast(d) if d.count() <= max_broadcast_rows else d
+    cols = [F.coalesce(F.col("_norm"), F.col("lexeme")).alias("lexeme") if c == "lexeme" else F.col(c)
+            for c in analyzed.columns]
+    return analyzed.join(d, ["language", "lexeme"], "left").select(*cols)
+
+
 def query_terms(spark: SparkSession, queries: DataFrame | list[tuple[int, str]] | str,
                 cfg: TextConfig | str) -> DataFrame:
     """``query_id, lexeme, offset``: the phrase-query form of each query text.

@@ -40,6 +40,30 @@ def get_session(master: str | None = None, app: str = "quire",
     return spark
 
 
+def scale_settings(input_bytes: int, executor_cores_total: int,
+                   partition_bytes: int = 128 * 1024 * 1024, expansion: float = 3.0) -> dict:
+    """Settings for a cluster run over ``input_bytes`` of (compressed) input.
+
+    - scan splits of ``partition_bytes`` keep each task's text in memory;
+    - the shuffle gets enough partitions for ``expansion`` x the input (token
+      rows are larger than the compressed text) at ``partition_bytes`` each,
+      at least two waves of the cluster's cores; AQE coalesces what turns out
+      small and splits skewed partitions (factor 4 over the median, 256 MB);
+    - runtime broadcast conversion stays at the AQE default threshold.
+    """
+    shuffle = max(2 * executor_cores_total, int(input_bytes * expansion // partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.parquet.filterPushdown": "true",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

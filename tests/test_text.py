@@ -77,3 +77,20 @@ def test_bind_query_offsets(spark):
 def test_query_terms_dataframe(spark):
     rows = query_terms(spark, [(1, "cat to dog"), (2, "the the")], "english").collect()
     assert sorted((r.query_id, r.lexeme, r.offset) for r in rows) == [(1, "cat", 0), (1, "dog", 2)]
+
+
+def test_dictionary_normaliser(spark):
+    from quire.operators.analysis import normalize_with_dictionary
+    paras = spark.createDataFrame([(1, 0, "Running dogs ran", "english")],
+                                  "num long, para int, paragraph string, language string")
+    d = spark.createDataFrame([("english", "running", "run"), ("english", "ran", "run"), ("french", "dog", "x")],
+                              "language string, word string, lexeme string")
+    rows = normalize_with_dictionary(analyze(paras), d).orderBy("ti").collect()
+    assert [(r.ti, r.lexeme) for r in rows] == [(0, "run"), (1, "dog"), (2, "run")]
+
+
+def test_scale_settings():
+    from quire.session import scale_settings
+    conf = scale_settings(100 * 1024 ** 4, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 16000
+    assert conf["spark.sql.adaptive.enabled"] == "true"
