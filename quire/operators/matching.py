@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import TextConfig, lexemes_of
 from .analysis import BoundQuery
@@ -143,6 +144,53 @@ def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",),
     return hits.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
 
 
+def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFrame,
+                            on=("lexeme",), max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """Same result as ``phrase_match_postings``, anchored on each query's
+    rarest term (for many queries with common words, e.g. names).
+
+    1. ``freq`` (``on`` columns + ``n``: corpus frequency) ranks each query's
+       terms; the rarest is its anchor (a term absent from ``freq`` makes the
+       query unmatchable, and it is dropped here).
+    2. Candidate starts come from the anchor postings only.
+    3. Every term of the query is expected at ``start + offset``; expected
+       rows meet the postings in an exact equi-join on
+       ``on + (num, para, ti)``. The candidates are written to the shared
+       checkpoint folder and counted: the expected side is broadcast when
+       small, so the postings stream through without a shuffle; else the
+       join shuffles.
+    """
+    from ..session import scratch_path
+
+    on = list(on)
+    qkeys = ["query_id"] + [c for c in on if c != "lexeme"]
+    spark = postings.sparkSession
+    n = terms.groupBy(*qkeys).agg(F.countDistinct("offset").alias("n_terms"))
+    ranked = terms.join(freq.select(*on, "n"), on, "left")
+    w = Window.partitionBy(*qkeys).orderBy(F.col("n").asc_nulls_first(), "offset", "lexeme")
+    anchor = (ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
+              .where(F.col("n").isNotNull()).select(*qkeys, "lexeme", "offset"))
+    anchor = F.broadcast(anchor) if anchor.count() <= max_broadcast_rows else anchor
+    pos = explode_positions(postings)
+    cand = (pos.join(anchor, on)
+            .select(*qkeys, "num", "para", (F.col("ti") - F.col("offset")).alias("start"))
+            .distinct())
+    path = scratch_path(spark, "phrase-candidates")
+    cand.write.parquet(path)
+    cand = spark.read.parquet(path)
+    expected = (cand.join(terms.join(n, qkeys), qkeys)
+                .select(*qkeys, "num", "para", "start", "lexeme", "n_terms",
+                        (F.col("start") + F.col("offset")).alias("ti")))
+    if cand.count() * max(1, terms.agg(F.max("offset")).first()[0] + 1) <= max_broadcast_rows:
+        expected = F.broadcast(expected)
+    keys = on + ["num", "para", "ti"]
+    hits = (pos.select(*keys).join(expected, keys)
+            .groupBy(*qkeys, "num", "para", "start")
+            .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+            .where(F.col("found") == F.col("n_terms")))
+    return hits.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
+
+
 def all_words_match_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, num, para`` where every distinct term lexeme occurs."""
     n = terms.groupBy("query_id").agg(F.countDistinct("lexeme").alias("n_terms"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_list, tokens
-from .matching import phrase_match_postings, with_once
+from .matching import phrase_match_postings, phrase_match_rare_first, with_once
 
 # Author names the reference excludes from mention matching.
 EXCLUDED_NAMES = (
@@ -142,7 +142,8 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
 
 
 def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFrame,
-                           name_config: str | None = None, name_col: str = "name") -> DataFrame:
+                           name_config: str | None = None, name_col: str = "name",
+                           rare_first: bool = True) -> DataFrame:
     """Mention pairs over analysed paragraphs: each name is a phrase query.
 
     ``analyzed``: positional lexemes ``language, num, para, ti, lexeme`` (the
@@ -152,7 +153,9 @@ def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFra
     mode, where a name word that the paragraph analyser drops or stems can
     never match. One join of positional lexemes to the name terms on
     (language, lexeme), grouped by phrase start -- no pair per (name,
-    paragraph) is formed.
+    paragraph) is formed. With ``rare_first`` each name is anchored on its
+    rarest word, so a common word in many names never joins all of its
+    postings to all of those names.
     """
     from ..functions.text import LANGUAGE_CONFIGS
     from .analysis import query_terms
@@ -166,9 +169,14 @@ def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFra
     terms = parts[0]
     for t in parts[1:]:
         terms = terms.unionByName(t)
-    small = terms.count() <= BROADCAST_NAME_ROWS
-    hits = (phrase_match_postings(analyzed, terms, on=("language", "lexeme"), broadcast=small)
-            .select(F.col("query_id").alias("name"), "num").distinct())
+    if rare_first:
+        freq = analyzed.groupBy("language", "lexeme").agg(F.count("*").alias("n"))
+        matched = phrase_match_rare_first(analyzed, terms, freq, on=("language", "lexeme"),
+                                          max_broadcast_rows=BROADCAST_NAME_ROWS)
+    else:
+        small = terms.count() <= BROADCAST_NAME_ROWS
+        matched = phrase_match_postings(analyzed, terms, on=("language", "lexeme"), broadcast=small)
+    hits = matched.select(F.col("query_id").alias("name"), "num").distinct()
     by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
     return (hits.join(by, "num")
             .groupBy(F.col("name").alias("mentioned_author"), "mentioned_by")

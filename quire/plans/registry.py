@@ -24,6 +24,7 @@ from ..operators.analysis import analyze, bind_query, query_terms, tokenize
 from ..operators.headline import headline
 from ..operators.matching import all_words_match, phrase_match
 from ..operators.ranking import cover_density_rank
+from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import metadata as MD
 from ..sources.tables import books as books_view
@@ -344,7 +345,11 @@ FROM hits h JOIN books b ON h.num = b.num WHERE b.author IS NOT NULL
 GROUP BY h.name, b.author""")
 def q_mention_pairs_postings(spark, sf):
     bk = books_view(spark, sf)
-    return MN.mention_pairs_postings(_names(spark, sf), analyze(PG.book_paragraphs(bk)), bk)
+    # the lexemes are written once (as a stored index would be) and the
+    # matcher's passes read that table instead of re-analysing the text
+    path = scratch_path(spark, "lexemes")
+    analyze(PG.book_paragraphs(bk)).write.parquet(path)
+    return MN.mention_pairs_postings(_names(spark, sf), spark.read.parquet(path), bk)
 
 
 _EDGES_SQL = """edges AS (

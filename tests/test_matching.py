@@ -99,3 +99,16 @@ def test_postings_form_equals_scan_form(spark, small_paragraphs):
     aw_scan = {(r.num, r.para) for r in all_words_match(small_paragraphs, q).collect()}
     aw_post = {(r.num, r.para) for r in all_words_match_postings(post, term_table(spark, q)).collect()}
     assert aw_scan == aw_post
+
+
+def test_rare_first_equals_plain(spark, small_paragraphs):
+    from quire.operators.analysis import query_terms
+    from quire.operators.matching import phrase_match_rare_first
+    an = analyze(small_paragraphs)
+    qs = spark.createDataFrame([(1, "attion to thanedble"), (2, "x y x"), (3, "onre enat"), (4, "zzqq attion")],
+                               "query_id long, query string")
+    terms = query_terms(spark, qs, "english")
+    freq = an.groupBy("lexeme").agg(F.count("*").alias("n"))
+    plain = {tuple(r) for r in phrase_match_postings(an, terms).collect()}
+    rare = {tuple(r) for r in phrase_match_rare_first(an, terms, freq).collect()}
+    assert plain == rare and plain

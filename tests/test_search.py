@@ -92,3 +92,16 @@ def test_index_search_many_hits_path(spark, small_books, tmp_dir, monkeypatch):
     missing = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books,
                                     "attion zzqqxx", stats=idx["lexeme_stats"])
     assert missing.count() == 0
+
+
+def test_result_independent_of_partitioning(spark, small_books):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        out = []
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            res = S.phrase_search(spark, small_books.repartition(int(n)), PHRASE)
+            out.append(sorted(tuple(r) for r in res.collect()))
+        assert out[0] == out[1] and out[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
