@@ -217,3 +217,16 @@ def index_all_words_paragraphs(spark: SparkSession, postings: DataFrame, query:
     post = postings.where((F.col("language") == q.config.name)
                           & F.col("lexeme").isin(list(q.lexemes)))
     return all_words_match_postings(post, term_table(spark, q)).drop("query_id")
+
+
+def index_discovery_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
+                           books: DataFrame, query: str | BoundQuery, language: str = "english",
+                           seed: int = 42, n: int = DISCOVERY_ROWS,
+                           link_base: str = DEFAULT_LINK_BASE, mode: str = "full") -> DataFrame:
+    """``discovery_search`` from stored postings (all words, any order)."""
+    q = _as_query(spark, query, language)
+    hits = index_all_words_paragraphs(spark, postings, q, language)
+    paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
+    m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode).select("num", "h")
+    res = rollup_books(m, books, link_base, with_rank=False)
+    return res.withColumn("rand", seeded_random(F.col("num"), seed)).orderBy("rand", "num").limit(n)

@@ -105,3 +105,26 @@ def test_result_independent_of_partitioning(spark, small_books):
         assert out[0] == out[1] and out[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_index_discovery_equals_scan(spark, small_books, tmp_dir):
+    build_index(spark, small_books, tmp_dir + "/idx3")
+    idx = read_index(spark, tmp_dir + "/idx3")
+    scan = S.discovery_search(spark, small_books, "onre enat", seed=7)
+    via = S.index_discovery_search(spark, idx["postings"], idx["paragraphs"], small_books, "onre enat", seed=7)
+    assert [tuple(r) for r in scan.collect()] == [tuple(r) for r in via.collect()]
+
+
+def test_corpus_build(spark, tmp_dir):
+    from quire.operators import mentions as MN
+    from quire.operators.paragraphs import book_paragraphs
+    from quire.plans.corpus import build_corpus
+    from quire.sources.tables import read_table
+    bk = books(spark, SF_SMALL)
+    names = read_table(spark, SF_SMALL, "benchmark").select(F.col("text").alias("name")).distinct()
+    out = build_corpus(spark, bk, names, tmp_dir + "/corpus")
+    assert set(out) == {"books", "paragraphs", "postings", "lexeme_stats", "mentions"}
+    stored = sorted(tuple(r) for r in spark.read.parquet(out["mentions"]).collect())
+    direct = MN.mention_pairs(names, book_paragraphs(bk).where(F.col("language").isNotNull()), bk)
+    assert stored == sorted(tuple(r) for r in direct.collect())
+    assert spark.read.parquet(out["books"]).count() == bk.count()
