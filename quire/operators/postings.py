@@ -2,13 +2,13 @@
 
 ``postings``: one row per (language, lexeme, num, para) with the sorted
 positions and the term frequency -- the lexeme vector of a paragraph, grouped
-by lexeme. Written partitioned by ``language``; inside each language the rows
-are hashed over files by (lexeme, num) and every file is sorted by
-``lexeme``, so:
+by lexeme. Written as ``language=<cfg>/bucket=<hash(lexeme) % B>/`` with a
+few files per bucket (split by a hash of ``num``), each sorted by lexeme, so:
 
-- a search reads one language directory (partition pruning);
-- ``lexeme IN (...)`` skips row groups by their min/max statistics;
-- one very frequent lexeme is spread over many files by ``num``.
+- a search lists only its language's and lexemes' bucket directories
+  (partition pruning on constant-folded literals);
+- ``lexeme IN (...)`` then skips row groups by their min/max statistics;
+- one very frequent lexeme is spread over the files of its bucket by ``num``.
 
 ``lexeme_stats``: per (language, lexeme) the number of paragraphs containing
 it and the number of occurrences; small, used to order query terms.
@@ -26,9 +26,20 @@ from .analysis import analyze
 from .paragraphs import book_paragraphs
 
 
-def postings(analyzed: DataFrame) -> DataFrame:
+# Default layout: lexeme buckets per language (directory partitions) and
+# files per bucket (a hash of the book id spreads a frequent lexeme).
+LEXEME_BUCKETS = 64
+FILES_PER_BUCKET = 4
+
+
+def lexeme_bucket(lexeme, buckets: int):
+    """Bucket of a lexeme (column or literal): ``pmod(xxhash64(lexeme), buckets)``."""
+    return F.pmod(F.xxhash64(lexeme), F.lit(buckets))
+
+
+def postings(analyzed: DataFrame, extra_keys=()) -> DataFrame:
     """``language, lexeme, num, para, tf, positions`` from ``analyze`` rows."""
-    return (analyzed.groupBy("language", "lexeme", "num", "para")
+    return (analyzed.groupBy(*extra_keys, "language", "lexeme", "num", "para")
             .agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("ti")).alias("positions")))
 
 
@@ -38,32 +49,55 @@ def lexeme_stats(post: DataFrame) -> DataFrame:
 
 
 def build_index(spark: SparkSession, books: DataFrame, path: str,
-                files_per_language: int | None = None) -> dict[str, str]:
-    """Write ``paragraphs``, ``postings`` and ``lexeme_stats`` under ``path``.
+                buckets: int = LEXEME_BUCKETS, files_per_bucket: int = FILES_PER_BUCKET) -> dict[str, str]:
+    """Write ``paragraphs``, ``postings``, ``lexeme_stats`` and ``layout`` under ``path``.
 
     The paragraph table is written once and the postings are derived from the
     written table (not from the books again), so the split runs once and the
     lineage of the postings job starts at Parquet.
+
+    Postings layout: ``language=../bucket=../`` directories, ``bucket`` from
+    the lexeme's hash, so a query reads only its lexemes' buckets; inside a
+    bucket ``files_per_bucket`` files split by a hash of ``num`` (a frequent
+    lexeme is spread) and sorted by lexeme (row-group skipping). One shuffle:
+    the partitioning on (language, bucket, spread) clusters every grouping
+    key set that includes them, so the position lists need no second one.
     """
-    n = files_per_language or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats")}
+    out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats", "layout")}
     paras = book_paragraphs(books)
     write_table(paras, out["paragraphs"], partition_by=["language"])
     stored = spark.read.parquet(out["paragraphs"])
-    # one shuffle: hashing on (language, lexeme, num) already clusters every
-    # (language, lexeme, num, para) group, so the grouping that builds the
-    # position lists needs no exchange of its own; ``num`` in the key spreads
-    # a very frequent lexeme over many files. Each file is sorted by lexeme,
-    # which is what row-group skipping needs (no sampling pass over the text,
-    # as a range partitioning would run).
-    spread = analyze(stored).repartition(n, "language", "lexeme", "num")
-    write_table(postings(spread), out["postings"], partition_by=["language"],
+    keyed = (analyze(stored)
+             .withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+             .withColumn("spread", F.pmod(F.xxhash64("num"), F.lit(files_per_bucket))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keyed.repartition(n, "language", "bucket", "spread")
+    post = postings(keyed, extra_keys=("bucket", "spread")).drop("spread")
+    write_table(post, out["postings"], partition_by=["language", "bucket"],
                 sort_within=["lexeme", "num", "para"])
     stats = lexeme_stats(spark.read.parquet(out["postings"]))
     write_table(stats.coalesce(max(1, n // 4)), out["lexeme_stats"], partition_by=["language"])
+    spark.createDataFrame([(buckets, files_per_bucket)], "buckets int, files_per_bucket int") \
+        .coalesce(1).write.mode("overwrite").parquet(out["layout"])
     return out
 
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(os.path.join(path, k))
-            for k in ("paragraphs", "postings", "lexeme_stats")}
+def read_index(spark: SparkSession, path: str) -> dict:
+    """The index tables, plus ``buckets`` (the lexeme bucket count) from its layout."""
+    idx = {k: spark.read.parquet(os.path.join(path, k))
+           for k in ("paragraphs", "postings", "lexeme_stats")}
+    idx["buckets"] = spark.read.parquet(os.path.join(path, "layout")).first()["buckets"]
+    return idx
+
+
+def lexeme_filter(postings: DataFrame, language: str, lexemes, buckets: int | None = None):
+    """Filter on the analyser and the lexemes, with bucket pruning when known.
+
+    ``bucket IN (pmod(xxhash64('w'), B), ...)`` is constant-folded, so the scan
+    lists only those bucket directories.
+    """
+    lexemes = list(lexemes)
+    cond = (F.col("language") == language) & F.col("lexeme").isin(lexemes)
+    if buckets and "bucket" in postings.columns:
+        cond = cond & F.col("bucket").isin([lexeme_bucket(F.lit(lx), buckets) for lx in lexemes])
+    return cond

@@ -26,6 +26,7 @@ from ..operators.matching import (all_words_match, all_words_match_postings,
                                   phrase_match, phrase_match_postings,
                                   term_table)
 from ..operators.paragraphs import book_paragraphs
+from ..operators.postings import lexeme_filter
 from ..operators.ranking import cover_density_rank
 
 # Fixed values of the result format.
@@ -158,7 +159,8 @@ def seeded_random(num: Column, seed: int) -> Column:
 
 def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                          query: str | BoundQuery, language: str = "english",
-                         mode: str = "full", stats: DataFrame | None = None) -> DataFrame:
+                         mode: str = "full", stats: DataFrame | None = None,
+                         buckets: int | None = None) -> DataFrame:
     """Same rows as ``phrase_matches``, from stored postings.
 
     The language is a partition column and the query lexemes are literals, so
@@ -174,7 +176,7 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
     if not q.terms:
         return spark.createDataFrame([], empty)
     lang = F.col("language") == q.config.name
-    post = postings.where(lang & F.col("lexeme").isin(list(q.lexemes)))
+    post = postings.where(lexeme_filter(postings, q.config.name, q.lexemes, buckets))
     if stats is not None:
         freq = {r["lexeme"]: r["paragraphs"] for r in stats.where(lang & F.col("lexeme").isin(list(q.lexemes)))
                 .select("lexeme", "paragraphs").collect()}
@@ -182,7 +184,7 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
             return spark.createDataFrame([], empty)
         if len(q.lexemes) > 1:
             rare = min(q.lexemes, key=lambda lx: (freq[lx], lx))
-            cand = postings.where(lang & (F.col("lexeme") == rare)).select("num", "para")
+            cand = postings.where(lexeme_filter(postings, q.config.name, [rare], buckets)).select("num", "para")
             post = post.join(cand, ["num", "para"], "left_semi")
     hits = phrase_match_postings(post, term_table(spark, q)).drop("query_id")
     paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
@@ -204,28 +206,28 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
 def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                         books: DataFrame, query: str | BoundQuery, language: str = "english",
                         link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
-                        stats: DataFrame | None = None) -> DataFrame:
-    m = index_phrase_matches(spark, postings, paragraphs, query, language, mode, stats)
+                        stats: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    m = index_phrase_matches(spark, postings, paragraphs, query, language, mode, stats, buckets)
     return rollup_books(m, books, link_base, with_rank=True)
 
 
 def index_all_words_paragraphs(spark: SparkSession, postings: DataFrame, query: str | BoundQuery,
-                               language: str = "english") -> DataFrame:
+                               language: str = "english", buckets: int | None = None) -> DataFrame:
     q = _as_query(spark, query, language)
     if not q.terms:
         return spark.createDataFrame([], "num long, para int")
-    post = postings.where((F.col("language") == q.config.name)
-                          & F.col("lexeme").isin(list(q.lexemes)))
+    post = postings.where(lexeme_filter(postings, q.config.name, q.lexemes, buckets))
     return all_words_match_postings(post, term_table(spark, q)).drop("query_id")
 
 
 def index_discovery_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                            books: DataFrame, query: str | BoundQuery, language: str = "english",
                            seed: int = 42, n: int = DISCOVERY_ROWS,
-                           link_base: str = DEFAULT_LINK_BASE, mode: str = "full") -> DataFrame:
+                           link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
+                           buckets: int | None = None) -> DataFrame:
     """``discovery_search`` from stored postings (all words, any order)."""
     q = _as_query(spark, query, language)
-    hits = index_all_words_paragraphs(spark, postings, q, language)
+    hits = index_all_words_paragraphs(spark, postings, q, language, buckets)
     paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
     m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode).select("num", "h")
     res = rollup_books(m, books, link_base, with_rank=False)

@@ -63,15 +63,21 @@ def test_index_search_equals_scan_search(spark, small_books, tmp_dir):
     idx_paths = build_index(spark, small_books, tmp_dir + "/idx")
     idx = read_index(spark, tmp_dir + "/idx")
     scan = S.phrase_search(spark, small_books, PHRASE)
-    via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE)
+    via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
+                                      stats=idx["lexeme_stats"], buckets=idx["buckets"])
     cols = ["num", "relevant_paragraphs", "rank"]
     assert sorted(scan.select(cols).collect()) == sorted(via_index.select(cols).collect())
-    # the postings scan reads one language directory and pushes the lexeme filter
-    post = idx["postings"].where((F.col("language") == "english") & F.col("lexeme").isin("attion", "thanedble"))
+    # the postings scan lists only the lexemes' bucket directories of one
+    # language and pushes the lexeme filter into the Parquet reader
+    from quire.operators.postings import lexeme_filter
+    post = idx["postings"].where(lexeme_filter(idx["postings"], "english", ["attion", "thanedble"], idx["buckets"]))
     plan = post._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(language" in plan and "(language" in plan
+    import re
+    parts = re.findall(r"PartitionFilters: \[[^\]]*\]", plan)[0]
+    assert "(language" in parts and "= english)" in parts
+    assert re.search(r"bucket#\d+ IN \(\d+,\d+\)", parts)  # folded to literals: directory pruning
     assert "PushedFilters: [In(lexeme, [attion,thanedble])]" in plan
-    assert set(idx_paths) == {"paragraphs", "postings", "lexeme_stats"}
+    assert set(idx_paths) == {"paragraphs", "postings", "lexeme_stats", "layout"}
 
 
 def test_search_plan_has_no_cartesian(spark, small_books):
@@ -87,7 +93,7 @@ def test_index_search_many_hits_path(spark, small_books, tmp_dir, monkeypatch):
     cols = ["num", "relevant_paragraphs", "rank"]
     for stats in (None, idx["lexeme_stats"]):  # plain, and rarest lexeme first
         via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
-                                          stats=stats)
+                                          stats=stats, buckets=idx["buckets"])
         assert sorted(scan.select(cols).collect()) == sorted(via_index.select(cols).collect())
     missing = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books,
                                     "attion zzqqxx", stats=idx["lexeme_stats"])
@@ -111,7 +117,8 @@ def test_index_discovery_equals_scan(spark, small_books, tmp_dir):
     build_index(spark, small_books, tmp_dir + "/idx3")
     idx = read_index(spark, tmp_dir + "/idx3")
     scan = S.discovery_search(spark, small_books, "onre enat", seed=7)
-    via = S.index_discovery_search(spark, idx["postings"], idx["paragraphs"], small_books, "onre enat", seed=7)
+    via = S.index_discovery_search(spark, idx["postings"], idx["paragraphs"], small_books, "onre enat", seed=7,
+                                   buckets=idx["buckets"])
     assert [tuple(r) for r in scan.collect()] == [tuple(r) for r in via.collect()]
 
 
@@ -123,7 +130,7 @@ def test_corpus_build(spark, tmp_dir):
     bk = books(spark, SF_SMALL)
     names = read_table(spark, SF_SMALL, "benchmark").select(F.col("text").alias("name")).distinct()
     out = build_corpus(spark, bk, names, tmp_dir + "/corpus")
-    assert set(out) == {"books", "paragraphs", "postings", "lexeme_stats", "mentions"}
+    assert set(out) == {"books", "paragraphs", "postings", "lexeme_stats", "layout", "mentions"}
     stored = sorted(tuple(r) for r in spark.read.parquet(out["mentions"]).collect())
     direct = MN.mention_pairs(names, book_paragraphs(bk).where(F.col("language").isNotNull()), bk)
     assert stored == sorted(tuple(r) for r in direct.collect())
