@@ -26,10 +26,17 @@ from .analysis import analyze
 from .paragraphs import book_paragraphs
 
 
-# Default layout: lexeme buckets per language (directory partitions) and
-# files per bucket (a hash of the book id spreads a frequent lexeme).
-LEXEME_BUCKETS = 64
-FILES_PER_BUCKET = 4
+# Layout bounds: lexeme buckets per language (directory partitions); files
+# per bucket follow from the shuffle partition count (a hash of the book id
+# spreads a frequent lexeme over them).
+MAX_BUCKETS = 4096
+FILES_PER_BUCKET_TARGET = 8
+
+
+def default_layout(shuffle_partitions: int) -> tuple[int, int]:
+    """``(buckets, files_per_bucket)`` for about ``shuffle_partitions`` files per language."""
+    buckets = max(1, min(MAX_BUCKETS, shuffle_partitions // FILES_PER_BUCKET_TARGET))
+    return buckets, max(1, shuffle_partitions // buckets)
 
 
 def lexeme_bucket(lexeme, buckets: int):
@@ -49,7 +56,7 @@ def lexeme_stats(post: DataFrame) -> DataFrame:
 
 
 def build_index(spark: SparkSession, books: DataFrame, path: str,
-                buckets: int = LEXEME_BUCKETS, files_per_bucket: int = FILES_PER_BUCKET) -> dict[str, str]:
+                buckets: int | None = None, files_per_bucket: int | None = None) -> dict[str, str]:
     """Write ``paragraphs``, ``postings``, ``lexeme_stats`` and ``layout`` under ``path``.
 
     The paragraph table is written once and the postings are derived from the
@@ -64,13 +71,15 @@ def build_index(spark: SparkSession, books: DataFrame, path: str,
     key set that includes them, so the position lists need no second one.
     """
     out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats", "layout")}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    b0, f0 = default_layout(n)
+    buckets, files_per_bucket = buckets or b0, files_per_bucket or f0
     paras = book_paragraphs(books)
     write_table(paras, out["paragraphs"], partition_by=["language"])
     stored = spark.read.parquet(out["paragraphs"])
     keyed = (analyze(stored)
              .withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
              .withColumn("spread", F.pmod(F.xxhash64("num"), F.lit(files_per_bucket))))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = keyed.repartition(n, "language", "bucket", "spread")
     post = postings(keyed, extra_keys=("bucket", "spread")).drop("spread")
     write_table(post, out["postings"], partition_by=["language", "bucket"],

@@ -60,7 +60,7 @@ def test_stopword_search_is_empty(spark, small_books):
 
 
 def test_index_search_equals_scan_search(spark, small_books, tmp_dir):
-    idx_paths = build_index(spark, small_books, tmp_dir + "/idx")
+    idx_paths = build_index(spark, small_books, tmp_dir + "/idx", buckets=64, files_per_bucket=1)
     idx = read_index(spark, tmp_dir + "/idx")
     scan = S.phrase_search(spark, small_books, PHRASE)
     via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
