@@ -14,7 +14,7 @@ empty result instead of an error.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -38,7 +38,9 @@ def bfs(spark: SparkSession, adj: DataFrame, start: DataFrame,
     The adjacency and every hop's new frontier are written as Parquet under
     the shared checkpoint folder (``hops/hop=N``): each hop is computed once,
     its lineage starts at the written tables, and the set of reached nodes
-    is simply the partitioned table of all hops so far.
+    is simply the partitioned table of all hops so far. The stop conditions
+    (empty frontier, target reached) are observed metrics of the hop's own
+    write, so each hop is one job.
     """
     base = scratch_path(spark, "bfs")
     adj.write.parquet(f"{base}/adj")
@@ -46,27 +48,31 @@ def bfs(spark: SparkSession, adj: DataFrame, start: DataFrame,
     hops = f"{base}/hops"
     nodes = adj.select(F.col("src").alias("node")).distinct()
     first = start.join(nodes, "node", "left_semi").select("node", F.array("node").alias("path"))
-    first.write.parquet(f"{hops}/hop=0")
+    rows, found = _write_hop(first, f"{hops}/hop=0", target, "hop0")
     hop = 0
-    while True:
+    while rows > 0 and not found and (max_hops is None or hop < max_hops):
         frontier = spark.read.parquet(f"{hops}/hop={hop}")
-        if frontier.isEmpty():
-            break
-        if target is not None and not frontier.where(F.col("node") == target).isEmpty():
-            break
-        if max_hops is not None and hop >= max_hops:
-            break
         reached = spark.read.parquet(hops).select("node")
         step = (frontier.join(adj, frontier["node"] == adj["src"])
                 .select(adj["dst"].alias("node"), F.concat("path", F.array(adj["dst"])).alias("path"))
                 .join(reached, "node", "left_anti")
                 .groupBy("node").agg(F.min("path").alias("path")))
         hop += 1
-        step.write.parquet(f"{hops}/hop={hop}")
+        rows, found = _write_hop(step, f"{hops}/hop={hop}", target, f"hop{hop}")
     reached = spark.read.parquet(hops)
     return reached.select("node", (F.size("path") - 1).alias("hops"), "path")
 
 
+def _write_hop(df: DataFrame, path: str, target: str | None, name: str) -> tuple[int, bool]:
+    """Write one hop; its row count and whether it holds ``target`` are
+    observed as metrics of the same job (no second pass over the hop)."""
+    hit = F.max(F.when(F.col("node") == F.lit(target), 1).otherwise(0)) if target is not None else F.lit(0)
+    obs = Observation(name)
+    df.observe(obs, F.count(F.lit(1)).alias("rows"), hit.alias("hit")).write.parquet(path)
+    m = obs.get
+    return int(m["rows"]), bool(m["hit"])
+
+
 def shortest_path(spark: SparkSession, edges: DataFrame, source: str, target: str) -> DataFrame:
     """The path from ``source`` to ``target`` as rows ``step, node`` (empty if none)."""
     start = spark.createDataFrame([(source,)], "node string")
