@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import (TextConfig, config, lexeme, lexeme_by_language,
+from ..functions.text import (TextConfig, config, lexeme_by_language,
                               lexemes_of, tokens)
 
 

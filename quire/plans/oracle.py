@@ -9,9 +9,9 @@ start position), while the Spark side often uses a different physical form
 
 from __future__ import annotations
 
-from ..functions.text import (LANGUAGE_CONFIGS, PIECE_PATTERN, WORD_PATTERN,
-                              TextConfig, config, sql_language_config,
-                              sql_lexeme, sql_lexeme_by_language, sql_str)
+from ..functions.text import (PIECE_PATTERN, WORD_PATTERN, TextConfig, config,
+                              sql_language_config, sql_lexeme,
+                              sql_lexeme_by_language, sql_str)
 from ..sources.tables import LANGUAGE_NAMES, NO_AUTHOR_SOURCE
 
 NL = "chr(10)"
@@ -129,6 +129,6 @@ def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-__all__ = ["BOOKS", "PARAGRAPHS", "LANGUAGE_CONFIGS", "tokens_cte", "lexemes_cte",
+__all__ = ["BOOKS", "PARAGRAPHS", "tokens_cte", "lexemes_cte",
            "query_ctes", "mark_sql", "rollup_sql", "phrase_matches_sql",
            "all_words_sql", "with_ctes"]

@@ -12,8 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (PIECE_PATTERN, WORD_PATTERN, sql_language_config,
-                              sql_lexeme, sql_str, tokens)
+from ..functions.text import WORD_PATTERN, sql_language_config, sql_lexeme, sql_str
 from ..operators import graph as G
 from ..operators import mentions as MN
 from ..operators import paragraphs as PG
@@ -200,9 +199,6 @@ def q_lexeme_stats(spark, sf):
 
 # ------------------------------------------------- step 5: languages and statistics
 
-_CFG = sql_language_config("language")
-
-
 @register("supported_languages", _cte() + f"""SELECT DISTINCT language FROM books
 WHERE lower(language) IN ('english', 'french', 'german')""")
 def q_supported_languages(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import LANGUAGE_CONFIGS, TextConfig, config
+from ..functions.text import LANGUAGE_CONFIGS, config
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
@@ -91,4 +91,4 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 __all__ = ["TABLES", "read_table", "books", "books_from_documents", "configs",
            "stopword_table", "METADATA_FIELDS", "METADATA_SCHEMA",
-           "CONTENT_SCHEMA", "QUERY_LOG_SCHEMA", "empty_table", "TextConfig"]
+           "CONTENT_SCHEMA", "QUERY_LOG_SCHEMA", "empty_table"]
