@@ -44,16 +44,28 @@ def simple_tokens(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.lower(t))
 
 
+def distinct_count(df: DataFrame, keys, counted: str, alias: str) -> DataFrame:
+    """``count(DISTINCT counted)`` per ``keys``, skew-safe.
+
+    De-duplicating on (keys, counted) shuffles on both, so one key holding a
+    third of all rows is spread over many tasks; the per-key count is then a
+    partial (map-side) aggregate. A plain distinct aggregate would send all
+    distinct values of a hot key to one task.
+    """
+    keys = list(keys)
+    return (df.select(*keys, counted).distinct()
+            .groupBy(*keys).agg(F.count("*").alias(alias)))
+
+
 def mention_candidates(books: DataFrame, excluded=EXCLUDED_NAMES) -> DataFrame:
     """``author, books``: authors to look for, with their number of books."""
-    return (books.where(F.col("author").isNotNull() & ~F.col("author").isin(list(excluded)))
-            .groupBy("author").agg(F.countDistinct("num").alias("books")))
+    named = books.where(F.col("author").isNotNull() & ~F.col("author").isin(list(excluded)))
+    return distinct_count(named, ["author"], "num", "books")
 
 
 def author_book_counts(books: DataFrame) -> DataFrame:
     """``author, books``: distinct books per (non-NULL) author."""
-    return (books.where(F.col("author").isNotNull())
-            .groupBy("author").agg(F.countDistinct("num").alias("books")))
+    return distinct_count(books.where(F.col("author").isNotNull()), ["author"], "num", "books")
 
 
 def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -135,10 +147,14 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
     whole = (F.col("window") == F.col("gram")) | F.col("window").startswith(F.concat(F.col("gram"), F.lit(" ")))
     hits = (keyed.join(keys, on=["m", "key"]).where(whole)
             .select("name", "num").distinct())
+    return _pairs_by_author(hits, books)
+
+
+def _pairs_by_author(hits: DataFrame, books: DataFrame) -> DataFrame:
+    """(name, num) hits -> ``mentioned_author, mentioned_by, books_mentioned_in``."""
     by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
-    return (hits.join(by, "num")
-            .groupBy(F.col("name").alias("mentioned_author"), "mentioned_by")
-            .agg(F.countDistinct("num").alias("books_mentioned_in")))
+    pairs = hits.join(by, "num").select(F.col("name").alias("mentioned_author"), "mentioned_by", "num")
+    return distinct_count(pairs, ["mentioned_author", "mentioned_by"], "num", "books_mentioned_in")
 
 
 def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFrame,
@@ -177,10 +193,7 @@ def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFra
         small = terms.count() <= BROADCAST_NAME_ROWS
         matched = phrase_match_postings(analyzed, terms, on=("language", "lexeme"), broadcast=small)
     hits = matched.select(F.col("query_id").alias("name"), "num").distinct()
-    by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
-    return (hits.join(by, "num")
-            .groupBy(F.col("name").alias("mentioned_author"), "mentioned_by")
-            .agg(F.countDistinct("num").alias("books_mentioned_in")))
+    return _pairs_by_author(hits, books)
 
 
 def mention_edges(pairs: DataFrame) -> DataFrame:
