@@ -54,7 +54,7 @@ def excerpt_bound(limit: int = EXCERPT_LIMIT, sep: str = EXCERPT_SEPARATOR) -> i
 
 
 def rollup_books(matched: DataFrame, books: DataFrame, link_base: str = DEFAULT_LINK_BASE,
-                 with_rank: bool = True, salt: int = EXCERPT_SALT) -> DataFrame:
+                 with_rank: bool = True, salt: int = EXCERPT_SALT, few_rows: bool = False) -> DataFrame:
     """Per book: ``author, title, num, relevant_paragraphs[, rank]``.
 
     ``matched`` has one row per matched paragraph: ``num, h`` (its excerpt)
@@ -72,6 +72,16 @@ def rollup_books(matched: DataFrame, books: DataFrame, link_base: str = DEFAULT_
     n = excerpt_bound()
     m = matched.withColumn("h", F.substring("h", 1, EXCERPT_LIMIT))
     rank = F.col("rank") if with_rank else F.lit(0.0)
+    if few_rows:
+        # the caller knows the input is small (bounded): one exchange on num
+        # serves both aggregates, no salting needed
+        per_book = (m.repartition("num").groupBy("num", "h")
+                    .agg(F.sum(rank).alias("rs"), F.count("*").alias("rc"))
+                    .groupBy("num")
+                    .agg(F.array_join(F.slice(F.array_sort(F.collect_list("h")), 1, n),
+                                      EXCERPT_SEPARATOR).alias("agg"),
+                         (F.sum("rs") / F.sum("rc")).alias("avg_rank")))
+        return _book_rows(per_book, books, link_base, with_rank)
     # partitioned once by (num, bucket): the (num, bucket, h) aggregate and
     # the bucket window both reuse that exchange
     by_h = (m.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(salt)))
@@ -92,6 +102,10 @@ def rollup_books(matched: DataFrame, books: DataFrame, link_base: str = DEFAULT_
                 .agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("r2") <= n, F.col("h")))),
                                   EXCERPT_SEPARATOR).alias("agg"),
                      (F.sum("brs") / F.sum("brc")).alias("avg_rank")))
+    return _book_rows(per_book, books, link_base, with_rank)
+
+
+def _book_rows(per_book: DataFrame, books: DataFrame, link_base: str, with_rank: bool) -> DataFrame:
     text = F.concat(F.lit(EXCERPT_PREFIX), F.substring("agg", 1, EXCERPT_LIMIT),
                     F.lit(EXCERPT_SUFFIX))
     meta = books.select("num", "author", "title")
@@ -161,7 +175,15 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
                          query: str | BoundQuery, language: str = "english",
                          mode: str = "full", stats: DataFrame | None = None,
                          buckets: int | None = None) -> DataFrame:
-    """Same rows as ``phrase_matches``, from stored postings.
+    """Same rows as ``phrase_matches``, from stored postings (see ``_index_matches``)."""
+    return _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets)[0]
+
+
+def _index_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
+                   query: str | BoundQuery, language: str, mode: str,
+                   stats: DataFrame | None, buckets: int | None) -> tuple[DataFrame, bool]:
+    """``(matches, bounded)``: matched paragraphs from stored postings, and
+    whether their number is known to be at most ``HIT_LITERALS``.
 
     The language is a partition column and the query lexemes are literals, so
     both reach the Parquet scan (partition pruning + row-group skipping on
@@ -174,14 +196,14 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
     q = _as_query(spark, query, language)
     empty = "num long, para int, n_matches long, rank double, h string"
     if not q.terms:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], empty), True
     lang = F.col("language") == q.config.name
     post = postings.where(lexeme_filter(postings, q.config.name, q.lexemes, buckets))
     if stats is not None:
         freq = {r["lexeme"]: r["paragraphs"] for r in stats.where(lang & F.col("lexeme").isin(list(q.lexemes)))
                 .select("lexeme", "paragraphs").collect()}
         if len(freq) < len(q.lexemes):
-            return spark.createDataFrame([], empty)
+            return spark.createDataFrame([], empty), True
         if len(q.lexemes) > 1:
             rare = min(q.lexemes, key=lambda lx: (freq[lx], lx))
             cand = postings.where(lexeme_filter(postings, q.config.name, [rare], buckets)).select("num", "para")
@@ -194,21 +216,22 @@ def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: D
     few = hits.limit(HIT_LITERALS + 1).collect()
     if len(few) <= HIT_LITERALS:
         if not few:
-            return spark.createDataFrame([], "num long, para int, n_matches long, rank double, h string")
+            return spark.createDataFrame([], empty), True
         nums = ", ".join(str(n) for n in sorted({r["num"] for r in few}))
         hits = F.broadcast(spark.createDataFrame(few, "num long, para int, n_matches long"))
         paras = paras.where(F.expr(f"num IN ({nums})"))
     m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode)
-    return m.select("num", "para", "n_matches",
-                    cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
+    out = m.select("num", "para", "n_matches",
+                   cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
+    return out, len(few) <= HIT_LITERALS
 
 
 def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                         books: DataFrame, query: str | BoundQuery, language: str = "english",
                         link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
                         stats: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    m = index_phrase_matches(spark, postings, paragraphs, query, language, mode, stats, buckets)
-    return rollup_books(m, books, link_base, with_rank=True)
+    m, bounded = _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets)
+    return rollup_books(m, books, link_base, with_rank=True, few_rows=bounded)
 
 
 def index_all_words_paragraphs(spark: SparkSession, postings: DataFrame, query: str | BoundQuery,

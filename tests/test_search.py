@@ -135,3 +135,12 @@ def test_corpus_build(spark, tmp_dir):
     direct = MN.mention_pairs(names, book_paragraphs(bk).where(F.col("language").isNotNull()), bk)
     assert stored == sorted(tuple(r) for r in direct.collect())
     assert spark.read.parquet(out["books"]).count() == bk.count()
+
+
+def test_rollup_small_path_matches_salted(spark):
+    rows = [(7, f"h{i:05d}" * 3, 0.5) for i in range(1500)] + [(8, "b", 1.0), (8, "a", 0.0), (8, "a", 0.5)]
+    m = spark.createDataFrame(rows, "num long, h string, rank double")
+    bk = spark.createDataFrame([(7, "a", "t"), (8, None, "u")], "num long, author string, title string")
+    a = sorted(repr(tuple(r)) for r in S.rollup_books(m, bk, salt=8).collect())
+    b = sorted(repr(tuple(r)) for r in S.rollup_books(m, bk, few_rows=True).collect())
+    assert a == b
