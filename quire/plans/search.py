@@ -126,20 +126,24 @@ def _as_query(spark: SparkSession, query: str | BoundQuery, language: str) -> Bo
 
 def phrase_matches(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
                    language: str = "english", paragraphs: DataFrame | None = None,
-                   mode: str = "full") -> DataFrame:
-    """``num, para, n_matches, rank, h`` for every matching paragraph."""
+                   mode: str = "full", only_matches: bool = False) -> DataFrame:
+    """``num, para, n_matches, rank, h`` for every matching paragraph.
+
+    ``mode`` / ``only_matches``: see ``operators.headline.with_headline``.
+    """
     q = _as_query(spark, query, language)
     paras = paragraphs if paragraphs is not None else _language_paragraphs(books, q.config.name)
-    m = with_headline(phrase_match(paras, q), "paragraph", q, mode)
+    m = with_headline(phrase_match(paras, q), "paragraph", q, mode, only_matches=only_matches)
     return m.select("num", "para", "n_matches",
                     cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
 
 
 def phrase_search(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
                   language: str = "english", link_base: str = DEFAULT_LINK_BASE,
-                  paragraphs: DataFrame | None = None, mode: str = "full") -> DataFrame:
+                  paragraphs: DataFrame | None = None, mode: str = "full",
+                  only_matches: bool = False) -> DataFrame:
     """All matching books (unordered): author, title, num, relevant_paragraphs, rank."""
-    m = phrase_matches(spark, books, query, language, paragraphs, mode)
+    m = phrase_matches(spark, books, query, language, paragraphs, mode, only_matches)
     return rollup_books(m, books, link_base, with_rank=True)
 
 

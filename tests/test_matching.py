@@ -112,3 +112,18 @@ def test_rare_first_equals_plain(spark, small_paragraphs):
     plain = {tuple(r) for r in phrase_match_postings(an, terms).collect()}
     rare = {tuple(r) for r in phrase_match_rare_first(an, terms, freq).collect()}
     assert plain == rare and plain
+
+
+def test_headline_fragment_limit_and_only_matches(spark):
+    q = bind_query(spark, "needle", "english")
+    two = spark.createDataFrame([("a b needle c d e f g h i j k l needle m",)], "paragraph string")
+    h1 = with_headline(two, "paragraph", q, mode="fragments", words=4, max_fragments=1).first().h
+    assert h1 == "a b **needle** c d"
+    qp = bind_query(spark, "cat to dog", "english")
+    df = spark.createDataFrame([("dog cat the dog, cat dog",)], "paragraph string")
+    all_marked = with_headline(df, "paragraph", qp).first().h
+    only = with_headline(df, "paragraph", qp, only_matches=True).first().h
+    assert all_marked == "**dog** **cat** the **dog**, **cat** **dog**"
+    assert only == "dog **cat** the **dog**, cat dog"
+    lead = spark.createDataFrame([(", cat a dog",)], "paragraph string")
+    assert with_headline(lead, "paragraph", qp, only_matches=True).first().h == ", **cat** a **dog**"
