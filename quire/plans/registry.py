@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD_PATTERN, sql_language_config, sql_lexeme, sql_str
+from ..functions.text import PIECE_PATTERN, WORD_PATTERN, sql_language_config, sql_lexeme, sql_str
 from ..operators import graph as G
 from ..operators import mentions as MN
 from ..operators import paragraphs as PG
@@ -20,7 +20,7 @@ from ..operators import postings as PO
 from ..operators import quality as QA
 from ..operators import stats as ST
 from ..operators.analysis import analyze, bind_query, query_terms, tokenize
-from ..operators.headline import headline
+from ..operators.headline import headline, with_headline
 from ..operators.matching import all_words_match, phrase_match
 from ..operators.ranking import cover_density_rank
 from ..session import scratch_path
@@ -159,6 +159,25 @@ def q_headline(spark, sf):
     return phrase_match(paras, q).select("num", "para", headline("paragraph", q).alias("h"))
 
 
+_WORD_START = sql_str(r"^[\p{L}\p{N}]")
+
+
+@register("headline_matches", _cte(O.phrase_matches_sql(PHRASE, LANGUAGE), f"""mpos AS (
+  SELECT s.num, s.para, list(DISTINCT s.st + t.off) AS mp FROM starts s, qterms t GROUP BY s.num, s.para),
+pcs AS (
+  SELECT mpos.num, mpos.para, mpos.mp, regexp_extract_all(lp.paragraph, {sql_str(PIECE_PATTERN)}) AS ps
+  FROM mpos JOIN lp ON mpos.num = lp.num AND mpos.para = lp.para)""") + f"""SELECT num, para,
+  array_to_string(list_transform(ps, lambda x, i:
+    CASE WHEN regexp_matches(x, {_WORD_START})
+          AND list_contains(mp, (i - 1 - CASE WHEN regexp_matches(ps[1], {_WORD_START}) THEN 0 ELSE 1 END) // 2)
+         THEN '**' || x || '**' ELSE x END), '') AS h
+FROM pcs""")
+def q_headline_matches(spark, sf):
+    q = bind_query(spark, PHRASE, LANGUAGE)
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    return with_headline(phrase_match(paras, q), "paragraph", q, only_matches=True).select("num", "para", "h")
+
+
 # ------------------------------------------------------ step 3: all words, stopwords
 
 @register("all_words_match", _cte(O.all_words_sql(ALL_WORDS, LANGUAGE)) + "SELECT num, para FROM aw")
