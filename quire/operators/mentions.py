@@ -159,11 +159,13 @@ def _pairs_by_author(hits: DataFrame, books: DataFrame) -> DataFrame:
 
 def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFrame,
                            name_config: str | None = None, name_col: str = "name",
-                           rare_first: bool = True) -> DataFrame:
+                           rare_first: bool = True, freq: DataFrame | None = None) -> DataFrame:
     """Mention pairs over analysed paragraphs: each name is a phrase query.
 
     ``analyzed``: positional lexemes ``language, num, para, ti, lexeme`` (the
-    paragraphs' own analysers). ``name_config=None`` analyses each name with
+    paragraphs' own analysers) or the stored postings (``positions`` arrays);
+    ``freq`` (``language, lexeme, n``), e.g. from ``lexeme_stats``, saves the
+    frequency pass. ``name_config=None`` analyses each name with
     the analyser of the paragraphs it is matched against (stopwords leave
     gaps, as in the text); ``name_config='simple'`` is the reference's mixed
     mode, where a name word that the paragraph analyser drops or stems can
@@ -186,7 +188,8 @@ def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFra
     for t in parts[1:]:
         terms = terms.unionByName(t)
     if rare_first:
-        freq = analyzed.groupBy("language", "lexeme").agg(F.count("*").alias("n"))
+        if freq is None:
+            freq = analyzed.groupBy("language", "lexeme").agg(F.count("*").alias("n"))
         matched = phrase_match_rare_first(analyzed, terms, freq, on=("language", "lexeme"),
                                           max_broadcast_rows=BROADCAST_NAME_ROWS)
     else:
