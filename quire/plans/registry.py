@@ -516,6 +516,16 @@ def q_longest_paragraphs(spark, sf):
     return PG.longest_paragraphs(PG.split_paragraphs(bk), bk, 30)
 
 
+# ---------------------------------------------------------------- query log
+
+@register("query_log_stats", """SELECT event_type AS tab, 'english' AS language,
+  json_extract_string(props, '$.k') AS query, count(*) AS searches, min(ts) AS "first", max(ts) AS "last"
+FROM events GROUP BY event_type, json_extract_string(props, '$.k')""")
+def q_query_log_stats(spark, sf):
+    from ..streaming.querylog import events_as_log, log_stats
+    return log_stats(events_as_log(read_table(spark, sf, "events")))
+
+
 # ------------------------------------------------------- step 8: quality and tools
 
 @register("check_unique", _cte() + """SELECT 'books.num' AS "check", count(*) AS rows,

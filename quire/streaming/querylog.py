@@ -49,6 +49,20 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERY_LOG_SCHEMA).parquet(path)
 
 
+def events_as_log(events: DataFrame, language: str = "english") -> DataFrame:
+    """The driver's ``events`` table seen as a search log (test binding).
+
+    ``event_type`` plays the tab, ``ts`` the time (kept as stored, so no
+    session time zone applies), the ``k`` field of the JSON ``props`` the
+    query text; limit and start are the search defaults (10, 1).
+    """
+    return events.select(F.col("event_type").alias("tab"), F.col("ts").alias("time"),
+                         F.lit(language).alias("language"),
+                         F.get_json_object("props", "$.k").alias("query"),
+                         F.lit(10).alias("rows_returned_aka_limit"),
+                         F.lit(1).alias("start_row_aka_offset"))
+
+
 def log_stats(log: DataFrame) -> DataFrame:
     """Searches per tab, language and query, with first and last time."""
     return (log.groupBy("tab", "language", "query")

@@ -82,3 +82,14 @@ def test_streaming_ingest(spark, tmp_dir):
     got = sorted((r.num, r.para, r.paragraph, r.language) for r in rows)
     assert got == [(1, 0, "One", "english"), (1, 1, "Two.", "english"),
                    (2, 0, "Drei", "german"), (2, 1, "Vier", "german")]
+
+
+def test_compact_log_and_empty_table(spark, tmp_dir):
+    from quire.sources.tables import QUERY_LOG_SCHEMA, empty_table
+    p, out = os.path.join(tmp_dir, "log"), os.path.join(tmp_dir, "log2")
+    for i in range(3):
+        QL.log_search(spark, p, "english", f"q{i}", 10, 1)
+    QL.compact_log(spark, p, out)
+    assert sorted(r.query for r in QL.read_log(spark, out).collect()) == ["q0", "q1", "q2"]
+    e = empty_table(spark, QUERY_LOG_SCHEMA)
+    assert e.count() == 0 and e.schema == QUERY_LOG_SCHEMA
