@@ -85,7 +85,6 @@ RESPLIT_LIMIT = 10000
 RESPLIT_DELIMITER = "\n"
 HIST_WIDTH = 0.25
 FILTER_AUTHOR_PREFIX = "src1"
-SORT_ROWS = 20
 
 
 def _paragraphs(spark, sf):
@@ -553,11 +552,12 @@ def q_result_filter(spark, sf):
     return res.where(F.col("author").startswith(FILTER_AUTHOR_PREFIX))
 
 
-@register("result_sort", _SEARCH_RES + f"""SELECT * FROM res
-ORDER BY author ASC NULLS LAST, rank DESC, num ASC LIMIT {SORT_ROWS}""")
+@register("result_sort", _SEARCH_RES + """SELECT * FROM res
+ORDER BY author ASC NULLS LAST, rank DESC, num ASC""")
 def q_result_sort(spark, sf):
+    # the multi-column sort of a result table (the whole result)
     res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
-    return res.orderBy(F.col("author").asc_nulls_last(), F.col("rank").desc(), F.col("num")).limit(SORT_ROWS)
+    return res.orderBy(F.col("author").asc_nulls_last(), F.col("rank").desc(), F.col("num"))
 
 
 @register("title_link", _cte() + f"""SELECT num, '[' || title || '](' || {sql_str(S.DEFAULT_LINK_BASE)}
