@@ -181,7 +181,8 @@ def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFra
     expected = (cand.join(terms.join(n, qkeys), qkeys)
                 .select(*qkeys, "num", "para", "start", "lexeme", "n_terms",
                         (F.col("start") + F.col("offset")).alias("ti")))
-    if cand.count() * max(1, terms.agg(F.max("offset")).first()[0] + 1) <= max_broadcast_rows:
+    width = terms.agg(F.max("offset")).first()[0]  # NULL when there are no terms
+    if cand.count() * ((width or 0) + 1) <= max_broadcast_rows:
         expected = F.broadcast(expected)
     keys = on + ["num", "para", "ti"]
     hits = (pos.select(*keys).join(expected, keys)

@@ -127,3 +127,12 @@ def test_headline_fragment_limit_and_only_matches(spark):
     assert only == "dog **cat** the **dog**, cat dog"
     lead = spark.createDataFrame([(", cat a dog",)], "paragraph string")
     assert with_headline(lead, "paragraph", qp, only_matches=True).first().h == ", **cat** a **dog**"
+
+
+def test_rare_first_with_no_terms(spark, small_paragraphs):
+    from quire.operators.analysis import query_terms
+    from quire.operators.matching import phrase_match_rare_first
+    an = analyze(small_paragraphs)
+    terms = query_terms(spark, [(1, "to be or not")], "english")
+    freq = an.groupBy("lexeme").agg(F.count("*").alias("n"))
+    assert phrase_match_rare_first(an, terms, freq).count() == 0
