@@ -71,6 +71,17 @@ def flatten_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:
     return df.select(*cols)
 
 
+def metadata_rejects(df: DataFrame, column: str = "metadata") -> DataFrame:
+    """Catalogue records whose id is present but not an integer.
+
+    ``flatten_metadata`` gives them a NULL ``num`` (``try_cast``) instead of
+    failing the whole load; this lists them for review.
+    """
+    raw = F.get_json_object(F.col(column), _path(NUM_KEY, False))
+    return (df.select(raw.alias("raw_num"), F.col(column))
+            .where(F.col("raw_num").isNotNull() & F.col("raw_num").try_cast("bigint").isNull()))
+
+
 def gd_num_padded(num: Column) -> Column:
     return F.lpad(num.cast("string"), 5, "0")
 

@@ -32,6 +32,8 @@ def test_read_and_flatten_catalogue(spark, tmp_dir):
     assert (a.num, a.author, a.author_birth, a.title, a.language) == (1, None, "1800", None, None)
     assert (a.gd_num_padded, a.gd_path, a.charset) == ("00001", "000/00001.txt", None)
     assert (b.num, b.author, b.title, b.language) == (None, "Ann", "x?", "French")
+    rejects = MD.metadata_rejects(MD.read_metadata(spark, p)).collect()
+    assert [r.raw_num for r in rejects] == ["x2"]
 
 
 def test_read_contents_keeps_empty_and_trims_one_newline(spark, tmp_dir):
