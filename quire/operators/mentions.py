@@ -129,7 +129,8 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
     # plan parameters from the (small) name table: key lengths, longest name,
     # and the keys themselves when few enough to ship inside the plan (at
     # most one row over the bound is fetched)
-    shape = keys.agg(F.collect_set("m").alias("ms"), F.max("k").alias("max_k")).first()
+    shape = keys.agg(F.collect_set("m").alias("ms"), F.max("k").alias("max_k"),
+                     F.count("*").alias("rows")).first()
     if not shape["ms"]:
         return names.sparkSession.createDataFrame(
             [], "mentioned_author string, mentioned_by string, books_mentioned_in long")
@@ -143,7 +144,7 @@ def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
     windows = paragraph_windows(paragraphs, max_k, keys_by_m)
     keyed = windows.select("num", "window", F.inline(F.array(*[
         F.struct(F.lit(m).alias("m"), F.substring_index("window", " ", m).alias("key")) for m in ms])))
-    keys = broadcast_if_small(keys, BROADCAST_NAME_ROWS)
+    keys = F.broadcast(keys) if shape["rows"] <= BROADCAST_NAME_ROWS else keys
     whole = (F.col("window") == F.col("gram")) | F.col("window").startswith(F.concat(F.col("gram"), F.lit(" ")))
     hits = (keyed.join(keys, on=["m", "key"]).where(whole)
             .select("name", "num").distinct())

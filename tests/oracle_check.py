@@ -36,7 +36,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v  # exact: both engines must produce the same double
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
