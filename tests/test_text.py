@@ -94,3 +94,12 @@ def test_scale_settings():
     conf = scale_settings(100 * 1024 ** 4, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) >= 16000
     assert conf["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_resplit_only_listed_books(spark):
+    paras = spark.createDataFrame([(1, 0, "aaaa\nbb", 7), (2, 0, "cccc\ndd", 7)],
+                                  "num long, para int, paragraph string, paragraph_length int")
+    out = PG.resplit_long(paras, 5, "\n", nums=[2]).orderBy("num", "para", "part").collect()
+    assert [(r.num, r.part, r.paragraph) for r in out] == [(1, 0, "aaaa\nbb"), (2, 0, "cccc"), (2, 1, "dd")]
+    pruned = PG.prune_long(PG.resplit_long(paras, 5, "\n", nums=[2]), 5).collect()
+    assert sorted((r.num, r.paragraph) for r in pruned) == [(2, "cccc"), (2, "dd")]
