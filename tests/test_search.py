@@ -144,3 +144,13 @@ def test_rollup_small_path_matches_salted(spark):
     a = sorted(repr(tuple(r)) for r in S.rollup_books(m, bk, salt=8).collect())
     b = sorted(repr(tuple(r)) for r in S.rollup_books(m, bk, few_rows=True).collect())
     assert a == b
+
+
+def test_plan_shapes(spark, small_books):
+    from quire.operators.analysis import analyze
+    from quire.operators.paragraphs import book_paragraphs
+    an = analyze(book_paragraphs(small_books))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in an  # analysis is one narrow pass
+    rs = S.phrase_search(spark, small_books, PHRASE)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(num" in rs and "bucket" in rs  # salted per-book roll-up
+    assert rs.count("FileScan parquet") == 2  # text scanned once, metadata once
