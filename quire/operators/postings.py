@@ -1,9 +1,11 @@
 """The inverted index, re-aimed as a dataset.
 
-``postings``: one row per (language, lexeme, num, para) with the sorted
-positions and the term frequency -- the lexeme vector of a paragraph, grouped
-by lexeme. Written as ``language=<cfg>/bucket=<hash(lexeme) % B>/`` with a
-few files per bucket (split by a hash of ``num``), each sorted by lexeme, so:
+``postings`` (as a query): one row per (language, lexeme, num, para) with
+the sorted positions and the term frequency -- the lexeme vector of a
+paragraph, grouped by lexeme. The stored index keeps one row per position
+instead (no aggregation to build it; sorted runs compress well), written as
+``language=<cfg>/bucket=<hash(lexeme) % B>/`` with a few files per bucket
+(split by a hash of ``num``), each sorted by lexeme, so:
 
 - a search lists only its language's and lexemes' bucket directories
   (partition pruning on constant-folded literals);
@@ -51,10 +53,17 @@ def postings(analyzed: DataFrame, extra_keys=()) -> DataFrame:
 
 
 def lexeme_stats(post: DataFrame) -> DataFrame:
+    """``language, lexeme, paragraphs, occurrences`` from grouped postings."""
     return (post.groupBy("language", "lexeme")
             .agg(F.count("*").alias("paragraphs"), F.sum("tf").alias("occurrences")))
 
 
+def position_stats(rows: DataFrame) -> DataFrame:
+    """``lexeme_stats`` from one-row-per-position postings (two partial aggregates)."""
+    per_para = rows.groupBy("language", "lexeme", "num", "para").agg(F.count("*").alias("tf"))
+    return lexeme_stats(per_para)
+
+
 def build_index(spark: SparkSession, books: DataFrame, path: str,
                 buckets: int | None = None, files_per_bucket: int | None = None) -> dict[str, str]:
     """Write ``paragraphs``, ``postings``, ``lexeme_stats`` and ``layout`` under ``path``.
@@ -63,12 +72,12 @@ def build_index(spark: SparkSession, books: DataFrame, path: str,
     written table (not from the books again), so the split runs once and the
     lineage of the postings job starts at Parquet.
 
-    Postings layout: ``language=../bucket=../`` directories, ``bucket`` from
-    the lexeme's hash, so a query reads only its lexemes' buckets; inside a
+    Postings layout: one row per position (``language, lexeme, num, para,
+    ti``) in ``language=../bucket=../`` directories, ``bucket`` from the
+    lexeme's hash, so a query reads only its lexemes' buckets; inside a
     bucket ``files_per_bucket`` files split by a hash of ``num`` (a frequent
-    lexeme is spread) and sorted by lexeme (row-group skipping). One shuffle:
-    the partitioning on (language, bucket, spread) clusters every grouping
-    key set that includes them, so the position lists need no second one.
+    lexeme is spread) and sorted by (lexeme, num, para, ti) for row-group
+    skipping. One shuffle, one sort, no aggregation.
     """
     out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats", "layout")}
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -80,11 +89,13 @@ def build_index(spark: SparkSession, books: DataFrame, path: str,
     keyed = (analyze(stored)
              .withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
              .withColumn("spread", F.pmod(F.xxhash64("num"), F.lit(files_per_bucket))))
-    keyed = keyed.repartition(n, "language", "bucket", "spread")
-    post = postings(keyed, extra_keys=("bucket", "spread")).drop("spread")
-    write_table(post, out["postings"], partition_by=["language", "bucket"],
-                sort_within=["lexeme", "num", "para"])
-    stats = lexeme_stats(spark.read.parquet(out["postings"]))
+    # one row per position, no aggregation: one exchange, one sort, and
+    # Parquet's dictionary / run-length encoding stores the sorted repeated
+    # (lexeme, num, para) keys compactly
+    keyed = keyed.repartition(n, "language", "bucket", "spread").drop("spread")
+    write_table(keyed, out["postings"], partition_by=["language", "bucket"],
+                sort_within=["lexeme", "num", "para", "ti"])
+    stats = position_stats(spark.read.parquet(out["postings"]))
     write_table(stats.coalesce(max(1, n // 4)), out["lexeme_stats"], partition_by=["language"])
     spark.createDataFrame([(buckets, files_per_bucket)], "buckets int, files_per_bucket int") \
         .coalesce(1).write.mode("overwrite").parquet(out["layout"])
