@@ -1,10 +1,13 @@
 """SQL building blocks for the DuckDB oracle queries.
 
-Each registered Spark query has an oracle written independently in plain
-SQL over the same Parquet views. The oracles follow the *relational*
-definitions (unnest tokens with positions, join the query terms, group by
-start position), while the Spark side often uses a different physical form
-(array functions per paragraph); agreement of both is the check.
+Each registered Spark query has an oracle in plain SQL over the same
+Parquet views. The oracles follow the *relational* definitions (unnest
+tokens with positions, join the query terms, group by start position),
+while the Spark side often uses a different physical form (array functions
+per paragraph, k-gram windows, rarest-term anchors); agreement of both is
+the check. One piece is shared on purpose: the analyser's lexeme expression
+(stopword test + stemmer) is the same SQL text in both engines, since it is
+the definition itself.
 """
 
 from __future__ import annotations
