@@ -178,14 +178,16 @@ def seeded_random(num: Column, seed: int) -> Column:
 def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                          query: str | BoundQuery, language: str = "english",
                          mode: str = "full", stats: DataFrame | None = None,
-                         buckets: int | None = None) -> DataFrame:
+                         buckets: int | None = None, only_matches: bool = False) -> DataFrame:
     """Same rows as ``phrase_matches``, from stored postings (see ``_index_matches``)."""
-    return _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets)[0]
+    return _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets,
+                          only_matches)[0]
 
 
 def _index_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                    query: str | BoundQuery, language: str, mode: str,
-                   stats: DataFrame | None, buckets: int | None) -> tuple[DataFrame, bool]:
+                   stats: DataFrame | None, buckets: int | None,
+                   only_matches: bool = False) -> tuple[DataFrame, bool]:
     """``(matches, bounded)``: matched paragraphs from stored postings, and
     whether their number is known to be at most ``HIT_LITERALS``.
 
@@ -224,7 +226,7 @@ def _index_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFra
         nums = ", ".join(str(n) for n in sorted({r["num"] for r in few}))
         hits = F.broadcast(spark.createDataFrame(few, "num long, para int, n_matches long"))
         paras = paras.where(F.expr(f"num IN ({nums})"))
-    m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode)
+    m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode, only_matches=only_matches)
     out = m.select("num", "para", "n_matches",
                    cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
     return out, len(few) <= HIT_LITERALS
@@ -233,8 +235,10 @@ def _index_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFra
 def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
                         books: DataFrame, query: str | BoundQuery, language: str = "english",
                         link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
-                        stats: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    m, bounded = _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets)
+                        stats: DataFrame | None = None, buckets: int | None = None,
+                        only_matches: bool = False) -> DataFrame:
+    m, bounded = _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets,
+                                only_matches)
     return rollup_books(m, books, link_base, with_rank=True, few_rows=bounded)
 
 

@@ -154,3 +154,14 @@ def test_plan_shapes(spark, small_books):
     rs = S.phrase_search(spark, small_books, PHRASE)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(num" in rs and "bucket" in rs  # salted per-book roll-up
     assert rs.count("FileScan parquet") == 2  # text scanned once, metadata once
+
+
+def test_index_search_headline_options(spark, small_books, tmp_dir):
+    build_index(spark, small_books, tmp_dir + "/idx4")
+    idx = read_index(spark, tmp_dir + "/idx4")
+    cols = ["num", "relevant_paragraphs", "rank"]
+    for kw in ({"only_matches": True}, {"mode": "fragments"}):
+        scan = S.phrase_search(spark, small_books, PHRASE, **kw)
+        via = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
+                                    buckets=idx["buckets"], **kw)
+        assert sorted(scan.select(cols).collect()) == sorted(via.select(cols).collect())
