@@ -95,6 +95,30 @@ def _cte(*parts):
     return O.with_ctes(O.BOOKS, O.PARAGRAPHS, *parts)
 
 
+# ------------------------------------------------- search over the stored index
+
+def _index(spark, sf):
+    from ..operators.postings import build_index, read_index
+    bk = books_view(spark, sf)
+    path = scratch_path(spark, "index")
+    build_index(spark, bk, path)
+    return bk, read_index(spark, path)
+
+
+@register("phrase_search_index", ORACLES["phrase_search"])
+def q_phrase_search_index(spark, sf):
+    bk, idx = _index(spark, sf)
+    return S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], bk, PHRASE, LANGUAGE,
+                                 stats=idx["lexeme_stats"], buckets=idx["buckets"])
+
+
+@register("discovery_search_index", ORACLES["discovery_search"])
+def q_discovery_search_index(spark, sf):
+    bk, idx = _index(spark, sf)
+    return S.index_discovery_search(spark, idx["postings"], idx["paragraphs"], bk, ALL_WORDS, LANGUAGE,
+                                    seed=SEED, buckets=idx["buckets"])
+
+
 # -------------------------------------------------------- step 1: split, tokens
 
 @register("paragraph_split", _cte() + """SELECT num, para, paragraph,
