@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from quire.plans import registry
 from oracle_check import compare, duck_connection
 
 from conftest import SF_SMALL
 
-KEYS = sorted(E.queries())
+KEYS = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())
+    assert set(registry.queries()) <= set(E.queries())
 
 
 def test_entry_runs(spark):
