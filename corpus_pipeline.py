@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup
+from quire.llm import exact_dedup, packing, quality, simhash_dedup
 from quire.llm.common import table, written
 
 
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the quality sample go."""
+    return quality.resample(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the largest doc_id stays."""
     return exact_dedup.exact_dedup(docs).where("kept").select(docs.columns)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the smallest doc_id stays."""
+    found = simhash_dedup.simhash_dedup(docs.select("doc_id", "text"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The segments of every document, dealt into token-budget batches."""
+    return packing.pack(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality classifier", accept), ("exact dedup", exact), ("near dedup", near), ("packing", packed)]
 
 #: SimHash components and resampling are not expressible in SQL.
 ORACLE_SQL = None

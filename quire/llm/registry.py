@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, simhash_dedup, url_filter
+from quire.llm import exact_dedup, packing, quality, simhash_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": packing.op1_packing,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_url_filter": url_filter.op6_url_filter,
     }
 
