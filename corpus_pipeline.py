@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, packing, quality, simhash_dedup
+from quire.llm import exact_dedup, packing, pii, quality, simhash_dedup
 from quire.llm.common import table, written
 
 
@@ -25,12 +26,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by marks; ``n_chars`` follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) \
+        if "n_chars" in docs.columns else out
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The segments of every document, dealt into token-budget batches."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
-STAGES = [("quality classifier", accept), ("exact dedup", exact), ("near dedup", near), ("packing", packed)]
+STAGES = [("quality classifier", accept), ("exact dedup", exact), ("near dedup", near), ("pii", redacted), ("packing", packed)]
 
 #: SimHash components and resampling are not expressible in SQL.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, packing, quality, simhash_dedup, url_filter
+from quire.llm import exact_dedup, packing, pii, quality, simhash_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op9_pii": pii.op9_pii,
     }
 
 
