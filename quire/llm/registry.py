@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, packing, pii, quality, simhash_dedup, url_filter
+from quire.llm import bpe, exact_dedup, packing, pii, quality, simhash_dedup, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_bpe": bpe.op4_bpe,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
     }
 
