@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, packing, pii, quality, simhash_dedup, substring_dedup, url_filter
+from quire.llm import (bpe, exact_dedup, language_id, packing, pii, quality, simhash_dedup, substring_dedup,
+                       url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": bpe.op4_bpe,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_language_id": language_id.op7_language_id,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
     }
