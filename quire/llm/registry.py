@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (bpe, exact_dedup, language_id, packing, pii, quality, simhash_dedup, substring_dedup,
-                       url_filter)
+from quire.llm import (bpe, embedding_dedup, exact_dedup, language_id, packing, pii, quality, simhash_dedup,
+                       substring_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": language_id.op7_language_id,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
