@@ -38,7 +38,7 @@ def _slots(h: np.ndarray, half_bits: int) -> np.ndarray:
     return np.stack([low, high + np.uint64(half_bits)], axis=1).astype(np.int64)
 
 
-def _fill(half_bits: int, block: int = 1 << 20):
+def _fill(half_bits: int, segment_bits: int, block: int = 1 << 20):
     """Map side: (segment, offsets); an offset hit more than once here is sent twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -47,9 +47,9 @@ def _fill(half_bits: int, block: int = 1 << 20):
         def flush():
             slot, times = np.unique(np.concatenate(held), return_counts=True)
             slot = np.repeat(slot, np.minimum(times, 2))
-            seg = slot // SEGMENT_BITS
+            seg = slot // segment_bits
             cut = np.flatnonzero(np.diff(seg, prepend=-1))
-            parts = np.split((slot % SEGMENT_BITS).astype("<u4"), cut[1:])
+            parts = np.split((slot % segment_bits).astype("<u4"), cut[1:])
             return pa.RecordBatch.from_arrays(
                 [pa.array(seg[cut], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
                 ["segment", "offsets"])
@@ -67,24 +67,26 @@ def _fill(half_bits: int, block: int = 1 << 20):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(segment_bits: int):
     """Reduce side: the slots of each segment hit more than once, as packed bits."""
-    once: dict[int, np.ndarray] = {}
-    more: dict[int, np.ndarray] = {}
-    for b in batches:
-        for seg, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            off = np.frombuffer(data, "<u4")
-            if seg not in once:
-                once[seg] = np.zeros(SEGMENT_BITS, bool)
-                more[seg] = np.zeros(SEGMENT_BITS, bool)
-            twice = off[1:][off[1:] == off[:-1]]  # sorted
-            more[seg][off[once[seg][off]]] = True
-            more[seg][twice] = True
-            once[seg][off] = True
-    segs = [s for s in more if more[s].any()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(segs, pa.int64()), pa.array([np.packbits(more[s]).tobytes() for s in segs], pa.binary())],
-        ["segment", "bits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        more: dict[int, np.ndarray] = {}
+        for b in batches:
+            for seg, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                off = np.frombuffer(data, "<u4")
+                if seg not in once:
+                    once[seg] = np.zeros(segment_bits, bool)
+                    more[seg] = np.zeros(segment_bits, bool)
+                twice = off[1:][off[1:] == off[:-1]]  # sorted
+                more[seg][off[once[seg][off]]] = True
+                more[seg][twice] = True
+                once[seg][off] = True
+        segs = [s for s in more if more[s].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(segs, pa.int64()), pa.array([np.packbits(more[s]).tobytes() for s in segs], pa.binary())],
+            ["segment", "bits"])
+    return run
 
 
 def repeat_filter(hashes: DataFrame, bits_per_hash: int = 16, max_filter_bytes: int = 64 << 20) -> Column:
@@ -95,15 +97,17 @@ def repeat_filter(hashes: DataFrame, bits_per_hash: int = 16, max_filter_bytes:
     """
     spark = hashes.sparkSession
     want = max(hashes.count() * bits_per_hash // HALVES, SEGMENT_BITS)
-    half_bits = min(1 << (want - 1).bit_length(), max_filter_bytes * 8 // HALVES)
+    most = max_filter_bytes * 8 // HALVES
+    half_bits = min(1 << (want - 1).bit_length(), 1 << (most.bit_length() - 1))  # powers of two
+    segment_bits = min(SEGMENT_BITS, half_bits)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = (hashes.mapInArrow(_fill(half_bits), "segment long, offsets binary")
+    merged = (hashes.mapInArrow(_fill(half_bits, segment_bits), "segment long, offsets binary")
               .repartition(parts, "segment")
-              .mapInArrow(_merge, "segment long, bits binary"))
+              .mapInArrow(_merge(segment_bits), "segment long, bits binary"))
     bits = np.zeros(half_bits * HALVES // 8, np.uint8)
     for row in merged.toLocalIterator():  # at most max_filter_bytes in all
-        at = row["segment"] * (SEGMENT_BITS // 8)
-        bits[at: at + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+        at = row["segment"] * (segment_bits // 8)
+        bits[at: at + segment_bits // 8] = np.frombuffer(row["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
