@@ -11,7 +11,7 @@ Definitions (ours; the reference delegates them to its database):
 Analysers (``TextConfig``): ``simple`` lowercases only; ``english`` drops
 Spark's English stopwords and applies the S-stemmer (Harman 1991: ``-ies`` ->
 ``-y``, ``-es`` -> ``-e``, ``-s`` -> ``''`` with the usual exceptions);
-``french`` and ``german`` drop Spark's stopwords for that language.
+the other languages drop Spark's stopwords for that language.
 
 Every function here has a SQL twin (``sql_*``) used to write the DuckDB
 oracle queries, so both engines evaluate the same definition.
@@ -45,13 +45,16 @@ class TextConfig:
 CONFIGS: dict[str, TextConfig] = {
     "simple": TextConfig("simple"),
     "english": TextConfig("english", "english", "s"),
-    "french": TextConfig("french", "french"),
-    "german": TextConfig("german", "german"),
-}
+} | {name: TextConfig(name, name) for name in (
+    "danish", "dutch", "finnish", "french", "german", "hungarian", "italian", "norwegian",
+    "portuguese", "russian", "spanish", "swedish", "turkish")}
 
 # The analyser names a book language can map to (``lower(language) = cfgname``).
 # 'simple' is only used explicitly (name matching), never for a book language.
+# A catalogue is a tuple of names, passed wherever a language picks its analyser;
+# this one is the default, ``ALL_LANGUAGES`` has every language Spark ships.
 LANGUAGE_CONFIGS = ("english", "french", "german")
+ALL_LANGUAGES = tuple(sorted(n for n in CONFIGS if n != "simple"))
 
 
 def config(name: str) -> TextConfig:
@@ -72,11 +75,6 @@ def spark_sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def lexeme_sql(var: str, cfg: TextConfig | str) -> Column:
-    """Lexeme of the token column (or lambda variable in SQL) named ``var``."""
-    return F.expr(sql_lexeme(var, cfg))
-
-
 def lexemes_of(text_sql: str, cfg: TextConfig | str, empty_for_stop: bool = True) -> Column:
     """Array of lexemes of the text column ``text_sql``, by position.
 
@@ -108,55 +106,30 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE_PATTERN), F.lit(0))
 
 
-def s_stem(w: Column) -> Column:
-    n = F.length(w)
-    one = F.lit(1)
-    return (
-        F.when(w.endswith("ies") & ~w.endswith("eies") & ~w.endswith("aies"),
-               F.concat(w.substr(one, n - 3), F.lit("y")))
-        .when(w.endswith("es") & ~w.endswith("aes") & ~w.endswith("ees")
-              & ~w.endswith("oes"), w.substr(one, n - 1))
-        .when(w.endswith("s") & ~w.endswith("us") & ~w.endswith("ss"),
-              w.substr(one, n - 1))
-        .otherwise(w)
-    )
+def s_stem(w: str) -> Column:
+    """The S-stemmer on the (lowercased) word column named ``w``."""
+    return F.expr(sql_s_stem(w))
 
 
-def lexeme(token: Column, cfg: TextConfig | str) -> Column:
-    """Lexeme of one token under ``cfg``; NULL for a stopword."""
-    cfg = config(cfg) if isinstance(cfg, str) else cfg
-    w = F.lower(token)
-    out = s_stem(w) if cfg.stemmer == "s" else w
-    if cfg.stopwords:
-        out = F.when(w.isin(list(cfg.stopwords)), F.lit(None)).otherwise(out)
-    return out
+def lexeme(token: str, cfg: TextConfig | str) -> Column:
+    """Lexeme of the token column or lambda variable named ``token``; NULL for a stopword."""
+    return F.expr(sql_lexeme(token, cfg))
 
 
-def lexeme_by_language(token: Column | str, language: str = "language") -> Column:
-    """Lexeme under the analyser named by column ``language`` (NULL if none).
+def lexeme_by_language(token: str, language: str = "language", catalogue=LANGUAGE_CONFIGS) -> Column:
+    """Lexeme under the analyser named by column ``language`` (NULL if none)."""
+    return F.expr(sql_lexeme_by_language(token, language, catalogue))
 
-    ``token`` is a column name (the SQL form is used, see above).
-    """
-    name = token if isinstance(token, str) else None
-    if name is None:
-        expr = None
-        for n in LANGUAGE_CONFIGS:
-            branch = lexeme(token, n)
-            expr = (F.when(F.col(language) == n, branch) if expr is None
-                    else expr.when(F.col(language) == n, branch))
-        return expr
-    return F.expr(sql_lexeme_by_language(name, language))
-
-
-def language_config(language: Column) -> Column:
+
+def language_config(language: Column, catalogue=LANGUAGE_CONFIGS) -> Column:
     """``lower(language)`` when it names a supported analyser, else NULL.
 
     The reference joins books to its catalogue of analysers on
-    ``lower(language) = cfgname``; the catalogue is a fixed, tiny list, so
+    ``lower(language) = cfgname``; the catalogue is a tiny list, so
     the join is an ``IN`` over literals (a hash set in generated code).
     """
     low = F.lower(language)
-    return F.when(low.isin(list(LANGUAGE_CONFIGS)), low)
+    return F.when(low.isin(list(catalogue)), low)
 
 
 def sentinel_null(c: Column, sentinel: str = "?") -> Column:
@@ -171,10 +144,13 @@ def title_link(title: Column, num: Column, base: str) -> Column:
 
 
 def rank_text(rank_percent: Column) -> Column:
-    """Rank as text with one decimal, four characters wide, '##.#' from 100."""
+    """Rank as text with one decimal, five characters wide, ' ##.#' from 100.
+
+    ``rank_percent`` is the unrounded average, so it is rounded once.
+    """
     r = F.round(rank_percent, 1)
-    return (F.when(r >= 100, F.lit("##.#"))
-            .otherwise(F.lpad(F.format_number(r, 1), 4, " ")))
+    return (F.when(r >= 100, F.lit(" ##.#"))
+            .otherwise(F.lpad(F.format_number(r, 1), 5, " ")))
 
 
 # ------------------------------------------------------------------ SQL twins
@@ -208,12 +184,12 @@ def sql_lexeme(token: str, cfg: TextConfig | str) -> str:
     return out
 
 
-def sql_lexeme_by_language(token: str, language: str) -> str:
+def sql_lexeme_by_language(token: str, language: str, catalogue=LANGUAGE_CONFIGS) -> str:
     parts = " ".join(f"WHEN {language} = {sql_str(n)} THEN {sql_lexeme(token, n)}"
-                     for n in LANGUAGE_CONFIGS)
+                     for n in catalogue)
     return f"CASE {parts} ELSE NULL END"
 
 
-def sql_language_config(language: str) -> str:
-    return (f"CASE WHEN lower({language}) IN {sql_list(LANGUAGE_CONFIGS)} "
+def sql_language_config(language: str, catalogue=LANGUAGE_CONFIGS) -> str:
+    return (f"CASE WHEN lower({language}) IN {sql_list(catalogue)} "
             f"THEN lower({language}) END")

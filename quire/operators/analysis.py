@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import (TextConfig, config, lexeme_by_language,
-                              lexemes_of, tokens)
+from ..functions.text import (LANGUAGE_CONFIGS, TextConfig, config, lexeme_by_language,
+                              lexemes_of, spark_sql_str, tokens)
 
 
 def tokenize(paragraphs: DataFrame, keys=("num", "para")) -> DataFrame:
@@ -24,32 +24,29 @@ def tokenize(paragraphs: DataFrame, keys=("num", "para")) -> DataFrame:
                              .alias("ti", "token"))
 
 
-def analyze(paragraphs: DataFrame) -> DataFrame:
+def analyze(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS) -> DataFrame:
     """``language, num, para, ti, lexeme`` for paragraphs with an analyser.
 
-    ``language`` names the analyser (english/french/german); paragraphs
-    without one get no lexemes, as the reference leaves their vector NULL.
+    ``language`` names the analyser, one of ``catalogue``; paragraphs without
+    one get no lexemes, as the reference leaves their vector NULL.
     """
     toks = (paragraphs.where(F.col("language").isNotNull())
             .select("language", "num", "para",
                     F.posexplode(tokens(F.col("paragraph"))).alias("ti", "token")))
     return (toks.select("language", "num", "para", "ti",
-                        lexeme_by_language("token", "language").alias("lexeme"))
+                        lexeme_by_language("token", "language", catalogue).alias("lexeme"))
             .where(F.col("lexeme").isNotNull()))
 
 
-def normalize_with_dictionary(analyzed: DataFrame, dictionary: DataFrame,
-                              max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def normalize_with_dictionary(analyzed: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The ``dictionary`` normaliser: replace lexemes found in a word list.
 
     ``dictionary`` is ``(language, word, lexeme)``, e.g. a stemmer's output
     computed once over the *distinct* vocabulary (``lexeme_stats``) rather
-    than once per token. Words not in it keep their lexeme. The dictionary is
-    broadcast only when its counted size is within ``max_broadcast_rows``;
-    larger ones are joined with a shuffle.
+    than once per token. Words not in it keep their lexeme. How the two sides
+    meet is left to the optimizer, which knows their bytes.
     """
     d = dictionary.select("language", F.col("word").alias("lexeme"), F.col("lexeme").alias("_norm"))
-    d = F.broadcast(d) if d.count() <= max_broadcast_rows else d
     cols = [F.coalesce(F.col("_norm"), F.col("lexeme")).alias("lexeme") if c == "lexeme" else F.col(c)
             for c in analyzed.columns]
     return analyzed.join(d, ["language", "lexeme"], "left").select(*cols)
@@ -102,16 +99,22 @@ class BoundQuery:
         return len(self.terms)
 
 
-def bind_query(spark: SparkSession, text: str, cfg: TextConfig | str) -> BoundQuery:
+def bind_query(spark: SparkSession, text: str, cfg: TextConfig | str,
+               dictionary: DataFrame | None = None) -> BoundQuery:
     """Analyse ``text`` with the corpus's own expressions and bind it.
 
-    The analysis is a projection over a one-row local relation, which the
-    optimizer evaluates on the driver (no job is scheduled); offsets are then
-    shifted so the first kept term is at 0.
+    The analysis is a projection over an inline table, which the optimizer
+    evaluates on the driver (no job is scheduled); offsets are then shifted so
+    the first kept term is at 0. With ``dictionary`` (as the index was built
+    with) its entries for these few words are looked up.
     """
     cfg = config(cfg) if isinstance(cfg, str) else cfg
-    q = spark.createDataFrame([(text,)], "query string")
-    row = q.select(lexemes_of("query", cfg, empty_for_stop=False).alias("lx")).first()
+    q = spark.sql(f"SELECT query FROM VALUES ({spark_sql_str(text)}) AS q(query)")
+    row = q.select(lexemes_of("query", cfg, empty_for_stop=False).alias("lx")).collect()[0]
     kept = [(lx, i) for i, lx in enumerate(row["lx"] or []) if lx is not None]
+    if dictionary is not None and kept:
+        norm = {r["word"]: r["lexeme"] for r in dictionary.where(
+            (F.col("language") == cfg.name) & F.col("word").isin([lx for lx, _ in kept])).collect()}
+        kept = [(norm.get(lx, lx), i) for lx, i in kept]
     base = kept[0][1] if kept else 0
     return BoundQuery(text, cfg, tuple((lx, i - base) for lx, i in kept))

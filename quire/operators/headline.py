@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lexeme, lexemes_of, marked_sql, pieces
+from ..functions.text import lexemes_of, marked_sql, pieces, sql_lexeme, sql_list
 from .analysis import BoundQuery
 from .matching import with_once
 
@@ -26,16 +26,9 @@ FRAGMENT_DELIMITER = " ... "
 MAX_FRAGMENTS = 1000
 
 
-def _mark(x: Column, q: BoundQuery) -> Column:
-    hit = lexeme(x, q.config).isin(list(q.lexemes))
-    return F.when(hit, F.concat(F.lit(START_SEL), x, F.lit(STOP_SEL))).otherwise(x)
-
-
-def headline(paragraph: Column | str, q: BoundQuery) -> Column:
-    """Full headline: the whole text with query words marked."""
-    if isinstance(paragraph, str):
-        return F.expr(marked_sql(paragraph, q.config, q.lexemes, START_SEL, STOP_SEL))
-    return F.array_join(F.transform(pieces(paragraph), lambda x: _mark(x, q)), "")
+def headline(text: str, q: BoundQuery) -> Column:
+    """Full headline: the text column named ``text`` with query words marked."""
+    return F.expr(marked_sql(text, q.config, q.lexemes, START_SEL, STOP_SEL))
 
 
 def with_headline(df: DataFrame, text: str, q: BoundQuery, mode: str = "full",
@@ -78,8 +71,8 @@ def with_headline(df: DataFrame, text: str, q: BoundQuery, mode: str = "full",
         d = with_once(d, _hit=F.transform("_ps", lambda x, i: F.regexp_like(x, word) & F.array_contains(
             F.col("_mpos"), ((i - F.col("_w0")) / 2).cast("int"))))
     else:
-        lx = list(q.lexemes)
-        d = with_once(d, _hit=F.transform("_ps", lambda x: F.coalesce(lexeme(x, q.config).isin(lx), F.lit(False))))
+        hit = f"coalesce({sql_lexeme('x', q.config)} IN {sql_list(q.lexemes)}, false)"
+        d = with_once(d, _hit=F.expr(f"transform(_ps, x -> {hit})"))
 
     def mark(x, i):
         return F.when(F.get(F.col("_hit"), i), F.concat(F.lit(START_SEL), x, F.lit(STOP_SEL))).otherwise(x)

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import language_config
+from ..functions.text import LANGUAGE_CONFIGS, language_config
 
 # Fixed value: the paragraph delimiter of the reference (period + newline).
 PARAGRAPH_DELIMITER = ".\n"
@@ -44,7 +44,7 @@ def split_paragraphs(books: DataFrame, delimiter: str = PARAGRAPH_DELIMITER,
             .withColumn("paragraph_length", F.length("paragraph")))
 
 
-def book_paragraphs(books: DataFrame) -> DataFrame:
+def book_paragraphs(books: DataFrame, catalogue=LANGUAGE_CONFIGS) -> DataFrame:
     """Paragraphs with the analyser name denormalised onto them.
 
     The reference fills the paragraph's language by an update joined to the
@@ -53,7 +53,7 @@ def book_paragraphs(books: DataFrame) -> DataFrame:
     the same value, without a join.
     """
     return split_paragraphs(
-        books.select("num", "content", language_config(F.col("language")).alias("language")),
+        books.select("num", "content", language_config(F.col("language"), catalogue).alias("language")),
         keep=("num", "language"))
 
 
@@ -90,6 +90,20 @@ def resplit_long(paragraphs: DataFrame, max_length: int, delimiter: str = "\n",
             .withColumn("paragraph_length", F.length("paragraph")))
 
 
+def new_parts(paragraphs: DataFrame, max_length: int, delimiter: str = "\n",
+              nums: Iterable[int] | None = None) -> DataFrame:
+    """The rows an insert adds: the parts, on ``delimiter``, of paragraphs longer
+    than ``max_length`` (of the listed books). The old rows stay until
+    ``prune_long`` deletes what is too long."""
+    too_long = F.col("paragraph_length") > max_length
+    if nums is not None:
+        too_long = too_long & F.col("num").isin(list(nums))
+    cols = [c for c in paragraphs.columns if c not in ("paragraph", "paragraph_length")]
+    return (paragraphs.where(too_long)
+            .select(*cols, F.explode(split_parts(F.col("paragraph"), delimiter)).alias("paragraph"))
+            .withColumn("paragraph_length", F.length("paragraph")))
+
+
 def prune_long(paragraphs: DataFrame, max_length: int) -> DataFrame:
     """``DELETE WHERE paragraph_length > max_length``: a NULL length stays."""
     return paragraphs.where(~F.coalesce(F.col("paragraph_length") > max_length, F.lit(False)))

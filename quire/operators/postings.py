@@ -4,13 +4,15 @@
 the sorted positions and the term frequency -- the lexeme vector of a
 paragraph, grouped by lexeme. The stored index keeps one row per position
 instead (no aggregation to build it; sorted runs compress well), written as
-``language=<cfg>/bucket=<hash(lexeme) % B>/`` with a few files per bucket
-(split by a hash of ``num``), each sorted by lexeme, so:
+``language=<cfg>/bucket=<hash(lexeme) % B>/``, each file sorted by lexeme, so:
 
-- a search lists only its language's and lexemes' bucket directories
-  (partition pruning on constant-folded literals);
+- a search opens only its language's and lexemes' bucket directories;
 - ``lexeme IN (...)`` then skips row groups by their min/max statistics;
-- one very frequent lexeme is spread over the files of its bucket by ``num``.
+- a bucket's files follow its size (rebalanced partitions), so one very
+  frequent lexeme is spread over several.
+
+The paragraphs are stored as ``language=<cfg>/block=<hash(num) % P>/``: the text
+of a result page is read from its books' blocks.
 
 ``lexeme_stats``: per (language, lexeme) the number of paragraphs containing
 it and the number of occurrences; small, used to order query terms.
@@ -20,30 +22,32 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import (LANGUAGE_CONFIGS, WORD_PATTERN, spark_sql_str,
+                              sql_lexeme_by_language)
 from ..sources.sinks import write_table
-from .analysis import analyze
+from .analysis import analyze, normalize_with_dictionary
+from .matching import with_once
 from .paragraphs import book_paragraphs
 
 
-# Layout bounds: lexeme buckets per language (directory partitions); files
-# per bucket follow from the shuffle partition count (a hash of the book id
-# spreads a frequent lexeme over them).
+# Characters of text per lexeme bucket and per paragraph block, and the most
+# directories of either kind per language.
+LAYOUT_CHARS = 8 << 20
 MAX_BUCKETS = 4096
-FILES_PER_BUCKET_TARGET = 8
 
 
-def default_layout(shuffle_partitions: int) -> tuple[int, int]:
-    """``(buckets, files_per_bucket)`` for about ``shuffle_partitions`` files per language."""
-    buckets = max(1, min(MAX_BUCKETS, shuffle_partitions // FILES_PER_BUCKET_TARGET))
-    return buckets, max(1, shuffle_partitions // buckets)
+def default_layout(chars: int) -> int:
+    """Buckets (and blocks) for a corpus of so many characters."""
+    return max(1, min(MAX_BUCKETS, -(-chars // LAYOUT_CHARS)))
 
 
 def lexeme_bucket(lexeme, buckets: int):
     """Bucket of a lexeme (column or literal): ``pmod(xxhash64(lexeme), buckets)``."""
-    return F.pmod(F.xxhash64(lexeme), F.lit(buckets))
+    return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
 def postings(analyzed: DataFrame, extra_keys=()) -> DataFrame:
@@ -58,56 +62,94 @@ def lexeme_stats(post: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("paragraphs"), F.sum("tf").alias("occurrences")))
 
 
-def position_stats(rows: DataFrame) -> DataFrame:
-    """``lexeme_stats`` from one-row-per-position postings (two partial aggregates)."""
-    per_para = rows.groupBy("language", "lexeme", "num", "para").agg(F.count("*").alias("tf"))
-    return lexeme_stats(per_para)
-
+def paragraph_stats(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS, dictionary: DataFrame | None = None) -> DataFrame:
+    """``lexeme_stats`` straight from the paragraphs.
 
-def build_index(spark: SparkSession, books: DataFrame, path: str,
-                buckets: int | None = None, files_per_bucket: int | None = None) -> dict[str, str]:
+    A paragraph sits in one row, so its repeats are seen there: its sorted
+    lexemes are exploded with a flag on the first of each, and both counts are
+    one partial aggregate by (language, lexeme). No position is shuffled.
+    With ``dictionary`` lexemes may fall together after the look-up, so the
+    analysed rows are reduced by paragraph first.
+    """
+    if dictionary is not None:
+        rows = normalize_with_dictionary(analyze(paragraphs, catalogue), dictionary)
+        per_para = rows.groupBy("language", "lexeme", "num", "para").agg(F.count("*").alias("tf"))
+        return lexeme_stats(per_para)
+    words = paragraphs.where(F.col("language").isNotNull()).select("language", "paragraph")
+    lexemes = F.expr(f"array_sort(filter(transform(regexp_extract_all(paragraph, {spark_sql_str(WORD_PATTERN)}, 0), "
+                     f"t -> {sql_lexeme_by_language('t', 'language', catalogue)}), x -> x IS NOT NULL))")
+    rows = with_once(words, lx=lexemes).select(
+        "language", F.expr("inline(transform(lx, (x, i) -> struct(x AS lexeme, i = 0 OR lx[i - 1] <> x AS first)))"))
+    return rows.groupBy("language", "lexeme").agg(F.count_if("first").alias("paragraphs"),
+                                                  F.count("*").alias("occurrences"))
+
+
+def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int | None = None,
+                blocks: int | None = None, catalogue=LANGUAGE_CONFIGS,
+                dictionary: DataFrame | None = None) -> dict[str, str]:
     """Write ``paragraphs``, ``postings``, ``lexeme_stats`` and ``layout`` under ``path``.
 
     The paragraph table is written once and the postings are derived from the
     written table (not from the books again), so the split runs once and the
-    lineage of the postings job starts at Parquet.
-
-    Postings layout: one row per position (``language, lexeme, num, para,
-    ti``) in ``language=../bucket=../`` directories, ``bucket`` from the
-    lexeme's hash, so a query reads only its lexemes' buckets; inside a
-    bucket ``files_per_bucket`` files split by a hash of ``num`` (a frequent
-    lexeme is spread) and sorted by (lexeme, num, para, ti) for row-group
-    skipping. One shuffle, one sort, no aggregation.
+    lineage of the postings job starts at Parquet. Buckets and blocks follow
+    from the characters of the books. One shuffle, one sort, no aggregation
+    for the postings; the statistics read the paragraphs. ``catalogue`` names
+    the analysers; ``dictionary`` is the optional normaliser (bind queries
+    with the same one).
     """
     out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats", "layout")}
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    b0, f0 = default_layout(n)
-    buckets, files_per_bucket = buckets or b0, files_per_bucket or f0
-    paras = book_paragraphs(books)
-    write_table(paras, out["paragraphs"], partition_by=["language"])
+    size = F.col("length") if "length" in books.columns else F.length("content")
+    layout = default_layout(books.agg(F.sum(size)).first()[0] or 0)
+    buckets, blocks = buckets or layout, blocks or layout
+    paras = book_paragraphs(books, catalogue).withColumn("block", book_block(F.col("num"), blocks))
+    write_table(paras.hint("rebalance", "language", "block"), out["paragraphs"], partition_by=["language", "block"],
+                sort_within=["language", "block", "num", "para"])
     stored = spark.read.parquet(out["paragraphs"])
-    keyed = (analyze(stored)
-             .withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
-             .withColumn("spread", F.pmod(F.xxhash64("num"), F.lit(files_per_bucket))))
-    # one row per position, no aggregation: one exchange, one sort, and
-    # Parquet's dictionary / run-length encoding stores the sorted repeated
-    # (lexeme, num, para) keys compactly
-    keyed = keyed.repartition(n, "language", "bucket", "spread").drop("spread")
-    write_table(keyed, out["postings"], partition_by=["language", "bucket"],
-                sort_within=["lexeme", "num", "para", "ti"])
-    stats = position_stats(spark.read.parquet(out["postings"]))
-    write_table(stats.coalesce(max(1, n // 4)), out["lexeme_stats"], partition_by=["language"])
-    spark.createDataFrame([(buckets, files_per_bucket)], "buckets int, files_per_bucket int") \
+    analyzed = analyze(stored, catalogue)
+    if dictionary is not None:
+        analyzed = normalize_with_dictionary(analyzed, dictionary)
+    # one row per position: Parquet's dictionary / run-length encoding stores
+    # the sorted repeated (lexeme, num, para) keys compactly
+    keyed = analyzed.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+    write_table(keyed.hint("rebalance", "language", "bucket"), out["postings"], partition_by=["language", "bucket"],
+                sort_within=["language", "bucket", "lexeme", "num", "para", "ti"])
+    write_table(paragraph_stats(stored, catalogue, dictionary), out["lexeme_stats"], partition_by=["language"])
+    spark.createDataFrame([(buckets, blocks)], "buckets int, blocks int") \
         .coalesce(1).write.mode("overwrite").parquet(out["layout"])
     return out
 
 
+def book_block(num, blocks: int):
+    """Block of a book's paragraphs: ``pmod(xxhash64(num), blocks)``."""
+    return F.pmod(F.xxhash64(num), F.lit(blocks)).cast("int")
+
+
 def read_index(spark: SparkSession, path: str) -> dict:
-    """The index tables, plus ``buckets`` (the lexeme bucket count) from its layout."""
+    """The index tables, plus ``buckets`` and ``blocks`` from its layout and its ``path``."""
     idx = {k: spark.read.parquet(os.path.join(path, k))
            for k in ("paragraphs", "postings", "lexeme_stats")}
-    idx["buckets"] = spark.read.parquet(os.path.join(path, "layout")).first()["buckets"]
-    return idx
+    layout = spark.read.parquet(os.path.join(path, "layout")).first()
+    return idx | {"buckets": layout["buckets"], "blocks": layout["blocks"], "path": path}
+
+
+def open_postings(spark: SparkSession, path: str, language: str, lexemes, buckets: int) -> DataFrame:
+    """The postings of ``lexemes``, listing only their bucket directories.
+
+    The buckets are computed on an inline table (no job). A language or bucket
+    that isn't there gives an empty table.
+    """
+    base = os.path.join(path, "postings")
+    values = ", ".join(f"({spark_sql_str(lx)})" for lx in lexemes)
+    rows = spark.sql(f"SELECT x FROM VALUES {values} AS v(x)").select(lexeme_bucket(F.col("x"), buckets)).collect()
+    names = ",".join(sorted({str(r[0]) for r in rows}))
+    try:
+        got = (spark.read.option("basePath", base)
+               .parquet(os.path.join(base, f"language={language}", f"bucket={{{names}}}")))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "num long, para int, ti int, lexeme string, language string, bucket int")
+    return got.where(F.col("lexeme").isin(list(lexemes)))
 
 
 def lexeme_filter(postings: DataFrame, language: str, lexemes, buckets: int | None = None):

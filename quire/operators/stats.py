@@ -64,6 +64,7 @@ def books_per_language(books: DataFrame) -> DataFrame:
 def books_by_support(books: DataFrame) -> DataFrame:
     """The two series of the language chart: supported and unsupported."""
     per = books_per_language(books)
+    # The series labels of the reference's chart.
     label = F.when(F.col("supported") == "Yes", "Supported languages").otherwise("Unsupported languages")
     return per.select(label.alias("series"), "language", "books")
 
@@ -93,6 +94,13 @@ def corpus_summary(books: DataFrame) -> DataFrame:
                       F.round(100 * F.col("books_without_author") / F.col("books"), 1).alias("without_author_pct"))
 
 
+def catalogue_summary(metadata: DataFrame) -> DataFrame:
+    """Catalogue rows and the share without the author's birth and death years (one row)."""
+    none = F.col("author_birth").isNull() & F.col("author_death").isNull()
+    agg = metadata.agg(F.count("*").alias("books"), F.count_if(none).alias("books_without_years"))
+    return agg.select("*", F.round(100 * F.col("books_without_years") / F.col("books"), 1).alias("without_years_pct"))
+
+
 def paragraph_summary(paragraphs: DataFrame) -> DataFrame:
     """Number of paragraphs, total and maximum length (one row)."""
     return paragraphs.agg(F.count("*").alias("paragraphs"),

@@ -12,7 +12,7 @@ the definition itself.
 
 from __future__ import annotations
 
-from ..functions.text import (PIECE_PATTERN, WORD_PATTERN, TextConfig, config,
+from ..functions.text import (LANGUAGE_CONFIGS, PIECE_PATTERN, WORD_PATTERN, TextConfig, config,
                               sql_language_config, sql_lexeme,
                               sql_lexeme_by_language, sql_str)
 from ..sources.tables import LANGUAGE_NAMES, NO_AUTHOR_SOURCE
@@ -34,15 +34,19 @@ BOOKS = f"""books AS (
          text AS content
   FROM documents)"""
 
-PARAGRAPHS = f"""paragraphs AS (
+def paragraphs_cte(catalogue=LANGUAGE_CONFIGS) -> str:
+    return f"""paragraphs AS (
   SELECT num, language,
          CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS para,
          unnest(parts) AS paragraph
-  FROM (SELECT num, {sql_language_config('language')} AS language,
+  FROM (SELECT num, {sql_language_config('language', catalogue)} AS language,
                string_split(content, '.' || {NL}) AS parts
         FROM books WHERE content IS NOT NULL AND length(content) > 0))"""
 
 
+PARAGRAPHS = paragraphs_cte()
+
+
 def tokens_cte(name: str, source: str, keys: str = "num, para, language",
                text: str = "paragraph") -> str:
     return f"""{name} AS (
@@ -50,10 +54,10 @@ def tokens_cte(name: str, source: str, keys: str = "num, para, language",
   FROM (SELECT {keys}, regexp_extract_all({text}, {sql_str(WORD_PATTERN)}) AS t FROM {source}))"""
 
 
-def lexemes_cte(name: str, tokens: str) -> str:
+def lexemes_cte(name: str, tokens: str, catalogue=LANGUAGE_CONFIGS) -> str:
     return f"""{name} AS (
   SELECT language, num, para, ti, lexeme FROM (
-    SELECT language, num, para, ti, {sql_lexeme_by_language('token', 'language')} AS lexeme
+    SELECT language, num, para, ti, {sql_lexeme_by_language('token', 'language', catalogue)} AS lexeme
     FROM {tokens} WHERE language IS NOT NULL) WHERE lexeme IS NOT NULL)"""
 
 
@@ -88,7 +92,7 @@ def rollup_sql(source: str, with_rank: bool, link_base: str) -> str:
     return f"""SELECT b.author,
        '[' || b.title || '](' || {sql_str(link_base)} || CAST(b.num AS VARCHAR) || ')' AS title,
        b.num,
-       '  ...' || substr(string_agg(DISTINCT substr(m.h, 1, 10000), {SEP} ORDER BY substr(m.h, 1, 10000)), 1, 10000) || '...  '
+       '  ...' || substr(string_agg(DISTINCT m.h, {SEP} ORDER BY m.h), 1, 10000) || '...  '
          AS relevant_paragraphs{rank}
 FROM {source} m JOIN books b ON m.num = b.num
 GROUP BY b.author, b.title, b.num"""

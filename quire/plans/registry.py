@@ -12,22 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PIECE_PATTERN, WORD_PATTERN, sql_language_config, sql_lexeme, sql_str
+from ..functions.text import (ALL_LANGUAGES, PIECE_PATTERN, WORD_PATTERN, sql_language_config, sql_lexeme,
+                              sql_str, tokens)
 from ..operators import graph as G
 from ..operators import mentions as MN
 from ..operators import paragraphs as PG
 from ..operators import postings as PO
 from ..operators import quality as QA
 from ..operators import stats as ST
-from ..operators.analysis import analyze, bind_query, query_terms, tokenize
+from ..operators.analysis import (analyze, bind_query, normalize_with_dictionary, query_terms,
+                                  tokenize)
 from ..operators.headline import headline, with_headline
-from ..operators.matching import all_words_match, phrase_match
+from ..operators.matching import all_words_match, phrase_match, phrase_match_postings
 from ..operators.ranking import cover_density_rank
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import metadata as MD
+from ..sources.sinks import export_csv, write_table
+from ..sources.tables import METADATA_SCHEMA, empty_table, read_table
 from ..sources.tables import books as books_view
-from ..sources.tables import read_table
 from . import oracle as O
 from . import search as S
 
@@ -81,7 +84,8 @@ def q_discovery_search(spark, sf):
 
 
 STOPWORD_QUERY = "to be or not to be"
-RESPLIT_LIMIT = 10000
+RESPLIT_LIMIT = 1000
+RESPLIT_BOOKS = (24, 27, 59, 66, 96, 142, 225, 239, 293)
 RESPLIT_DELIMITER = "\n"
 HIST_WIDTH = 0.25
 FILTER_AUTHOR_PREFIX = "src1"
@@ -108,15 +112,19 @@ def _index(spark, sf):
 @register("phrase_search_index", ORACLES["phrase_search"])
 def q_phrase_search_index(spark, sf):
     bk, idx = _index(spark, sf)
-    return S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], bk, PHRASE, LANGUAGE,
-                                 stats=idx["lexeme_stats"], buckets=idx["buckets"])
+    return S.index_phrase_search(spark, idx, bk, PHRASE, LANGUAGE)
+
+
+@register("phrase_search_index_page", ORACLES["phrase_search_page"])
+def q_phrase_search_index_page(spark, sf):
+    bk, idx = _index(spark, sf)
+    return S.index_phrase_page(spark, idx, bk, PHRASE, LANGUAGE, PAGE_LIMIT, PAGE_START)
 
 
 @register("discovery_search_index", ORACLES["discovery_search"])
 def q_discovery_search_index(spark, sf):
     bk, idx = _index(spark, sf)
-    return S.index_discovery_search(spark, idx["postings"], idx["paragraphs"], bk, ALL_WORDS, LANGUAGE,
-                                    seed=SEED, buckets=idx["buckets"])
+    return S.index_discovery_search(spark, idx, bk, ALL_WORDS, LANGUAGE, seed=SEED)
 
 
 # -------------------------------------------------------- step 1: split, tokens
@@ -145,6 +153,28 @@ def q_analyze(spark, sf):
     return analyze(_paragraphs(spark, sf))
 
 
+_ALL_PARAGRAPHS = O.paragraphs_cte(ALL_LANGUAGES)
+
+
+@register("analyze_all_languages", O.with_ctes(O.BOOKS, _ALL_PARAGRAPHS, O.tokens_cte("tk", "paragraphs"),
+                                               O.lexemes_cte("lx", "tk", ALL_LANGUAGES))
+          + "SELECT language, num, para, ti, lexeme FROM lx")
+def q_analyze_all_languages(spark, sf):
+    return analyze(PG.book_paragraphs(books_view(spark, sf), ALL_LANGUAGES), ALL_LANGUAGES)
+
+
+# the dictionary of this binding: every word of a passage -> its first 4 letters
+@register("analyze_dictionary", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), f"""dict AS (
+  SELECT DISTINCT lower(unnest(regexp_extract_all(text, {sql_str(WORD_PATTERN)}))) AS word FROM benchmark)""")
+          + """SELECT language, num, para, ti, CASE WHEN d.word IS NULL THEN lexeme ELSE substr(lexeme, 1, 4) END AS lexeme
+FROM lx LEFT JOIN dict d ON lx.lexeme = d.word AND lx.language = 'english'""")
+def q_analyze_dictionary(spark, sf):
+    words = (read_table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("w"))
+             .select(F.lit("english").alias("language"), F.lower("w").alias("word")).distinct())
+    dictionary = words.withColumn("lexeme", F.substring("word", 1, 4))
+    return normalize_with_dictionary(analyze(_paragraphs(spark, sf)), dictionary)
+
+
 @register("query_terms", O.with_ctes(f"""qt AS (
   SELECT item_id AS query_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
   FROM (SELECT item_id, regexp_extract_all(text, {sql_str(WORD_PATTERN)}) AS t FROM benchmark))""",
@@ -210,10 +240,32 @@ def q_all_words_match(spark, sf):
     return all_words_match(paras, q).select("num", "para")
 
 
-@register("stopword_query", _cte(O.phrase_matches_sql(STOPWORD_QUERY, LANGUAGE))
-          + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE))
+# one batch: a stopwords-only query matches nothing, the others do
+QUERY_BATCH = ((1, STOPWORD_QUERY), (2, PHRASE), (3, "of the and thanedble"), (4, "onre"))
+
+
+@register("stopword_query", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), f"""qt AS (
+  SELECT query_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
+  FROM (SELECT query_id, regexp_extract_all(query, {sql_str(WORD_PATTERN)}) AS t
+        FROM (VALUES {', '.join(f'({i}, {sql_str(q)})' for i, q in QUERY_BATCH)}) AS b(query_id, query))),
+ql AS (SELECT query_id, pos, {sql_lexeme('token', LANGUAGE)} AS lexeme FROM qt),
+terms AS (SELECT query_id, lexeme, pos - min(pos) OVER (PARTITION BY query_id) AS off FROM ql WHERE lexeme IS NOT NULL),
+nn AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id),
+starts AS (
+  SELECT t.query_id, lx.num, lx.para, lx.ti - t.off AS st
+  FROM lx JOIN terms t ON lx.lexeme = t.lexeme JOIN nn ON nn.query_id = t.query_id
+  WHERE lx.language = {sql_str(LANGUAGE)}
+  GROUP BY t.query_id, lx.num, lx.para, lx.ti - t.off, nn.n HAVING count(*) = nn.n),
+per AS (SELECT query_id, count(DISTINCT (num, para)) AS paragraphs, count(DISTINCT num) AS books FROM starts GROUP BY query_id)""")
+          + f"""SELECT b.query_id, coalesce(paragraphs, 0) AS paragraphs, coalesce(books, 0) AS books
+FROM (VALUES {', '.join(f'({i}::BIGINT)' for i, _ in QUERY_BATCH)}) AS b(query_id) LEFT JOIN per ON per.query_id = b.query_id""")
 def q_stopword_query(spark, sf):
-    return S.phrase_search(spark, books_view(spark, sf), STOPWORD_QUERY, LANGUAGE)
+    batch = spark.createDataFrame(QUERY_BATCH, "query_id long, query string")
+    lexemes = analyze(_paragraphs(spark, sf)).where(F.col("language") == LANGUAGE)
+    hits = phrase_match_postings(lexemes, query_terms(spark, batch, LANGUAGE))
+    per_book = hits.groupBy("query_id", "num").agg(F.count("*").alias("n"))
+    per = per_book.groupBy("query_id").agg(F.sum("n").alias("paragraphs"), F.count("*").alias("books"))
+    return batch.select("query_id").join(per, "query_id", "left").fillna(0)
 
 
 # ------------------------------------------------------- step 4: postings, stats
@@ -236,7 +288,7 @@ def q_postings(spark, sf):
           + """SELECT language, lexeme, count(*) AS paragraphs, CAST(sum(tf) AS BIGINT) AS occurrences
 FROM post GROUP BY language, lexeme""")
 def q_lexeme_stats(spark, sf):
-    return PO.lexeme_stats(PO.postings(analyze(_paragraphs(spark, sf))))
+    return PO.paragraph_stats(_paragraphs(spark, sf))
 
 
 # ------------------------------------------------- step 5: languages and statistics
@@ -425,22 +477,29 @@ def q_shortest_path(spark, sf):
 # ------------------------------------------------------------ step 7: ingest, repair
 
 def _catalogue_sql():
-    def arr(x):
-        return f"json_array({x})"
+    def arr(*x):
+        return f"json_array({', '.join(x)})"
     q = "'?'"
+
+    def year(first, every):
+        return f"CASE WHEN num % {every} = 0 THEN '?' ELSE CAST(num % 150 + {first} AS VARCHAR) END"
+    pad = "lpad(CAST(num AS VARCHAR), 5, '0')"
     obj = ", ".join([
         "'Num', num",
         f"'Author', {arr(f'coalesce(author, {q})')}",
-        f"'Author Birth', {arr(q)}", f"'Author Death', {arr(q)}",
-        f"'Author Given', {arr(f'coalesce(author, {q})')}", f"'Author Surname', {arr(q)}",
+        f"'Author Birth', {arr(year(1700, 3))}", f"'Author Death', {arr(year(1760, 4))}",
+        f"'Author Given', {arr(f'coalesce(author, {q})', chr(39) + 'second' + chr(39))}",
+        "'Author Surname', json_array(CASE WHEN num % 2 = 0 THEN '?' ELSE 'S' || CAST(num AS VARCHAR) END)",
         "'Copyright Status', json_array('Public domain in the USA.')",
         f"'Language', {arr(f'coalesce(language, {q})')}", f"'LoC Class', {arr(q)}",
-        "'Subject', json_array()", f"'Title', {arr(f'coalesce(title, {q})')}",
-        "'charset', 'utf-8'", "'gd-num-padded', lpad(CAST(num AS VARCHAR), 5, '0')",
-        "'gd-path', substr(lpad(CAST(num AS VARCHAR), 5, '0'), 1, 3) || '/' || lpad(CAST(num AS VARCHAR), 5, '0') || '.txt'",
+        "'Subject', CASE WHEN num % 5 = 0 THEN json_array() ELSE json_array('topic ' || CAST(num % 7 AS VARCHAR), 'books') END",
+        f"'Title', {arr(f'coalesce(title, {q})')}",
+        f"'charset', 'utf-8', 'gd-num-padded', {pad}, 'gd-path', substr({pad}, 1, 3) || '/' || {pad} || '.txt'",
         "'href', '/ebooks/' || CAST(num AS VARCHAR)"])
-    return f"""cat AS (SELECT num AS book, json_array(json_object({obj})) AS catalogue FROM books),
-meta AS (SELECT book, unnest(json_extract(catalogue, '$[*]')) AS metadata FROM cat)"""
+    return f"""cat AS (
+  SELECT num // {MD.CATALOGUE_BOOKS} AS part, json_group_array(json_object({obj})) AS catalogue
+  FROM books GROUP BY num // {MD.CATALOGUE_BOOKS}),
+meta AS (SELECT part, unnest(json_extract(catalogue, '$[*]')) AS metadata FROM cat)"""
 
 
 def _flat_sql():
@@ -449,34 +508,34 @@ def _flat_sql():
         cols.append(f"nullif(json_extract_string(metadata, '$.\"{key}\"[0]'), '?') AS {name}")
     for key, name in MD.SCALAR_FIELDS:
         cols.append(f"nullif(json_extract_string(metadata, '$.\"{key}\"'), '?') AS {name}")
-    return "flat AS (SELECT book, " + ", ".join(cols) + " FROM meta)"
+    return "flat AS (SELECT part, " + ", ".join(cols) + " FROM meta)"
 
 
 def _catalogue(spark, sf):
     return MD.catalogue_records(books_view(spark, sf))
 
 
-@register("json_explode", _cte(_catalogue_sql()) + """SELECT book,
+@register("json_explode", _cte(_catalogue_sql()) + """SELECT part,
   TRY_CAST(json_extract_string(metadata, '$.Num') AS BIGINT) AS num,
   json_extract_string(metadata, '$.Title[0]') AS title FROM meta""")
 def q_json_explode(spark, sf):
     m = MD.explode_json_array(_catalogue(spark, sf), "catalogue")
-    return m.select("book", F.get_json_object("metadata", "$.Num").try_cast("bigint").alias("num"),
+    return m.select("part", F.get_json_object("metadata", "$.Num").try_cast("bigint").alias("num"),
                     F.get_json_object("metadata", "$.Title[0]").alias("title"))
 
 
-@register("metadata_flatten", _cte(_catalogue_sql(), _flat_sql()) + "SELECT * EXCLUDE (book) FROM flat")
+@register("metadata_flatten", _cte(_catalogue_sql(), _flat_sql()) + "SELECT * EXCLUDE (part) FROM flat")
 def q_metadata_flatten(spark, sf):
     return MD.flatten_metadata(MD.explode_json_array(_catalogue(spark, sf), "catalogue"))
 
 
-@register("sentinel_null", _cte(_catalogue_sql()) + """SELECT book AS num,
+@register("sentinel_null", _cte(_catalogue_sql()) + """SELECT CAST(json_extract_string(metadata, '$.Num') AS BIGINT) AS num,
   json_extract_string(metadata, '$.Author[0]') AS raw_author,
   nullif(json_extract_string(metadata, '$.Author[0]'), '?') AS author FROM meta""")
 def q_sentinel_null(spark, sf):
     m = MD.explode_json_array(_catalogue(spark, sf), "catalogue")
     raw = F.get_json_object("metadata", "$['Author'][0]")
-    return m.select(F.col("book").alias("num"), raw.alias("raw_author"),
+    return m.select(F.get_json_object("metadata", "$.Num").cast("bigint").alias("num"), raw.alias("raw_author"),
                     MD.sentinel_null(raw).alias("author"))
 
 
@@ -487,16 +546,15 @@ def q_path_directory(spark, sf):
     return flat.select("num", "gd_path", FS.path_part(F.col("gd_path"), 1).alias("directory"))
 
 
-@register("book_assemble", _cte(_catalogue_sql(), _flat_sql()) + """SELECT f.* EXCLUDE (book),
+@register("book_assemble", _cte(_catalogue_sql(), _flat_sql()) + """SELECT f.* EXCLUDE (part),
   CAST(length(c.content) AS INTEGER) AS length, md5(c.content) AS content_md5
 FROM flat f JOIN books c ON f.num = c.num""")
 def q_book_assemble(spark, sf):
+    # lengths are a projection of the content, which is joined once
     bk = books_view(spark, sf)
     flat = MD.flatten_metadata(MD.explode_json_array(MD.catalogue_records(bk), "catalogue"))
-    content = bk.select("num", "content")
-    lengths = content.select("num", F.length("content").alias("length"))
-    return (flat.join(lengths, "num").join(content, "num")
-            .withColumn("content_md5", F.md5("content")).drop("content"))
+    content = bk.select("num", F.length("content").alias("length"), F.md5("content").alias("content_md5"))
+    return flat.join(content, "num")
 
 
 @register("paragraph_language", _cte() + f"""SELECT p.num, p.para, {sql_language_config('b.language')} AS language
@@ -529,6 +587,26 @@ def q_paragraph_prune(spark, sf):
     return PG.prune_long(rs, RESPLIT_LIMIT).select("num", "para", "part", "paragraph_length")
 
 
+@register("paragraph_append", _cte(f"""old AS (
+  SELECT num, CAST(length(paragraph) AS INTEGER) AS paragraph_length, paragraph FROM paragraphs),
+added AS (
+  SELECT num, CAST(length(part) AS INTEGER) AS paragraph_length, part AS paragraph
+  FROM (SELECT num, unnest(string_split(paragraph, chr(10))) AS part FROM old
+        WHERE num IN {RESPLIT_BOOKS} AND paragraph_length > {RESPLIT_LIMIT})),
+both_ AS (SELECT * FROM old UNION ALL SELECT * FROM added)""") + f"""SELECT num, paragraph_length, md5(paragraph) AS md5
+FROM both_ WHERE NOT coalesce(paragraph_length > {RESPLIT_LIMIT}, false)""")
+def q_paragraph_append(spark, sf):
+    # the stored table gets the listed books' new parts appended, then the
+    # over-long rows are deleted
+    path = scratch_path(spark, "paragraphs")
+    cols = ["num", "paragraph_length", "paragraph"]
+    write_table(PG.split_paragraphs(books_view(spark, sf)).select(cols), path)
+    new = PG.new_parts(spark.read.parquet(path), RESPLIT_LIMIT, RESPLIT_DELIMITER, RESPLIT_BOOKS)
+    write_table(new.select(cols), path, mode="append")
+    left = PG.prune_long(spark.read.parquet(path), RESPLIT_LIMIT)
+    return left.select("num", "paragraph_length", F.md5("paragraph").alias("md5"))
+
+
 @register("longest_paragraphs", _cte() + f"""SELECT p.num, p.para, b.title, b.language,
   CASE WHEN b.language IN ('English', 'French', 'German') THEN b.language ELSE 'Other' END AS language_bucket,
   CAST(length(p.paragraph) AS INTEGER) AS paragraph_length
@@ -549,8 +627,81 @@ def q_query_log_stats(spark, sf):
     return log_stats(events_as_log(read_table(spark, sf, "events")))
 
 
+# ----------------------------------------------- written tables, log and export
+
+_LENGTHS = _cte() + "SELECT num, author, CAST(length(content) AS INTEGER) AS length FROM books"
+
+
+def _lengths(spark, sf):
+    return books_view(spark, sf).select("num", "author", F.length("content").alias("length"))
+
+
+@register("table_as_select", _LENGTHS)
+def q_table_as_select(spark, sf):
+    return spark.read.parquet(write_table(_lengths(spark, sf), scratch_path(spark, "lengths")))
+
+
+@register("ordered_table", _LENGTHS)
+def q_ordered_table(spark, sf):
+    # written in order of length, longest first
+    ordered = _lengths(spark, sf).orderBy(F.col("length").desc(), "num")
+    return spark.read.parquet(write_table(ordered, scratch_path(spark, "ordered")))
+
+
+@register("staging_append", _cte(_catalogue_sql(), _flat_sql()) + """SELECT * EXCLUDE (part) FROM flat
+UNION ALL SELECT * EXCLUDE (part) FROM flat WHERE author IS NULL""")
+def q_staging_append(spark, sf):
+    # an empty typed table, then two inserts
+    path = write_table(empty_table(spark, METADATA_SCHEMA), scratch_path(spark, "staging"))
+    flat = MD.flatten_metadata(MD.explode_json_array(_catalogue(spark, sf), "catalogue"))
+    write_table(flat, path, mode="append")
+    write_table(flat.where(F.col("author").isNull()), path, mode="append")
+    return spark.read.schema(METADATA_SCHEMA).parquet(path)
+
+
+@register("csv_export", _cte() + """SELECT num, author, language, title, CAST(length AS BIGINT) AS length FROM books""")
+def q_csv_export(spark, sf):
+    rows = books_view(spark, sf).select("num", "author", "language", "title", "length")
+    path = export_csv(rows, scratch_path(spark, "csv"))
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@register("query_log_append", """SELECT event_type AS tab, ts AS time, 'english' AS language,
+  json_extract_string(props, '$.k') AS query, 10 AS rows_returned_aka_limit, 1 AS start_row_aka_offset FROM events""")
+def q_query_log_append(spark, sf):
+    from ..streaming.querylog import append_log, events_as_log
+    log = events_as_log(read_table(spark, sf, "events"))
+    path = scratch_path(spark, "log")
+    for tab in [r["tab"] for r in log.select("tab").distinct().collect()]:  # one append per tab
+        append_log(log.where(F.col("tab") == tab), path)
+    return spark.read.schema(log.schema).parquet(path).select(log.columns)
+
+
+@register("mention_pairs_stored", _cte(_NAMES_SQL) + "SELECT * FROM pairs")
+def q_mention_pairs_stored(spark, sf):
+    # as the graph reads them: written by books_mentioned_in, most first
+    pairs = _pairs(spark, sf).orderBy(F.col("books_mentioned_in").desc(), "mentioned_author", "mentioned_by")
+    return spark.read.parquet(write_table(pairs, scratch_path(spark, "pairs")))
+
+
+@register("catalogue_summary", _cte(_catalogue_sql(), _flat_sql()) + """SELECT count(*) AS books,
+  count(*) FILTER (WHERE author_birth IS NULL AND author_death IS NULL) AS books_without_years,
+  round(100.0 * count(*) FILTER (WHERE author_birth IS NULL AND author_death IS NULL) / count(*), 1) AS without_years_pct
+FROM flat""")
+def q_catalogue_summary(spark, sf):
+    return ST.catalogue_summary(MD.flatten_metadata(MD.explode_json_array(_catalogue(spark, sf), "catalogue")))
+
+
 # ------------------------------------------------------- step 8: quality and tools
 
+@register("check_unique_pairs", _cte(_NAMES_SQL) + """SELECT 'mentions.pair' AS "check", count(*) AS rows,
+  count(DISTINCT (mentioned_author, mentioned_by)) AS keys,
+  count(*) - count(DISTINCT (mentioned_author, mentioned_by)) AS duplicate_keys,
+  count(*) FILTER (WHERE mentioned_author IS NULL OR mentioned_by IS NULL) AS null_key_rows FROM pairs""")
+def q_check_unique_pairs(spark, sf):
+    return QA.check_unique(_pairs(spark, sf), ["mentioned_author", "mentioned_by"], "mentions.pair")
+
+
 @register("check_unique", _cte() + """SELECT 'books.num' AS "check", count(*) AS rows,
   count(DISTINCT num) + max(CASE WHEN num IS NULL THEN 1 ELSE 0 END) AS keys,
   (SELECT count(*) FROM (SELECT num FROM books GROUP BY num HAVING count(*) > 1)) AS duplicate_keys,
@@ -592,13 +743,13 @@ def q_title_link(spark, sf):
     return bk.select("num", title_link(F.col("title"), F.col("num"), S.DEFAULT_LINK_BASE).alias("title"))
 
 
-@register("rank_format", _SEARCH_RES + """SELECT num,
-  CASE WHEN round(rank, 1) >= 100 THEN '##.#' ELSE lpad(printf('%.1f', round(rank, 1)), 4, ' ') END AS rank_text
-FROM res""")
+@register("rank_format", _cte(O.phrase_matches_sql(PHRASE, LANGUAGE)) + """SELECT num,
+  CASE WHEN r >= 100 THEN ' ##.#' ELSE lpad(printf('%.1f', r), 5, ' ') END AS rank_text
+FROM (SELECT num, round(avg(rank) * 100, 1) AS r FROM pm GROUP BY num)""")
 def q_rank_format(spark, sf):
     from ..functions.text import rank_text
-    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
-    return res.select("num", rank_text(F.col("rank")).alias("rank_text"))
+    m = S.phrase_matches(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    return m.groupBy("num").agg(rank_text(F.avg("rank") * 100).alias("rank_text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

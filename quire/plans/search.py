@@ -19,14 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import title_link
+from ..functions.text import spark_sql_str, title_link
 from ..operators.analysis import BoundQuery, bind_query
 from ..operators.headline import with_headline
-from ..operators.matching import (all_words_match, all_words_match_postings,
-                                  phrase_match, phrase_match_postings,
-                                  term_table)
+from ..operators.matching import all_words_match, phrase_match
 from ..operators.paragraphs import book_paragraphs
-from ..operators.postings import lexeme_filter
+from ..operators.postings import book_block, open_postings
 from ..operators.ranking import cover_density_rank
 
 # Fixed values of the result format.
@@ -39,67 +37,49 @@ DISCOVERY_ROWS = 30
 DEFAULT_LINK_BASE = "ebooks/"
 # Salt buckets for the per-book excerpt selection (spreads one hot book).
 EXCERPT_SALT = 64
-# Largest hit list an index search turns into a literal paragraph filter.
-HIT_LITERALS = 10000
-
-
-def excerpt_bound(limit: int = EXCERPT_LIMIT, sep: str = EXCERPT_SEPARATOR) -> int:
-    """How many sorted excerpts can reach the first ``limit`` characters.
-
-    Every excerpt has at least one character and is preceded by ``sep``, so
-    excerpt k starts at offset >= (k - 1) * (1 + len(sep)). Keeping this many
-    smallest excerpts per book gives exactly the same cut text as all of them.
-    """
-    return limit // (1 + len(sep)) + 2
 
 
 def rollup_books(matched: DataFrame, books: DataFrame, link_base: str = DEFAULT_LINK_BASE,
-                 with_rank: bool = True, salt: int = EXCERPT_SALT, few_rows: bool = False) -> DataFrame:
+                 with_rank: bool = True, salt: int = EXCERPT_SALT) -> DataFrame:
     """Per book: ``author, title, num, relevant_paragraphs[, rank]``.
 
     ``matched`` has one row per matched paragraph: ``num, h`` (its excerpt)
     and, for search, ``rank``. One pipeline, no branch re-reading the input:
 
     1. cut excerpts to the output length (keeps their order and the cut
-       result) and aggregate by (num, h): rank sum and count per excerpt;
-    2. rank inside (num, salt bucket) windows and keep the ``excerpt_bound``
-       smallest excerpts per bucket, carrying the bucket's rank totals on its
-       first row -- a book with a huge number of matches is spread over
-       ``salt`` tasks;
-    3. rank again per book (at most salt x bound rows each) and aggregate:
-       sorted excerpts joined, average rank = sum / count.
+       result) and aggregate by (num, h), combining on the map side: an excerpt
+       repeated any number of times leaves a task once;
+    2. inside (num, salt bucket) windows keep the excerpts that reach into the
+       output length of the bucket's own sorted text (in the whole book's
+       they start no earlier), carrying the bucket's rank totals on its first
+       row: a bucket passes on at most two output lengths of text;
+    3. the same per book over at most ``salt`` x two output lengths, then the
+       sorted excerpts joined and the average rank = sum / count.
     """
-    n = excerpt_bound()
     m = matched.withColumn("h", F.substring("h", 1, EXCERPT_LIMIT))
     rank = F.col("rank") if with_rank else F.lit(0.0)
-    if few_rows:
-        # the caller knows the input is small (bounded): one exchange on num
-        # serves both aggregates, no salting needed
-        per_book = (m.repartition("num").groupBy("num", "h")
-                    .agg(F.sum(rank).alias("rs"), F.count("*").alias("rc"))
-                    .groupBy("num")
-                    .agg(F.array_join(F.slice(F.array_sort(F.collect_list("h")), 1, n),
-                                      EXCERPT_SEPARATOR).alias("agg"),
-                         (F.sum("rs") / F.sum("rc")).alias("avg_rank")))
-        return _book_rows(per_book, books, link_base, with_rank)
-    # partitioned once by (num, bucket): the (num, bucket, h) aggregate and
-    # the bucket window both reuse that exchange
-    by_h = (m.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(salt)))
-            .repartition("num", "bucket")
-            .groupBy("num", "bucket", "h").agg(F.sum(rank).alias("rs"), F.count("*").alias("rc")))
-    w1 = Window.partitionBy("num", "bucket").orderBy("h")
-    w1all = Window.partitionBy("num", "bucket")
-    first = (by_h
-             .select("num", "h", F.row_number().over(w1).alias("r1"),
-                     F.sum("rs").over(w1all).alias("brs"), F.sum("rc").over(w1all).alias("brc"))
-             .where(F.col("r1") <= n))
+    by_h = m.groupBy("num", "h").agg(F.sum(rank).alias("rs"), F.count("*").alias("rc"))
+    salted = by_h.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(salt)))
+    step = F.length("h") + len(EXCERPT_SEPARATOR)
+
+    def begins(*keys):
+        """Where an excerpt starts in the sorted, joined text of its group."""
+        w = Window.partitionBy(*keys).orderBy("h")
+        return F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - step
+
+    # an excerpt counts if the separator before it starts within the text
+    end = EXCERPT_LIMIT + len(EXCERPT_SEPARATOR)
+
+    whole = Window.partitionBy("num", "bucket")
+    first = (salted.select("num", "h", begins("num", "bucket").alias("b1"),
+                           F.sum("rs").over(whole).alias("brs"), F.sum("rc").over(whole).alias("brc"))
+             .where(F.col("b1") < end))
     first = first.select("num", "h",
-                         F.when(F.col("r1") == 1, F.col("brs")).otherwise(F.lit(0.0)).alias("brs"),
-                         F.when(F.col("r1") == 1, F.col("brc")).otherwise(F.lit(0)).alias("brc"))
-    w2 = Window.partitionBy("num").orderBy("h")
-    per_book = (first.withColumn("r2", F.row_number().over(w2))
+                         F.when(F.col("b1") == 0, F.col("brs")).otherwise(F.lit(0.0)).alias("brs"),
+                         F.when(F.col("b1") == 0, F.col("brc")).otherwise(F.lit(0)).alias("brc"))
+    per_book = (first.withColumn("b2", begins("num"))
                 .groupBy("num")
-                .agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("r2") <= n, F.col("h")))),
+                .agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("b2") < end, F.col("h")))),
                                   EXCERPT_SEPARATOR).alias("agg"),
                      (F.sum("brs") / F.sum("brc")).alias("avg_rank")))
     return _book_rows(per_book, books, link_base, with_rank)
@@ -174,92 +154,104 @@ def seeded_random(num: Column, seed: int) -> Column:
 
 
 # ------------------------------------------------------------ over the index
+#
+# Every function is one lazy plan: the query is bound as literals, and the
+# positions of its words meet in one exchange on ``num``, which the phrase
+# test, the paragraph count and the rank per book all reuse. Text is read for
+# matched paragraphs only, on a page for the page's books only.
+
+def phrase_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
+    """``num, para, n_matches`` from positions ``num, para, ti, lexeme``.
 
-def index_phrase_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
-                         query: str | BoundQuery, language: str = "english",
-                         mode: str = "full", stats: DataFrame | None = None,
-                         buckets: int | None = None, only_matches: bool = False) -> DataFrame:
-    """Same rows as ``phrase_matches``, from stored postings (see ``_index_matches``)."""
-    return _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets,
-                          only_matches)[0]
-
-
-def _index_matches(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
-                   query: str | BoundQuery, language: str, mode: str,
-                   stats: DataFrame | None, buckets: int | None,
-                   only_matches: bool = False) -> tuple[DataFrame, bool]:
-    """``(matches, bounded)``: matched paragraphs from stored postings, and
-    whether their number is known to be at most ``HIT_LITERALS``.
-
-    The language is a partition column and the query lexemes are literals, so
-    both reach the Parquet scan (partition pruning + row-group skipping on
-    the lexeme-sorted files). With ``stats`` (``lexeme_stats``), the rarest
-    query lexeme goes first: a lexeme absent from the corpus ends the search
-    at once, and the postings of all terms are semi-joined to the paragraphs
-    holding the rarest one before the phrase aggregation, so a very common
-    word never drives a large shuffle.
+    An occurrence starts at ``ti - offset`` and is complete when all the
+    query's terms are there; a position holds one lexeme, so rows are counted.
     """
-    q = _as_query(spark, query, language)
-    empty = "num long, para int, n_matches long, rank double, h string"
+    offsets = " ".join(f"WHEN {spark_sql_str(lx)} THEN array({', '.join(str(o) for t, o in q.terms if t == lx)})"
+                       for lx in q.lexemes)
+    dealt = (postings.select("num", "para", "ti", F.explode(F.expr(f"CASE lexeme {offsets} END")).alias("off"))
+             .select("num", "para", (F.col("ti") - F.col("off")).alias("start")).repartition("num"))
+    return (dealt.groupBy("num", "para", "start").count().where(F.col("count") == len(q.terms))
+            .groupBy("num", "para").agg(F.count("*").alias("n_matches")))
+
+
+def all_words_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
+    """``num, para`` where every query lexeme occurs: one bit per lexeme."""
+    bits = " ".join(f"WHEN {spark_sql_str(lx)} THEN {1 << i}L" for i, lx in enumerate(q.lexemes))
+    dealt = postings.select("num", "para", F.expr(f"CASE lexeme {bits} END").alias("bit")).distinct().repartition("num")
+    return (dealt.groupBy("num", "para").agg(F.bit_or("bit").alias("found"))
+            .where(F.col("found") == (1 << len(q.lexemes)) - 1).select("num", "para"))
+
+
+def _no_hits(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "num long, para int, n_matches long")
+
+
+def _index_hits(spark: SparkSession, idx: dict, q: BoundQuery, phrase: bool) -> DataFrame:
     if not q.terms:
-        return spark.createDataFrame([], empty), True
-    lang = F.col("language") == q.config.name
-    post = postings.where(lexeme_filter(postings, q.config.name, q.lexemes, buckets))
-    if stats is not None:
-        freq = {r["lexeme"]: r["paragraphs"] for r in stats.where(lang & F.col("lexeme").isin(list(q.lexemes)))
-                .select("lexeme", "paragraphs").collect()}
-        if len(freq) < len(q.lexemes):
-            return spark.createDataFrame([], empty), True
-        if len(q.lexemes) > 1:
-            rare = min(q.lexemes, key=lambda lx: (freq[lx], lx))
-            cand = postings.where(lexeme_filter(postings, q.config.name, [rare], buckets)).select("num", "para")
-            post = post.join(cand, ["num", "para"], "left_semi")
-    hits = phrase_match_postings(post, term_table(spark, q)).drop("query_id")
-    paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
-    # few hits (checked by fetching at most one row over the bound): their
-    # book ids become a literal filter on the paragraph scan, which skips the
-    # row groups of other books; otherwise a plain join
-    few = hits.limit(HIT_LITERALS + 1).collect()
-    if len(few) <= HIT_LITERALS:
-        if not few:
-            return spark.createDataFrame([], empty), True
-        nums = ", ".join(str(n) for n in sorted({r["num"] for r in few}))
-        hits = F.broadcast(spark.createDataFrame(few, "num long, para int, n_matches long"))
-        paras = paras.where(F.expr(f"num IN ({nums})"))
-    m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode, only_matches=only_matches)
-    out = m.select("num", "para", "n_matches",
-                   cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
-    return out, len(few) <= HIT_LITERALS
-
-
-def index_phrase_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
-                        books: DataFrame, query: str | BoundQuery, language: str = "english",
-                        link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
-                        stats: DataFrame | None = None, buckets: int | None = None,
-                        only_matches: bool = False) -> DataFrame:
-    m, bounded = _index_matches(spark, postings, paragraphs, query, language, mode, stats, buckets,
-                                only_matches)
-    return rollup_books(m, books, link_base, with_rank=True, few_rows=bounded)
-
-
-def index_all_words_paragraphs(spark: SparkSession, postings: DataFrame, query: str | BoundQuery,
-                               language: str = "english", buckets: int | None = None) -> DataFrame:
+        return _no_hits(spark)
+    post = open_postings(spark, idx["path"], q.config.name, q.lexemes, idx["buckets"])
+    return phrase_hits(post, q) if phrase else all_words_hits(post, q)
+
+
+def _excerpts(idx: dict, hits: DataFrame, q: BoundQuery, mode: str, only_matches: bool) -> DataFrame:
+    """Matched paragraphs with excerpt (and rank for a phrase).
+
+    Hits are narrow; whether they are broadcast to the text or both are
+    shuffled is the optimizer's choice by bytes.
+    """
+    paras = idx["paragraphs"].where(F.col("language") == q.config.name).select("num", "para", "paragraph", "block")
+    where = hits.withColumn("block", book_block(F.col("num"), idx["blocks"]))
+    m = with_headline(paras.join(where, ["block", "num", "para"]), "paragraph", q, mode, only_matches=only_matches)
+    if "n_matches" in hits.columns:
+        return m.select("num", "para", "n_matches", cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
+    return m.select("num", "para", "h")
+
+
+def index_phrase_search(spark: SparkSession, idx: dict, books: DataFrame, query: str | BoundQuery,
+                        language: str = "english", link_base: str = DEFAULT_LINK_BASE,
+                        mode: str = "full", only_matches: bool = False) -> DataFrame:
+    """``phrase_search`` over a stored index (``read_index``): all matching books."""
     q = _as_query(spark, query, language)
-    if not q.terms:
-        return spark.createDataFrame([], "num long, para int")
-    post = postings.where(lexeme_filter(postings, q.config.name, q.lexemes, buckets))
-    return all_words_match_postings(post, term_table(spark, q)).drop("query_id")
+    m = _excerpts(idx, _index_hits(spark, idx, q, True), q, mode, only_matches)
+    return rollup_books(m, books, link_base, with_rank=True)
 
 
-def index_discovery_search(spark: SparkSession, postings: DataFrame, paragraphs: DataFrame,
-                           books: DataFrame, query: str | BoundQuery, language: str = "english",
-                           seed: int = 42, n: int = DISCOVERY_ROWS,
-                           link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
-                           buckets: int | None = None) -> DataFrame:
-    """``discovery_search`` from stored postings (all words, any order)."""
+def index_phrase_page(spark: SparkSession, idx: dict, books: DataFrame, query: str | BoundQuery,
+                      language: str = "english", limit: int = 10, start: int = 1,
+                      link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
+                      only_matches: bool = False) -> DataFrame:
+    """One page of the search: rank from the postings alone, take the page,
+    then read and mark the text of its books (at most ``limit`` book ids are
+    broadcast to the paragraphs, which are pruned to the books' blocks)."""
+    if limit < 1 or start < 1:
+        raise ValueError("limit and start are 1-based positive integers")
     q = _as_query(spark, query, language)
-    hits = index_all_words_paragraphs(spark, postings, q, language, buckets)
-    paras = paragraphs.where(F.col("language") == q.config.name).select("num", "para", "paragraph")
-    m = with_headline(paras.join(hits, ["num", "para"]), "paragraph", q, mode).select("num", "h")
-    res = rollup_books(m, books, link_base, with_rank=False)
-    return res.withColumn("rand", seeded_random(F.col("num"), seed)).orderBy("rand", "num").limit(n)
+    hits = _index_hits(spark, idx, q, True)
+    rank = cover_density_rank(F.col("n_matches"), q)
+    ranks = hits.groupBy("num").agg(F.round(F.sum(rank) / F.count("*") * 100, 4).alias("rank"))
+    top = (ranks.join(books.select("num"), "num", "left_semi")
+           .orderBy(F.col("rank").desc(), F.col("num")).offset(start - 1).limit(limit).select("num"))
+    return page(_of_books(spark, idx, hits, top, books, q, link_base, mode, only_matches, True), limit)
+
+
+def _of_books(spark, idx: dict, hits: DataFrame, top: DataFrame, books: DataFrame, q: BoundQuery,
+              link_base: str, mode: str, only_matches: bool, with_rank: bool) -> DataFrame:
+    """The result rows of the few books in ``top``."""
+    chosen = F.broadcast(top.withColumn("block", book_block(F.col("num"), idx["blocks"])))
+    near = idx | {"paragraphs": idx["paragraphs"].join(chosen, ["block", "num"])}
+    m = _excerpts(near, hits.join(F.broadcast(top), "num"), q, mode, only_matches)
+    return rollup_books(m, books, link_base, with_rank=with_rank)
+
+
+def index_discovery_search(spark: SparkSession, idx: dict, books: DataFrame, query: str | BoundQuery,
+                           language: str = "english", seed: int = 42, n: int = DISCOVERY_ROWS,
+                           link_base: str = DEFAULT_LINK_BASE, mode: str = "full") -> DataFrame:
+    """``discovery_search`` over a stored index: the ``n`` books are drawn from
+    the hits, then only their text is read."""
+    q = _as_query(spark, query, language)
+    hits = _index_hits(spark, idx, q, False).select("num", "para")
+    rand = seeded_random(F.col("num"), seed)
+    top = (hits.select("num").distinct().join(books.select("num"), "num", "left_semi")
+           .orderBy(rand, "num").limit(n))
+    res = _of_books(spark, idx, hits, top, books, q, link_base, mode, False, False)
+    return res.withColumn("rand", rand).orderBy("rand", "num").limit(n)

@@ -8,6 +8,8 @@ Parquet; nothing is read through the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +22,84 @@ def path_part(path: Column, index: int, sep: str = "/") -> Column:
     return F.split_part(path, F.lit(sep), F.lit(index))
 
 
+def _root_path(root: str) -> str:
+    """``root`` without scheme and authority, as file paths show it."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root.rstrip("/")).rstrip("/")
+
+
+def relative_path(file_path: Column, root: str) -> Column:
+    """Plain path below ``root`` of a percent-encoded ``_metadata.file_path``.
+
+    ``+`` is an ordinary character of a path, so it is kept from the decoder.
+    """
+    plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, r"^.*?" + _java_quote(_root_path(root)) + "/+", "")
+
+
+def trimmed(content: Column) -> Column:
+    """Without one trailing newline, as a shell read of the file drops it."""
+    return F.regexp_replace(content, r"\n\z", "")
+
+
+def book_files(spark: SparkSession, root: str) -> DataFrame:
+    """``rel_path, content`` of every non-empty file under ``root``."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    return files.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+                        F.col("value").alias("content"))
+
+
 def read_contents(spark: SparkSession, metadata: DataFrame, root: str,
                   path_col: str = "gd_path") -> DataFrame:
     """``(num, content)`` for every catalogue row, from files under ``root``.
 
-    - Files are matched on their path relative to ``root``.
-    - Zero-byte files are skipped by Spark's text readers, so the join starts
-      from the catalogue (left join) and a missing match becomes ''.
+    - Files are matched on their path relative to ``root``. The text meets the
+      catalogue in an inner join, whose small side can be broadcast, so the
+      text isn't shuffled for it; catalogue rows without text are found by
+      paths alone and get ''. ``content_report`` says why.
     - One trailing newline is dropped, as a shell read of the file does.
     """
-    root = root.rstrip("/")
-    files = (spark.read.text(f"{root}/*", wholetext=True, recursiveFileLookup=True)
-             .select(F.col("_metadata.file_path").alias("file_path"),
-                     F.col("value").alias("content")))
-    rel = F.regexp_replace(F.col("file_path"), r"^.*?" + _java_quote(root) + "/", "")
-    files = files.select(rel.alias("rel_path"), "content")
-    joined = metadata.select("num", F.col(path_col).alias("rel_path")).join(
-        files, on="rel_path", how="left")
-    content = F.coalesce(F.col("content"), F.lit(""))
-    content = F.regexp_replace(content, r"\n\z", "")
-    return joined.select("num", content.alias("content"))
+    wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
+    files = book_files(spark, root)
+    found = files.join(wanted, "rel_path").select("num", trimmed(F.col("content")).alias("content"))
+    rest = wanted.join(files.select("rel_path"), "rel_path", "left_anti").select("num", F.lit("").alias("content"))
+    return found.unionByName(rest)
+
+
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Relative paths of zero-byte files, which Spark's readers skip.
+
+    A walk over the file system's listing on the driver (the readers list
+    there too); only the empty ones are kept.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    walk = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    start, out = _root_path(root), []
+    while walk.hasNext():
+        f = walk.next()
+        if f.getLen() == 0:
+            name = f.getPath().toUri().getPath()
+            out.append(name[name.index(start) + len(start):].lstrip("/"))
+    return out
+
+
+def content_report(spark: SparkSession, metadata: DataFrame, root: str,
+                   path_col: str = "gd_path") -> DataFrame:
+    """``(num, rel_path, status)`` of what has no counterpart.
+
+    ``missing``: the catalogue names a file that isn't there; ``empty``: it is
+    there without a byte; ``unlisted``: no catalogue row names the file (null
+    num). The listing reads paths and sizes, no content.
+    """
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+               .select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+                       F.col("_metadata.file_size").alias("size")))
+    none = spark.createDataFrame([(p, 0) for p in empty_files(spark, root)], "rel_path string, size long")
+    listing = listing.unionByName(none)
+    wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
+    both = wanted.withColumn("listed", F.lit(True)).join(listing, "rel_path", "full")
+    status = (F.when(F.col("listed").isNull(), "unlisted").when(F.col("size").isNull(), "missing")
+              .when(F.col("size") == 0, "empty"))
+    return both.select("num", "rel_path", status.alias("status")).where("status is not null")
 
 
 def _java_quote(s: str) -> str:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import LANGUAGE_CONFIGS, config
+from ..functions.text import LANGUAGE_CONFIGS
+from .metadata import ARRAY_FIELDS, SCALAR_FIELDS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
@@ -58,15 +59,8 @@ def configs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n in LANGUAGE_CONFIGS], "cfgname string")
 
 
-def stopword_table(spark: SparkSession, names=LANGUAGE_CONFIGS) -> DataFrame:
-    rows = [(n, w) for n in names for w in config(n).stopwords]
-    return spark.createDataFrame(rows, "cfgname string, word string")
-
-
 # Reference schemas (FIXTURES A), for empty typed tables and explicit reads.
-METADATA_FIELDS = ("author", "author_birth", "author_death", "author_given",
-                   "author_surname", "copyright_status", "language", "loc_class",
-                   "subject", "title", "charset", "gd_num_padded", "gd_path", "href")
+METADATA_FIELDS = tuple(name for _, name in ARRAY_FIELDS + SCALAR_FIELDS)
 
 METADATA_SCHEMA = T.StructType(
     [T.StructField("num", T.LongType())]
@@ -90,5 +84,5 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 __all__ = ["TABLES", "read_table", "books", "books_from_documents", "configs",
-           "stopword_table", "METADATA_FIELDS", "METADATA_SCHEMA",
+           "METADATA_FIELDS", "METADATA_SCHEMA",
            "CONTENT_SCHEMA", "QUERY_LOG_SCHEMA", "empty_table"]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.paragraphs import book_paragraphs
+from ..sources.files import relative_path, trimmed
 
 
 def book_file_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -25,9 +26,8 @@ def book_file_stream(spark: SparkSession, root: str, max_files_per_trigger: int
          .option("maxFilesPerTrigger", max_files_per_trigger)
          .option("recursiveFileLookup", True)
          .load(root))
-    rel = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?\Q" + root + r"\E/", "")
-    content = F.regexp_replace(F.col("value"), r"\n\z", "")
-    return s.select(rel.alias("rel_path"), content.alias("content"))
+    return s.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+                    trimmed(F.col("value")).alias("content"))
 
 
 def ingest_books(spark: SparkSession, root: str, metadata: DataFrame, out: str,
@@ -35,11 +35,13 @@ def ingest_books(spark: SparkSession, root: str, metadata: DataFrame, out: str,
     """Start the stream: files -> books (catalogue join) -> paragraphs -> ``out``.
 
     ``metadata`` is a static DataFrame ``num, language, <path_col>``; the
-    stream-static join attaches each file to its book. Returns the query
-    handle (call ``awaitTermination()``).
+    stream-static outer join attaches each file to its book; paragraphs of a
+    file that no catalogue row names keep a NULL num (``content_report`` lists
+    such files, missing ones and empty ones, which give no paragraphs). Returns
+    the query handle (call ``awaitTermination()``).
     """
     meta = metadata.select("num", "language", F.col(path_col).alias("rel_path"))
-    books = book_file_stream(spark, root).join(meta, "rel_path")
+    books = book_file_stream(spark, root).join(meta, "rel_path", "left")
     paras = book_paragraphs(books)
     return (paras.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint)

@@ -32,12 +32,6 @@ def test_pages_concatenate_to_full_order(spark, small_books):
     assert pages == order
 
 
-def test_excerpt_bound_is_exact():
-    # every excerpt has >= 1 char and is preceded by a 7-char separator
-    n = S.excerpt_bound()
-    assert (n - 1) * (1 + len(S.EXCERPT_SEPARATOR)) >= S.EXCERPT_LIMIT
-
-
 def test_rollup_matches_unbounded_definition(spark):
     # many excerpts for one book: the bounded two-phase selection must give
     # the same text as sorting all of them
@@ -60,11 +54,10 @@ def test_stopword_search_is_empty(spark, small_books):
 
 
 def test_index_search_equals_scan_search(spark, small_books, tmp_dir):
-    idx_paths = build_index(spark, small_books, tmp_dir + "/idx", buckets=64, files_per_bucket=1)
+    idx_paths = build_index(spark, small_books, tmp_dir + "/idx", buckets=64)
     idx = read_index(spark, tmp_dir + "/idx")
     scan = S.phrase_search(spark, small_books, PHRASE)
-    via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
-                                      stats=idx["lexeme_stats"], buckets=idx["buckets"])
+    via_index = S.index_phrase_search(spark, idx, small_books, PHRASE)
     cols = ["num", "relevant_paragraphs", "rank"]
     assert sorted(scan.select(cols).collect()) == sorted(via_index.select(cols).collect())
     # the postings scan lists only the lexemes' bucket directories of one
@@ -85,19 +78,34 @@ def test_search_plan_has_no_cartesian(spark, small_books):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_index_search_many_hits_path(spark, small_books, tmp_dir, monkeypatch):
-    build_index(spark, small_books, tmp_dir + "/idx2")
+def test_index_page_reads_its_books_only(spark, small_books, tmp_dir):
+    build_index(spark, small_books, tmp_dir + "/idx2", blocks=16)
     idx = read_index(spark, tmp_dir + "/idx2")
-    monkeypatch.setattr(S, "HIT_LITERALS", 3)  # force the join path
-    scan = S.phrase_search(spark, small_books, PHRASE)
-    cols = ["num", "relevant_paragraphs", "rank"]
-    for stats in (None, idx["lexeme_stats"]):  # plain, and rarest lexeme first
-        via_index = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
-                                          stats=stats, buckets=idx["buckets"])
-        assert sorted(scan.select(cols).collect()) == sorted(via_index.select(cols).collect())
-    missing = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books,
-                                    "attion zzqqxx", stats=idx["lexeme_stats"])
+    scan = S.page(S.phrase_search(spark, small_books, PHRASE), 4, 2)
+    paged = S.index_phrase_page(spark, idx, small_books, PHRASE, limit=4, start=2)
+    assert [tuple(r) for r in scan.collect()] == [tuple(r) for r in paged.collect()]
+    missing = S.index_phrase_search(spark, idx, small_books, "attion zzqqxx")
     assert missing.count() == 0
+    assert S.index_phrase_search(spark, idx, small_books, "to be or not to be").count() == 0
+    assert S.index_phrase_search(spark, idx, small_books, "attion", "german").count() == 0
+    # text enters the plan through the join with the page's broadcast book ids:
+    # no exchange below that join carries the paragraph
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.index_phrase_page(spark, idx, small_books, PHRASE, limit=4)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.toString().splitlines()
+    scan_at = next(i for i, x in enumerate(lines) if "FileScan parquet" in x and "paragraph#" in x)
+    joins = [i for i, x in enumerate(lines[:scan_at]) if "BroadcastHashJoin" in x and "block#" in x]
+    assert joins and not any("Exchange" in x and "Broadcast" not in x for x in lines[joins[-1]:scan_at])
+    # nothing runs before the action
+    ran = []
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    S.index_phrase_page(spark, idx, small_books, PHRASE, limit=4)
+    ran = set(tracker.getJobIdsForGroup(None)) - before
+    assert len(ran) <= 1  # at most Parquet's schema inference of the opened buckets
 
 
 def test_result_independent_of_partitioning(spark, small_books):
@@ -117,8 +125,7 @@ def test_index_discovery_equals_scan(spark, small_books, tmp_dir):
     build_index(spark, small_books, tmp_dir + "/idx3")
     idx = read_index(spark, tmp_dir + "/idx3")
     scan = S.discovery_search(spark, small_books, "onre enat", seed=7)
-    via = S.index_discovery_search(spark, idx["postings"], idx["paragraphs"], small_books, "onre enat", seed=7,
-                                   buckets=idx["buckets"])
+    via = S.index_discovery_search(spark, idx, small_books, "onre enat", seed=7)
     assert [tuple(r) for r in scan.collect()] == [tuple(r) for r in via.collect()]
 
 
@@ -137,13 +144,28 @@ def test_corpus_build(spark, tmp_dir):
     assert spark.read.parquet(out["books"]).count() == bk.count()
 
 
-def test_rollup_small_path_matches_salted(spark):
-    rows = [(7, f"h{i:05d}" * 3, 0.5) for i in range(1500)] + [(8, "b", 1.0), (8, "a", 0.0), (8, "a", 0.5)]
-    m = spark.createDataFrame(rows, "num long, h string, rank double")
+def test_rollup_with_one_hot_excerpt(spark):
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("num"), F.lit("same").alias("h"), F.lit(0.25).alias("rank"))
+    more = spark.createDataFrame([(7, "z" * 20_000, 0.25), (8, "b", 1.0), (8, "a", 0.0), (8, "a", 0.5)],
+                                 "num long, h string, rank double")
     bk = spark.createDataFrame([(7, "a", "t"), (8, None, "u")], "num long, author string, title string")
-    a = sorted(repr(tuple(r)) for r in S.rollup_books(m, bk, salt=8).collect())
-    b = sorted(repr(tuple(r)) for r in S.rollup_books(m, bk, few_rows=True).collect())
-    assert a == b
+    out = S.rollup_books(rows.union(more), bk, salt=8)
+    got = {r.num: (r.relevant_paragraphs, r.rank) for r in out.collect()}
+    body = ("same" + S.EXCERPT_SEPARATOR + "z" * 20_000)[:S.EXCERPT_LIMIT]
+    assert got[7] == ("  ..." + body + "...  ", 25.0)
+    assert got[8] == ("  ...a" + S.EXCERPT_SEPARATOR + "b...  ", 50.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(rank" in plan  # combined on the map side, before the salt
+
+
+def test_lexeme_stats_without_exchanging_positions(spark, small_books):
+    from quire.operators.analysis import analyze
+    from quire.operators.paragraphs import book_paragraphs
+    from quire.operators.postings import lexeme_stats, paragraph_stats, postings
+    stats = paragraph_stats(book_paragraphs(small_books))
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    plain = lexeme_stats(postings(analyze(book_paragraphs(small_books))))
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_plan_shapes(spark, small_books):
@@ -162,6 +184,5 @@ def test_index_search_headline_options(spark, small_books, tmp_dir):
     cols = ["num", "relevant_paragraphs", "rank"]
     for kw in ({"only_matches": True}, {"mode": "fragments"}):
         scan = S.phrase_search(spark, small_books, PHRASE, **kw)
-        via = S.index_phrase_search(spark, idx["postings"], idx["paragraphs"], small_books, PHRASE,
-                                    buckets=idx["buckets"], **kw)
+        via = S.index_phrase_search(spark, idx, small_books, PHRASE, **kw)
         assert sorted(scan.select(cols).collect()) == sorted(via.select(cols).collect())

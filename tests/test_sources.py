@@ -46,6 +46,38 @@ def test_read_contents_keeps_empty_and_trims_one_newline(spark, tmp_dir):
     assert got == {1: "Hello.\nWorld.\n", 2: "", 3: ""}
 
 
+def test_contents_with_odd_paths_and_report(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "my books+x%20")
+    write(os.path.join(root, "a b/c+d.txt"), "one\n")
+    write(os.path.join(root, "a b/e%41.txt"), "two")
+    write(os.path.join(root, "z.txt"), "")
+    write(os.path.join(root, "un listed.txt"), "u")
+    meta = spark.createDataFrame([(1, "a b/c+d.txt"), (2, "a b/e%41.txt"), (3, "z.txt"), (4, "no.txt")],
+                                 "num long, gd_path string")
+    for r in (root, "file:" + root):
+        assert {x.num: x.content for x in FS.read_contents(spark, meta, r).collect()} == {1: "one", 2: "two", 3: "", 4: ""}
+        assert {(x.num, x.rel_path): x.status for x in FS.content_report(spark, meta, r).collect()} == {
+            (3, "z.txt"): "empty", (4, "no.txt"): "missing", (None, "un listed.txt"): "unlisted"}
+
+
+def test_read_metadata_many_records(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "meta.json")
+    write(p, json.dumps([{"Num": i, "Title": [f"t{i}", "x"], "Author Birth": ["?" if i % 2 else str(1800 + i)]}
+                         for i in range(300)]))
+    rows = MD.flatten_metadata(MD.read_metadata(spark, p)).collect()
+    assert sorted((r.num, r.title, r.author_birth) for r in rows if r.num < 3) == [
+        (0, "t0", "1800"), (1, "t1", None), (2, "t2", "1802")] and len(rows) == 300
+
+
+def test_scale_settings_at_100_tib():
+    from quire.session import scale_settings
+    s = scale_settings(100 * 2**40, 8000)
+    maps = 100 * 2**40 / int(s["spark.sql.files.maxPartitionBytes"])
+    parts = int(s["spark.sql.shuffle.partitions"])
+    assert maps <= 200_001 and 16_000 <= parts <= 50_000
+    assert int(scale_settings(2**30, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
 def test_path_part(spark):
     df = spark.createDataFrame([("000/00001.txt",), (None,), ("x",)], "p string")
     got = [r.d for r in df.select(FS.path_part(F.col("p"), 1).alias("d")).collect()]
@@ -76,12 +108,14 @@ def test_streaming_ingest(spark, tmp_dir):
     root = os.path.join(tmp_dir, "in")
     write(os.path.join(root, "000/00001.txt"), "One.\nTwo.\n")
     write(os.path.join(root, "000/00002.txt"), "Drei.\nVier")
+    write(os.path.join(root, "000/99 999.txt"), "nobody's")
     meta = spark.createDataFrame([(1, "English", "000/00001.txt"), (2, "German", "000/00002.txt")],
                                  "num long, language string, gd_path string")
     q = ingest_books(spark, root, meta, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt"))
     q.awaitTermination(120)
     rows = spark.read.parquet(os.path.join(tmp_dir, "out")).collect()
-    got = sorted((r.num, r.para, r.paragraph, r.language) for r in rows)
+    assert [(r.para, r.paragraph, r.language) for r in rows if r.num is None] == [(0, "nobody's", None)]
+    got = sorted((r.num, r.para, r.paragraph, r.language) for r in rows if r.num is not None)
     assert got == [(1, 0, "One", "english"), (1, 1, "Two.", "english"),
                    (2, 0, "Drei", "german"), (2, 1, "Vier", "german")]
 
@@ -93,5 +127,11 @@ def test_compact_log_and_empty_table(spark, tmp_dir):
         QL.log_search(spark, p, "english", f"q{i}", 10, 1)
     QL.compact_log(spark, p, out)
     assert sorted(r.query for r in QL.read_log(spark, out).collect()) == ["q0", "q1", "q2"]
+    many, wide = os.path.join(tmp_dir, "log3"), os.path.join(tmp_dir, "log4")
+    QL.append_log(spark.range(400).select(*(e.alias(c) for c, e in (
+        ("tab", F.lit("Search")), ("time", F.current_timestamp()), ("language", F.lit("english")),
+        ("query", F.col("id").cast("string")), ("rows_returned_aka_limit", F.lit(1)), ("start_row_aka_offset", F.lit(1))))), many)
+    QL.compact_log(spark, many, wide, files=4)
+    assert len([f for f in os.listdir(os.path.join(wide, "tab=Search")) if f.endswith(".parquet")]) == 4
     e = empty_table(spark, QUERY_LOG_SCHEMA)
     assert e.count() == 0 and e.schema == QUERY_LOG_SCHEMA

@@ -37,7 +37,7 @@ def test_null_title_nulls_link_and_rank_text(spark):
     rows = df.select(title_link(F.col("title"), F.col("num"), "b/").alias("l"),
                      rank_text(F.col("r")).alias("t")).collect()
     assert rows[0].l is None and rows[1].l == "[T](b/2)"
-    assert rows[0].t == " 4.8" and rows[1].t == "##.#"
+    assert rows[0].t == "  4.8" and rows[1].t == " ##.#"
 
 
 def test_delete_keeps_null_length(spark):
