@@ -7,9 +7,9 @@ Two physical forms of the same definitions:
   literals. A cheap substring pre-filter (a necessary condition) drops most
   paragraphs before any tokenising. Narrow: no join, no shuffle.
 - *postings form* (``phrase_match_postings`` / ``all_words_match_postings``):
-  postings joined to a (broadcast, query-sized) term table, grouped by
-  ``(query_id, num, para, ti - offset)``. Used over the stored index and for
-  many queries at once.
+  postings joined to a term table, grouped by ``(query_id, num, para, ti -
+  offset)``. Used for many queries at once; which side is broadcast is decided
+  by bytes at run time.
 """
 
 from __future__ import annotations
@@ -117,16 +117,13 @@ def term_table(spark, q: BoundQuery, query_id: int = 0) -> DataFrame:
                                  "query_id long, lexeme string, offset int")
 
 
-def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",),
-                          broadcast: bool = True) -> DataFrame:
+def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",)) -> DataFrame:
     """``query_id, num, para, n_matches`` from positional postings.
 
-    ``terms`` (query_id, lexeme, offset [, language]) is query-sized and
-    broadcast (when ``broadcast``; callers with data-sized term tables check
-    their size first), so the big side is never shuffled for the join; the
-    aggregation is partial (map-side) first and only matched candidates
-    cross the network. ``on`` are the join columns (add ``language`` when
-    the terms differ per analyser).
+    ``terms`` is (query_id, lexeme, offset [, language]); the aggregation is
+    partial (map-side) first and only matched candidates cross the network.
+    ``on`` are the join columns (add ``language`` when the terms differ per
+    analyser).
     A phrase occurrence starts at ``ti - offset`` and is complete when every
     offset of the query is present there. A position holds one lexeme, so
     each term adds at most one row per start: ``count(*)`` counts the
@@ -136,7 +133,6 @@ def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",),
     qkeys = ["query_id"] + [c for c in on if c != "lexeme"]
     n = terms.groupBy(*qkeys).agg(F.countDistinct("offset").alias("n_terms"))
     t = terms.join(n, qkeys)
-    t = F.broadcast(t) if broadcast else t
     hits = (explode_positions(postings).join(t, on=on)
             .groupBy("query_id", "num", "para", (F.col("ti") - F.col("offset")).alias("start"))
             .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
@@ -145,7 +141,7 @@ def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",),
 
 
 def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFrame,
-                            on=("lexeme",), max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                            on=("lexeme",)) -> DataFrame:
     """Same result as ``phrase_match_postings``, anchored on each query's
     rarest term (for many queries with common words, e.g. names).
 
@@ -153,49 +149,35 @@ def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFra
        terms; the rarest is its anchor (a term absent from ``freq`` makes the
        query unmatchable, and it is dropped here).
     2. Candidate starts come from the anchor postings only.
-    3. Every term of the query is expected at ``start + offset``; expected
-       rows meet the postings in an exact equi-join on
-       ``on + (num, para, ti)``. The candidates are written to the shared
-       checkpoint folder and counted: the expected side is broadcast when
-       small, so the postings stream through without a shuffle; else the
-       join shuffles.
-    """
-    from ..session import scratch_path
+    3. The positions of candidate paragraphs only (semi join) are gathered per
+       paragraph, and every candidate is verified there: each term at ``start +
+       offset``.
 
+    One lazy plan; join sides are broadcast or shuffled by their bytes.
+    """
     on = list(on)
     qkeys = ["query_id"] + [c for c in on if c != "lexeme"]
-    spark = postings.sparkSession
-    n = terms.groupBy(*qkeys).agg(F.countDistinct("offset").alias("n_terms"))
+    pkeys = [c for c in on if c != "lexeme"] + ["num", "para"]
     ranked = terms.join(freq.select(*on, "n"), on, "left")
     w = Window.partitionBy(*qkeys).orderBy(F.col("n").asc_nulls_first(), "offset", "lexeme")
     anchor = (ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
               .where(F.col("n").isNotNull()).select(*qkeys, "lexeme", "offset"))
-    anchor = F.broadcast(anchor) if anchor.count() <= max_broadcast_rows else anchor
     pos = explode_positions(postings)
-    cand = (pos.join(anchor, on)
-            .select(*qkeys, "num", "para", (F.col("ti") - F.col("offset")).alias("start"))
-            .distinct())
-    path = scratch_path(spark, "phrase-candidates")
-    cand.write.parquet(path)
-    cand = spark.read.parquet(path)
-    expected = (cand.join(terms.join(n, qkeys), qkeys)
-                .select(*qkeys, "num", "para", "start", "lexeme", "n_terms",
-                        (F.col("start") + F.col("offset")).alias("ti")))
-    width = terms.agg(F.max("offset")).first()[0]  # NULL when there are no terms
-    if cand.count() * ((width or 0) + 1) <= max_broadcast_rows:
-        expected = F.broadcast(expected)
-    keys = on + ["num", "para", "ti"]
-    hits = (pos.select(*keys).join(expected, keys)
-            .groupBy(*qkeys, "num", "para", "start")
-            .agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
-            .where(F.col("found") == F.col("n_terms")))
+    starts = (pos.join(anchor, on)
+              .select(*qkeys, "num", "para", (F.col("ti") - F.col("offset")).alias("start")))
+    # a query's terms belong to its text, a paragraph's positions to its text
+    wanted = terms.groupBy(*qkeys).agg(F.collect_list(F.struct("offset", "lexeme")).alias("terms"))
+    near = (pos.join(starts.select(*pkeys).distinct(), pkeys, "left_semi")
+            .groupBy(*pkeys).agg(F.map_from_entries(F.collect_list(F.struct("ti", "lexeme"))).alias("at")))
+    there = F.expr("forall(terms, t -> coalesce(try_element_at(at, start + t.offset) = t.lexeme, false))")
+    hits = starts.join(wanted, qkeys).join(near, pkeys).where(there)
     return hits.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
 
 
 def all_words_match_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, num, para`` where every distinct term lexeme occurs."""
     n = terms.groupBy("query_id").agg(F.countDistinct("lexeme").alias("n_terms"))
-    t = F.broadcast(terms.select("query_id", "lexeme").distinct().join(n, "query_id"))
+    t = terms.select("query_id", "lexeme").distinct().join(n, "query_id")
     p = postings.select("num", "para", "lexeme")
     if "positions" not in postings.columns:  # one row per position: reduce first
         p = p.distinct()

@@ -2,18 +2,13 @@
 
 The reference joins every candidate name to every paragraph with a
 full-text match predicate (a theta join). Here a name of k words (lowercased
-tokens, the ``simple`` analyser) is keyed by its first ``m = min(k, 4)``
-words. Every paragraph position where a name can start emits the window of
-the next ``max k`` words and, for each key length m in use, its first m
-words. Both sides meet in a hash equi-join on ``(m, key)``; names longer
-than their key are then verified against the window. The work is linear in
-the text and the output holds only real mentions, never a pair per
-(name, paragraph).
-
-Windows start only at positions whose first words equal a name key (a
-literal set, when small), and the join's name side is broadcast only after
-its row count has been checked; the (name, book) hits are de-duplicated
-after the join.
+tokens, the ``simple`` analyser) is keyed by the hash of its first
+``m = min(k, 4)`` words. Every paragraph position whose word starts some name
+carries the hashes of its next 1 to 4 words; both sides meet in an equi-join on
+``(m, hash)``. Names longer than their key are then verified against the
+tokens of their candidate paragraphs. The work is linear in the text, no row
+holds more than four hashes of it, and which join sides are broadcast is
+decided by their bytes at run time.
 """
 
 from __future__ import annotations
@@ -21,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sql_list, tokens
+from ..functions.text import LANGUAGE_CONFIGS, tokens
+from .analysis import query_terms
 from .matching import phrase_match_postings, phrase_match_rare_first, with_once
 
 # Author names the reference excludes from mention matching.
@@ -31,11 +27,6 @@ EXCLUDED_NAMES = (
     "W. B.", "W. M.", "Wang", "Wu", "V. M.", "F.R.G.S.",
 )
 
-# Largest name table broadcast to every task; above it the join shuffles.
-BROADCAST_NAME_ROWS = 2_000_000
-# Largest set of name keys used as a literal start filter; above it every
-# position starts a window and the join alone selects the mentions.
-KEY_LITERALS = 20_000
 # Words of a name used as the join key; longer names are verified after it.
 KEY_WORDS = 4
 
@@ -68,99 +59,79 @@ def author_book_counts(books: DataFrame) -> DataFrame:
     return distinct_count(books.where(F.col("author").isNotNull()), ["author"], "num", "books")
 
 
+def _run_hash(toks: str, at: str, words: int) -> str:
+    """SQL: hash of ``words`` elements of ``toks`` from 0-based ``at`` on."""
+    return f"xxhash64({', '.join(f'{toks}[{at} + {j}]' for j in range(words))})"
+
+
 def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
-    """``name, k, gram, m, key`` for every name with at least one token.
+    """``name_id, name, k, toks, m, first, key`` for every name with at least one token.
 
-    ``gram`` is the whole name in lowercased tokens; ``key`` its first
-    ``m = min(k, KEY_WORDS)`` of them, the join key.
+    ``key`` hashes its first ``m = min(k, KEY_WORDS)`` tokens, the join key.
     """
     toks = simple_tokens(F.col(name_col))
-    g = (names.select(F.col(name_col).alias("name"), F.size(toks).alias("k"),
-                      F.array_join(toks, " ").alias("gram"))
-         .where(F.col("k") > 0))
-    m = F.least(F.col("k"), F.lit(KEY_WORDS))
-    return g.select("*", m.alias("m"),
-                    F.expr(f"substring_index(gram, ' ', least(k, {KEY_WORDS}))").alias("key"))
-
-
-def paragraph_windows(paragraphs: DataFrame, width: int,
-                      keys_by_m: dict[int, list[str]] | None = None) -> DataFrame:
-    """``num, window``: the next ``width`` tokens from each start position.
-
-    With ``keys_by_m`` (name keys by key length, as literal sets) a window is
-    only built where the text's first m words equal a key of length m for
-    some m: first the first word is tested, then the key, and only the
-    survivors pay for the full window. Without it every position starts a
-    window. One SQL expression over the paragraph's token array.
-    """
-    p = with_once(paragraphs.select("num", "paragraph"), toks=simple_tokens(F.col("paragraph")))
-    starts = "sequence(1, size(toks))"
-    if keys_by_m:
-        firsts = sorted({k.split(" ", 1)[0] for ks in keys_by_m.values() for k in ks})
-        starts = f"filter({starts}, i -> element_at(toks, i) IN {sql_list(firsts)})"
-        test = " OR ".join(
-            f"array_join(slice(toks, i, {m}), ' ') IN {sql_list(sorted(ks))}"
-            for m, ks in sorted(keys_by_m.items()))
-        starts = f"filter({starts}, i -> {test})"
-    windows = f"transform({starts}, i -> array_join(slice(toks, i, {width}), ' '))"
-    return p.where(F.size("toks") > 0).select("num", F.explode(F.expr(windows)).alias("window"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when its counted size is within ``max_rows``."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    g = with_once(names.select(F.col(name_col).alias("name")).distinct(), toks=toks).where(F.size("toks") > 0)
+    key = " ".join(f"WHEN {m} THEN {_run_hash('toks', '0', m)}" for m in range(1, KEY_WORDS))
+    return (g.select(F.xxhash64("name").alias("name_id"), "name", F.size("toks").alias("k"), "toks")
+            .withColumn("m", F.least(F.col("k"), F.lit(KEY_WORDS)))
+            .withColumn("first", F.expr(_run_hash("toks", "0", 1)))
+            .withColumn("key", F.expr(f"CASE m {key} ELSE {_run_hash('toks', '0', KEY_WORDS)} END")))
+
+
+def text_runs(paragraphs: DataFrame, firsts: DataFrame, lengths) -> DataFrame:
+    """``num, para, i, m, key``: hashes of the runs of ``lengths`` words that
+    start at a word in ``firsts`` (column ``first``), ``i`` from 0."""
+    p = with_once(paragraphs.select("num", "para", "paragraph"), toks=simple_tokens(F.col("paragraph")))
+    runs = ", ".join(f"IF(i + {m} <= size(toks), {_run_hash('toks', 'i', m)}, NULL)" for m in lengths)
+    at = (f"transform(IF(size(toks) > 0, sequence(0, size(toks) - 1), array()), "
+          f"i -> struct(i, {_run_hash('toks', 'i', 1)} AS first, array({runs}) AS runs))")
+    near = p.select("num", "para", F.inline(F.expr(at))).join(firsts, "first", "left_semi")
+    words = F.array(*(F.lit(m) for m in lengths))
+    return (near.select("num", "para", "i", F.inline(F.arrays_zip(words.alias("m"), F.col("runs").alias("key"))))
+            .where(F.col("key").isNotNull()))
+
+
+def name_hits(names: DataFrame, paragraphs: DataFrame, name_col: str = "name") -> DataFrame:
+    """``name, num``: distinct books whose text has the name's words in a row."""
+    keys = name_keys(names, name_col)
+    short, long = keys.where(F.col("k") <= KEY_WORDS), keys.where(F.col("k") > KEY_WORDS)
+    found = (text_runs(paragraphs, short.select("first").distinct(), range(1, KEY_WORDS + 1))
+             .join(short.select("name_id", "m", "key"), ["m", "key"]).select("name_id", "num"))
+    starts = (text_runs(paragraphs, long.select("first").distinct(), [KEY_WORDS])
+              .join(long.select("name_id", "m", "key"), ["m", "key"]).select("name_id", "num", "para", "i"))
+    text = paragraphs.select("num", "para", simple_tokens(F.col("paragraph")).alias("words"))
+    whole = (starts.join(long.select("name_id", "k", "toks"), "name_id").join(text, ["num", "para"])
+             .where(F.expr("slice(words, i + 1, k) = toks")).select("name_id", "num"))
+    return found.union(whole).distinct().join(keys.select("name_id", "name"), "name_id").select("name", "num")
 
 
 def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,
-                  name_col: str = "name") -> DataFrame:
-    """``mentioned_author, mentioned_by, books_mentioned_in``.
-
-    ``names``: one row per name to look for; ``paragraphs``: ``num,
-    paragraph``; ``books``: ``num, author``. A mention counts once per book
-    (``count(distinct num)``); books without author are left out, as are
-    names of no token. Self-mentions are kept, as in the reference.
-
-    Plan: paragraph windows (the next ``max k`` words from every position
-    where a name can start) get one key per key length ``m``
-    (``substring_index``), meet the names in an equi-join on ``(m, key)``,
-    and a name longer than its key is verified against the window.
+                  name_col: str = "name", excluded=()) -> DataFrame:
+    """``mentioned_author, mentioned_by, books_mentioned_in``, most books first.
+
+    ``names``: the names to look for, less the ``excluded`` ones;
+    ``paragraphs``: ``num, para, paragraph``; ``books``: ``num, author``. A
+    mention counts once per book (``count(distinct num)``); books without
+    author are left out, as are names of no token. Self-mentions are kept, as
+    in the reference.
     """
-    keys = name_keys(names, name_col)
-    # plan parameters from the (small) name table: key lengths, longest name,
-    # and the keys themselves when few enough to ship inside the plan (at
-    # most one row over the bound is fetched)
-    shape = keys.agg(F.collect_set("m").alias("ms"), F.max("k").alias("max_k"),
-                     F.count("*").alias("rows")).first()
-    if not shape["ms"]:
-        return names.sparkSession.createDataFrame(
-            [], "mentioned_author string, mentioned_by string, books_mentioned_in long")
-    ms, max_k = sorted(shape["ms"]), int(shape["max_k"])
-    key_rows = keys.select("m", "key").distinct().limit(KEY_LITERALS + 1).collect()
-    keys_by_m = None
-    if len(key_rows) <= KEY_LITERALS:
-        keys_by_m = {}
-        for r in key_rows:
-            keys_by_m.setdefault(r["m"], []).append(r["key"])
-    windows = paragraph_windows(paragraphs, max_k, keys_by_m)
-    keyed = windows.select("num", "window", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("m"), F.substring_index("window", " ", m).alias("key")) for m in ms])))
-    keys = F.broadcast(keys) if shape["rows"] <= BROADCAST_NAME_ROWS else keys
-    whole = (F.col("window") == F.col("gram")) | F.col("window").startswith(F.concat(F.col("gram"), F.lit(" ")))
-    hits = (keyed.join(keys, on=["m", "key"]).where(whole)
-            .select("name", "num").distinct())
-    return _pairs_by_author(hits, books)
+    if excluded:
+        names = names.where(~F.col(name_col).isin(list(excluded)))
+    return _pairs_by_author(name_hits(names, paragraphs, name_col), books)
 
 
 def _pairs_by_author(hits: DataFrame, books: DataFrame) -> DataFrame:
     """(name, num) hits -> ``mentioned_author, mentioned_by, books_mentioned_in``."""
     by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
     pairs = hits.join(by, "num").select(F.col("name").alias("mentioned_author"), "mentioned_by", "num")
-    return distinct_count(pairs, ["mentioned_author", "mentioned_by"], "num", "books_mentioned_in")
+    counted = distinct_count(pairs, ["mentioned_author", "mentioned_by"], "num", "books_mentioned_in")
+    return counted.orderBy(F.col("books_mentioned_in").desc(), "mentioned_author", "mentioned_by")
 
 
 def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFrame,
                            name_config: str | None = None, name_col: str = "name",
-                           rare_first: bool = True, freq: DataFrame | None = None) -> DataFrame:
+                           rare_first: bool = True, freq: DataFrame | None = None,
+                           catalogue=LANGUAGE_CONFIGS) -> DataFrame:
     """Mention pairs over analysed paragraphs: each name is a phrase query.
 
     ``analyzed``: positional lexemes ``language, num, para, ti, lexeme`` (the
@@ -170,34 +141,24 @@ def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFra
     the analyser of the paragraphs it is matched against (stopwords leave
     gaps, as in the text); ``name_config='simple'`` is the reference's mixed
     mode, where a name word that the paragraph analyser drops or stems can
-    never match. One join of positional lexemes to the name terms on
-    (language, lexeme), grouped by phrase start -- no pair per (name,
-    paragraph) is formed. With ``rare_first`` each name is anchored on its
-    rarest word, so a common word in many names never joins all of its
-    postings to all of those names.
+    never match. Queries go by a hash of the name. With ``rare_first`` each
+    name is anchored on its rarest word, so a common word in many names never
+    joins all of its postings to all of those names.
     """
-    from ..functions.text import LANGUAGE_CONFIGS
-    from .analysis import query_terms
-
-    q = names.select(F.col(name_col).alias("query_id"), F.col(name_col).alias("query")).distinct()
+    ids = names.select(F.xxhash64(name_col).alias("query_id"), F.col(name_col).alias("query")).distinct()
     spark = names.sparkSession
-    parts = []
-    for lang in LANGUAGE_CONFIGS:
-        t = query_terms(spark, q, name_config or lang)
-        parts.append(t.withColumn("language", F.lit(lang)))
-    terms = parts[0]
-    for t in parts[1:]:
-        terms = terms.unionByName(t)
+    terms = None
+    for lang in catalogue:
+        t = query_terms(spark, ids, name_config or lang).withColumn("language", F.lit(lang))
+        terms = t if terms is None else terms.unionByName(t)
     if rare_first:
         if freq is None:
             freq = analyzed.groupBy("language", "lexeme").agg(F.count("*").alias("n"))
-        matched = phrase_match_rare_first(analyzed, terms, freq, on=("language", "lexeme"),
-                                          max_broadcast_rows=BROADCAST_NAME_ROWS)
+        matched = phrase_match_rare_first(analyzed, terms, freq, on=("language", "lexeme"))
     else:
-        small = terms.count() <= BROADCAST_NAME_ROWS
-        matched = phrase_match_postings(analyzed, terms, on=("language", "lexeme"), broadcast=small)
-    hits = matched.select(F.col("query_id").alias("name"), "num").distinct()
-    return _pairs_by_author(hits, books)
+        matched = phrase_match_postings(analyzed, terms, on=("language", "lexeme"))
+    hits = matched.select("query_id", "num").distinct().join(ids, "query_id")
+    return _pairs_by_author(hits.select(F.col("query").alias("name"), "num"), books)
 
 
 def mention_edges(pairs: DataFrame) -> DataFrame:

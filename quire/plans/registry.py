@@ -410,15 +410,53 @@ def q_mention_pairs(spark, sf):
     return _pairs(spark, sf)
 
 
-_MIXED_NAME_TERMS = "UNION ALL ".join(f"""
-  SELECT '{lang}' AS language, name, pos, {sql_lexeme('token', lang)} AS lexeme FROM ntok """
-                                      for lang in ("english", "french", "german"))
+# every run of 2 to 5 words of every whole passage is a name; some are excluded
+RUN_WORDS = (2, 3, 4, 5)
+EXCLUDED_RUNS = MN.EXCLUDED_NAMES + ("of the", "to the", "in the", "the of")
+_RUNS_SQL = f"""btok AS (SELECT regexp_extract_all(text, {sql_str(WORD_PATTERN)}) AS t FROM benchmark),
+runs AS (
+  SELECT DISTINCT array_to_string(t[i:i + k - 1], ' ') AS name, CAST(k AS INTEGER) AS k
+  FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM btok), (SELECT unnest([{', '.join(map(str, RUN_WORDS))}]) AS k)
+  WHERE i + k - 1 <= len(t)),
+wanted AS (SELECT * FROM runs WHERE name NOT IN ({", ".join(sql_str(n) for n in EXCLUDED_RUNS)}))"""
+
+
+def _runs(spark, sf):
+    words = read_table(spark, sf, "benchmark").select(tokens(F.col("text")).alias("t"))
+    spans = " UNION ALL ".join(f"SELECT explode(transform(sequence(1, size(t) - {k - 1}), i -> "
+                               f"array_join(slice(t, i, {k}), ' '))) AS name FROM {{w}} WHERE size(t) >= {k}"
+                               for k in RUN_WORDS)
+    return spark.sql(spans, w=words).distinct()
+
+
+@register("mention_pairs_runs", _cte(_RUNS_SQL, f"""ptok AS (
+  SELECT num, para, list_transform(regexp_extract_all(paragraph, {sql_str(WORD_PATTERN)}), lambda x: lower(x)) AS t
+  FROM paragraphs WHERE language IS NOT NULL),
+pruns AS (
+  SELECT DISTINCT num, array_to_string(t[i:i + k - 1], ' ') AS run
+  FROM (SELECT num, t, unnest(range(1, len(t) + 1)) AS i FROM ptok), (SELECT unnest([{', '.join(map(str, RUN_WORDS))}]) AS k)
+  WHERE i + k - 1 <= len(t))""") + """SELECT w.name AS mentioned_author, b.author AS mentioned_by,
+  count(DISTINCT p.num) AS books_mentioned_in
+FROM wanted w JOIN pruns p ON lower(w.name) = p.run JOIN books b ON p.num = b.num
+WHERE b.author IS NOT NULL GROUP BY w.name, b.author ORDER BY books_mentioned_in DESC, 1, 2""")
+def q_mention_pairs_runs(spark, sf):
+    bk = books_view(spark, sf)
+    paras = PG.book_paragraphs(bk).where(F.col("language").isNotNull())
+    return MN.mention_pairs(_runs(spark, sf), paras, bk, excluded=EXCLUDED_RUNS)
+
+
+def _name_terms_sql(cfg: str | None) -> str:
+    """Each name analysed per paragraph language (or always with ``cfg``)."""
+    return "UNION ALL ".join(f"""
+  SELECT '{lang}' AS language, name, pos, {sql_lexeme('token', cfg or lang)} AS lexeme FROM ntok """
+                             for lang in ("english", "french", "german"))
 
 
-@register("mention_pairs_postings", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), f"""ntok AS (
+def _mention_postings_sql(names: str, cfg: str | None) -> str:
+    return _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), *([_RUNS_SQL] if "wanted" in names else []), f"""ntok AS (
   SELECT name, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
-  FROM (SELECT DISTINCT text AS name, regexp_extract_all(text, {sql_str(WORD_PATTERN)}) AS t FROM benchmark)),
-nlex AS ({_MIXED_NAME_TERMS}),
+  FROM (SELECT DISTINCT name, regexp_extract_all(name, {sql_str(WORD_PATTERN)}) AS t FROM ({names}))),
+nlex AS ({_name_terms_sql(cfg)}),
 nterms AS (
   SELECT language, name, lexeme, pos - min(pos) OVER (PARTITION BY language, name) AS off
   FROM nlex WHERE lexeme IS NOT NULL),
@@ -432,14 +470,39 @@ starts AS (
 hits AS (SELECT DISTINCT name, num FROM starts)""") + """SELECT h.name AS mentioned_author, b.author AS mentioned_by,
   count(DISTINCT h.num) AS books_mentioned_in
 FROM hits h JOIN books b ON h.num = b.num WHERE b.author IS NOT NULL
-GROUP BY h.name, b.author""")
-def q_mention_pairs_postings(spark, sf):
-    bk = books_view(spark, sf)
+GROUP BY h.name, b.author"""
+
+
+def _lexemes(spark, sf):
     # the lexemes are written once (as a stored index would be) and the
     # matcher's passes read that table instead of re-analysing the text
     path = scratch_path(spark, "lexemes")
-    analyze(PG.book_paragraphs(bk)).write.parquet(path)
-    return MN.mention_pairs_postings(_names(spark, sf), spark.read.parquet(path), bk)
+    analyze(_paragraphs(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_WANTED = "SELECT name FROM wanted"
+
+
+@register("mention_pairs_postings", _mention_postings_sql("SELECT text AS name FROM benchmark", None))
+def q_mention_pairs_postings(spark, sf):
+    return MN.mention_pairs_postings(_names(spark, sf), _lexemes(spark, sf), books_view(spark, sf))
+
+
+def _wanted_runs(spark, sf):
+    return _runs(spark, sf).where(~F.col("name").isin(list(EXCLUDED_RUNS)))
+
+
+@register("mention_pairs_postings_runs", _mention_postings_sql(_WANTED, None))
+def q_mention_pairs_postings_runs(spark, sf):
+    return MN.mention_pairs_postings(_wanted_runs(spark, sf), _lexemes(spark, sf), books_view(spark, sf))
+
+
+# the reference's mixed mode: names analysed as 'simple' against analysed text
+@register("mention_pairs_simple", _mention_postings_sql(_WANTED, "simple"))
+def q_mention_pairs_simple(spark, sf):
+    return MN.mention_pairs_postings(_wanted_runs(spark, sf), _lexemes(spark, sf), books_view(spark, sf),
+                                     name_config="simple")
 
 
 _EDGES_SQL = """edges AS (

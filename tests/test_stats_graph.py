@@ -56,8 +56,8 @@ def test_quality_checks(spark):
 
 def test_mentions_kgram_join(spark):
     names = spark.createDataFrame([("Cat Dog",), ("Bird",), ("x y z w",)], "name string")
-    paras = spark.createDataFrame([(1, "The cat dog. bird"), (2, "cat bird dog"), (3, "cat dog")],
-                                  "num long, paragraph string")
+    paras = spark.createDataFrame([(1, 0, "The cat dog. bird"), (2, 0, "cat bird dog"), (3, 0, "cat dog"), (3, 1, None)],
+                                  "num long, para int, paragraph string")
     bk = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "num long, author string")
     pairs = MN.mention_pairs(names, paras, bk)
     got = sorted((r.mentioned_author, r.mentioned_by, r.books_mentioned_in) for r in pairs.collect())
