@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, table
+from quire.llm.common import fresh, table, written
 
 SEGMENT_BITS = 1 << 17
 #: Slots per hash, each in an own half of the filter.
@@ -145,6 +145,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     some = tested.where(F.col(flag)).drop(flag).withColumn("text_sha256", sha)
     groups = some.groupBy("text_sha256").agg(F.max(doc_id).alias("keep_id"),
                                              F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups, "groups")  # both join sides are then dealt anew and a hot text can be split
     joined = some.join(groups, "text_sha256").withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
     cols = docs.columns + new
     return rest.select(cols).unionByName(joined.select(cols))

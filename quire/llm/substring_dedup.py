@@ -96,29 +96,31 @@ def _alike(at: np.ndarray, marks: np.ndarray, value: np.ndarray, doc: np.ndarray
     return at[np.isin(both, np.unique(np.rec.fromarrays([doc[marks], value[marks]])))]
 
 
-def _combine(key: np.ndarray, doc: np.ndarray, at: np.ndarray, any_other: bool) -> pa.RecordBatch:
-    """(key, doc_id, at, settled): each document's first occurrence of a key.
+def _combine(key: np.ndarray, doc: np.ndarray, at: np.ndarray, row: np.ndarray, any_other: bool) -> pa.RecordBatch:
+    """(key, doc_id, at, settled): each row's first occurrence of a key.
 
     Under an even key the smallest document of the block; under odd keys of
     their own the others, for which a smaller document is known (settled).
-    With ``any_other`` the smallest is settled too where it has others.
+    With ``any_other`` the smallest is settled too where it has others. Comes
+    and goes in document order, in which shuffled rows compress well.
     """
     key = key & ~np.uint64(1)
-    order = np.lexsort((at, doc, key))
-    key, doc, at = key[order], doc[order], at[order]
-    new_key = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    tag = at >> 32
+    order = np.argsort(key, kind="stable")
+    sorted_key, sorted_doc, sorted_row = key[order], doc[order], row[order]
+    new_key = np.r_[True, sorted_key[1:] != sorted_key[:-1]][: len(key)]
     first = new_key.copy()
-    first[1:] |= (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    first[1:] |= sorted_row[1:] != sorted_row[:-1]
+    begin = np.flatnonzero(new_key)
     group = np.cumsum(new_key) - 1
-    settled = doc > doc[np.flatnonzero(new_key)][group] if len(key) else first
-    others = np.bincount(group[settled], minlength=group[-1] + 1 if len(key) else 0)[group] > 0
-    own = ((at.astype(np.uint64) ^ (doc.astype(np.uint64) * _M) ^ (key >> np.uint64(7))) * _M) | np.uint64(1)
-    key = np.where(settled, own, key)
-    settled = settled | others if any_other else settled
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first]), pa.array(settled[first])],
-        ["key", "doc_id", "at", "settled"])
+    settled = sorted_doc > np.minimum.reduceat(sorted_doc, begin)[group] if len(key) else first
+    known = settled | (np.bincount(group[settled], minlength=len(begin))[group] > 0) if any_other else settled
+    back = np.argsort(order[first])
+    at_, doc_ = at[order[first]][back], doc[order[first]][back]
+    key_, settled, known = sorted_key[first][back], settled[first][back], known[first][back]
+    own = ((at_.astype(np.uint64) ^ (doc_.astype(np.uint64) * _M) ^ (key_ >> np.uint64(7))) * _M) | np.uint64(1)
+    key_ = np.where(settled, own, key_)
+    return pa.RecordBatch.from_arrays([pa.array(key_.view(np.int64)), pa.array(doc_), pa.array(at_), pa.array(known)],
+                                      ["key", "doc_id", "at", "settled"])
 
 
 def _doc_blocks(batches: Iterator[pa.RecordBatch], cache: _Hashes) -> Iterator[tuple[list, _Block]]:
@@ -146,7 +148,7 @@ def _keys(rows: list, block: _Block, at: np.ndarray, key: np.ndarray, any_other:
     doc = np.repeat(np.arange(len(rows)), block.size)[at]
     ids = np.array([r[0] for r in rows], np.int64)[doc]
     tag = np.array([r[1] for r in rows], np.int64)[doc]
-    return _combine(key[at], ids, (tag << 32) | (at - block.begin[doc]), any_other)
+    return _combine(key[at], ids, (tag << 32) | (at - block.begin[doc]), doc, any_other)
 
 
 def _seed(min_words: int):

@@ -1,15 +1,18 @@
 """Shortest paths in the mention graph: breadth-first search with joins.
 
-The frontier is a DataFrame ``(node, path)``. Each hop joins it to the
-adjacency list, drops nodes already reached (anti join), keeps the
-lexicographically smallest path per new node, and is checkpointed to the
-shared checkpoint folder as a table, so the lineage stays one hop long and a
-lost executor only recomputes one hop. The loop on the driver runs once per hop
-(at most the graph's diameter); no node list or path set is collected.
-
-Edges are unweighted, as in the reference (its weight attribute is never
-named in the path call). An unknown start or an unreachable target gives an
-empty result instead of an error.
+The frontier is a DataFrame ``(node, parent)``. Each hop joins it to the
+adjacency list, drops nodes of the last two hops (in an undirected graph a
+neighbour of hop k lies in k - 1, k or k + 1, so no older hop can come back),
+keeps one parent per new node, and is written as a table, so the lineage stays
+one hop long and a lost executor only recomputes one hop. Paths are read back
+along the parents. The loop on the driver runs once per hop (at most the
+graph's diameter); no node list or path set is collected.
+
+A path between two names is searched from both ends, the smaller frontier
+first. Edges are unweighted by default, as in the reference (its weight
+attribute is never named in the path call); with a weight column hops relax
+distances until none shrinks. An unknown start or an unreachable target gives
+an empty result instead of an error.
 """
 
 from __future__ import annotations
@@ -33,48 +36,144 @@ def bfs(spark: SparkSession, adj: DataFrame, start: DataFrame,
 
     ``start`` is a one-column DataFrame ``node`` (one row; derived from the
     data, so nothing is passed through the driver). Ties between shortest
-    paths go to the lexicographically smallest path.
-
-    The adjacency and every hop's new frontier are written as Parquet under
-    the shared checkpoint folder (``hops/hop=N``): each hop is computed once,
-    its lineage starts at the written tables, and the set of reached nodes
-    is simply the partitioned table of all hops so far. The stop conditions
-    (empty frontier, target reached) are observed metrics of the hop's own
-    write, so each hop is one job.
+    paths go to the lexicographically smallest path: among a node's possible
+    parents the one whose own path is smallest, which ``order`` numbers within
+    a hop. The stop conditions (empty frontier, target reached) are observed
+    metrics of the hop's own write.
     """
     base = scratch_path(spark, "bfs")
     adj.write.parquet(f"{base}/adj")
     adj = spark.read.parquet(f"{base}/adj")
-    hops = f"{base}/hops"
     nodes = adj.select(F.col("src").alias("node")).distinct()
-    first = start.join(nodes, "node", "left_semi").select("node", F.array("node").alias("path"))
-    rows, found = _write_hop(first, f"{hops}/hop=0", target, "hop0")
-    hop = 0
-    while rows > 0 and not found and (max_hops is None or hop < max_hops):
-        frontier = spark.read.parquet(f"{hops}/hop={hop}")
-        reached = spark.read.parquet(hops).select("node")
-        step = (frontier.join(adj, frontier["node"] == adj["src"])
-                .select(adj["dst"].alias("node"), F.concat("path", F.array(adj["dst"])).alias("path"))
-                .join(reached, "node", "left_anti")
-                .groupBy("node").agg(F.min("path").alias("path")))
-        hop += 1
-        rows, found = _write_hop(step, f"{hops}/hop={hop}", target, f"hop{hop}")
-    reached = spark.read.parquet(hops)
-    return reached.select("node", (F.size("path") - 1).alias("hops"), "path")
-
-
-def _write_hop(df: DataFrame, path: str, target: str | None, name: str) -> tuple[int, bool]:
+    first = start.join(nodes, "node", "left_semi").select("node", F.lit(None).cast("string").alias("parent"))
+    hops = [_write_hop(first, f"{base}/hops/hop=0", target)]
+    while hops[-1][1] and not hops[-1][2] and (max_hops is None or len(hops) <= max_hops):
+        step = _next_hop(adj, [h[0] for h in hops[-2:]])
+        hops.append(_write_hop(step, f"{base}/hops/hop={len(hops)}", target))
+    out = None
+    paths = None
+    for k, (level, rows, _) in enumerate(hops):
+        if not rows:
+            break
+        if paths is None:
+            paths = level.select("node", F.array("node").alias("path"))
+        else:
+            # the parent kept by the hop is any of the last hop's; the smallest
+            # path goes through the smallest of them
+            via = adj.join(level.select(F.col("node").alias("dst")), "dst")
+            paths = (via.join(paths.select(F.col("node").alias("src"), "path"), "src")
+                     .groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+                     .select("node", F.concat("path", F.array("node")).alias("path")))
+        level_paths = paths.select("node", F.lit(k).alias("hops"), "path")
+        out = level_paths if out is None else out.unionByName(level_paths)
+    return out if out is not None else spark.createDataFrame([], "node string, hops int, path array<string>")
+
+
+def _next_hop(adj: DataFrame, last: list[DataFrame]) -> DataFrame:
+    """New nodes one hop beyond ``last[-1]``, each with its smallest parent."""
+    step = (last[-1].select(F.col("node").alias("src")).join(adj, "src")
+            .groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")))
+    for level in last:
+        step = step.join(level.select("node"), "node", "left_anti")
+    return step
+
+
+def _write_hop(df: DataFrame, path: str, target: str | None) -> tuple[DataFrame, int, bool]:
     """Write one hop; its row count and whether it holds ``target`` are
     observed as metrics of the same job (no second pass over the hop)."""
     hit = F.max(F.when(F.col("node") == F.lit(target), 1).otherwise(0)) if target is not None else F.lit(0)
-    obs = Observation(name)
+    obs = Observation()
     df.observe(obs, F.count(F.lit(1)).alias("rows"), hit.alias("hit")).write.parquet(path)
     m = obs.get
-    return int(m["rows"]), bool(m["hit"])
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(m["rows"]), bool(m["hit"])
 
 
-def shortest_path(spark: SparkSession, edges: DataFrame, source: str, target: str) -> DataFrame:
-    """The path from ``source`` to ``target`` as rows ``step, node`` (empty if none)."""
-    start = spark.createDataFrame([(source,)], "node string")
-    res = bfs(spark, adjacency(edges), start, target=target).where(F.col("node") == target)
-    return res.select(F.posexplode("path").alias("step", "node"))
+def shortest_path(spark: SparkSession, edges: DataFrame, source: str, target: str,
+                  weight: str | None = None) -> DataFrame:
+    """The path from ``source`` to ``target`` as rows ``step, node`` (empty if none).
+
+    Unweighted: both ends grow hop by hop, the smaller frontier first, until
+    they meet; then the path is read along the hops in between, a few rows a
+    hop. Of equally short paths it is the lexicographically smallest. With
+    ``weight`` (a column of positive numbers): see ``weighted_path``.
+    """
+    adj = adjacency(edges)
+    if weight:
+        return weighted_path(spark, edges, source, target, weight)
+    base = scratch_path(spark, "path")
+    adj.write.parquet(f"{base}/adj")
+    adj = spark.read.parquet(f"{base}/adj")
+    nodes = adj.select(F.col("src").alias("node")).distinct()
+
+    def end(name, at):
+        first = nodes.where(F.col("node") == name).withColumn("parent", F.lit(None).cast("string"))
+        return [_write_hop(first, f"{base}/{at}/hop=0", None)]
+
+    ends = {"a": end(source, "a"), "b": end(target, "b")}
+    empty = spark.createDataFrame([], "step int, node string")
+    if not (ends["a"][0][1] and ends["b"][0][1]):
+        return empty
+    if source == target:
+        return spark.createDataFrame([(0, source)], empty.schema)
+    while True:
+        side = min(ends, key=lambda e: ends[e][-1][1])
+        hops = ends[side]
+        hops.append(_write_hop(_next_hop(adj, [h[0] for h in hops[-2:]]), f"{base}/{side}/hop={len(hops)}", None))
+        if not hops[-1][1]:
+            return empty
+        other = ends["b" if side == "a" else "a"][-1][0]
+        if not hops[-1][0].join(other.select("node"), "node", "left_semi").isEmpty():
+            break
+    # levels of nodes on shortest paths, from the source: the last hops share
+    # the middle; each level keeps the nodes next to the one after it
+    near, far = [h[0].select("node") for h in ends["a"]], [h[0].select("node") for h in ends["b"]]
+    levels = far[:-1] + [near[-1].join(far[-1], "node")]
+    for level in reversed(near[:-1]):
+        levels.append(_touching(adj, level, levels[-1]))
+    levels.reverse()
+    path, row = [], source
+    for level in [None, *levels[1:]]:
+        if level is not None:
+            row = (level.join(adj.where(F.col("src") == row).select(F.col("dst").alias("node")), "node")
+                   .agg(F.min("node")).first()[0])
+        path.append((len(path), row))
+    return spark.createDataFrame(path, empty.schema)
+
+
+def _touching(adj: DataFrame, level: DataFrame, after: DataFrame) -> DataFrame:
+    beside = adj.join(after.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+    return level.join(beside, "node", "left_semi")
+
+
+def weighted_path(spark: SparkSession, edges: DataFrame, source: str, target: str, weight: str) -> DataFrame:
+    """Least total ``weight`` by relaxing the nodes whose distance shrank; one
+    table a round. Ties go to the smaller parent. Rows ``step, node``."""
+    e = edges.where(F.col("a") != F.col("b")).select("a", "b", F.col(weight).cast("double").alias("w"))
+    base = scratch_path(spark, "weighted")
+    (e.union(e.select("b", "a", "w")).toDF("src", "dst", "w").groupBy("src", "dst").agg(F.min("w").alias("w"))
+     .write.parquet(f"{base}/adj"))
+    adj = spark.read.parquet(f"{base}/adj")
+    known = (adj.where(F.col("src") == source).select(F.col("src").alias("node")).distinct()
+             .select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("new")))
+    r = 0
+    while True:
+        known.write.parquet(f"{base}/known={r}")
+        known = spark.read.parquet(f"{base}/known={r}")
+        if known.where("new").isEmpty():
+            break
+        step = (known.where("new").join(adj, known["node"] == adj["src"])
+                .select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"),
+                        F.col("src").alias("parent"), F.lit(True).alias("new")))
+        old = known.withColumn("new", F.lit(False))
+        best = F.min(F.struct("dist", "new", F.coalesce("parent", F.lit("")).alias("p"), "parent"))
+        known = (old.unionByName(step).groupBy("node").agg(best.alias("m"))
+                 .select("node", "m.dist", "m.parent", "m.new"))
+        r += 1
+    nodes, node = [], target
+    while node is not None:  # one look-up a step of the path
+        row = known.where(F.col("node") == node).select("parent").first()
+        if row is None:
+            return spark.createDataFrame([], "step int, node string")
+        nodes.append(node)
+        node = row["parent"]
+    return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(nodes))], "step int, node string")

@@ -96,3 +96,36 @@ def test_mentions_over_analysed_paragraphs(spark):
     # analyser drops ('of') or stems ('dogs') can never match; 'bird' can
     mixed = MN.mention_pairs_postings(names, analyze(paras), bk, name_config="simple").collect()
     assert [(r.mentioned_author, r.mentioned_by) for r in mixed] == [("Bird", "B")]
+
+
+def test_paths_against_all_simple_paths(spark):
+    """Two-sided search and BFS against every simple path of small graphs."""
+    import random
+    rng = random.Random(12)
+    for _ in range(4):
+        nodes = [f"n{i}" for i in range(8)]
+        edges = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(9)})
+        df = spark.createDataFrame([(a, b, float(rng.randint(1, 5))) for a, b in edges], "a string, b string, w double")
+        w = {(r.a, r.b): r.w for r in df.collect()}
+        w |= {(b, a): x for (a, b), x in w.items()}
+        every = []
+
+        def walk(path):
+            every.append(path)
+            for n in nodes:
+                if (path[-1], n) in w and n not in path:
+                    walk(path + [n])
+        walk(["n0"])
+        shortest = {}
+        for p in every:
+            shortest[p[-1]] = min(shortest.get(p[-1], (99, [])), (len(p), p))
+        known = any("n0" in e for e in edges)
+        got = {r.node: r.path for r in G.bfs(spark, G.adjacency(df), spark.createDataFrame([("n0",)], "node string")).collect()}
+        assert got == ({n: p for n, (_, p) in shortest.items()} if known else {})
+        for t in ("n3", "n7"):
+            path = [r.node for r in G.shortest_path(spark, df, "n0", t).orderBy("step").collect()]
+            assert path == (shortest[t][1] if t in shortest and known else [])
+            heavy = [r.node for r in G.shortest_path(spark, df, "n0", t, weight="w").orderBy("step").collect()]
+            cost = lambda p: sum(w[x] for x in zip(p, p[1:]))
+            best = min((cost(p) for p in every if p[-1] == t), default=None)
+            assert (cost(heavy) == best and heavy[0] == "n0" and heavy[-1] == t) if best is not None else heavy == []
