@@ -146,6 +146,10 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return lo
 
 
+#: The rule of the target, for the model and for the share of it.
+TARGET = "quality = 1 and not coalesce(toxic, 0) = 1"
+
+
 def accepted_share(labels: DataFrame, good: Column) -> float:
     """Upper 3-sigma bound of the accepted share of labelled rows (1 without labels)."""
     n, g = labels.agg(F.count(F.lit(1)), F.sum(F.coalesce(good, F.lit(False)).cast("int"))).first()
@@ -162,17 +166,20 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
     ``labels`` has doc_id, quality and toxic; rows of quality 1 that are not
     toxic are the target. ``k`` is ``keep_share`` of the rows, by default the
-    upper bound of the share of quality 1 among all labels, so a clean document
-    isn't lost to the error of that share. Keys equal to the k-th stay too.
+    share of target rows among all labels plus three standard errors of it
+    (binomial, by the number of labels), so a clean document isn't lost to the
+    error of that share; the margin goes to 0 as labels grow. What the ranking
+    mixes up at the cut is lost or kept; README has the counts. Keys equal to
+    the k-th stay too.
     A null or empty text has weight 0; a null doc_id has the noise of null;
     repeated rows get equal keys. Clashing columns are replaced, extra ones
     carried; without labels or rows everything stays.
     """
     new = ["log_weight", "sample_key", "kept"]
     docs = docs.drop(*new)
-    target = labels.where("quality = 1 and not coalesce(toxic, 0) = 1").select("doc_id")
+    target = labels.where(TARGET).select("doc_id")
     ratios = log_ratios(docs, target, text, doc_id, buckets, max_target)
-    share = accepted_share(labels.where("quality is not null"), F.col("quality") == 1) \
+    share = accepted_share(labels.where("quality is not null"), F.expr(TARGET)) \
         if keep_share is None else keep_share
     scored = weigh(docs, ratios, text).withColumn("sample_key", F.col("log_weight") + gumbel(F.col(doc_id), seed))
     scored = written(scored.select(*docs.columns, "log_weight", "sample_key"), "scored")

@@ -63,6 +63,14 @@ def test_sample_is_gumbel_top_k(spark):
     assert abs(np.mean(noise) - 0.5772) < 0.25 and len(set(noise)) == 300
 
 
+def test_share_follows_the_target(spark):
+    """Toxic rows of quality 1 are no target, so they hold no place in the sample."""
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 1)) for i in range(2000)], LABELS)
+    want = math.ceil((0.5 + 3 * math.sqrt(0.25 / 2000)) * 4000)
+    assert quality.resample(docs, labels).where("kept").count() == want
+
+
 def test_quality_awkward(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.resample(nothing(spark), none).count() == 0
