@@ -5,7 +5,7 @@ from random projections (vectors sorted by sign code, compared with the next
 few), then rounds of neighbours-of-neighbours joins refine them: the members of
 a node's list, and those that list the node, are compared with each other, and
 whoever beats the worst entry of a list enters it. A node with very many
-listers is dealt in blocks. Rounds end when the links found stand still.
+listers is dealt in blocks, every pair of which is compared. Rounds end when the links found stand still.
 
 A list full of links is saturated: it is enlarged to the whole component of
 its node, compared block by block, so no link is lost to the length of a list.
@@ -185,6 +185,42 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _centres(vecs: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """``members`` to compare: what each node lists and the nodes that list it.
+
+    More than ``LISTERS`` listers are dealt into blocks, the fresh ones apart,
+    with a row for every pair of blocks of which one is fresh, and a row of
+    each block with the node's own list: together the pairs of one row.
+    """
+    worst = (lists.groupBy("u").agg(F.count("*").alias("held"), F.min("sim").alias("least"))
+             .select(F.col("u").alias("id"), F.when(F.col("held") < k, -2.0).otherwise(F.col("least")).alias("worst")))
+    new, known = F.sum("fresh"), F.sum(1 - F.col("fresh"))
+    few = F.count("*") <= LISTERS
+    listers = (lists.groupBy(F.col("v").alias("centre"))
+               .agg(F.when(few, 1).otherwise(F.ceil(new / LISTERS)).cast("int").alias("new"),
+                    F.when(few, 0).otherwise(F.ceil(known / LISTERS)).cast("int").alias("known")))
+    dealt = lists.select(F.col("v").alias("centre"), F.col("u").alias("id"), "fresh").join(listers, "centre")
+    hashed = F.xxhash64("id")
+    own = (F.when(F.col("new") + F.col("known") == 1, 0)
+           .when(F.col("fresh") == 1, F.pmod(hashed, F.col("new")))
+           .otherwise(F.col("new") + F.pmod(hashed, F.col("known")))).cast("int")
+    last = F.col("new") + F.col("known") - 1
+    before_new = F.expr("if(new = 0, array(), sequence(0, new - 1))")
+    met = (F.when(F.col("own") < F.col("new"), F.sequence(F.lit(0), last))
+           .otherwise(F.concat(before_new, F.array("own"))))
+    back = dealt.withColumn("own", own).select("centre", "id", "fresh", "own", met.alias("others"))
+    alone = F.when(F.col("new").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last))
+    ahead = (lists.select(F.col("u").alias("centre"), F.col("v").alias("id"), "fresh")
+             .join(listers, "centre", "left")
+             .select("centre", "id", "fresh", F.lit(None).cast("int").alias("own"), alone.alias("others")))
+    member = F.struct("id", "fresh", "worst", "vec")
+    return (back.unionByName(ahead)
+            .join(vecs.select("id", "vec").join(worst, "id", "left").fillna(-2.0, "worst"), "id")
+            .withColumn("other", F.explode("others")).withColumn("own", F.coalesce("own", "other"))
+            .groupBy("centre", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+            .agg(F.collect_list(member).alias("members")).select("members"))
+
+
 def _search(vecs: DataFrame, min_cosine: float, k: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Final lists ``(u, v, sim, fresh, place)`` and forest edges ``(u, v)`` of all links met."""
     spark = vecs.sparkSession
@@ -197,17 +233,7 @@ def _search(vecs: DataFrame, min_cosine: float, k: int, rounds: int) -> tuple[Da
     lists = written(_top(met.where("not forest").select("u", "v", "sim", F.lit(1).alias("fresh")), k), "lists")
     links = lists.where(F.col("sim") >= min_cosine).count()
     for r in range(rounds):
-        worst = (lists.groupBy("u").agg(F.count("*").alias("held"), F.min("sim").alias("least"))
-                 .select(F.col("u").alias("id"), F.when(F.col("held") < k, -2.0).otherwise(F.col("least")).alias("worst")))
-        listers = lists.groupBy("v").agg(F.count("*").alias("in"))
-        salt = F.pmod(F.xxhash64("u", F.lit(r)), F.ceil(F.col("in") / LISTERS)).cast("int")
-        back = (lists.join(listers, "v").select(F.col("v").alias("centre"), salt.alias("block"),
-                                                F.col("u").alias("id"), "fresh"))
-        ahead = lists.select(F.col("u").alias("centre"), F.lit(0).alias("block"), F.col("v").alias("id"), "fresh")
-        member = F.struct("id", "fresh", "worst", "vec")
-        centres = (ahead.union(back)
-                   .join(vecs.select("id", "vec").join(worst, "id", "left").fillna(-2.0, "worst"), "id")
-                   .groupBy("centre", "block").agg(F.collect_list(member).alias("members")).select("members"))
+        centres = _centres(vecs, lists, k)
         met = written(centres.mapInArrow(_local(min_cosine), _FOUND), "met")
         forest = forest.union(met.where("forest").select("u", "v"))
         old = lists.select("u", "v", "sim", F.lit(0).alias("fresh"))

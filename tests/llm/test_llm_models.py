@@ -276,6 +276,19 @@ def test_embedding_clusters(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_hub_compares_every_pair(spark):
+    """A node with 100 listers, 60 of them new, and a list of its own: no pair is left out."""
+    rng = np.random.default_rng(12)
+    vecs = spark.createDataFrame([("g", i, rng.normal(size=4).tolist(), 1) for i in range(104)],
+                                 "grp string, id long, vec array<double>, copies long")
+    rows = [(i, 0, 0.5, int(i <= 60)) for i in range(1, 101)] + [(0, i, 0.5, int(i == 101)) for i in range(101, 104)]
+    lists = spark.createDataFrame(rows, "u long, v long, sim double, fresh int")
+    met = embedding_dedup._centres(vecs, lists, 10).mapInArrow(embedding_dedup._local(2.0), embedding_dedup._FOUND)
+    got = {(r["u"], r["v"]) for r in met.where("not forest").collect()}
+    new = {*range(1, 61), 101}
+    assert got == {(u, v) for u in range(1, 104) for v in range(1, 104) if u != v and (u in new or v in new)}
+
+
 def test_embedding_table_and_empty(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.op10_embedding_dedup(spark, SF).collect()}
