@@ -5,13 +5,15 @@ from random projections (vectors sorted by sign code, compared with the next
 few), then rounds of neighbours-of-neighbours joins refine them: the members of
 a node's list, and those that list the node, are compared with each other, and
 whoever beats the worst entry of a list enters it. A node with very many
-listers is dealt in blocks, every pair of which is compared. Rounds end when the links found stand still.
+listers is dealt in blocks, every pair of which is compared. Rounds end when
+the lists that have room left hardly find new links.
 
 A list full of links is saturated: it is enlarged to the whole component of
 its node, compared block by block, so no link is lost to the length of a list.
 Every pair found at the threshold feeds the components, as a spanning forest of
-each comparison. An audit compares a bounded set of vectors with all and the
-search is repeated with longer lists if recall falls short.
+each comparison. An audit compares a bounded uniform set of vectors with all;
+if recall falls short the search is repeated with longer lists, and after the
+longest every pair of a group is compared, block by block.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ LISTERS = 24
 BLOCK = 128
 ROUNDS = 8
 STILL = 0.002
-AUDIT = 256
+AUDIT = 1024
 MIN_RECALL = 0.95
 SEED = 10
 
@@ -53,24 +55,26 @@ def _unit(vectors: list[np.ndarray]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _codes(bits: int):
     """(grp, id, vec) -> a row per table with its sign code and projection."""
-    planes: dict[int, np.ndarray] = {}
-    for b in batches:
-        vec = _rows(b.column(2))
-        size = np.array([len(v) for v in vec])
-        for dim in np.unique(size):
-            if dim not in planes:
-                planes[dim] = np.random.default_rng(SEED + int(dim)).normal(size=(dim, TABLES * (CODE_BITS + 1)))
-            rows = np.flatnonzero(size == dim)
-            x = _unit([vec[i] for i in rows]) @ planes[dim]
-            part = b.take(pa.array(rows))
-            for t in range(TABLES):
-                y = x[:, t * (CODE_BITS + 1): (t + 1) * (CODE_BITS + 1)]
-                code = (y[:, :-1] > 0) @ (1 << np.arange(CODE_BITS)[::-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), t)), pa.array(code.astype(np.int64)), pa.array(y[:, -1]), *part.columns],
-                    ["t", "code", "proj", "grp", "id", "vec"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            vec = _rows(b.column(2))
+            size = np.array([len(v) for v in vec])
+            for dim in np.unique(size):
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng(SEED + int(dim)).normal(size=(dim, TABLES * (bits + 1)))
+                rows = np.flatnonzero(size == dim)
+                x = _unit([vec[i] for i in rows]) @ planes[dim]
+                part = b.take(pa.array(rows))
+                for t in range(TABLES):
+                    y = x[:, t * (bits + 1): (t + 1) * (bits + 1)]
+                    code = (y[:, :-1] > 0) @ (1 << np.arange(bits)[::-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), t)), pa.array(code.astype(np.int64)), pa.array(y[:, -1]), *part.columns],
+                        ["t", "code", "proj", "grp", "id", "vec"])
+    return run
 
 
 _FOUND = "u long, v long, sim double, forest boolean"
@@ -160,24 +164,47 @@ def _local(min_cosine: float):
     return run
 
 
-def _blocks_run(min_cosine: float):
-    """One row per pair of blocks (queries, members): links of each query by members' counts."""
+_COMPARED = "id long, n long, m long, v long"
+
+
+def _blocks_run(min_cosine: float, edges: bool):
+    """One row per pair of blocks (queries, members): links of each query by members'
+    counts (``n``) and by members (``m``); with ``edges`` also star edges ``(id, v)`` of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, links = [], []
             for k in range(b.num_rows):
                 q, m = b.column(0)[k].values, b.column(1)[k].values
                 qi, mi = (a.field("id").to_numpy(zero_copy_only=False) for a in (q, m))
                 s = _unit(_rows(q.field("vec"))) @ _unit(_rows(m.field("vec"))).T
                 hit = (s >= min_cosine) & (qi[:, None] != mi[None, :])
-                ids.append(qi)
-                links.append(hit @ m.field("copies").to_numpy(zero_copy_only=False))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links))],
-                                                 ["id", "n"])
+                any_ = np.flatnonzero(hit.any(axis=1))
+                if not len(any_):
+                    continue
+                n = hit[any_] @ m.field("copies").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qi[any_]), pa.array(n), pa.array(hit[any_].sum(axis=1)), pa.nulls(len(any_), pa.int64())],
+                    ["id", "n", "m", "v"])
+                if edges:
+                    i, j = np.nonzero(hit)
+                    nodes, root = _roots(qi[i], mi[j])
+                    none = pa.nulls(len(nodes), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), none, none, pa.array(root)], ["id", "n", "m", "v"])
     return run
 
 
+def _compared(members: DataFrame, key: str, min_cosine: float, edges: bool = False) -> DataFrame:
+    """``_COMPARED`` rows of every member that is ``full`` against all of the same ``key``, in blocks."""
+    blocks = (members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+                                       F.max("full").alias("any")).where("any").drop("any"))
+    dealt = written(members.join(blocks, key)
+                    .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
+    item = F.struct("id", "copies", "vec")
+    wanted = dealt.where("full").groupBy(key, "block").agg(F.collect_list(item).alias("queries"))
+    whole = dealt.groupBy(key, "block").agg(F.collect_list(item).alias("others"))
+    both = (wanted.drop("block").join(whole.drop("block"), key).select("queries", "others"))
+    return both.mapInArrow(_blocks_run(min_cosine, edges), _COMPARED)
+
+
 def _top(pairs: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest ``v`` of each ``u``; ``fresh`` is 0 for a pair listed before."""
     once = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
@@ -221,32 +248,38 @@ def _centres(vecs: DataFrame, lists: DataFrame, k: int) -> DataFrame:
             .agg(F.collect_list(member).alias("members")).select("members"))
 
 
+def _open_links(lists: DataFrame, min_cosine: float, k: int) -> tuple[int, int]:
+    """New and all links of lists that have room for more."""
+    near = lists.where(F.col("sim") >= min_cosine).groupBy("u").agg(F.sum("fresh").alias("new"), F.count("*").alias("n"))
+    got = near.where(F.col("n") < k).agg(F.sum("new"), F.sum("n")).first()
+    return got[0] or 0, got[1] or 0
+
+
 def _search(vecs: DataFrame, min_cosine: float, k: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Final lists ``(u, v, sim, fresh, place)`` and forest edges ``(u, v)`` of all links met."""
     spark = vecs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(62, max(CODE_BITS, vecs.count().bit_length()))
     coded = (vecs.select("grp", "id", "vec")
-             .mapInArrow(_codes, f"t long, code long, proj double, grp string, id long, vec {dict(vecs.dtypes)['vec']}")
+             .mapInArrow(_codes(bits), f"t long, code long, proj double, grp string, id long, vec {dict(vecs.dtypes)['vec']}")
              .repartitionByRange(n, "t", "grp", "code", "proj").sortWithinPartitions("t", "grp", "code", "proj"))
     met = written(coded.mapInArrow(_adjacent(min_cosine), _FOUND), "adjacent")
     forest = met.where("forest").select("u", "v")
     lists = written(_top(met.where("not forest").select("u", "v", "sim", F.lit(1).alias("fresh")), k), "lists")
-    links = lists.where(F.col("sim") >= min_cosine).count()
     for r in range(rounds):
         centres = _centres(vecs, lists, k)
         met = written(centres.mapInArrow(_local(min_cosine), _FOUND), "met")
         forest = forest.union(met.where("forest").select("u", "v"))
         old = lists.select("u", "v", "sim", F.lit(0).alias("fresh"))
         lists = written(_top(old.union(met.where("not forest").select("u", "v", "sim", F.lit(1))), k), "lists")
-        now = lists.where(F.col("sim") >= min_cosine).count()
-        if r and now - links <= STILL * links:
+        new, links = _open_links(lists, min_cosine, k)
+        if r and new <= STILL * links:
             break
-        links = now
     return lists, forest
 
 
 def _links(vecs: DataFrame, lists: DataFrame, comp: DataFrame, min_cosine: float, k: int) -> DataFrame:
-    """``(id, n)``: copies of other classes linked to each class.
+    """``(id, n, m)``: copies of other classes, and other classes, linked to each class.
 
     A list with room left has all its node's links, its own or the other
     side's. Saturated lists are enlarged to the component, in blocks.
@@ -255,30 +288,29 @@ def _links(vecs: DataFrame, lists: DataFrame, comp: DataFrame, min_cosine: float
     full = near.groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("id"))
     pairs = near.select("u", "v").union(near.select("v", "u")).distinct()
     counts = vecs.select(F.col("id").alias("v"), "copies")
-    listed = pairs.join(counts, "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("n"))
+    listed = (pairs.join(counts, "v").groupBy(F.col("u").alias("id"))
+              .agg(F.sum("copies").alias("n"), F.count("*").alias("m")))
     listed = listed.join(full, "id", "left_anti")
 
-    members = comp.join(vecs, "id").join(full.withColumn("full", F.lit(True)), "id", "left")
-    blocks = (members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"),
-                                          F.max(F.coalesce("full", F.lit(False))).alias("any"))
-              .where("any").drop("any"))
-    dealt = written(members.join(blocks, "root")
-                    .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
-    item = F.struct("id", "copies", "vec")
-    wanted = dealt.where("full").groupBy("root", "block").agg(F.collect_list(item).alias("queries"))
-    whole = dealt.groupBy("root", "block").agg(F.collect_list(item).alias("others"))
-    both = (wanted.drop("block").join(whole.drop("block"), "root").select("queries", "others"))
-    grown = both.mapInArrow(_blocks_run(min_cosine), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    members = (comp.join(vecs, "id").join(full.withColumn("full", F.lit(True)), "id", "left")
+               .fillna(False, "full"))
+    grown = _compared(members, "root", min_cosine).groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     return written(listed.unionByName(grown), "links")
 
 
+def _exact(vecs: DataFrame, min_cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Links and forest edges of every pair of a group, compared block by block."""
+    met = written(_compared(vecs.withColumn("full", F.lit(True)), "grp", min_cosine, True), "exact")
+    links = met.where("v is null").groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return written(links, "links"), met.where("v is not null").select(F.col("id").alias("u"), "v")
+
+
 def audit(vecs: DataFrame, links: DataFrame, min_cosine: float, most: int = AUDIT) -> float:
-    """Share of the links of at most ``most`` classes (half of them linked ones)
-    that were found, against all rows; 1 where there are none."""
-    order = F.xxhash64("id", F.lit(SEED))
-    linked = vecs.join(links, "id", "left_semi").orderBy(order).limit(most // 2)
-    some = vecs.orderBy(order).limit(most // 2)
-    asked = linked.unionByName(some).dropDuplicates(["id"]).select("grp", "id", "vec").collect()  # bounded
+    """Share of the classes linked to a class that were found, against all rows: the
+    mean over a uniform set of ``most`` classes, every class that has links counting the
+    same. Of classes with fewer than ``LIST`` links and of the others the lower
+    mean holds; 1 where there are no links."""
+    asked = vecs.orderBy(F.xxhash64("id", F.lit(SEED))).limit(most).select("grp", "id", "vec").collect()  # bounded
     if not asked:
         return 1.0
     by: dict[str, tuple] = {}
@@ -292,20 +324,21 @@ def audit(vecs: DataFrame, links: DataFrame, min_cosine: float, most: int = AUDI
         for b in batches:
             grp = np.array(b.column(0).to_pylist(), object)
             ids = b.column(1).to_numpy(zero_copy_only=False)
-            copies, vec = b.column(2).to_numpy(zero_copy_only=False), _rows(b.column(3))
+            vec = _rows(b.column(2))
             for g, (qi, q) in shared.value.items():
                 rows = np.flatnonzero(grp == g)
                 if len(rows):
                     hit = (q @ _unit([vec[i] for i in rows]).T >= min_cosine) & (qi[:, None] != ids[rows][None, :])
-                    for i, c in zip(qi, hit @ copies[rows]):
+                    for i, c in zip(qi, hit.sum(axis=1)):
                         total[int(i)] = total.get(int(i), 0) + int(c)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
                                          ["id", "true"])
 
-    true = (vecs.select("grp", "id", "copies", "vec").mapInArrow(run, "id long, true long")
-            .groupBy("id").agg(F.sum("true").alias("true")))
-    got = true.join(links, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("n", F.lit(0))).alias("f")).first()
-    return min(1.0, got["f"] / got["t"]) if got["t"] else 1.0
+    true = (vecs.select("grp", "id", "vec").mapInArrow(run, "id long, true long")
+            .groupBy("id").agg(F.sum("true").alias("true")).where(F.col("true") > 0))
+    found = F.least(F.lit(1.0), F.coalesce("m", F.lit(0)) / F.col("true"))
+    means = (true.join(links, "id", "left").groupBy(F.col("true") < LIST).agg(F.avg(found).alias("mean")).collect())
+    return min([1.0, *(r["mean"] for r in means)])
 
 
 def embedding_dedup(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -342,7 +375,12 @@ def embedding_dedup(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         comp = written(components(forest).withColumnRenamed("u", "id"), "roots")
         links = _links(vecs, lists, comp, min_cosine, k)
         recall = audit(vecs, links, min_cosine)
-        if recall >= min_recall or k >= 16 * LIST:
+        if recall >= min_recall:
+            break
+        if k >= 16 * LIST:
+            links, forest = _exact(vecs, min_cosine)
+            comp = written(components(forest).withColumnRenamed("u", "id"), "roots")
+            recall = audit(vecs, links, min_cosine)
             break
         k *= 2
     least = comp.join(vecs, "id").groupBy("root").agg(F.min("rep").alias("least"))

@@ -289,6 +289,43 @@ def test_hub_compares_every_pair(spark):
     assert got == {(u, v) for u in range(1, 104) for v in range(1, 104) if u != v and (u in new or v in new)}
 
 
+def test_audit_sees_small_groups(spark):
+    """A hot group found whole doesn't hide 20 pairs that were missed."""
+    rng = np.random.default_rng(13)
+    hot = rng.normal(size=16)
+    rows = [("g", i, (hot + rng.normal(size=16) * 1e-3).tolist(), 50) for i in range(100)]
+    for i in range(100, 140, 2):
+        v = rng.normal(size=16)
+        rows += [("g", i, v.tolist(), 1), ("g", i + 1, (v * 1.001 + 1e-4).tolist(), 1)]
+    vecs = spark.createDataFrame(rows, "grp string, id long, vec array<double>, copies long")
+    found = spark.createDataFrame([(i, 99 * 50, 99) for i in range(100)], "id long, n long, m long")
+    whole = found.union(spark.createDataFrame([(i, 1, 1) for i in range(100, 140)], found.schema))
+    assert embedding_dedup.audit(vecs, found, 0.98) < 0.5
+    assert embedding_dedup.audit(vecs, whole, 0.98) == 1.0
+
+
+def test_exact_when_the_search_falls_short(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(0, 300, 2):
+        v = rng.normal(size=16)
+        rows += [(i, v.tolist(), i % 3), (i + 1, (v + rng.normal(size=16) * 0.02).tolist(), i % 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nothing_found = (spark.createDataFrame([], "u long, v long, sim double, fresh int, place int"),
+                     spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(embedding_dedup, "_search", lambda *a: nothing_found)
+    got = embedding_dedup.embedding_dedup(df).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_links(rows)
+    assert got[0]["audit_recall"] == 1.0
+
+
+def test_rounds_follow_lists_with_room(spark):
+    """New links of full lists don't count, new links beside them do."""
+    full = [(1, v, 0.99, 0) for v in range(2, 5)]
+    lists = spark.createDataFrame([*full, (9, 8, 0.99, 1), (9, 7, 0.5, 1)], "u long, v long, sim double, fresh int")
+    assert embedding_dedup._open_links(lists, 0.98, 3) == (1, 1)
+
+
 def test_embedding_table_and_empty(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.op10_embedding_dedup(spark, SF).collect()}
