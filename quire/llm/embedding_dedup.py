@@ -35,6 +35,7 @@ NEXT = 6
 CODE_BITS = 16
 LISTERS = 24
 BLOCK = 128
+SPAN = 16
 ROUNDS = 8
 STILL = 0.002
 AUDIT = 1024
@@ -193,15 +194,24 @@ def _blocks_run(min_cosine: float, edges: bool):
 
 
 def _compared(members: DataFrame, key: str, min_cosine: float, edges: bool = False) -> DataFrame:
-    """``_COMPARED`` rows of every member that is ``full`` against all of the same ``key``, in blocks."""
+    """``_COMPARED`` rows of every member that is ``full`` against all of the same ``key``, in blocks.
+
+    The joined rows are keyed by ``key``, a span of ``SPAN`` blocks of queries
+    and one of members, so no task holds a whole ``key``; its pairs of blocks
+    still grow with the square of its size.
+    """
     blocks = (members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
                                        F.max("full").alias("any")).where("any").drop("any"))
     dealt = written(members.join(blocks, key)
                     .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
     item = F.struct("id", "copies", "vec")
-    wanted = dealt.where("full").groupBy(key, "block").agg(F.collect_list(item).alias("queries"))
-    whole = dealt.groupBy(key, "block").agg(F.collect_list(item).alias("others"))
-    both = (wanted.drop("block").join(whole.drop("block"), key).select("queries", "others"))
+    span = F.floor(F.col("block") / SPAN)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / SPAN)))
+    wanted = (dealt.where("full").groupBy(key, "blocks", "block").agg(F.collect_list(item).alias("queries"))
+              .select(key, span.alias("ours"), every.alias("theirs"), "queries"))
+    whole = (dealt.groupBy(key, "blocks", "block").agg(F.collect_list(item).alias("others"))
+             .select(key, every.alias("ours"), span.alias("theirs"), "others"))
+    both = wanted.join(whole, [key, "ours", "theirs"]).select("queries", "others")
     return both.mapInArrow(_blocks_run(min_cosine, edges), _COMPARED)
 
 

@@ -326,6 +326,24 @@ def test_rounds_follow_lists_with_room(spark):
     assert embedding_dedup._open_links(lists, 0.98, 3) == (1, 1)
 
 
+def test_large_component_in_spans(spark, monkeypatch):
+    """Every pair of a component once, no join key with more than SPAN x SPAN pairs of blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "SPAN", 2)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=8) + rng.normal(size=(200, 8)) * 0.1
+    members = spark.createDataFrame([(7, i, v.tolist(), 1 + i % 3, i % 2 == 0) for i, v in enumerate(x)],
+                                    "root long, id long, vec array<double>, copies long, full boolean")
+    met = embedding_dedup._compared(members, "root", 0.98)
+    got = {r["id"]: (r["n"], r["m"]) for r in met.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.98) & ~np.eye(200, dtype=bool)
+    copies = 1 + np.arange(200) % 3
+    assert got == {i: (int(hit[i] @ copies), int(hit[i].sum())) for i in range(0, 200, 2) if hit[i].any()}
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "ours" in plan and "theirs" in plan
+
+
 def test_embedding_table_and_empty(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.op10_embedding_dedup(spark, SF).collect()}
