@@ -34,8 +34,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The segments of every document, dealt into token-budget batches."""
-    return packing.pack(docs.select("doc_id", "text"))
+    """The segments of every document with their text, dealt into token-budget batches."""
+    return packing.pack(docs.select("doc_id", "text"), with_text=True)
 
 
 STAGES = [("quality classifier", accept), ("exact dedup", exact), ("near dedup", near), ("pii", redacted), ("packing", packed)]

@@ -23,6 +23,8 @@ from quire.llm.common import WORD, fresh, table, written
 MAX_LEN = 2048
 BUDGET = 16_384
 BUCKETS = 8
+#: A word with the separators behind it, the first also with those before it.
+PIECE = rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"
 NEW = ["segment", "start", "n_tokens", "bucket", "bucket_len", "batch", "position", "padding"]
 
 
@@ -62,11 +64,13 @@ def word_count(text: Column) -> Column:
 
 
 def pack(docs: DataFrame, text: str = "text", length: Column | None = None, max_len: int = MAX_LEN,
-         budget: int = BUDGET, buckets: int = BUCKETS, slices: int | None = None) -> DataFrame:
+         budget: int = BUDGET, buckets: int = BUCKETS, slices: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per segment: the columns of ``docs`` but its text, plus
     ``segment, start, n_tokens`` (token range in the document), ``bucket``
     (from 0), ``bucket_len``, ``batch`` (from 0 in its bucket), ``position``
-    and ``padding`` (``bucket_len - n_tokens``).
+    and ``padding`` (``bucket_len - n_tokens``). ``with_text`` adds the text of
+    the segment last, its separators included: the segments of a document in
+    order give its text again. It needs words as tokens.
 
     ``length`` is the token count of a row (its words by default). A null,
     empty or blank text is one segment of no tokens. A very long text becomes
@@ -76,13 +80,28 @@ def pack(docs: DataFrame, text: str = "text", length: Column | None = None, max_
     """
     if not 0 < max_len <= budget:
         raise ValueError("max_len must be positive and at most the budget")
+    if with_text and length is not None:
+        raise ValueError("only words can be cut out of the text")
     spark = docs.sparkSession
     docs = docs.drop(*NEW)
     carried = [c for c in docs.columns if c != text]
     tokens, slice_ = fresh(docs, "tokens", "slice")
     sized = docs.withColumn(tokens, length if length is not None else word_count(F.col(text)))
     last = F.greatest(F.ceil(F.col(tokens) / max_len) - 1, F.lit(0)).cast("int")
-    segments = (sized.select(*carried, tokens, F.explode(F.sequence(F.lit(0), last)).alias("segment"))
+    numbers, cut = F.sequence(F.lit(0), last), []
+    if with_text:
+        def part(pieces: Column, i: Column) -> Column:
+            body = F.array_join(F.slice(pieces, i * max_len + 1, F.lit(max_len)), "")
+            return F.struct(i.alias("segment"), F.when(F.col(tokens) > 0, body).otherwise(F.col(text)).alias("body"))
+        # the pieces as an argument of the outer function: found once a row
+        pieces = F.array(F.coalesce(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), F.array().cast("array<string>")))
+        numbers = F.element_at(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(0), last), lambda i: part(p, i))), 1)
+        cut = [text]
+    (each,) = fresh(sized, "each")
+    segments = sized.select(*carried, tokens, F.explode(numbers).alias(each))
+    segments = (segments.select(*carried, tokens, F.col(each)["segment"].alias("segment"), F.col(each)["body"].alias(text))
+                if with_text else segments.withColumnRenamed(each, "segment"))
+    segments = (segments
                 .withColumn("start", F.col("segment").cast("long") * max_len)
                 .withColumn("n_tokens", F.least(F.lit(max_len), F.col(tokens) - F.col("start")).cast("int"))
                 .drop(tokens))
@@ -116,7 +135,7 @@ def pack(docs: DataFrame, text: str = "text", length: Column | None = None, max_
             .withColumn(at, row).withColumn("bucket_len", bucket_len)
             .withColumn("batch", F.floor(F.col(at) / per)).withColumn("position", F.col(at) % per)
             .withColumn("padding", F.col("bucket_len") - F.col("n_tokens"))
-            .select(*carried, *NEW))
+            .select(*carried, *NEW, *cut))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

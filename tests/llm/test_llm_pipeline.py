@@ -57,6 +57,19 @@ def test_stages_take_effect(spark):
             assert r["text"] != was[r["doc_id"]] and not brute_base(r["text"])
 
 
+def test_packed_segments_hold_the_text(spark):
+    """Segments in order are the text again, also of long, blank and null ones."""
+    docs = awkward(spark).where("doc_id <> 2").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(90, " \t lead\n two  three ")], docs.schema))
+    parts = {}
+    for r in sorted(dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF).collect(), key=lambda r: r["segment"]):
+        parts.setdefault(r["doc_id"], []).append(r["text"])
+        assert len((r["text"] or "").encode().split()) == r["n_tokens"]
+    assert len(parts[11]) > 1
+    for r in docs.where("doc_id is not null").collect():
+        assert parts[r["doc_id"]] == [None] if r["text"] is None else "".join(parts[r["doc_id"]]) == r["text"]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
