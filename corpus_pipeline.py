@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, packing, pii, quality, simhash_dedup
-from quire.llm.common import table, written
+from quire.llm.common import fresh, table, written
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the smallest doc_id stays."""
-    found = simhash_dedup.simhash_dedup(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked fingerprints one row stays: the smallest doc_id.
+
+    A row is its doc_id and text: of repeated ids with different texts each is
+    judged by its own group, the text's MD5 decides inside one; a null id stays
+    only in a group without ids. Of rows with equal id and text one stays.
+    """
+    digest, group, best = fresh(docs, "digest", "group", "best")
+    keyed = docs.withColumn(digest, F.md5("text"))
+    rows = keyed.select("doc_id", "text", digest)
+    found = written(simhash_dedup.simhash_dedup(rows, group=group).select("doc_id", digest, group), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(digest).alias("digest"))
+    first = found.groupBy(group).agg(F.min(order).alias(best)).select(f"{best}.*")
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["id"]) & keyed[digest].eqNullSafe(first["digest"]), "left_semi")
+    if not found.groupBy("doc_id", digest).count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", digest])
+    return kept.select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,13 +92,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                  shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+                  shingle: int = SHINGLE, max_bits: int = MAX_BITS, group: str | None = None) -> DataFrame:
     """``docs`` without its text, plus ``fingerprint`` (16 hex digits) and
     ``component_id`` (smallest doc_id reachable by links, itself included).
 
     A null, empty or blank text has fingerprint zero and links like any other.
     A null doc_id takes part in linking but names no component unless no
-    member has an id (then null). Repeated rows stay and share a component;
+    member has an id (then null); ``group`` adds a column of that name that
+    tells components apart in that case too. Repeated rows stay and share a component;
     extra columns are carried, clashing ones replaced; an empty table gives an
     empty table.
     """
@@ -109,9 +110,10 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = components(links(classes.select("fp"), max_bits))
     linked = written(classes.join(roots.select(F.col("u").alias("fp"), "root"), "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
+    moved = linked.join(least, "root").select("fp", "component_id", "root")
     final = written(classes.join(moved, "fp", "left")
-                    .select(F.col("fp").alias(fp), F.coalesce("component_id", "rep").alias("component_id")),
+                    .select(F.col("fp").alias(fp), F.coalesce("component_id", "rep").alias("component_id"),
+                            *([F.coalesce("root", "fp").alias(group)] if group else [])),
                     "components")
     out = marked.join(final, fp)
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))).drop(fp)

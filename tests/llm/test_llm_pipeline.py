@@ -70,6 +70,15 @@ def test_packed_segments_hold_the_text(spark):
         assert parts[r["doc_id"]] == [None] if r["text"] is None else "".join(parts[r["doc_id"]]) == r["text"]
 
 
+def test_near_decides_on_rows(spark):
+    """An id on two texts loses only the copy; null ids and equal rows leave one row."""
+    near = dict(corpus_pipeline.STAGES)["near dedup"]
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("apple", "brick", "cloud"))
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c), (7, "seven " + b[::-1]), (7, "seven " + b[::-1]), (None, a)]
+    got = near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=i, text=t)) for i, t in [rows[0], rows[2], rows[3], rows[5]])
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
