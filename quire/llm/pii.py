@@ -167,8 +167,9 @@ def predict(trees: list[tuple], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(cands: DataFrame, column: str, fold: Column) -> tuple[list[tuple], list[float | None]]:
-    """The trees, and each generator's threshold (None: nothing is added)."""
+def train(cands: DataFrame, column: str, fold: Column) -> tuple[list[tuple], list[float | None], list[int]]:
+    """The trees, each generator's threshold (None: nothing is added), and the generators
+    with fewer than ``MIN_HELD_OUT`` held-out candidates, too few for a threshold."""
     names = list(FEATURES)
     cells = (cands.select(fold.alias("fold"), F.explode(column).alias("c"))
              .groupBy("fold", *(F.col(f"c.{f}").alias(f) for f in names))
@@ -179,10 +180,11 @@ def train(cands: DataFrame, column: str, fold: Column) -> tuple[list[tuple], lis
     order = np.lexsort((*x.T, held))
     x, n, pos, held = x[order], n[order], pos[order], held[order]
     if not len(x) or not (~held).any():
-        return [], [None] * len(GENERATORS)
+        return [], [None] * len(GENERATORS), list(range(len(GENERATORS)))
     trees = boost(x[~held], n[~held], pos[~held])
     score = predict(trees, x)
     limits: list[float | None] = []
+    rare = [g for g in range(len(GENERATORS)) if n[held & (x[:, 0] == g)].sum() < MIN_HELD_OUT]
     for gen in range(len(GENERATORS)):
         own = held & (x[:, 0] == gen)
         values, at = np.unique(-score[own], return_inverse=True)
@@ -190,7 +192,7 @@ def train(cands: DataFrame, column: str, fold: Column) -> tuple[list[tuple], lis
         seen = np.bincount(at, n[own], len(values)).cumsum()
         fit = np.flatnonzero((seen >= MIN_HELD_OUT) & (good >= PRECISION * seen))
         limits.append(float(-values[fit[-1]]) if len(fit) else None)
-    return trees, limits
+    return trees, limits, rare
 
 
 def _score_sql(trees: list[tuple]) -> str:
@@ -207,6 +209,9 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", base:
     that order (rank: place of the kind in ``KINDS``): ``base``, the spans that
     pass their base check, and ``spans``, those and the added ones.
 
+    A generator with fewer than ``MIN_HELD_OUT`` held-out candidates has no
+    threshold and adds those that pass its own check.
+
     Offsets are code points, the end exclusive. A null or empty text has no
     spans. Ties (several kinds at one start) stay side by side; an added span
     inside a base span is left out. The fold is a hash of doc_id, null
@@ -217,13 +222,15 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", base:
     (col,) = fresh(docs, "found")
     cands = candidates(docs, text, col)
     held = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(5)) == 0
-    trees, limits = train(cands.select(held.alias("held"), col), col, F.col("held"))
+    trees, limits, rare = train(cands.select(held.alias("held"), col), col, F.col("held"))
     rank = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
     as_span = f"c -> named_struct('start', c.start, 'rank', {rank}, 'kind', c.kind, 'end', c.end)"
     sure = f"filter(`{col}`, c -> c.gen < {BASE} AND c.checked)"
     over = "CASE c.gen " + " ".join(f"WHEN {i} THEN {v!r}D" for i, v in enumerate(limits) if v is not None) + \
         " WHEN -1 THEN 0D END"
-    some = f"filter(`{col}`, c -> NOT (c.gen < {BASE} AND c.checked) AND coalesce({_score_sql(trees)} >= {over}, false))"
+    alike = f"c.checked AND c.gen IN ({', '.join(map(str, [-1, *rare]))})"
+    some = f"""filter(`{col}`, c -> NOT (c.gen < {BASE} AND c.checked)
+        AND (coalesce({_score_sql(trees)} >= {over}, false) OR coalesce({alike}, false)))"""
     (more,) = fresh(cands, "more")
     out = with_once(cands, **{base: F.expr(f"array_sort(transform({sure}, {as_span}))"),
                         more: F.expr(f"transform({some}, {as_span})")})

@@ -203,6 +203,13 @@ def test_trees_add_what_the_checks_name(spark):
     assert not any(got[400 + i]["spans"] for i in range(400))
 
 
+def test_rare_kinds_are_found(spark):
+    """The same key is found alone as among many."""
+    key = 'some words token = "0123456789abcdef0123456789abcdef01234567" and more'
+    got = pii.find_pii(spark.createDataFrame([(1, key), (2, "plain words")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in got} == {1: ["secret"], 2: []}
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)] + [(99, None), (100, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
