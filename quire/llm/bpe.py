@@ -26,12 +26,11 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import over_text, table
 
 #: Characters of a text looked at together, bytes of a piece buffered together
 #: (beyond the lookahead), and pieces remembered by a worker (two generations).
@@ -214,26 +213,6 @@ class Shared:
         return Shared._built[key]
 
 
-def _over_text(docs: DataFrame, text: str, bpe: Shared, fields: list[T.StructField], rows) -> DataFrame:
-    """``docs`` without ``text`` plus ``fields``: the tuple ``rows(bpe, text)`` of each row."""
-    rest = [c for c in docs.columns if c != text and c not in {f.name for f in fields}]
-    src = docs.select(*(docs[c] for c in rest), docs[text])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.get()
-        for b in batches:
-            got = [rows(coder, v.as_py() or "") for v in b.column(len(rest))]
-            new = zip(*got) if got else [()] * len(fields)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], *(pa.array(c, _ARROW[type(f.dataType)]) for c, f in zip(new, fields))],
-                names=[*rest, *(f.name for f in fields)])
-
-    return src.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *fields]))
-
-
-_ARROW = {T.LongType: pa.int64(), T.StringType: pa.string(), T.ArrayType: pa.list_(pa.int32())}
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
     """``docs`` with ``text`` replaced by the array of its ids.
 
@@ -241,7 +220,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", tokens:
     carried, one named like ``tokens`` is replaced; an empty table stays empty.
     """
     field = T.StructField(tokens, T.ArrayType(T.IntegerType()))
-    return _over_text(docs, text, Shared(docs.sparkSession, path, pattern), [field],
+    return over_text(docs, text, Shared(docs.sparkSession, path, pattern), [field],
                       lambda c, t: (list(chain.from_iterable(c.encode(t))),))
 
 
@@ -252,7 +231,7 @@ def decode(rows: DataFrame, path: str, pattern: str, tokens: str = "tokens", tex
         feed = coder.decoder()
         return (feed(list(ids)) + feed(None) if ids else "",)
 
-    return _over_text(rows, tokens, Shared(rows.sparkSession, path, pattern),
+    return over_text(rows, tokens, Shared(rows.sparkSession, path, pattern),
                       [T.StructField(text, T.StringType())], one)
 
 
@@ -273,7 +252,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
-    return _over_text(docs, text, Shared(docs.sparkSession, path, pattern), fields, one)
+    return over_text(docs, text, Shared(docs.sparkSession, path, pattern), fields, one)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import scratch_path
 
@@ -38,6 +39,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_ARROW = {T.LongType: pa.int64(), T.StringType: pa.string(), T.ArrayType: pa.list_(pa.int32())}
+
+
+def over_text(docs: DataFrame, text: str, coder, fields: list[T.StructField], rows) -> DataFrame:
+    """``docs`` without ``text`` plus ``fields``: the tuple ``rows(coder.get(), value)`` of each row."""
+    taken = {text.lower(), *(f.name.lower() for f in fields)}
+    rest = [c for c in docs.columns if c.lower() not in taken]
+    src = docs.select(*(docs[c] for c in rest), docs[text])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = coder.get()
+        for b in batches:
+            got = [rows(built, v.as_py() or "") for v in b.column(len(rest))]
+            new = zip(*got) if got else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], *(pa.array(c, _ARROW[type(f.dataType)]) for c, f in zip(new, fields))],
+                names=[*rest, *(f.name for f in fields)])
+
+    return src.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *fields]))
+
+
 def words(data: bytes) -> list[bytes]:
     """The words of UTF-8 text; ``bytes.split`` cuts at exactly 20 and 09-0D."""
     return data.split()

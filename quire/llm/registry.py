@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (bpe, embedding_dedup, exact_dedup, language_id, packing, pii, quality, simhash_dedup,
+from quire.llm import (bpe, byte_bpe, embedding_dedup, exact_dedup, language_id, packing, pii, quality, simhash_dedup,
                        substring_dedup, url_filter)
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     }
 
 
