@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (bpe, byte_bpe, embedding_dedup, exact_dedup, language_id, packing, pii, quality, simhash_dedup,
-                       substring_dedup, url_filter)
+from quire.llm import (bpe, byte_bpe, embedding_dedup, exact_dedup, language_id, lexical_search, packing, pii,
+                       quality, simhash_dedup, substring_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.SQL,
         "op6_url_filter": url_filter.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }
