@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import (bpe, byte_bpe, embedding_dedup, exact_dedup, language_id, lexical_search, packing, pii,
-                       quality, simhash_dedup, substring_dedup, url_filter)
+                       quality, simhash_dedup, spelling_variants, substring_dedup, url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
