@@ -7,8 +7,9 @@ boundaries, because those are ASCII-only in some engines and would mark
 inside words such as ``Bäche``. Joining the pieces gives the text back, so
 an excerpt without its markers equals the paragraph.
 
-``mode='full'`` keeps the whole paragraph. ``mode='fragments'`` keeps only
-windows of ``words`` tokens centred on marked words, joined with ``' ... '``.
+``mode='fragments'`` keeps the best fragments (``operators.fragments``), joined
+with ``' ... '``; ``mode='full'`` keeps the whole paragraph. ``mode='windows'``
+keeps a window of ``words`` tokens around every marked word.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexemes_of, marked_sql, pieces, sql_lexeme, sql_list
 from .analysis import BoundQuery
+from .fragments import with_fragments
 from .matching import with_once
 
 START_SEL = "**"
@@ -33,21 +35,26 @@ def headline(text: str, q: BoundQuery) -> Column:
 
 def with_headline(df: DataFrame, text: str, q: BoundQuery, mode: str = "full",
                   words: int = 35, out: str = "h", max_fragments: int = MAX_FRAGMENTS,
-                  only_matches: bool = False) -> DataFrame:
+                  only_matches: bool = False, phrase: bool = True) -> DataFrame:
     """Add the excerpt column ``out`` for text column ``text``.
 
-    ``full``: the whole text, query words marked. ``fragments``: a piece is
-    kept when a marked word lies within ``words/2`` words of it; runs of kept
-    pieces (fragments) are joined with ``' ... '``, at most ``max_fragments``
-    of them. ``only_matches``: mark only words that belong to a phrase
-    occurrence (else every word whose lexeme is a query lexeme).
+    ``full``: the whole text, query words marked. ``fragments``: the best
+    fragments of at most ``words`` words; ``phrase`` tells whether the query is
+    a phrase or all its words. ``windows``: a piece is kept when a marked word
+    lies within ``words/2`` words of it; runs of kept pieces are joined. At most
+    ``max_fragments`` pieces of either kind. ``only_matches``: mark only words
+    that belong to a phrase occurrence, else every word whose lexeme is a query
+    lexeme.
 
     Each intermediate array (pieces, hit flags, keep flags) is materialised
     once per row, so every step is one pass over the paragraph (times the
-    window for ``fragments``).
+    window for ``windows``).
     """
-    if mode not in ("full", "fragments"):
+    if mode not in ("full", "fragments", "windows"):
         raise ValueError(f"unknown headline mode {mode!r}")
+    if mode == "fragments":
+        return with_fragments(df, text, q, phrase, out, words, max_fragments=max_fragments, only_matches=only_matches,
+                              start_sel=START_SEL, stop_sel=STOP_SEL, delimiter=FRAGMENT_DELIMITER)
     if not q.lexemes:
         return df.withColumn(out, F.col(text))
     if mode == "full" and not only_matches:

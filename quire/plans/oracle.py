@@ -132,10 +132,93 @@ aw AS (
   FROM awp JOIN lp ON awp.num = lp.num AND awp.para = lp.para, qtl)"""
 
 
-def with_ctes(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+def covers_sql(text: str, language: str, phrase: bool, p: str = "") -> str:
+    """CTEs ending in ``{p}cov(num, para, s, e, n)`` and ``{p}hl(num, para, hs)``.
+
+    A phrase's covers come from its start positions; those of an all-words
+    query from a self join: for every hit the latest hit of each lexeme up to
+    it, the least of which must have moved.
+    """
+    if phrase:
+        found = f"""{p}st AS (
+  SELECT h.num, h.para, h.ti - t.off AS s
+  FROM {p}hits h JOIN {p}qterms t ON h.lexeme = t.lexeme
+  GROUP BY h.num, h.para, h.ti - t.off HAVING count(*) = (SELECT n FROM {p}qn)),
+{p}cov AS (
+  SELECT st.num, st.para, st.s, st.s + span - 1 AS e, count(*) AS n
+  FROM {p}st st JOIN {p}hits h ON h.num = st.num AND h.para = st.para, {p}qn
+  WHERE h.ti BETWEEN st.s AND st.s + span - 1 GROUP BY st.num, st.para, st.s, span)"""
+    else:
+        found = f"""{p}lat AS (
+  SELECT a.num, a.para, a.ti AS e, b.lexeme, max(b.ti) AS l
+  FROM {p}hits a JOIN {p}hits b ON a.num = b.num AND a.para = b.para AND b.ti <= a.ti
+  GROUP BY a.num, a.para, a.ti, b.lexeme),
+{p}lef AS (
+  SELECT num, para, e, CASE WHEN count(*) = (SELECT count(DISTINCT lexeme) FROM {p}qterms) THEN min(l) END AS s
+  FROM {p}lat GROUP BY num, para, e),
+{p}mov AS (SELECT *, lag(s) OVER (PARTITION BY num, para ORDER BY e) AS before FROM {p}lef),
+{p}cov AS (
+  SELECT m.num, m.para, m.s, m.e, count(*) AS n
+  FROM {p}mov m JOIN {p}hits h ON h.num = m.num AND h.para = m.para AND h.ti BETWEEN m.s AND m.e
+  WHERE m.s IS NOT NULL AND (m.before IS NULL OR m.s > m.before) GROUP BY m.num, m.para, m.s, m.e)"""
+    return f"""{query_ctes(text, language, p + 'q')},
+{p}lp AS (SELECT * FROM paragraphs WHERE language = {sql_str(language)}),
+{tokens_cte(p + 'lt', p + 'lp')},
+{p}hits AS (
+  SELECT num, para, ti, lexeme FROM (SELECT num, para, ti, {sql_lexeme('token', language)} AS lexeme FROM {p}lt)
+  WHERE lexeme IN (SELECT lexeme FROM {p}qterms)),
+{found},
+{p}hl AS (SELECT num, para, list(ti ORDER BY ti) AS hs FROM {p}hits GROUP BY num, para)"""
+
+
+def fragments_sql(words: int = 35, short_word: int = 3, most: int = 1000, p: str = "") -> str:
+    """CTEs ending in ``{p}frag(num, para, h)`` after ``covers_sql`` (recursive)."""
+    return f"""{p}cut(num, para, last, a, b) AS (
+  SELECT c.num, c.para, c.e, c.s, list_max(list_filter(hs, lambda x: x <= least(c.e, c.s + {words - 1})))
+  FROM {p}cov c JOIN {p}hl USING (num, para)
+  UNION ALL
+  SELECT num, para, last, a2, list_max(list_filter(hs, lambda x: x <= least(last, a2 + {words - 1})))
+  FROM (SELECT num, para, last, hs, list_min(list_filter(hs, lambda x: x > b AND x <= last)) AS a2
+        FROM {p}cut JOIN {p}hl USING (num, para) WHERE b < last) WHERE a2 IS NOT NULL),
+{p}cand AS (
+  SELECT *, row_number() OVER (PARTITION BY num, para ORDER BY n DESC, b - a, a) AS j
+  FROM (SELECT DISTINCT num, para, a, b, len(list_filter(hs, lambda x: x BETWEEN a AND b)) AS n
+        FROM {p}cut JOIN {p}hl USING (num, para))),
+{p}doc AS (
+  SELECT num, para, hs, regexp_extract_all(paragraph, {sql_str(PIECE_PATTERN)}) AS ps,
+         list_transform(regexp_extract_all(paragraph, {sql_str(WORD_PATTERN)}), lambda x: length(x)) AS wl
+  FROM {p}lp JOIN {p}hl USING (num, para)),
+{p}pick(num, para, j, got) AS (
+  SELECT DISTINCT num, para, CAST(0 AS BIGINT), CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) FROM {p}cand
+  UNION ALL
+  SELECT num, para, j, CASE WHEN taken THEN got ELSE list_append(got, struct_pack(s := CAST(s AS BIGINT), e := CAST(
+      list_max(list_filter(range(b, greatest(b, least(s + {words - 1}, right_)) + 1), lambda i: i = b OR wl[i + 1] > {short_word})) AS BIGINT))) END
+  FROM (SELECT *, list_min(list_filter(range(greatest(a - greatest({words - 1} - b + a, 0) // 2, left_), a + 1),
+                                       lambda i: i = a OR wl[i + 1] > {short_word})) AS s
+        FROM (SELECT c.num, c.para, c.j, c.a, c.b, g.got, d.wl,
+                     len(g.got) >= {most} OR len(list_filter(g.got, lambda x: x.s <= c.b AND c.a <= x.e)) > 0 AS taken,
+                     coalesce(list_max(list_transform(list_filter(g.got, lambda x: x.e < c.a), lambda x: x.e)) + 1, 0) AS left_,
+                     coalesce(list_min(list_transform(list_filter(g.got, lambda x: x.s > c.b), lambda x: x.s)) - 1, len(d.wl) - 1) AS right_
+              FROM {p}pick g JOIN {p}cand c ON c.num = g.num AND c.para = g.para AND c.j = g.j + 1
+              JOIN {p}doc d ON d.num = g.num AND d.para = g.para))),
+{p}fin AS (SELECT num, para, list_sort(arg_max(got, j)) AS got FROM {p}pick GROUP BY num, para),
+{p}frag AS (
+  SELECT num, para, array_to_string(list_transform(got, lambda f: array_to_string(list_transform(range(w0 + 2 * f.s, w0 + 2 * f.e + 1),
+      lambda i: CASE WHEN (i - w0) % 2 = 0 AND list_contains(hs, (i - w0) // 2) THEN '**' || ps[i + 1] || '**' ELSE ps[i + 1] END), '')), ' ... ') AS h
+  FROM (SELECT f.num, f.para, f.got, d.hs, d.ps, CASE WHEN regexp_matches(d.ps[1], '^[\\p{{L}}\\p{{N}}]') THEN 0 ELSE 1 END AS w0
+        FROM {p}fin f JOIN {p}doc d USING (num, para)))"""
+
+
+def covers_rank_sql(cov: str) -> str:
+    """``num, para, covers, rank`` of the covers of one query."""
+    return f"""SELECT num, para, count(*) AS covers, round(sum(0.1 / (2 + e - s - n)) / (sum(0.1 / (2 + e - s - n)) + 1), 8) AS rank
+FROM {cov} GROUP BY num, para"""
+
+
+def with_ctes(*ctes: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n"
 
 
 __all__ = ["BOOKS", "PARAGRAPHS", "tokens_cte", "lexemes_cte",
            "query_ctes", "mark_sql", "rollup_sql", "phrase_matches_sql",
-           "all_words_sql", "with_ctes"]
+           "all_words_sql", "covers_sql", "fragments_sql", "covers_rank_sql", "with_ctes"]

@@ -22,9 +22,10 @@ from ..operators import quality as QA
 from ..operators import stats as ST
 from ..operators.analysis import (analyze, bind_query, normalize_with_dictionary, query_terms,
                                   tokenize)
+from ..operators.covers import with_covers
 from ..operators.headline import headline, with_headline
 from ..operators.matching import all_words_match, phrase_match, phrase_match_postings
-from ..operators.ranking import cover_density_rank
+from ..operators.ranking import cover_density_rank, covers_rank
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import metadata as MD
@@ -61,7 +62,7 @@ def register(key: str, sql: str | None = None):
 @register("phrase_search", O.with_ctes(O.BOOKS, O.PARAGRAPHS, O.phrase_matches_sql(PHRASE, LANGUAGE))
           + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE))
 def q_phrase_search(spark, sf):
-    return S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    return S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE, mode="full")
 
 
 @register("phrase_search_page", O.with_ctes(
@@ -69,7 +70,7 @@ def q_phrase_search(spark, sf):
     "res AS (" + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE) + ")")
     + f"SELECT * FROM res ORDER BY rank DESC, num ASC LIMIT {PAGE_LIMIT} OFFSET {PAGE_START - 1}")
 def q_phrase_search_page(spark, sf):
-    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE, mode="full")
     return S.page(res, PAGE_LIMIT, PAGE_START)
 
 
@@ -79,7 +80,7 @@ def q_phrase_search_page(spark, sf):
     + f"SELECT *, md5({sql_str(str(SEED) + ':')} || CAST(num AS VARCHAR)) AS rand FROM res "
       f"ORDER BY rand, num LIMIT {S.DISCOVERY_ROWS}")
 def q_discovery_search(spark, sf):
-    return S.discovery_search(spark, books_view(spark, sf), ALL_WORDS, LANGUAGE, seed=SEED)
+    return S.discovery_search(spark, books_view(spark, sf), ALL_WORDS, LANGUAGE, seed=SEED, mode="full")
 
 
 
@@ -112,19 +113,19 @@ def _index(spark, sf):
 @register("phrase_search_index", ORACLES["phrase_search"])
 def q_phrase_search_index(spark, sf):
     bk, idx = _index(spark, sf)
-    return S.index_phrase_search(spark, idx, bk, PHRASE, LANGUAGE)
+    return S.index_phrase_search(spark, idx, bk, PHRASE, LANGUAGE, mode="full")
 
 
 @register("phrase_search_index_page", ORACLES["phrase_search_page"])
 def q_phrase_search_index_page(spark, sf):
     bk, idx = _index(spark, sf)
-    return S.index_phrase_page(spark, idx, bk, PHRASE, LANGUAGE, PAGE_LIMIT, PAGE_START)
+    return S.index_phrase_page(spark, idx, bk, PHRASE, LANGUAGE, PAGE_LIMIT, PAGE_START, mode="full")
 
 
 @register("discovery_search_index", ORACLES["discovery_search"])
 def q_discovery_search_index(spark, sf):
     bk, idx = _index(spark, sf)
-    return S.index_discovery_search(spark, idx, bk, ALL_WORDS, LANGUAGE, seed=SEED)
+    return S.index_discovery_search(spark, idx, bk, ALL_WORDS, LANGUAGE, seed=SEED, mode="full")
 
 
 # -------------------------------------------------------- step 1: split, tokens
@@ -231,6 +232,79 @@ def q_headline_matches(spark, sf):
     return with_headline(phrase_match(paras, q), "paragraph", q, only_matches=True).select("num", "para", "h")
 
 
+# covers and fragments: phrases with a gap and with a repeated word, and
+# all-words queries of rare and of frequent words
+COVER_QUERIES = ((1, PHRASE, True), (2, "rewh rewh", True), (3, "th of re", True), (4, ALL_WORDS, False),
+                 (5, "th re an", False))
+
+
+def _covers_cte(queries=COVER_QUERIES):
+    return [O.covers_sql(text, LANGUAGE, phrase, f"c{i}") for i, text, phrase in queries]
+
+
+@register("phrase_rank_covers", O.with_ctes(O.BOOKS, O.PARAGRAPHS, *_covers_cte()) + "\nUNION ALL ".join(
+    f"SELECT {i} AS query_id, * FROM ({O.covers_rank_sql(f'c{i}cov')})" for i, _, _ in COVER_QUERIES))
+def q_phrase_rank_covers(spark, sf):
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    out = None
+    for i, text, phrase in COVER_QUERIES:
+        q = bind_query(spark, text, LANGUAGE)
+        found = with_covers((phrase_match if phrase else all_words_match)(paras, q), "paragraph", q, phrase)
+        rows = found.select(F.lit(i).alias("query_id"), "num", "para", F.size("covers").cast("long").alias("covers"),
+                            F.round(covers_rank(), 8).alias("rank"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_FRAGMENTS = [O.BOOKS, O.PARAGRAPHS, *(x for i, text, phrase in COVER_QUERIES
+                                       for x in (O.covers_sql(text, LANGUAGE, phrase, f"c{i}"), O.fragments_sql(p=f"c{i}")))]
+
+
+@register("headline_fragments", O.with_ctes(*_FRAGMENTS, recursive=True) + "\nUNION ALL ".join(
+    f"SELECT {i} AS query_id, num, para, h FROM c{i}frag" for i, _, _ in COVER_QUERIES))
+def q_headline_fragments(spark, sf):
+    paras = _paragraphs(spark, sf).where(F.col("language") == LANGUAGE)
+    out = None
+    for i, text, phrase in COVER_QUERIES:
+        q = bind_query(spark, text, LANGUAGE)
+        found = with_headline((phrase_match if phrase else all_words_match)(paras, q), "paragraph", q, "fragments", phrase=phrase)
+        rows = found.select(F.lit(i).alias("query_id"), "num", "para", "h")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_PHRASE_RANK = """ps AS (SELECT num, para, count(*) * 0.1 / (1 + max(span) - max(qn.n)) AS w FROM c1st, c1qn qn GROUP BY num, para),
+pr AS (SELECT f.num, f.para, f.h, w / (w + 1) AS rank FROM c1frag f JOIN ps USING (num, para))"""
+_SEARCH_FRAGMENTS = O.with_ctes(O.BOOKS, O.PARAGRAPHS, O.covers_sql(PHRASE, LANGUAGE, True, "c1"), O.fragments_sql(p="c1"),
+                                _PHRASE_RANK, recursive=True) + O.rollup_sql("pr", True, S.DEFAULT_LINK_BASE)
+_DISCOVERY_FRAGMENTS = O.with_ctes(
+    O.BOOKS, O.PARAGRAPHS, O.covers_sql(ALL_WORDS, LANGUAGE, False, "c4"), O.fragments_sql(p="c4"),
+    "res AS (" + O.rollup_sql("c4frag", False, S.DEFAULT_LINK_BASE) + ")", recursive=True) \
+    + f"SELECT *, md5({sql_str(str(SEED) + ':')} || CAST(num AS VARCHAR)) AS rand FROM res ORDER BY rand, num LIMIT {S.DISCOVERY_ROWS}"
+
+
+@register("phrase_search_fragments", _SEARCH_FRAGMENTS)
+def q_phrase_search_fragments(spark, sf):
+    return S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+
+
+@register("phrase_search_index_fragments", _SEARCH_FRAGMENTS)
+def q_phrase_search_index_fragments(spark, sf):
+    bk, idx = _index(spark, sf)
+    return S.index_phrase_search(spark, idx, bk, PHRASE, LANGUAGE)
+
+
+@register("discovery_search_fragments", _DISCOVERY_FRAGMENTS)
+def q_discovery_search_fragments(spark, sf):
+    return S.discovery_search(spark, books_view(spark, sf), ALL_WORDS, LANGUAGE, seed=SEED)
+
+
+@register("discovery_search_index_fragments", _DISCOVERY_FRAGMENTS)
+def q_discovery_search_index_fragments(spark, sf):
+    bk, idx = _index(spark, sf)
+    return S.index_discovery_search(spark, idx, bk, ALL_WORDS, LANGUAGE, seed=SEED)
+
+
 # ------------------------------------------------------ step 3: all words, stopwords
 
 @register("all_words_match", _cte(O.all_words_sql(ALL_WORDS, LANGUAGE)) + "SELECT num, para FROM aw")
@@ -786,7 +860,7 @@ _SEARCH_RES = _cte(O.phrase_matches_sql(PHRASE, LANGUAGE), "res AS (" + O.rollup
 
 @register("result_filter", _SEARCH_RES + f"SELECT * FROM res WHERE author LIKE '{FILTER_AUTHOR_PREFIX}%'")
 def q_result_filter(spark, sf):
-    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE, mode="full")
     return res.where(F.col("author").startswith(FILTER_AUTHOR_PREFIX))
 
 
@@ -794,7 +868,7 @@ def q_result_filter(spark, sf):
 ORDER BY author ASC NULLS LAST, rank DESC, num ASC""")
 def q_result_sort(spark, sf):
     # the multi-column sort of a result table (the whole result)
-    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE)
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE, mode="full")
     return res.orderBy(F.col("author").asc_nulls_last(), F.col("rank").desc(), F.col("num"))
 
 

@@ -106,7 +106,7 @@ def _as_query(spark: SparkSession, query: str | BoundQuery, language: str) -> Bo
 
 def phrase_matches(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
                    language: str = "english", paragraphs: DataFrame | None = None,
-                   mode: str = "full", only_matches: bool = False) -> DataFrame:
+                   mode: str = "fragments", only_matches: bool = False) -> DataFrame:
     """``num, para, n_matches, rank, h`` for every matching paragraph.
 
     ``mode`` / ``only_matches``: see ``operators.headline.with_headline``.
@@ -120,7 +120,7 @@ def phrase_matches(spark: SparkSession, books: DataFrame, query: str | BoundQuer
 
 def phrase_search(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
                   language: str = "english", link_base: str = DEFAULT_LINK_BASE,
-                  paragraphs: DataFrame | None = None, mode: str = "full",
+                  paragraphs: DataFrame | None = None, mode: str = "fragments",
                   only_matches: bool = False) -> DataFrame:
     """All matching books (unordered): author, title, num, relevant_paragraphs, rank."""
     m = phrase_matches(spark, books, query, language, paragraphs, mode, only_matches)
@@ -138,11 +138,11 @@ def page(result: DataFrame, limit: int = 10, start: int = 1) -> DataFrame:
 def discovery_search(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
                      language: str = "english", seed: int = 42, n: int = DISCOVERY_ROWS,
                      link_base: str = DEFAULT_LINK_BASE,
-                     paragraphs: DataFrame | None = None, mode: str = "full") -> DataFrame:
+                     paragraphs: DataFrame | None = None, mode: str = "fragments") -> DataFrame:
     """``n`` books with all query words in one paragraph, seeded random order."""
     q = _as_query(spark, query, language)
     paras = paragraphs if paragraphs is not None else _language_paragraphs(books, q.config.name)
-    m = with_headline(all_words_match(paras, q), "paragraph", q, mode).select("num", "h")
+    m = with_headline(all_words_match(paras, q), "paragraph", q, mode, phrase=False).select("num", "h")
     res = rollup_books(m, books, link_base, with_rank=False)
     rand = seeded_random(F.col("num"), seed)
     return res.withColumn("rand", rand).orderBy("rand", "num").limit(n)
@@ -201,7 +201,8 @@ def _excerpts(idx: dict, hits: DataFrame, q: BoundQuery, mode: str, only_matches
     """
     paras = idx["paragraphs"].where(F.col("language") == q.config.name).select("num", "para", "paragraph", "block")
     where = hits.withColumn("block", book_block(F.col("num"), idx["blocks"]))
-    m = with_headline(paras.join(where, ["block", "num", "para"]), "paragraph", q, mode, only_matches=only_matches)
+    m = with_headline(paras.join(where, ["block", "num", "para"]), "paragraph", q, mode, only_matches=only_matches,
+                      phrase="n_matches" in hits.columns)
     if "n_matches" in hits.columns:
         return m.select("num", "para", "n_matches", cover_density_rank(F.col("n_matches"), q).alias("rank"), "h")
     return m.select("num", "para", "h")
@@ -209,7 +210,7 @@ def _excerpts(idx: dict, hits: DataFrame, q: BoundQuery, mode: str, only_matches
 
 def index_phrase_search(spark: SparkSession, idx: dict, books: DataFrame, query: str | BoundQuery,
                         language: str = "english", link_base: str = DEFAULT_LINK_BASE,
-                        mode: str = "full", only_matches: bool = False) -> DataFrame:
+                        mode: str = "fragments", only_matches: bool = False) -> DataFrame:
     """``phrase_search`` over a stored index (``read_index``): all matching books."""
     q = _as_query(spark, query, language)
     m = _excerpts(idx, _index_hits(spark, idx, q, True), q, mode, only_matches)
@@ -218,7 +219,7 @@ def index_phrase_search(spark: SparkSession, idx: dict, books: DataFrame, query:
 
 def index_phrase_page(spark: SparkSession, idx: dict, books: DataFrame, query: str | BoundQuery,
                       language: str = "english", limit: int = 10, start: int = 1,
-                      link_base: str = DEFAULT_LINK_BASE, mode: str = "full",
+                      link_base: str = DEFAULT_LINK_BASE, mode: str = "fragments",
                       only_matches: bool = False) -> DataFrame:
     """One page of the search: rank from the postings alone, take the page,
     then read and mark the text of its books (at most ``limit`` book ids are
@@ -245,7 +246,7 @@ def _of_books(spark, idx: dict, hits: DataFrame, top: DataFrame, books: DataFram
 
 def index_discovery_search(spark: SparkSession, idx: dict, books: DataFrame, query: str | BoundQuery,
                            language: str = "english", seed: int = 42, n: int = DISCOVERY_ROWS,
-                           link_base: str = DEFAULT_LINK_BASE, mode: str = "full") -> DataFrame:
+                           link_base: str = DEFAULT_LINK_BASE, mode: str = "fragments") -> DataFrame:
     """``discovery_search`` over a stored index: the ``n`` books are drawn from
     the hits, then only their text is read."""
     q = _as_query(spark, query, language)

@@ -71,10 +71,10 @@ def test_fragment_headline_keeps_window(spark):
     words = " ".join(f"w{i}" for i in range(100))
     text = words + " needle " + words
     df = spark.createDataFrame([(text,)], "paragraph string")
-    h = with_headline(df, "paragraph", q, mode="fragments", words=10).first().h
+    h = with_headline(df, "paragraph", q, mode="windows", words=10).first().h
     assert h == "w95 w96 w97 w98 w99 **needle** w0 w1 w2 w3 w4"
     two = spark.createDataFrame([("a b needle c d e f g h i j k l needle m",)], "paragraph string")
-    h2 = with_headline(two, "paragraph", q, mode="fragments", words=4).first().h
+    h2 = with_headline(two, "paragraph", q, mode="windows", words=4).first().h
     assert h2 == "a b **needle** c d ... k l **needle** m"
 
 
@@ -117,7 +117,7 @@ def test_rare_first_equals_plain(spark, small_paragraphs):
 def test_headline_fragment_limit_and_only_matches(spark):
     q = bind_query(spark, "needle", "english")
     two = spark.createDataFrame([("a b needle c d e f g h i j k l needle m",)], "paragraph string")
-    h1 = with_headline(two, "paragraph", q, mode="fragments", words=4, max_fragments=1).first().h
+    h1 = with_headline(two, "paragraph", q, mode="windows", words=4, max_fragments=1).first().h
     assert h1 == "a b **needle** c d"
     qp = bind_query(spark, "cat to dog", "english")
     df = spark.createDataFrame([("dog cat the dog, cat dog",)], "paragraph string")
