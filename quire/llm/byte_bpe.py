@@ -21,7 +21,6 @@ is the unfinished character, at most three bytes.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -31,15 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.llm.common import over_text, table
-from quire.llm.merges import Merges
+from quire.llm.merges import Machine, Merges, Table, spare_collector
 
-#: Determinised states a worker keeps, bytes read between two emissions, bytes
-#: the table of matches may take, the longest match kept there, and characters
-#: of a text looked at together.
-STATES = 1 << 18
+#: Bytes of a match read between two emissions, and characters of a text looked
+#: at together.
 BLOCK = 1 << 12
-TABLE_BYTES = 128 << 20
-SHORT = 64
 PART = 1 << 18
 
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
@@ -67,118 +62,6 @@ def rank_rules(ranks: dict[bytes, int]) -> tuple[list[tuple[int, int, int]], dic
     return rules, whole
 
 
-class Machine:
-    """The transducer of one vocabulary.
-
-    ``items[s]`` are the states ``node << 32 | token before`` (-1 wrapped: none)
-    that determinised state ``s`` stands for, the oldest beginning first; the
-    last one begins here, after the token ``last[s]``. ``to`` holds the
-    transitions built so far, by ``s << 8 | byte``.
-    """
-
-    NONE = (1 << 32) - 1
-
-    def __init__(self, merges: Merges):
-        self.merges = merges
-        self._clear()
-
-    def _clear(self) -> None:
-        self.items: list[tuple[int, ...]] = []
-        self.last: list[int] = []
-        self.known: dict[tuple[int, ...], int] = {}
-        self.to: dict[int, int] = {}
-        self._state((self.NONE,))
-
-    def _state(self, items: tuple[int, ...]) -> int:
-        found = self.known.get(items)
-        if found is None:
-            found = self.known[items] = len(self.items)
-            self.items.append(items)
-            self.last.append(items[-1])
-        return found
-
-    def _build(self, key: int) -> int:
-        """The transition of a state and byte met for the first time."""
-        m, byte, live, made = self.merges, key & 255, [], None
-        for item in self.items[key >> 8]:
-            node = m.steps.get(item >> 32 << 8 | byte)
-            if node is None:
-                continue
-            before = item & self.NONE
-            if node in m.inner:
-                live.append(node << 32 | before)
-            if made is None:  # of the tokens that end here one can follow its token before
-                token = m.ends.get(node)
-                if token is not None and (before == self.NONE or m.apart(before, token)):
-                    made = token
-        live.append(made)  # node 0 after the token just made
-        found = self.to[key] = self._state(tuple(live))
-        return found
-
-    def run(self, data: bytes) -> Iterator[list[int]]:
-        """Tokens of one match as they become certain."""
-        if len(self.items) > STATES:
-            self._clear()
-        state, said = 0, []
-        for at in range(0, len(data), BLOCK):
-            get, path = self.to.get, []
-            for byte in data[at: at + BLOCK]:
-                key = state << 8 | byte
-                state = get(key)
-                if state is None:
-                    state = self._build(key)
-                path.append(state)
-            said += map(self.last.__getitem__, path)
-            if at + BLOCK < len(data):
-                cut = self._certain(said, self.items[state])
-                yield self._chain(said, cut)
-                del said[:cut]
-                if len(self.items) > STATES:
-                    items = self.items[state]
-                    self._clear()
-                    state = self._state(items)
-        yield self._chain(said, len(said))
-
-    def _chain(self, said: list[int], end: int) -> list[int]:
-        """The tokens of the first ``end`` bytes; ``said[i]`` ends after byte ``i``."""
-        out, size = [], self.merges.size
-        while end:
-            out.append(said[end - 1])
-            end -= size[out[-1]]
-        out.reverse()
-        return out
-
-    def _certain(self, said: list[int], items: tuple[int, ...]) -> int:
-        """Where the chains of all live beginnings meet: what is before it
-        stands whatever follows."""
-        ends = {len(said) - self.merges.depth[i >> 32] for i in items}
-        while len(ends) > 1:
-            far = max(ends)
-            ends.remove(far)
-            ends.add(far - self.merges.size[said[far - 1]])
-        return ends.pop()
-
-
-class _Table(dict):
-    """Outputs of matches met before; full, it starts anew."""
-
-    def __init__(self, coder: "ByteBpe"):
-        super().__init__()
-        self.coder, self.used = coder, 0
-
-    def __missing__(self, match: str) -> Iterable[int]:
-        ids = self.coder.match(match.encode("utf-8", "replace"))
-        if len(match) > SHORT:
-            return ids
-        ids = tuple(ids)
-        if self.used > TABLE_BYTES:
-            self.clear()
-            self.used = 0
-        self.used += 256 + 4 * len(match) + 8 * len(ids)
-        self[match] = ids
-        return ids
-
-
 class ByteBpe:
     """A vocabulary of byte ranks with its splitting pattern."""
 
@@ -191,12 +74,24 @@ class ByteBpe:
         self.text_of = {i: b"%d" % i for i in self.bytes_of}
         self.machine = Machine(Merges(rules, self.bytes_of))
         self.pattern = regex.compile(pattern)
-        self.table = _Table(self)
+        self.table = Table(self.match)
+
+    def run(self, data: bytes) -> Iterator[list[int]]:
+        """Tokens of one match as they become certain."""
+        m, state, said = self.machine, 0, []
+        for at in range(0, len(data), BLOCK):
+            state = m.read(state, data[at: at + BLOCK], said)
+            if at + BLOCK < len(data):
+                cut = m.certain(said, state)
+                yield m.chain(said, cut)
+                del said[:cut]
+        yield m.chain(said, len(said))
 
-    def match(self, data: bytes) -> Iterable[int]:
+    def match(self, text: str) -> Iterable[int]:
         """Ids of one match of the pattern, lazily."""
+        data = text.encode("utf-8", "replace")
         token = self.whole.get(data)
-        return [token] if token is not None else chain.from_iterable(self.machine.run(data))
+        return [token] if token is not None else chain.from_iterable(self.run(data))
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text``, part by part; special tokens in it are plain text."""
@@ -257,7 +152,7 @@ class Shared:
         if key not in Shared._built:
             Shared._built.clear()
             Shared._built[key] = ByteBpe(*source)
-            gc.set_threshold(1 << 18)  # the tables grow by many small objects that all stay
+            spare_collector()
         return Shared._built[key]
 
 

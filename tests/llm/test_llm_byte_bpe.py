@@ -56,9 +56,9 @@ def test_long_matches_and_small_parts(coder, library, monkeypatch):
 
 
 def test_restart_of_the_machine(library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "STATES", 50)
+    monkeypatch.setattr(merges, "STATES", 50)
     monkeypatch.setattr(byte_bpe, "BLOCK", 16)
-    monkeypatch.setattr(byte_bpe, "TABLE_BYTES", 3000)
+    monkeypatch.setattr(merges, "TABLE_BYTES", 3000)
     small = byte_bpe.ByteBpe(_source(), tokenizers.PATTERN)
     rnd = random.Random(5)
     text = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 90))) for _ in range(400))
