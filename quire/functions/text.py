@@ -19,7 +19,7 @@ oracle queries, so both engines evaluate the same definition.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,9 +33,12 @@ PIECE_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class TextConfig:
+    """An analyser. ``forms``, if given, are the only words with a lexeme,
+    ``(word, lexeme)`` pairs: a query expanded by a dictionary."""
     name: str
     stop_language: str | None = None
     stemmer: str | None = None
+    forms: tuple[tuple[str, str], ...] | None = None
 
     @property
     def stopwords(self) -> tuple[str, ...]:
@@ -64,6 +67,12 @@ def config(name: str) -> TextConfig:
         raise ValueError(f"unknown text configuration {name!r}") from None
 
 
+def words_config(cfg: TextConfig | str) -> TextConfig:
+    """The analyser without its stemmer: lower-cased words, stopwords dropped."""
+    cfg = config(cfg) if isinstance(cfg, str) else cfg
+    return replace(cfg, stemmer=None)
+
+
 # ---------------------------------------------------------------- Spark side
 #
 # The analyser expressions are built from their SQL text (the same text the
@@ -116,9 +125,10 @@ def lexeme(token: str, cfg: TextConfig | str) -> Column:
     return F.expr(sql_lexeme(token, cfg))
 
 
-def lexeme_by_language(token: str, language: str = "language", catalogue=LANGUAGE_CONFIGS) -> Column:
+def lexeme_by_language(token: str, language: str = "language", catalogue=LANGUAGE_CONFIGS,
+                       stem: bool = True) -> Column:
     """Lexeme under the analyser named by column ``language`` (NULL if none)."""
-    return F.expr(sql_lexeme_by_language(token, language, catalogue))
+    return F.expr(sql_lexeme_by_language(token, language, catalogue, stem))
 
 
 def language_config(language: Column, catalogue=LANGUAGE_CONFIGS) -> Column:
@@ -178,14 +188,20 @@ def sql_s_stem(w: str) -> str:
 def sql_lexeme(token: str, cfg: TextConfig | str) -> str:
     cfg = config(cfg) if isinstance(cfg, str) else cfg
     w = f"lower({token})"
+    if cfg.forms is not None:
+        by = {}
+        for word, lexeme in cfg.forms:
+            by.setdefault(lexeme, []).append(word)
+        whens = " ".join(f"WHEN {w} IN {sql_list(ws)} THEN {sql_str(lx)}" for lx, ws in by.items())
+        return f"CASE {whens} END" if by else "CAST(NULL AS STRING)"
     out = sql_s_stem(w) if cfg.stemmer == "s" else w
     if cfg.stopwords:
         out = f"CASE WHEN {w} IN {sql_list(cfg.stopwords)} THEN NULL ELSE {out} END"
     return out
 
 
-def sql_lexeme_by_language(token: str, language: str, catalogue=LANGUAGE_CONFIGS) -> str:
-    parts = " ".join(f"WHEN {language} = {sql_str(n)} THEN {sql_lexeme(token, n)}"
+def sql_lexeme_by_language(token: str, language: str, catalogue=LANGUAGE_CONFIGS, stem: bool = True) -> str:
+    parts = " ".join(f"WHEN {language} = {sql_str(n)} THEN {sql_lexeme(token, n if stem else words_config(n))}"
                      for n in catalogue)
     return f"CASE {parts} ELSE NULL END"
 

@@ -24,17 +24,18 @@ def tokenize(paragraphs: DataFrame, keys=("num", "para")) -> DataFrame:
                              .alias("ti", "token"))
 
 
-def analyze(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS) -> DataFrame:
+def analyze(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS, stem: bool = True) -> DataFrame:
     """``language, num, para, ti, lexeme`` for paragraphs with an analyser.
 
     ``language`` names the analyser, one of ``catalogue``; paragraphs without
-    one get no lexemes, as the reference leaves their vector NULL.
+    one get no lexemes, as the reference leaves their vector NULL. Without
+    ``stem`` a lexeme is the lower-cased word (for ``operators.vocabulary``).
     """
     toks = (paragraphs.where(F.col("language").isNotNull())
             .select("language", "num", "para",
                     F.posexplode(tokens(F.col("paragraph"))).alias("ti", "token")))
     return (toks.select("language", "num", "para", "ti",
-                        lexeme_by_language("token", "language", catalogue).alias("lexeme"))
+                        lexeme_by_language("token", "language", catalogue, stem).alias("lexeme"))
             .where(F.col("lexeme").isNotNull()))
 
 

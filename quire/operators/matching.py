@@ -43,6 +43,13 @@ def prefilter(paragraph: Column, q: BoundQuery) -> Column:
     low = F.lower(paragraph)
     cond = F.lit(True)
     for lx in q.lexemes:
+        if q.config.forms is not None:
+            words = [w for w, lexeme in q.config.forms if lexeme == lx]
+            some = F.lit(False)
+            for w in words:
+                some = some | low.contains(w)
+            cond = cond & some
+            continue
         p = _probe(lx, q.config)
         if p:
             cond = cond & low.contains(p)

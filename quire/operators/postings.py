@@ -32,6 +32,7 @@ from ..sources.sinks import write_table
 from .analysis import analyze, normalize_with_dictionary
 from .matching import with_once
 from .paragraphs import book_paragraphs
+from .vocabulary import analyze_stemmed, build_dictionary, vocabulary
 
 
 # Characters of text per lexeme bucket and per paragraph block, and the most
@@ -72,9 +73,7 @@ def paragraph_stats(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS, dictionar
     analysed rows are reduced by paragraph first.
     """
     if dictionary is not None:
-        rows = normalize_with_dictionary(analyze(paragraphs, catalogue), dictionary)
-        per_para = rows.groupBy("language", "lexeme", "num", "para").agg(F.count("*").alias("tf"))
-        return lexeme_stats(per_para)
+        return reduced_stats(normalize_with_dictionary(analyze(paragraphs, catalogue), dictionary))
     words = paragraphs.where(F.col("language").isNotNull()).select("language", "paragraph")
     lexemes = F.expr(f"array_sort(filter(transform(regexp_extract_all(paragraph, {spark_sql_str(WORD_PATTERN)}, 0), "
                      f"t -> {sql_lexeme_by_language('t', 'language', catalogue)}), x -> x IS NOT NULL))")
@@ -84,9 +83,14 @@ def paragraph_stats(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS, dictionar
                                                   F.count("*").alias("occurrences"))
 
 
+def reduced_stats(analyzed: DataFrame) -> DataFrame:
+    """``lexeme_stats`` of analysed rows, reduced by paragraph first."""
+    return lexeme_stats(analyzed.groupBy("language", "lexeme", "num", "para").agg(F.count("*").alias("tf")))
+
+
 def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int | None = None,
                 blocks: int | None = None, catalogue=LANGUAGE_CONFIGS,
-                dictionary: DataFrame | None = None) -> dict[str, str]:
+                dictionary: DataFrame | None = None, stemmed: bool = False) -> dict[str, str]:
     """Write ``paragraphs``, ``postings``, ``lexeme_stats`` and ``layout`` under ``path``.
 
     The paragraph table is written once and the postings are derived from the
@@ -95,7 +99,9 @@ def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int |
     from the characters of the books. One shuffle, one sort, no aggregation
     for the postings; the statistics read the paragraphs. ``catalogue`` names
     the analysers; ``dictionary`` is the optional normaliser (bind queries
-    with the same one).
+    with the same one). ``stemmed``: the vocabulary of the stored paragraphs is
+    stemmed once into a ``dictionary`` table, which gives the postings their
+    lexemes and queries over the index their forms.
     """
     out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats", "layout")}
     size = F.col("length") if "length" in books.columns else F.length("content")
@@ -105,7 +111,12 @@ def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int |
     write_table(paras.hint("rebalance", "language", "block"), out["paragraphs"], partition_by=["language", "block"],
                 sort_within=["language", "block", "num", "para"])
     stored = spark.read.parquet(out["paragraphs"])
-    analyzed = analyze(stored, catalogue)
+    if stemmed:
+        words = spark.read.parquet(write_table(vocabulary(stored, catalogue), os.path.join(path, "vocabulary"), partition_by=["language"]))
+        write_table(build_dictionary(words, catalogue), os.path.join(path, "dictionary"), partition_by=["language"])
+        analyzed = analyze_stemmed(stored, spark.read.parquet(os.path.join(path, "dictionary")), catalogue)
+    else:
+        analyzed = analyze(stored, catalogue)
     if dictionary is not None:
         analyzed = normalize_with_dictionary(analyzed, dictionary)
     # one row per position: Parquet's dictionary / run-length encoding stores
@@ -113,8 +124,9 @@ def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int |
     keyed = analyzed.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
     write_table(keyed.hint("rebalance", "language", "bucket"), out["postings"], partition_by=["language", "bucket"],
                 sort_within=["language", "bucket", "lexeme", "num", "para", "ti"])
-    write_table(paragraph_stats(stored, catalogue, dictionary), out["lexeme_stats"], partition_by=["language"])
-    spark.createDataFrame([(buckets, blocks)], "buckets int, blocks int") \
+    stats = reduced_stats(analyzed) if stemmed else paragraph_stats(stored, catalogue, dictionary)
+    write_table(stats, out["lexeme_stats"], partition_by=["language"])
+    spark.createDataFrame([(buckets, blocks, stemmed)], "buckets int, blocks int, stemmed boolean") \
         .coalesce(1).write.mode("overwrite").parquet(out["layout"])
     return out
 
@@ -125,10 +137,13 @@ def book_block(num, blocks: int):
 
 
 def read_index(spark: SparkSession, path: str) -> dict:
-    """The index tables, plus ``buckets`` and ``blocks`` from its layout and its ``path``."""
+    """The index tables (a ``dictionary`` if it was built ``stemmed``), plus
+    ``buckets`` and ``blocks`` from its layout and its ``path``."""
     idx = {k: spark.read.parquet(os.path.join(path, k))
            for k in ("paragraphs", "postings", "lexeme_stats")}
     layout = spark.read.parquet(os.path.join(path, "layout")).first()
+    if layout["stemmed"]:
+        idx["dictionary"] = spark.read.parquet(os.path.join(path, "dictionary"))
     return idx | {"buckets": layout["buckets"], "blocks": layout["blocks"], "path": path}
 
 

@@ -12,9 +12,10 @@ the definition itself.
 
 from __future__ import annotations
 
+from ..functions.stemming import stem_sql
 from ..functions.text import (LANGUAGE_CONFIGS, PIECE_PATTERN, WORD_PATTERN, TextConfig, config,
                               sql_language_config, sql_lexeme,
-                              sql_lexeme_by_language, sql_str)
+                              sql_lexeme_by_language, sql_str, words_config)
 from ..sources.tables import LANGUAGE_NAMES, NO_AUTHOR_SOURCE
 
 NL = "chr(10)"
@@ -132,6 +133,40 @@ aw AS (
   FROM awp JOIN lp ON awp.num = lp.num AND awp.para = lp.para, qtl)"""
 
 
+def vocabulary_cte(tokens: str, catalogue=LANGUAGE_CONFIGS) -> str:
+    """CTEs ``words`` (a row a token, no stopwords) and ``dict(language, word, lexeme, occurrences)``."""
+    lx = sql_lexeme_by_language("token", "language", catalogue, stem=False)
+    stems = " UNION ALL ".join(stem_sql(f"(SELECT * FROM vocab WHERE language = {sql_str(n)})", n) for n in catalogue)
+    return f"""words AS (
+  SELECT language, num, para, ti, word FROM (
+    SELECT language, num, para, ti, {lx} AS word FROM {tokens} WHERE language IS NOT NULL) WHERE word IS NOT NULL),
+vocab AS (SELECT language, word, count(*) AS occurrences FROM words GROUP BY language, word),
+dict AS (SELECT language, word, lexeme, occurrences FROM ({stems}))"""
+
+
+def stemmed_matches_sql(text: str, language: str) -> str:
+    """CTEs ending in ``pm(num, para, rank, h)``: a phrase by stems, after ``vocabulary_cte``."""
+    lx = sql_lexeme("token", words_config(language))
+    return f"""qtok AS (
+  SELECT CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
+  FROM (SELECT regexp_extract_all({sql_str(text)}, {sql_str(WORD_PATTERN)}) AS t)),
+qwords AS (SELECT pos, word FROM (SELECT pos, {lx} AS word FROM qtok) WHERE word IS NOT NULL),
+qterms AS (SELECT lexeme, pos - (SELECT min(pos) FROM qwords) AS off FROM ({stem_sql('qwords', language)})),
+qn AS (SELECT count(DISTINCT off) AS n, max(off) + 1 AS span FROM qterms),
+qforms AS (SELECT list(word) AS forms FROM dict WHERE language = {sql_str(language)} AND lexeme IN (SELECT lexeme FROM qterms)),
+mp AS (
+  SELECT num, para, count(*) AS n_matches FROM (
+    SELECT w.num, w.para, w.ti - t.off AS st
+    FROM words w JOIN dict d ON d.language = w.language AND d.word = w.word JOIN qterms t ON t.lexeme = d.lexeme
+    WHERE w.language = {sql_str(language)}
+    GROUP BY w.num, w.para, w.ti - t.off HAVING count(DISTINCT t.off) = (SELECT n FROM qn)) GROUP BY num, para),
+pm AS (
+  SELECT mp.num, mp.para, (n_matches * 0.1 / (1 + span - n)) / (n_matches * 0.1 / (1 + span - n) + 1) AS rank,
+         array_to_string(list_transform(regexp_extract_all(p.paragraph, {sql_str(PIECE_PATTERN)}),
+           lambda x: CASE WHEN list_contains(forms, lower(x)) THEN '**' || x || '**' ELSE x END), '') AS h
+  FROM mp JOIN paragraphs p ON p.num = mp.num AND p.para = mp.para, qn, qforms)"""
+
+
 def covers_sql(text: str, language: str, phrase: bool, p: str = "") -> str:
     """CTEs ending in ``{p}cov(num, para, s, e, n)`` and ``{p}hl(num, para, hs)``.
 
@@ -221,4 +256,5 @@ def with_ctes(*ctes: str, recursive: bool = False) -> str:
 
 __all__ = ["BOOKS", "PARAGRAPHS", "tokens_cte", "lexemes_cte",
            "query_ctes", "mark_sql", "rollup_sql", "phrase_matches_sql",
-           "all_words_sql", "covers_sql", "fragments_sql", "covers_rank_sql", "with_ctes"]
+           "all_words_sql", "covers_sql", "fragments_sql", "covers_rank_sql", "vocabulary_cte",
+           "stemmed_matches_sql", "with_ctes"]

@@ -26,6 +26,7 @@ from ..operators.covers import with_covers
 from ..operators.headline import headline, with_headline
 from ..operators.matching import all_words_match, phrase_match, phrase_match_postings
 from ..operators.ranking import cover_density_rank, covers_rank
+from ..operators.vocabulary import analyze_stemmed, bind_stemmed, build_dictionary, vocabulary
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import metadata as MD
@@ -176,6 +177,45 @@ def q_analyze_dictionary(spark, sf):
     return normalize_with_dictionary(analyze(_paragraphs(spark, sf)), dictionary)
 
 
+_STEMMED = (O.tokens_cte("tk", "paragraphs"), O.vocabulary_cte("tk"))
+STEMMED_PHRASE = "attions to thanedbles"
+
+
+def _dictionary(spark, sf):
+    """The vocabulary, written once, and its stems."""
+    words = write_table(vocabulary(_paragraphs(spark, sf)), scratch_path(spark, "vocabulary"), partition_by=["language"])
+    return build_dictionary(spark.read.parquet(words))
+
+
+@register("build_dictionary", _cte(*_STEMMED) + "SELECT * FROM dict")
+def q_build_dictionary(spark, sf):
+    return _dictionary(spark, sf)
+
+
+@register("analyze_stemmed", _cte(*_STEMMED) + """SELECT w.language, w.num, w.para, w.ti, d.lexeme
+FROM words w JOIN dict d ON d.language = w.language AND d.word = w.word""")
+def q_analyze_stemmed(spark, sf):
+    return analyze_stemmed(_paragraphs(spark, sf), _dictionary(spark, sf))
+
+
+_STEMMED_SEARCH = (_cte(*_STEMMED, O.stemmed_matches_sql(STEMMED_PHRASE, LANGUAGE))
+                   + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE))
+
+
+@register("phrase_search_stemmed", _STEMMED_SEARCH)
+def q_phrase_search_stemmed(spark, sf):
+    stems = spark.read.parquet(write_table(_dictionary(spark, sf), scratch_path(spark, "dictionary"), partition_by=["language"]))
+    return S.phrase_search(spark, books_view(spark, sf), bind_stemmed(spark, STEMMED_PHRASE, LANGUAGE, stems), mode="full")
+
+
+@register("phrase_search_index_stemmed", _STEMMED_SEARCH)
+def q_phrase_search_index_stemmed(spark, sf):
+    bk = books_view(spark, sf)
+    path = scratch_path(spark, "index")
+    PO.build_index(spark, bk, path, stemmed=True)
+    return S.index_phrase_search(spark, PO.read_index(spark, path), bk, STEMMED_PHRASE, LANGUAGE, mode="full")
+
+
 @register("query_terms", O.with_ctes(f"""qt AS (
   SELECT item_id AS query_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token
   FROM (SELECT item_id, regexp_extract_all(text, {sql_str(WORD_PATTERN)}) AS t FROM benchmark))""",

@@ -26,6 +26,7 @@ from ..operators.matching import all_words_match, phrase_match
 from ..operators.paragraphs import book_paragraphs
 from ..operators.postings import book_block, open_postings
 from ..operators.ranking import cover_density_rank
+from ..operators.vocabulary import bind_stemmed
 
 # Fixed values of the result format.
 EXCERPT_SEPARATOR = "\n[...]\n"
@@ -100,8 +101,12 @@ def _language_paragraphs(books: DataFrame, cfg_name: str) -> DataFrame:
     return book_paragraphs(books).where(F.col("language") == cfg_name)
 
 
-def _as_query(spark: SparkSession, query: str | BoundQuery, language: str) -> BoundQuery:
-    return query if isinstance(query, BoundQuery) else bind_query(spark, query, language)
+def _as_query(spark: SparkSession, query: str | BoundQuery, language: str, idx: dict | None = None) -> BoundQuery:
+    if isinstance(query, BoundQuery):
+        return query
+    if idx and "dictionary" in idx:
+        return bind_stemmed(spark, query, language, idx["dictionary"])
+    return bind_query(spark, query, language)
 
 
 def phrase_matches(spark: SparkSession, books: DataFrame, query: str | BoundQuery,
@@ -212,7 +217,7 @@ def index_phrase_search(spark: SparkSession, idx: dict, books: DataFrame, query:
                         language: str = "english", link_base: str = DEFAULT_LINK_BASE,
                         mode: str = "fragments", only_matches: bool = False) -> DataFrame:
     """``phrase_search`` over a stored index (``read_index``): all matching books."""
-    q = _as_query(spark, query, language)
+    q = _as_query(spark, query, language, idx)
     m = _excerpts(idx, _index_hits(spark, idx, q, True), q, mode, only_matches)
     return rollup_books(m, books, link_base, with_rank=True)
 
@@ -226,7 +231,7 @@ def index_phrase_page(spark: SparkSession, idx: dict, books: DataFrame, query: s
     broadcast to the paragraphs, which are pruned to the books' blocks)."""
     if limit < 1 or start < 1:
         raise ValueError("limit and start are 1-based positive integers")
-    q = _as_query(spark, query, language)
+    q = _as_query(spark, query, language, idx)
     hits = _index_hits(spark, idx, q, True)
     rank = cover_density_rank(F.col("n_matches"), q)
     ranks = hits.groupBy("num").agg(F.round(F.sum(rank) / F.count("*") * 100, 4).alias("rank"))
@@ -249,7 +254,7 @@ def index_discovery_search(spark: SparkSession, idx: dict, books: DataFrame, que
                            link_base: str = DEFAULT_LINK_BASE, mode: str = "fragments") -> DataFrame:
     """``discovery_search`` over a stored index: the ``n`` books are drawn from
     the hits, then only their text is read."""
-    q = _as_query(spark, query, language)
+    q = _as_query(spark, query, language, idx)
     hits = _index_hits(spark, idx, q, False).select("num", "para")
     rand = seeded_random(F.col("num"), seed)
     top = (hits.select("num").distinct().join(books.select("num"), "num", "left_semi")
