@@ -11,8 +11,9 @@ right part, and the longest chain's left parts add up to the sufficient
 ``lookahead``. A cut that far from the end of the buffer is final, and the text
 behind a final cut is encoded on its own.
 
-Words seen again come from a bounded cache; pieces longer than a block go
-through the transducer in blocks. Decoding turns ids into bytes and feeds them
+Every piece is read by the transducer, byte by byte: it knows the last token of
+each prefix (``merges``), and the chain of these tokens back from a stable cut
+is the encoding. Pieces met again come from a bounded table. Decoding turns ids into bytes and feeds them
 to an incremental UTF-8 state machine that keeps at most an unfinished
 character. State is constant in the length of the text.
 """
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -31,14 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quire.llm.common import over_text, table
+from quire.llm.merges import Machine, Merges, Table, spare_collector
 
-#: Characters of a text looked at together, bytes of a piece buffered together
-#: (beyond the lookahead), and pieces remembered by a worker (two generations).
+#: Characters of a text looked at together, and bytes of a piece read between
+#: two emissions.
 PART = 1 << 18
-BLOCK = 1 << 13
-CACHE = 1 << 18
-#: Longest piece that is remembered.
-SHORT = 64
+BLOCK = 1 << 12
 
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
 
@@ -74,7 +72,8 @@ class Bpe:
         self.special_re = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.pieces = regex.compile(pattern)
         self.lookahead = self._lookahead()
-        self.cache = _Pieces(self)
+        self.machine = Machine(Merges(((u, v, m) for (u, v), (_, m) in self.ranks.items()), raw))
+        self.cache = Table(self._piece)
 
     def _lookahead(self) -> int:
         left: dict[int, int] = {}  # a merged token's left part
@@ -91,59 +90,22 @@ class Bpe:
             left.setdefault(merged, u)
         return most
 
-    def merge(self, data: bytes) -> list[int]:
-        """All merges of ``data``: lowest rank first, from the left."""
-        ids: list[int | None] = [self.single[b] for b in data]
-        after = list(range(1, len(ids) + 1))
-        before = list(range(-1, len(ids) - 1))
-        heap = []
-        for i in range(len(ids) - 1):
-            found = self.ranks.get((ids[i], ids[i + 1]))
-            if found:
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = merged, None
-            k = after[i] = after[j]
-            if k < len(ids):
-                before[k] = i
-                found = self.ranks.get((merged, ids[k]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, merged, ids[k], found[1]))
-            h = before[i]
-            if h >= 0:
-                found = self.ranks.get((ids[h], merged))
-                if found:
-                    heapq.heappush(heap, (found[0], h, ids[h], merged, found[1]))
-        return [t for t in ids if t is not None]
-
     def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
-        """The transducer: tokens of one piece given in chunks, as they become stable."""
-        held = b""
+        """The transducer: tokens of one piece given in chunks, as they become
+        stable. It holds the tokens of the last ``lookahead`` bytes and a chunk."""
+        state, said, size = 0, [], self.machine.merges.size
         for c in chunks:
-            held += c
-            ids = self.merge(held)
-            final = len(held) - self.lookahead
-            out, at = [], 0
-            for t in ids:
-                if at + len(self.bytes_of[t]) > final:
-                    break
-                at += len(self.bytes_of[t])
-                out.append(t)
-            held = held[at:]
-            yield out
-        yield self.merge(held)
+            state = self.machine.read(state, c, said)
+            cut = len(said)
+            while cut > 0 and cut > len(said) - self.lookahead:
+                cut -= size[said[cut - 1]]
+            yield self.machine.chain(said, cut)
+            del said[:cut]
+        yield self.machine.chain(said, len(said))
 
     def _piece(self, piece: str) -> Iterable[int]:
         data = piece.encode("utf-8", "replace")
-        if len(data) <= BLOCK:
-            return self.merge(data)
-        size = max(BLOCK, 4 * self.lookahead)
-        return chain.from_iterable(self.stream(data[i: i + size] for i in range(0, len(data), size)))
+        return chain.from_iterable(self.stream(data[i: i + BLOCK] for i in range(0, len(data), BLOCK)))
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in blocks, special tokens in the text included."""
@@ -173,27 +135,6 @@ class Bpe:
         return feed
 
 
-class _Pieces(dict):
-    """Ids by piece; long pieces aren't kept. When full it starts anew and
-    refills from the last generation."""
-
-    def __init__(self, bpe: Bpe):
-        super().__init__()
-        self.bpe, self.last = bpe, {}
-
-    def __missing__(self, piece: str) -> Iterable[int]:
-        if len(piece) > SHORT:
-            return self.bpe._piece(piece)
-        if len(self) >= CACHE:
-            self.last = dict(self)
-            self.clear()
-        ids = self.last.get(piece)
-        if ids is None:
-            ids = tuple(self.bpe._piece(piece))
-        self[piece] = ids
-        return ids
-
-
 class Shared:
     """A tokenizer file read by the driver and sent to the tasks (its size is
     the file's); each worker builds the tables once."""
@@ -210,6 +151,7 @@ class Shared:
         if key not in Shared._built:
             Shared._built.clear()
             Shared._built[key] = Bpe(*source)
+            spare_collector()
         return Shared._built[key]
 
 
