@@ -4,20 +4,21 @@ The frontier is a DataFrame ``(node, parent)``. Each hop joins it to the
 adjacency list, drops nodes of the last two hops (in an undirected graph a
 neighbour of hop k lies in k - 1, k or k + 1, so no older hop can come back),
 keeps one parent per new node, and is written as a table, so the lineage stays
-one hop long and a lost executor only recomputes one hop. Paths are read back
-along the parents. The loop on the driver runs once per hop (at most the
+one hop long and a lost executor only recomputes one hop. The loop on the driver runs once per hop (at most the
 graph's diameter); no node list or path set is collected.
 
 A path between two names is searched from both ends, the smaller frontier
 first. Edges are unweighted by default, as in the reference (its weight
-attribute is never named in the path call); with a weight column hops relax
-distances until none shrinks. An unknown start or an unreachable target gives
+attribute is never named in the path call); with a weight column nodes are
+settled in buckets of distance. An unknown start or an unreachable target gives
 an empty result instead of an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -30,49 +31,37 @@ def adjacency(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return both.where(F.col("src") != F.col("dst")).distinct()
 
 
-def bfs(spark: SparkSession, adj: DataFrame, start: DataFrame,
+def bfs(spark: SparkSession, adj: DataFrame, start: DataFrame | Callable[[DataFrame], DataFrame],
         target: str | None = None, max_hops: int | None = None) -> DataFrame:
     """``node, hops, path`` for every node reachable from ``start``.
 
     ``start`` is a one-column DataFrame ``node`` (one row; derived from the
-    data, so nothing is passed through the driver). Ties between shortest
-    paths go to the lexicographically smallest path: among a node's possible
-    parents the one whose own path is smallest, which ``order`` numbers within
-    a hop. The stop conditions (empty frontier, target reached) are observed
-    metrics of the hop's own write.
+    data, so nothing is passed through the driver), or a function that picks it
+    from the graph's ``nodes`` (a written table, so the graph is computed once).
+    Ties between shortest paths go to the lexicographically smallest path: a
+    new node extends the smallest path among its parents of the last hop, where
+    every path is final. Each hop is one written table of nodes and paths. The
+    stop conditions (empty frontier, target reached) are observed metrics of the
+    hop's own write.
     """
     base = scratch_path(spark, "bfs")
     adj.write.parquet(f"{base}/adj")
     adj = spark.read.parquet(f"{base}/adj")
     nodes = adj.select(F.col("src").alias("node")).distinct()
-    first = start.join(nodes, "node", "left_semi").select("node", F.lit(None).cast("string").alias("parent"))
-    hops = [_write_hop(first, f"{base}/hops/hop=0", target)]
+    first = start(nodes) if callable(start) else start.join(nodes, "node", "left_semi")
+    hops = [_write_hop(first.select("node", F.array("node").alias("path")), f"{base}/hops/hop=0", target)]
     while hops[-1][1] and not hops[-1][2] and (max_hops is None or len(hops) <= max_hops):
-        step = _next_hop(adj, [h[0] for h in hops[-2:]])
+        step = _next_hop(adj, [h[0] for h in hops[-2:]], F.min("path").alias("path"))
+        step = step.withColumn("path", F.concat("path", F.array("node")))
         hops.append(_write_hop(step, f"{base}/hops/hop={len(hops)}", target))
-    out = None
-    paths = None
-    for k, (level, rows, _) in enumerate(hops):
-        if not rows:
-            break
-        if paths is None:
-            paths = level.select("node", F.array("node").alias("path"))
-        else:
-            # the parent kept by the hop is any of the last hop's; the smallest
-            # path goes through the smallest of them
-            via = adj.join(level.select(F.col("node").alias("dst")), "dst")
-            paths = (via.join(paths.select(F.col("node").alias("src"), "path"), "src")
-                     .groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-                     .select("node", F.concat("path", F.array("node")).alias("path")))
-        level_paths = paths.select("node", F.lit(k).alias("hops"), "path")
-        out = level_paths if out is None else out.unionByName(level_paths)
-    return out if out is not None else spark.createDataFrame([], "node string, hops int, path array<string>")
-
-
-def _next_hop(adj: DataFrame, last: list[DataFrame]) -> DataFrame:
-    """New nodes one hop beyond ``last[-1]``, each with its smallest parent."""
-    step = (last[-1].select(F.col("node").alias("src")).join(adj, "src")
-            .groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")))
+    found = spark.read.schema("node string, path array<string>, hop int").parquet(f"{base}/hops")
+    return found.select("node", F.col("hop").alias("hops"), "path")
+
+
+def _next_hop(adj: DataFrame, last: list[DataFrame], kept: Column | None = None) -> DataFrame:
+    """New nodes one hop beyond ``last[-1]``, each with ``kept`` of its parents (the smallest)."""
+    step = (last[-1].withColumnRenamed("node", "src").join(adj, "src")
+            .groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent") if kept is None else kept))
     for level in last:
         step = step.join(level.select("node"), "node", "left_anti")
     return step
@@ -146,34 +135,57 @@ def _touching(adj: DataFrame, level: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def weighted_path(spark: SparkSession, edges: DataFrame, source: str, target: str, weight: str) -> DataFrame:
-    """Least total ``weight`` by relaxing the nodes whose distance shrank; one
-    table a round. Ties go to the smaller parent. Rows ``step, node``."""
+    """Least total ``weight``, as rows ``step, node, dist`` (empty if none).
+
+    Nodes are settled in buckets of distance, near ones first. A bucket is as
+    wide as the smallest weight, so no node of it can be improved through
+    another: each is settled for good, its edges are relaxed once, and a round
+    reads and writes only the nodes reached but not settled, beside the settled
+    ones' names. Empty buckets are skipped. Of equally short ways the one through
+    the smaller parent is kept. Weights must be positive.
+    """
+    schema = "step int, node string, dist double"
     e = edges.where(F.col("a") != F.col("b")).select("a", "b", F.col(weight).cast("double").alias("w"))
     base = scratch_path(spark, "weighted")
     (e.union(e.select("b", "a", "w")).toDF("src", "dst", "w").groupBy("src", "dst").agg(F.min("w").alias("w"))
      .write.parquet(f"{base}/adj"))
     adj = spark.read.parquet(f"{base}/adj")
-    known = (adj.where(F.col("src") == source).select(F.col("src").alias("node")).distinct()
-             .select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("new")))
-    r = 0
+    width = adj.agg(F.min("w")).first()[0]
+    if width is not None and not width > 0:
+        raise ValueError("weights must be positive")
+    reached_schema = "node string, dist double, parent string"
+    reached = (adj.where(F.col("src") == source).select(F.col("src").alias("node")).distinct()
+               .select("node", F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent")))
+    settled, r = None, 0
     while True:
-        known.write.parquet(f"{base}/known={r}")
-        known = spark.read.parquet(f"{base}/known={r}")
-        if known.where("new").isEmpty():
+        rows, near = _write_reached(reached, f"{base}/reached={r}")
+        if not rows:
+            return spark.createDataFrame([], schema)
+        reached = spark.read.schema(reached_schema).parquet(f"{base}/reached={r}")
+        bucket = F.col("dist") < near + width
+        hit = _write_hop(reached.where(bucket), f"{base}/settled/round={r}", target)
+        if hit[2]:
             break
-        step = (known.where("new").join(adj, known["node"] == adj["src"])
-                .select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"),
-                        F.col("src").alias("parent"), F.lit(True).alias("new")))
-        old = known.withColumn("new", F.lit(False))
-        best = F.min(F.struct("dist", "new", F.coalesce("parent", F.lit("")).alias("p"), "parent"))
-        known = (old.unionByName(step).groupBy("node").agg(best.alias("m"))
-                 .select("node", "m.dist", "m.parent", "m.new"))
+        settled = spark.read.schema(reached_schema + ", round int").parquet(f"{base}/settled")
+        step = (hit[0].withColumnRenamed("node", "src").join(adj, "src")
+                .select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent")))
+        step = step.join(settled.select("node"), "node", "left_anti")
+        best = F.min(F.struct("dist", "parent")).alias("m")
+        reached = (reached.where(~bucket).unionByName(step).groupBy("node").agg(best)
+                   .select("node", "m.dist", "m.parent"))
         r += 1
+    settled = spark.read.schema(reached_schema + ", round int").parquet(f"{base}/settled")
     nodes, node = [], target
     while node is not None:  # one look-up a step of the path
-        row = known.where(F.col("node") == node).select("parent").first()
-        if row is None:
-            return spark.createDataFrame([], "step int, node string")
-        nodes.append(node)
+        row = settled.where(F.col("node") == node).select("dist", "parent").first()
+        nodes.append((node, row["dist"]))
         node = row["parent"]
-    return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(nodes))], "step int, node string")
+    return spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(reversed(nodes))], schema)
+
+
+def _write_reached(df: DataFrame, path: str) -> tuple[int, float | None]:
+    """Write the reached nodes; their number and least distance, observed."""
+    obs = Observation()
+    df.observe(obs, F.count(F.lit(1)).alias("rows"), F.min("dist").alias("near")).write.parquet(path)
+    m = obs.get
+    return int(m["rows"]), m["near"]

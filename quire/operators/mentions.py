@@ -1,14 +1,17 @@
 """Which names are mentioned in whose books: the text join, as an equi-join.
 
-The reference joins every candidate name to every paragraph with a
-full-text match predicate (a theta join). Here a name of k words (lowercased
-tokens, the ``simple`` analyser) is keyed by the hash of its first
-``m = min(k, 4)`` words. Every paragraph position whose word starts some name
-carries the hashes of its next 1 to 4 words; both sides meet in an equi-join on
-``(m, hash)``. Names longer than their key are then verified against the
-tokens of their candidate paragraphs. The work is linear in the text, no row
-holds more than four hashes of it, and which join sides are broadcast is
-decided by their bytes at run time.
+The reference joins every candidate name to every paragraph with a full-text
+match predicate (a theta join). Here a name is its row of lowercased tokens (the
+``simple`` analyser), and the text is read once. A paragraph's positions walk
+down a trie of the names' words that is kept as bits: the first word's hash, the
+first two words' and the whole run's, for each length that occurs among the
+names. What gets through in the paragraph's own arrays is nearly always a
+mention; only these runs leave the row and meet the names in an equi-join on the
+words themselves, so hashes decide nothing.
+
+The bits have a fixed size (``BITS`` a level, gathered from the names by one
+aggregation) and are a constant of the plan. With very many names they fill up
+and let more runs through to the join; the result is the same.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ EXCLUDED_NAMES = (
     "W. B.", "W. M.", "Wang", "Wu", "V. M.", "F.R.G.S.",
 )
 
-# Words of a name used as the join key; longer names are verified after it.
-KEY_WORDS = 4
+# Bits of each level of the trie.
+BITS = 1 << 18
 
 
 def simple_tokens(text: Column) -> Column:
@@ -59,50 +62,64 @@ def author_book_counts(books: DataFrame) -> DataFrame:
     return distinct_count(books.where(F.col("author").isNotNull()), ["author"], "num", "books")
 
 
-def _run_hash(toks: str, at: str, words: int) -> str:
-    """SQL: hash of ``words`` elements of ``toks`` from 0-based ``at`` on."""
-    return f"xxhash64({', '.join(f'{toks}[{at} + {j}]' for j in range(words))})"
+def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
+    """``name, k, key`` for every distinct name with at least one token; ``key``
+    are its tokens with spaces between (a token has none)."""
+    toks = simple_tokens(F.col(name_col))
+    g = with_once(names.select(F.col(name_col).alias("name")).distinct(), toks=toks).where(F.size("toks") > 0)
+    return g.select("name", F.size("toks").alias("k"), F.array_join("toks", " ").alias("key"), "toks")
 
 
-def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
-    """``name_id, name, k, toks, m, first, key`` for every name with at least one token.
+def _bit(level: int, hash_: str) -> str:
+    """SQL: whether the hash's bit is set in a level of the trie."""
+    at = f"pmod({hash_}, {BITS})"
+    return f"shiftright(element_at({{{level}}}, int(shiftright({at}, 6)) + 1), int({at} & 63)) & 1 = 1"
 
-    ``key`` hashes its first ``m = min(k, KEY_WORDS)`` tokens, the join key.
+
+def name_trie(keys: DataFrame) -> tuple[list[str], list[int]]:
+    """The levels' bits as SQL constants, and the lengths of the names.
+
+    One row a filled word of bits comes to the driver, ``BITS / 64`` a level at
+    most, and one a length. Levels: 0 first words of longer names, 1 first two
+    words, 2 whole names, 3 names of one word.
     """
-    toks = simple_tokens(F.col(name_col))
-    g = with_once(names.select(F.col(name_col).alias("name")).distinct(), toks=toks).where(F.size("toks") > 0)
-    key = " ".join(f"WHEN {m} THEN {_run_hash('toks', '0', m)}" for m in range(1, KEY_WORDS))
-    return (g.select(F.xxhash64("name").alias("name_id"), "name", F.size("toks").alias("k"), "toks")
-            .withColumn("m", F.least(F.col("k"), F.lit(KEY_WORDS)))
-            .withColumn("first", F.expr(_run_hash("toks", "0", 1)))
-            .withColumn("key", F.expr(f"CASE m {key} ELSE {_run_hash('toks', '0', KEY_WORDS)} END")))
-
-
-def text_runs(paragraphs: DataFrame, firsts: DataFrame, lengths) -> DataFrame:
-    """``num, para, i, m, key``: hashes of the runs of ``lengths`` words that
-    start at a word in ``firsts`` (column ``first``), ``i`` from 0."""
-    p = with_once(paragraphs.select("num", "para", "paragraph"), toks=simple_tokens(F.col("paragraph")))
-    runs = ", ".join(f"IF(i + {m} <= size(toks), {_run_hash('toks', 'i', m)}, NULL)" for m in lengths)
-    at = (f"transform(IF(size(toks) > 0, sequence(0, size(toks) - 1), array()), "
-          f"i -> struct(i, {_run_hash('toks', 'i', 1)} AS first, array({runs}) AS runs))")
-    near = p.select("num", "para", F.inline(F.expr(at))).join(firsts, "first", "left_semi")
-    words = F.array(*(F.lit(m) for m in lengths))
-    return (near.select("num", "para", "i", F.inline(F.arrays_zip(words.alias("m"), F.col("runs").alias("key"))))
-            .where(F.col("key").isNotNull()))
+    marks = (("IF(k = 1, 3, 0)", "xxhash64(toks[0])"), ("IF(k = 1, 3, 1)", "xxhash64(toks[0], coalesce(get(toks, 1), toks[0]))"),
+             ("2", "xxhash64(key)"))
+    structs = ", ".join(f"named_struct('level', {level}, 'h', {h})" for level, h in marks)
+    rows = keys.select(F.expr(f"inline(array({structs}))")).select("level", F.expr(f"pmod(h, {BITS})").alias("at"))
+    words = (rows.groupBy("level", F.expr("int(shiftright(at, 6))").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")))
+    lengths = keys.select(F.lit(4).alias("level"), F.col("k").alias("word"), F.lit(0).cast("long").alias("bits")).distinct()
+    held = [[0] * (BITS // 64) for _ in range(4)]
+    sizes = []
+    for r in words.unionByName(lengths).collect():
+        if r["level"] == 4:
+            sizes.append(r["word"])
+        else:
+            held[r["level"]][r["word"]] = r["bits"]
+    return [f"cast(split('{','.join(map(str, h))}', ',') AS array<bigint>)" for h in held], sorted(sizes)
+
+
+def text_runs(paragraphs: DataFrame, trie: list[str], lengths: list[int]) -> DataFrame:
+    """``num, key``: runs of words of each paragraph that pass the trie's bits."""
+    p = with_once(paragraphs.select("num", "paragraph"), toks=simple_tokens(F.col("paragraph")))
+    first, two = "xxhash64(toks[i])", "xxhash64(toks[i], toks[i + 1])"
+    starts = (f"filter(IF(size(toks) > 0, sequence(0, size(toks) - 1), array()), i -> ({_bit(3, first)}) OR "
+              f"(({_bit(0, first)}) AND i + 1 < size(toks) AND ({_bit(1, two)})))")
+    runs = (f"filter(transform(filter(array({', '.join(map(str, lengths))}), k -> i + k <= size(toks)), "
+            f"k -> array_join(slice(toks, i + 1, k), ' ')), r -> {_bit(2, 'xxhash64(r)')})")
+    found = f"array_distinct(flatten(transform({starts}, i -> {runs})))".format(*trie)
+    return p.select("num", F.explode(F.expr(found)).alias("key"))
 
 
 def name_hits(names: DataFrame, paragraphs: DataFrame, name_col: str = "name") -> DataFrame:
     """``name, num``: distinct books whose text has the name's words in a row."""
     keys = name_keys(names, name_col)
-    short, long = keys.where(F.col("k") <= KEY_WORDS), keys.where(F.col("k") > KEY_WORDS)
-    found = (text_runs(paragraphs, short.select("first").distinct(), range(1, KEY_WORDS + 1))
-             .join(short.select("name_id", "m", "key"), ["m", "key"]).select("name_id", "num"))
-    starts = (text_runs(paragraphs, long.select("first").distinct(), [KEY_WORDS])
-              .join(long.select("name_id", "m", "key"), ["m", "key"]).select("name_id", "num", "para", "i"))
-    text = paragraphs.select("num", "para", simple_tokens(F.col("paragraph")).alias("words"))
-    whole = (starts.join(long.select("name_id", "k", "toks"), "name_id").join(text, ["num", "para"])
-             .where(F.expr("slice(words, i + 1, k) = toks")).select("name_id", "num"))
-    return found.union(whole).distinct().join(keys.select("name_id", "name"), "name_id").select("name", "num")
+    trie, lengths = name_trie(keys)
+    if not lengths:
+        return keys.select("name", F.lit(None).cast(paragraphs.schema["num"].dataType).alias("num")).where(F.lit(False))
+    runs = text_runs(paragraphs, trie, lengths).distinct()
+    return runs.join(keys.select("name", "key"), "key").select("name", "num")
 
 
 def mention_pairs(names: DataFrame, paragraphs: DataFrame, books: DataFrame,

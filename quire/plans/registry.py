@@ -543,16 +543,19 @@ def _runs(spark, sf):
     return spark.sql(spans, w=words).distinct()
 
 
-@register("mention_pairs_runs", _cte(_RUNS_SQL, f"""ptok AS (
+_RUN_PAIRS_SQL = f"""ptok AS (
   SELECT num, para, list_transform(regexp_extract_all(paragraph, {sql_str(WORD_PATTERN)}), lambda x: lower(x)) AS t
   FROM paragraphs WHERE language IS NOT NULL),
 pruns AS (
   SELECT DISTINCT num, array_to_string(t[i:i + k - 1], ' ') AS run
   FROM (SELECT num, t, unnest(range(1, len(t) + 1)) AS i FROM ptok), (SELECT unnest([{', '.join(map(str, RUN_WORDS))}]) AS k)
-  WHERE i + k - 1 <= len(t))""") + """SELECT w.name AS mentioned_author, b.author AS mentioned_by,
-  count(DISTINCT p.num) AS books_mentioned_in
+  WHERE i + k - 1 <= len(t))"""
+_RUN_PAIRS = """SELECT w.name AS mentioned_author, b.author AS mentioned_by, count(DISTINCT p.num) AS books_mentioned_in
 FROM wanted w JOIN pruns p ON lower(w.name) = p.run JOIN books b ON p.num = b.num
-WHERE b.author IS NOT NULL GROUP BY w.name, b.author ORDER BY books_mentioned_in DESC, 1, 2""")
+WHERE b.author IS NOT NULL GROUP BY w.name, b.author"""
+
+
+@register("mention_pairs_runs", _cte(_RUNS_SQL, _RUN_PAIRS_SQL) + _RUN_PAIRS + " ORDER BY books_mentioned_in DESC, 1, 2")
 def q_mention_pairs_runs(spark, sf):
     bk = books_view(spark, sf)
     paras = PG.book_paragraphs(bk).where(F.col("language").isNotNull())
@@ -630,27 +633,70 @@ def q_mention_edges(spark, sf):
     return MN.mention_edges(_pairs(spark, sf))
 
 
-@register("shortest_path", "WITH RECURSIVE " + ",\n".join([O.BOOKS, O.PARAGRAPHS, _NAMES_SQL, _EDGES_SQL, """adj AS (
-  SELECT a AS src, b AS dst FROM edges WHERE a <> b UNION SELECT b AS src, a AS dst FROM edges WHERE a <> b)""",
-    "st AS (SELECT min(src) AS s FROM adj)", """walk(node, path, hops) AS (
-  SELECT s, [s], 0 FROM st WHERE s IS NOT NULL
-  UNION ALL
-  SELECT adj.dst, list_append(walk.path, adj.dst), walk.hops + 1
-  FROM walk JOIN adj ON adj.src = walk.node
-  WHERE NOT list_contains(walk.path, adj.dst) AND walk.hops < 12)""",
-    "best AS (SELECT node, min(hops) AS hops FROM walk GROUP BY node)"]) + """
-SELECT (SELECT s FROM st) AS source, w.node, CAST(w.hops AS INTEGER) AS hops,
-       array_to_string(min(w.path), ' > ') AS path
-FROM walk w JOIN best ON w.node = best.node AND w.hops = best.hops
-GROUP BY w.node, w.hops""")
+_ADJ_SQL = """adj AS (
+  SELECT a AS src, b AS dst FROM edges WHERE a <> b UNION SELECT b AS src, a AS dst FROM edges WHERE a <> b)"""
+# level by level: a node once reached is not looked at again
+_LEVELS_SQL = """walk(node, path) USING KEY (node) AS (
+  SELECT s, [s] FROM st WHERE s IS NOT NULL
+  UNION
+  SELECT adj.dst, list_append(min(walk.path), adj.dst) FROM walk JOIN adj ON adj.src = walk.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = adj.dst) GROUP BY adj.dst)"""
+
+
+def _recursive(*ctes):
+    return O.with_ctes(O.BOOKS, O.PARAGRAPHS, *ctes, recursive=True)
+
+
+@register("shortest_path", _recursive(_NAMES_SQL, _EDGES_SQL, _ADJ_SQL, "st AS (SELECT min(src) AS s FROM adj)", _LEVELS_SQL)
+          + """SELECT path[1] AS source, node, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' > ') AS path FROM walk""")
 def q_shortest_path(spark, sf):
     adj = G.adjacency(MN.mention_edges(_pairs(spark, sf)))
-    start = adj.agg(F.min("src").alias("node")).where(F.col("node").isNotNull())
-    res = G.bfs(spark, adj, start)
+    res = G.bfs(spark, adj, lambda nodes: nodes.agg(F.min("node").alias("node")).where(F.col("node").isNotNull()))
     return res.select(F.element_at("path", 1).alias("source"), "node", "hops",
                       F.array_join("path", " > ").alias("path"))
 
 
+# the graph of all runs of words, between the first and the last name that only
+# one author mentions
+_RUNS_GRAPH_SQL = (_RUNS_SQL, _RUN_PAIRS_SQL, "pairs AS (" + _RUN_PAIRS + ")", _EDGES_SQL, _ADJ_SQL,
+                   """ends AS (SELECT min(src) AS s, max(src) AS t FROM (SELECT src FROM adj GROUP BY src HAVING count(*) = 1)),
+st AS (SELECT s FROM ends)""")
+
+
+def _runs_graph(spark, sf):
+    edges = write_table(MN.mention_edges(q_mention_pairs_runs(spark, sf)), scratch_path(spark, "edges"))
+    edges = spark.read.parquet(edges)
+    ends = (G.adjacency(edges).groupBy("src").count().where("count = 1").agg(F.min("src"), F.max("src")).first())
+    return edges, ends[0], ends[1]
+
+
+@register("path_between", _recursive(*_RUNS_GRAPH_SQL, _LEVELS_SQL) + """SELECT CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS step,
+  unnest(path) AS node FROM walk WHERE node = (SELECT t FROM ends)""")
+def q_path_between(spark, sf):
+    edges, source, target = _runs_graph(spark, sf)
+    return G.shortest_path(spark, edges, source, target)
+
+
+@register("weighted_path", _recursive(*_RUNS_GRAPH_SQL, """wadj AS (
+  SELECT src, dst, min(w) AS w FROM (SELECT a AS src, b AS dst, CAST(books_mentioned_in AS DOUBLE) AS w FROM edges WHERE a <> b
+    UNION ALL SELECT b, a, CAST(books_mentioned_in AS DOUBLE) FROM edges WHERE a <> b) GROUP BY src, dst),
+far(node, dist) USING KEY (node) AS (
+  SELECT s, CAST(0 AS DOUBLE) FROM st
+  UNION
+  SELECT n.dst, n.dist FROM (SELECT wadj.dst, min(far.dist + wadj.w) AS dist FROM far JOIN wadj ON wadj.src = far.node GROUP BY wadj.dst) n
+  LEFT JOIN recurring.far r ON r.node = n.dst WHERE r.node IS NULL OR n.dist < r.dist),
+back(node, dist, steps) AS (
+  SELECT node, dist, 0 FROM far WHERE node = (SELECT t FROM ends)
+  UNION ALL
+  SELECT p.node, p.dist, steps + 1 FROM (
+    SELECT b.steps, f.node, f.dist, row_number() OVER (PARTITION BY b.node ORDER BY f.node) AS r
+    FROM back b JOIN wadj ON wadj.dst = b.node JOIN far f ON f.node = wadj.src AND f.dist + wadj.w = b.dist
+    WHERE b.dist > 0) p WHERE r = 1)""") + """SELECT CAST((SELECT max(steps) FROM back) - steps AS INTEGER) AS step, node, dist FROM back""")
+def q_weighted_path(spark, sf):
+    edges, source, target = _runs_graph(spark, sf)
+    return G.weighted_path(spark, edges, source, target, "books_mentioned_in")
+
+
 # ------------------------------------------------------------ step 7: ingest, repair
 
 def _catalogue_sql():
