@@ -3,11 +3,11 @@
 The reference joins every candidate name to every paragraph with a full-text
 match predicate (a theta join). Here a name is its row of lowercased tokens (the
 ``simple`` analyser), and the text is read once. A paragraph's positions walk
-down a trie of the names' words that is kept as bits: the first word's hash, the
-first two words' and the whole run's, for each length that occurs among the
-names. What gets through in the paragraph's own arrays is nearly always a
-mention; only these runs leave the row and meet the names in an equi-join on the
-words themselves, so hashes decide nothing.
+down a trie of the names' words that is kept as bits of hashes: the first word,
+the first ``min(k, 4)`` words of a name of ``k``, and the whole run for each
+length that occurs among the names. What gets through in the paragraph's own
+arrays is nearly always a mention; only these runs leave the row and meet the
+names in an equi-join on the words themselves, so hashes decide nothing.
 
 The bits have a fixed size (``BITS`` a level, gathered from the names by one
 aggregation) and are a constant of the plan. With very many names they fill up
@@ -30,8 +30,11 @@ EXCLUDED_NAMES = (
     "W. B.", "W. M.", "Wang", "Wu", "V. M.", "F.R.G.S.",
 )
 
-# Bits of each level of the trie.
+# Bits of the trie's first level and of each other level, and the words of its
+# deepest prefix.
+FIRSTS = 1 << 16
 BITS = 1 << 18
+PREFIX = 4
 
 
 def simple_tokens(text: Column) -> Column:
@@ -70,45 +73,52 @@ def name_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
     return g.select("name", F.size("toks").alias("k"), F.array_join("toks", " ").alias("key"), "toks")
 
 
-def _bit(level: int, hash_: str) -> str:
-    """SQL: whether the hash's bit is set in a level of the trie."""
-    at = f"pmod({hash_}, {BITS})"
+def _hash(words: int) -> str:
+    """SQL: hash of the next ``words`` words of ``toks`` from 0-based ``i`` on."""
+    return f"xxhash64({', '.join(f'toks[i + {j}]' if j else 'toks[i]' for j in range(words))})"
+
+
+def _bit(level: int, at: str) -> str:
+    """SQL: whether bit ``at`` (from 0) of a level of the trie is set."""
     return f"shiftright(element_at({{{level}}}, int(shiftright({at}, 6)) + 1), int({at} & 63)) & 1 = 1"
 
 
 def name_trie(keys: DataFrame) -> tuple[list[str], list[int]]:
-    """The levels' bits as SQL constants, and the lengths of the names.
+    """The levels as SQL constants ('' for an empty one), and the lengths of the names.
 
     One row a filled word of bits comes to the driver, ``BITS / 64`` a level at
-    most, and one a length. Levels: 0 first words of longer names, 1 first two
-    words, 2 whole names, 3 names of one word.
+    most, and one a length. Levels: 0 first words (an array of booleans, tested
+    for every word of the text), 1 to ``PREFIX`` the first words of names with so
+    many or (the last) more, then whole names (bits of longs).
     """
-    marks = (("IF(k = 1, 3, 0)", "xxhash64(toks[0])"), ("IF(k = 1, 3, 1)", "xxhash64(toks[0], coalesce(get(toks, 1), toks[0]))"),
-             ("2", "xxhash64(key)"))
-    structs = ", ".join(f"named_struct('level', {level}, 'h', {h})" for level, h in marks)
-    rows = keys.select(F.expr(f"inline(array({structs}))")).select("level", F.expr(f"pmod(h, {BITS})").alias("at"))
-    words = (rows.groupBy("level", F.expr("int(shiftright(at, 6))").alias("word"))
+    prefix = " ".join(f"WHEN {m} THEN {_hash(m)}" for m in range(1, PREFIX + 1)).replace("toks[i + ", "toks[").replace("toks[i]", "toks[0]")
+    marks = (("0", f"pmod(xxhash64(toks[0]), {FIRSTS}L)"), (f"least(k, {PREFIX})", f"pmod(CASE least(k, {PREFIX}) {prefix} END, {{b}})"),
+             (f"{PREFIX + 1}", "pmod(xxhash64(key), {b})"), (f"{PREFIX + 2}", "64L * k"))
+    structs = ", ".join(f"named_struct('level', {level}, 'at', {at})" for level, at in marks).replace("{b}", f"{BITS}L")
+    words = (keys.select(F.expr(f"inline(array({structs}))"))
+             .groupBy("level", F.expr("int(shiftright(at, 6))").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")))
-    lengths = keys.select(F.lit(4).alias("level"), F.col("k").alias("word"), F.lit(0).cast("long").alias("bits")).distinct()
-    held = [[0] * (BITS // 64) for _ in range(4)]
+    held = [[0] * (BITS // 64) for _ in range(PREFIX + 2)]
     sizes = []
-    for r in words.unionByName(lengths).collect():
-        if r["level"] == 4:
+    for r in words.collect():
+        if r["level"] == PREFIX + 2:
             sizes.append(r["word"])
         else:
             held[r["level"]][r["word"]] = r["bits"]
-    return [f"cast(split('{','.join(map(str, h))}', ',') AS array<bigint>)" for h in held], sorted(sizes)
+    firsts = ",".join(str(held[0][i >> 6] >> (i & 63) & 1) for i in range(FIRSTS))
+    levels = [f"cast(split('{','.join(map(str, h))}', ',') AS array<bigint>)" if any(h) else "" for h in held[1:]]
+    return [f"cast(split('{firsts}', ',') AS array<boolean>)", *levels], sorted(sizes)
 
 
 def text_runs(paragraphs: DataFrame, trie: list[str], lengths: list[int]) -> DataFrame:
     """``num, key``: runs of words of each paragraph that pass the trie's bits."""
     p = with_once(paragraphs.select("num", "paragraph"), toks=simple_tokens(F.col("paragraph")))
-    first, two = "xxhash64(toks[i])", "xxhash64(toks[i], toks[i + 1])"
-    starts = (f"filter(IF(size(toks) > 0, sequence(0, size(toks) - 1), array()), i -> ({_bit(3, first)}) OR "
-              f"(({_bit(0, first)}) AND i + 1 < size(toks) AND ({_bit(1, two)})))")
+    starts = f"filter(transform(toks, (x, i) -> IF({{0}}[int(pmod(xxhash64(x), {FIRSTS}L))], i, -1)), i -> i >= 0)"
+    deeper = " OR ".join(f"(i + {m} <= size(toks) AND ({_bit(m, f'pmod({_hash(m)}, {BITS}L)')}))"
+                         for m in range(1, PREFIX + 1) if trie[m])
     runs = (f"filter(transform(filter(array({', '.join(map(str, lengths))}), k -> i + k <= size(toks)), "
-            f"k -> array_join(slice(toks, i + 1, k), ' ')), r -> {_bit(2, 'xxhash64(r)')})")
-    found = f"array_distinct(flatten(transform({starts}, i -> {runs})))".format(*trie)
+            f"k -> array_join(slice(toks, i + 1, k), ' ')), r -> {_bit(PREFIX + 1, f'pmod(xxhash64(r), {BITS}L)')})")
+    found = f"array_distinct(flatten(transform(filter({starts}, i -> {deeper}), i -> {runs})))".format(*trie)
     return p.select("num", F.explode(F.expr(found)).alias("key"))
 
 
