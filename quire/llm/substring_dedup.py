@@ -17,6 +17,7 @@ under keys of its own. A window is compared by 63 bits of hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +93,8 @@ class _Block:
 
 def _alike(at: np.ndarray, marks: np.ndarray, value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Positions among ``at`` that have the value of a mark in the same document."""
-    both = np.rec.fromarrays([doc[at], value[at]])
-    return at[np.isin(both, np.unique(np.rec.fromarrays([doc[marks], value[marks]])))]
+    own = value + doc.astype(np.uint64) * _M  # within a document two values differ as before
+    return at[np.isin(own[at], np.unique(own[marks]))]
 
 
 def _combine(key: np.ndarray, doc: np.ndarray, at: np.ndarray, row: np.ndarray, any_other: bool) -> pa.RecordBatch:
@@ -123,15 +124,23 @@ def _combine(key: np.ndarray, doc: np.ndarray, at: np.ndarray, row: np.ndarray,
                                       ["key", "doc_id", "at", "settled"])
 
 
+def _values(column: pa.Array) -> list:
+    """Values of a column; lists as numpy arrays (views of the column's own)."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    cuts, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[x:y] if ok else None for x, y, ok in zip(cuts[:-1], cuts[1:], column.is_valid().to_pylist())]
+
+
 def _doc_blocks(batches: Iterator[pa.RecordBatch], cache: _Hashes) -> Iterator[tuple[list, _Block]]:
     """Rows (all columns but the text) and their words' hashes, about ``BLOCK``
     words at a time. Rows with a null among their columns take no part."""
     rows, hashes, n = [], [], 0
     for b in batches:
-        cols = [b.column(i) for i in range(1, b.num_columns)]
+        cols = [_values(b.column(i)) for i in range(1, b.num_columns)]
         for i, text in enumerate(b.column(0)):
-            row = [c[i].as_py() for c in cols]
-            if None in row:
+            row = [c[i] for c in cols]
+            if any(v is None for v in row):
                 continue
             w = words(text.as_py() or b"")
             rows.append(row)
@@ -163,7 +172,7 @@ def _seed(min_words: int):
 
 def _marked(rows: list, block: _Block, column: int) -> np.ndarray:
     """Block positions of the positions listed in a column of the rows."""
-    parts = [np.asarray(r[column], np.int64) + b for r, b in zip(rows, block.begin) if r[column]]
+    parts = [r[column].astype(np.int64) + b for r, b in zip(rows, block.begin) if len(r[column])]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
@@ -183,20 +192,43 @@ def _extend(min_words: int):
     return run
 
 
-def kept_words(text: bytes, starts: list[int] | None, min_words: int, cache: _Hashes) -> tuple[int, int, bytes]:
-    """Word count, words removed, and what is left, for window starts whose
-    sequences (wherever they start in this text) are removed."""
-    w = words(text)
-    if not starts:
-        return len(w), 0, b" ".join(w)
-    block = _Block([np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))])
-    whole = np.flatnonzero(block.left >= min_words)
-    start = _alike(whole, np.asarray(starts, np.int64), block.windows(min_words), np.zeros(len(w), np.int8))
-    cover = np.zeros(len(w) + 1, np.int64)
+def _kept(texts: list[list[bytes]], starts: list[np.ndarray], min_words: int, cache: _Hashes) -> list[np.ndarray]:
+    """For the words of several documents, which are kept: those outside the
+    windows whose sequences, wherever they start in a document, stand at its
+    ``starts``."""
+    block = _Block([np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)) for w in texts])
+    doc = np.repeat(np.arange(len(texts)), block.size)
+    marks = np.concatenate([s.astype(np.int64) + b for s, b in zip(starts, block.begin)])
+    start = _alike(np.flatnonzero(block.left >= min_words), marks, block.windows(min_words), doc)
+    cover = np.zeros(len(block.h) + 1, np.int64)
     cover[start] += 1
     cover[start + min_words] -= 1
     keep = np.cumsum(cover)[:-1] == 0
-    return len(w), int((~keep).sum()), b" ".join([w[i] for i in np.flatnonzero(keep)])
+    return [keep[x:y] for x, y in zip(block.begin, block.end)]
+
+
+def kept_rows(texts: list[bytes], starts: list, min_words: int, cache: _Hashes) -> Iterator[tuple[int, int, bytes]]:
+    """Word count, words removed and what is left of every text, in order; the
+    texts with starts are looked at about ``BLOCK`` words together."""
+    held, n = [], 0  # words of the rows whose turn is not yet, with their starts
+
+    def flush():
+        some = [(w, s) for w, s in held if s is not None and len(s)]
+        masks = iter(_kept([w for w, _ in some], [s for _, s in some], min_words, cache) if some else ())
+        for w, s in held:
+            keep = next(masks) if s is not None and len(s) else None
+            gone = 0 if keep is None else int(len(w) - keep.sum())
+            yield len(w), gone, b" ".join(compress(w, keep.tolist()) if gone else w)
+        held.clear()
+
+    for text, s in zip(texts, starts):
+        w = words(text or b"")
+        held.append((w, s))
+        n += len(w)
+        if n >= BLOCK:
+            yield from flush()
+            n = 0
+    yield from flush()
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -244,9 +276,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for b in batches:
-            got = [kept_words(t.as_py() or b"", m.as_py(), min_words, cache)
-                   for t, m in zip(b.column(at), b.column(at + 1))]
-            total, gone, kept = zip(*got) if got else ((), (), ())
+            got = kept_rows(b.column(at).to_pylist(), _values(b.column(at + 1)), min_words, cache)
+            total, gone, kept = zip(*got) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:at], pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], names=[*rest, *new])
