@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (ALL_LANGUAGES, PIECE_PATTERN, WORD_PATTERN, sql_language_config, sql_lexeme,
+from ..functions.text import (ALL_LANGUAGES, PIECE_PATTERN, WORD_PATTERN, config, sql_language_config, sql_lexeme,
                               sql_str, tokens)
 from ..operators import graph as G
 from ..operators import mentions as MN
@@ -20,17 +20,19 @@ from ..operators import paragraphs as PG
 from ..operators import postings as PO
 from ..operators import quality as QA
 from ..operators import stats as ST
-from ..operators.analysis import (analyze, bind_query, normalize_with_dictionary, query_terms,
+from ..operators.analysis import (BoundQuery, analyze, bind_query, normalize_with_dictionary, query_terms,
                                   tokenize)
 from ..operators.covers import with_covers
 from ..operators.headline import headline, with_headline
 from ..operators.matching import all_words_match, phrase_match, phrase_match_postings
+from ..operators.result import filter_result
 from ..operators.ranking import cover_density_rank, covers_rank
 from ..operators.vocabulary import analyze_stemmed, bind_stemmed, build_dictionary, vocabulary
 from ..session import scratch_path
 from ..sources import files as FS
 from ..sources import metadata as MD
-from ..sources.sinks import export_csv, write_table
+from ..sources.json_blocks import read_json_array, split_bytes
+from ..sources.sinks import export_csv, read_csv, stored_places, write_ordered, write_table
 from ..sources.tables import METADATA_SCHEMA, empty_table, read_table
 from ..sources.tables import books as books_view
 from . import oracle as O
@@ -747,6 +749,39 @@ def q_json_explode(spark, sf):
                     F.get_json_object("metadata", "$.Title[0]").alias("title"))
 
 
+@register("read_metadata_blocks", _cte(_catalogue_sql()) + """SELECT TRY_CAST(json_extract_string(metadata, '$.Num') AS BIGINT) AS num,
+  json_extract_string(metadata, '$.Title[0]') AS title, json_extract_string(metadata, '$.Author[0]') AS author FROM meta""")
+def q_read_metadata_blocks(spark, sf):
+    # the catalogue's arrays as files, read in blocks much smaller than an array
+    path = scratch_path(spark, "catalogue")
+    _catalogue(spark, sf).write.partitionBy("part").text(path)
+    out = scratch_path(spark, "metadata")
+    with split_bytes(spark, 1 << 13):
+        write_table(read_json_array(spark, path), out)
+    m = spark.read.parquet(out)
+    return m.select(F.get_json_object("metadata", "$.Num").try_cast("bigint").alias("num"),
+                    F.get_json_object("metadata", "$.Title[0]").alias("title"), F.get_json_object("metadata", "$.Author[0]").alias("author"))
+
+
+@register("load_files", _cte() + """SELECT num, coalesce(md5(content), md5('')) AS content_md5, CAST(coalesce(length(content), 0) AS INTEGER) AS length,
+  CAST(NULL AS VARCHAR) AS status FROM books UNION ALL SELECT -num - 1, md5(''), 0, 'missing' FROM books WHERE num % 100 = 0""")
+def q_load_files(spark, sf):
+    # every book as a file of its own, read back by the paths of a catalogue
+    # that also names some files that aren't there
+    bk = books_view(spark, sf)
+    root = scratch_path(spark, "files")
+    bk.select("num", "content").write.partitionBy("num").text(root)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+              .select(FS.relative_path(F.col("_metadata.file_path"), root).alias("gd_path")))
+    meta = listed.select(F.regexp_extract("gd_path", r"num=(-?\d+)", 1).cast("long").alias("num"), "gd_path")
+    gone = bk.where("num % 100 = 0").select((-F.col("num") - 1).alias("num"), F.concat(F.lit("gone/"), F.col("num"), F.lit(".txt")).alias("gd_path"))
+    meta = spark.read.parquet(write_table(meta.unionByName(gone), scratch_path(spark, "paths")))
+    found = FS.read_contents(spark, meta, root)
+    status = FS.content_report(spark, meta, root).where("num IS NOT NULL").select("num", "status")
+    return (found.select("num", F.md5("content").alias("content_md5"), F.length("content").alias("length"))
+            .join(status, "num", "left"))
+
+
 @register("metadata_flatten", _cte(_catalogue_sql(), _flat_sql()) + "SELECT * EXCLUDE (part) FROM flat")
 def q_metadata_flatten(spark, sf):
     return MD.flatten_metadata(MD.explode_json_array(_catalogue(spark, sf), "catalogue"))
@@ -871,6 +906,14 @@ def q_ordered_table(spark, sf):
     return spark.read.parquet(write_table(ordered, scratch_path(spark, "ordered")))
 
 
+@register("ordered_table_places", _cte() + """SELECT num, author, CAST(length(content) AS INTEGER) AS length,
+  row_number() OVER (ORDER BY CAST(length(content) AS INTEGER) DESC NULLS LAST, num) AS place FROM books""")
+def q_ordered_table_places(spark, sf):
+    # where every row stands in the stored table
+    path = write_ordered(_lengths(spark, sf), scratch_path(spark, "ordered"), F.col("length").desc_nulls_last(), "num")
+    return stored_places(spark, path)
+
+
 @register("staging_append", _cte(_catalogue_sql(), _flat_sql()) + """SELECT * EXCLUDE (part) FROM flat
 UNION ALL SELECT * EXCLUDE (part) FROM flat WHERE author IS NULL""")
 def q_staging_append(spark, sf):
@@ -889,14 +932,21 @@ def q_csv_export(spark, sf):
     return spark.read.option("header", True).schema(rows.schema).csv(path)
 
 
+@register("csv_export_text", _cte() + """SELECT num, title, '"' || author || '", ' AS quoted, content FROM books""")
+def q_csv_export_text(spark, sf):
+    # whole texts, with their line ends, quotes and commas
+    rows = books_view(spark, sf).select("num", "title", F.concat(F.lit('"'), "author", F.lit('", ')).alias("quoted"), "content")
+    return read_csv(spark, export_csv(rows, scratch_path(spark, "csv")), rows.schema)
+
+
 @register("query_log_append", """SELECT event_type AS tab, ts AS time, 'english' AS language,
   json_extract_string(props, '$.k') AS query, 10 AS rows_returned_aka_limit, 1 AS start_row_aka_offset FROM events""")
 def q_query_log_append(spark, sf):
     from ..streaming.querylog import append_log, events_as_log
     log = events_as_log(read_table(spark, sf, "events"))
     path = scratch_path(spark, "log")
-    for tab in [r["tab"] for r in log.select("tab").distinct().collect()]:  # one append per tab
-        append_log(log.where(F.col("tab") == tab), path)
+    for part in (0, 1):  # two appends
+        append_log(log.where(F.pmod(F.xxhash64("time", "query"), F.lit(2)) == part), path)
     return spark.read.schema(log.schema).parquet(path).select(log.columns)
 
 
@@ -950,6 +1000,37 @@ def q_result_filter(spark, sf):
     return res.where(F.col("author").startswith(FILTER_AUTHOR_PREFIX))
 
 
+FILTERS = ({"author": "src1", "rank": "> 4.8"}, {"author": "!= 'src3'", "relevant_paragraphs": "icontains THANEDBLE"},
+           {"author": "is blank"}, {"num": "<= 500", "title": "contains Document 1"})
+
+
+@register("result_filter_expr", _SEARCH_RES + " UNION ALL ".join(f"SELECT {i} AS filter, * FROM res WHERE {w}" for i, w in enumerate((
+    "author LIKE '%src1%' AND rank > 4.8", "author <> 'src3' AND contains(lower(relevant_paragraphs), 'thanedble')",
+    "author IS NULL OR author = ''", "num <= 500 AND contains(title, 'Document 1')"))))
+def q_result_filter_expr(spark, sf):
+    # numbers, text and several columns, as typed into a result's filter row
+    res = S.phrase_search(spark, books_view(spark, sf), PHRASE, LANGUAGE, mode="full")
+    res = spark.read.parquet(write_table(res, scratch_path(spark, "result")))
+    out = [filter_result(res, f).select(F.lit(i).alias("filter"), "*") for i, f in enumerate(FILTERS)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@register("all_words_many", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), """best AS (
+  SELECT num, para, count(DISTINCT lexeme) AS n FROM lx WHERE language = 'english' GROUP BY num, para ORDER BY n DESC, num, para LIMIT 1),
+wanted AS (SELECT DISTINCT lexeme FROM lx JOIN best USING (num, para))""") + """SELECT num, para FROM lx
+WHERE language = 'english' AND lexeme IN (SELECT lexeme FROM wanted) GROUP BY num, para
+HAVING count(DISTINCT lexeme) = (SELECT count(*) FROM wanted)""")
+def q_all_words_many(spark, sf):
+    # all the words of the paragraph that has the most different ones, over the index
+    bk, idx = _index(spark, sf)
+    english = idx["postings"].where(F.col("language") == LANGUAGE)
+    best = (english.groupBy("num", "para").agg(F.count_distinct("lexeme").alias("n"))
+            .orderBy(F.col("n").desc(), "num", "para").limit(1).select("num", "para"))
+    words = sorted(r[0] for r in english.join(best, ["num", "para"]).select("lexeme").distinct().collect())
+    q = BoundQuery(" ".join(words), config(LANGUAGE), tuple((w, i) for i, w in enumerate(words)))
+    return S.all_words_hits(PO.open_postings(spark, idx["path"], LANGUAGE, words, idx["buckets"]), q)
+
+
 @register("result_sort", _SEARCH_RES + """SELECT * FROM res
 ORDER BY author ASC NULLS LAST, rank DESC, num ASC""")
 def q_result_sort(spark, sf):

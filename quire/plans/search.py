@@ -161,8 +161,8 @@ def seeded_random(num: Column, seed: int) -> Column:
 # ------------------------------------------------------------ over the index
 #
 # Every function is one lazy plan: the query is bound as literals, and the
-# positions of its words meet in one exchange on ``num``, which the phrase
-# test, the paragraph count and the rank per book all reuse. Text is read for
+# positions of its words meet in one exchange on the paragraph, which the phrase
+# test and the paragraph count reuse; only counts go on to the book. Text is read for
 # matched paragraphs only, on a page for the page's books only.
 
 def phrase_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
@@ -174,17 +174,16 @@ def phrase_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
     offsets = " ".join(f"WHEN {spark_sql_str(lx)} THEN array({', '.join(str(o) for t, o in q.terms if t == lx)})"
                        for lx in q.lexemes)
     dealt = (postings.select("num", "para", "ti", F.explode(F.expr(f"CASE lexeme {offsets} END")).alias("off"))
-             .select("num", "para", (F.col("ti") - F.col("off")).alias("start")).repartition("num"))
+             .select("num", "para", (F.col("ti") - F.col("off")).alias("start")).repartition("num", "para"))
     return (dealt.groupBy("num", "para", "start").count().where(F.col("count") == len(q.terms))
             .groupBy("num", "para").agg(F.count("*").alias("n_matches")))
 
 
 def all_words_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
-    """``num, para`` where every query lexeme occurs: one bit per lexeme."""
-    bits = " ".join(f"WHEN {spark_sql_str(lx)} THEN {1 << i}L" for i, lx in enumerate(q.lexemes))
-    dealt = postings.select("num", "para", F.expr(f"CASE lexeme {bits} END").alias("bit")).distinct().repartition("num")
-    return (dealt.groupBy("num", "para").agg(F.bit_or("bit").alias("found"))
-            .where(F.col("found") == (1 << len(q.lexemes)) - 1).select("num", "para"))
+    """``num, para`` where every query lexeme occurs; a paragraph's set of them
+    is no larger than the query."""
+    found = postings.groupBy("num", "para").agg(F.size(F.collect_set("lexeme")).alias("found"))
+    return found.where(F.col("found") == len(q.lexemes)).select("num", "para")
 
 
 def _no_hits(spark: SparkSession) -> DataFrame:

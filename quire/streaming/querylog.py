@@ -32,7 +32,8 @@ def log_row(spark: SparkSession, tab: str, language: str, query: str, limit: int
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("append").partitionBy("tab").parquet(path)
+    """Append rows as they are dealt; a tab's rows are files of its own folder."""
+    df.write.mode("append").partitionBy("tab").parquet(path)
 
 
 def log_search(spark: SparkSession, path: str, language: str, query: str,
