@@ -39,6 +39,8 @@ from .vocabulary import analyze_stemmed, build_dictionary, vocabulary
 # directories of either kind per language.
 LAYOUT_CHARS = 8 << 20
 MAX_BUCKETS = 4096
+# Positions between the two lexemes of a pair, at most.
+PAIR_GAP = 2
 
 
 def default_layout(chars: int) -> int:
@@ -90,7 +92,8 @@ def reduced_stats(analyzed: DataFrame) -> DataFrame:
 
 def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int | None = None,
                 blocks: int | None = None, catalogue=LANGUAGE_CONFIGS,
-                dictionary: DataFrame | None = None, stemmed: bool = False) -> dict[str, str]:
+                dictionary: DataFrame | None = None, stemmed: bool = False,
+                pair_share: float | None = None) -> dict[str, str]:
     """Write ``paragraphs``, ``postings``, ``lexeme_stats`` and ``layout`` under ``path``.
 
     The paragraph table is written once and the postings are derived from the
@@ -101,19 +104,48 @@ def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int |
     the analysers; ``dictionary`` is the optional normaliser (bind queries
     with the same one). ``stemmed``: the vocabulary of the stored paragraphs is
     stemmed once into a ``dictionary`` table, which gives the postings their
-    lexemes and queries over the index their forms.
+    lexemes and queries over the index their forms. ``pair_share``: lexemes in
+    at least this share of their language's paragraphs are ``frequent``, and
+    every two of them at most ``PAIR_GAP`` positions apart are a row of ``pairs``,
+    so a phrase of common words reads the short lists of its pairs.
     """
-    out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats", "layout")}
     size = F.col("length") if "length" in books.columns else F.length("content")
     layout = default_layout(books.agg(F.sum(size)).first()[0] or 0)
-    buckets, blocks = buckets or layout, blocks or layout
-    paras = book_paragraphs(books, catalogue).withColumn("block", book_block(F.col("num"), blocks))
+    return write_index(spark, book_paragraphs(books, catalogue), path, buckets or layout, blocks or layout, catalogue,
+                       dictionary, stemmed, pair_share)
+
+
+def write_index(spark: SparkSession, paragraphs: DataFrame, path: str, buckets: int, blocks: int,
+                catalogue=LANGUAGE_CONFIGS, dictionary: DataFrame | None = None, stemmed: bool = False,
+                pair_share: float | None = None) -> dict[str, str]:
+    """``build_index`` of paragraphs ``num, para, language, paragraph, ...``."""
+    if pair_share and (stemmed or dictionary is not None):
+        raise ValueError("pairs are of the analysers' own lexemes")
+    out = write_tables(spark, paragraphs, path, buckets, blocks, catalogue, dictionary, stemmed)
+    out["layout"] = os.path.join(path, "layout")
+    if pair_share:
+        stored = spark.read.parquet(out["paragraphs"])
+        number = stored.where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("of"))
+        stats = spark.read.parquet(out["lexeme_stats"]).join(number, "language")
+        write_table(stats.where(F.col("paragraphs") >= pair_share * F.col("of")).select("language", "lexeme"), os.path.join(path, "frequent"))
+        write_pairs(stored, path, frequent_lexemes(spark, path), buckets, catalogue)
+    spark.createDataFrame([], "segment int, kind string").write.mode("overwrite").parquet(os.path.join(path, "manifest"))
+    (spark.createDataFrame([(buckets, blocks, stemmed, bool(pair_share))], "buckets int, blocks int, stemmed boolean, pairs boolean")
+     .coalesce(1).write.mode("overwrite").parquet(out["layout"]))
+    return out
+
+
+def write_tables(spark: SparkSession, paragraphs: DataFrame, path: str, buckets: int, blocks: int, catalogue=LANGUAGE_CONFIGS,
+                 dictionary: DataFrame | None = None, stemmed: bool = False) -> dict[str, str]:
+    """``paragraphs``, ``postings`` and ``lexeme_stats`` (and ``dictionary``) under ``path``."""
+    out = {k: os.path.join(path, k) for k in ("paragraphs", "postings", "lexeme_stats")}
+    paras = paragraphs.withColumn("block", book_block(F.col("num"), blocks))
     write_table(paras.hint("rebalance", "language", "block"), out["paragraphs"], partition_by=["language", "block"],
                 sort_within=["language", "block", "num", "para"])
-    stored = spark.read.parquet(out["paragraphs"])
+    stored = spark.read.schema(paras.schema).parquet(out["paragraphs"])
     if stemmed:
-        words = spark.read.parquet(write_table(vocabulary(stored, catalogue), os.path.join(path, "vocabulary"), partition_by=["language"]))
-        write_table(build_dictionary(words, catalogue), os.path.join(path, "dictionary"), partition_by=["language"])
+        words = spark.read.parquet(write_table(vocabulary(stored, catalogue), os.path.join(path, "vocabulary")))
+        write_table(build_dictionary(words, catalogue), os.path.join(path, "dictionary"))
         analyzed = analyze_stemmed(stored, spark.read.parquet(os.path.join(path, "dictionary")), catalogue)
     else:
         analyzed = analyze(stored, catalogue)
@@ -121,44 +153,79 @@ def build_index(spark: SparkSession, books: DataFrame, path: str, buckets: int |
         analyzed = normalize_with_dictionary(analyzed, dictionary)
     # one row per position: Parquet's dictionary / run-length encoding stores
     # the sorted repeated (lexeme, num, para) keys compactly
-    keyed = analyzed.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
-    write_table(keyed.hint("rebalance", "language", "bucket"), out["postings"], partition_by=["language", "bucket"],
-                sort_within=["language", "bucket", "lexeme", "num", "para", "ti"])
+    _write_positions(analyzed, out["postings"], buckets)
     stats = reduced_stats(analyzed) if stemmed else paragraph_stats(stored, catalogue, dictionary)
     write_table(stats, out["lexeme_stats"], partition_by=["language"])
-    spark.createDataFrame([(buckets, blocks, stemmed)], "buckets int, blocks int, stemmed boolean") \
-        .coalesce(1).write.mode("overwrite").parquet(out["layout"])
     return out
 
 
+def _write_positions(rows: DataFrame, path: str, buckets: int) -> None:
+    keyed = rows.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+    write_table(keyed.hint("rebalance", "language", "bucket"), path, partition_by=["language", "bucket"],
+                sort_within=["language", "bucket", "lexeme", "num", "para", "ti"])
+
+
+def pair_key(a: str, b: str, gap: int) -> str:
+    """The pair list of ``a`` and, ``gap`` positions on, ``b`` (a lexeme has no space)."""
+    return f"{a} {b} {gap}"
+
+
+def frequent_lexemes(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The frequent lexemes by language: at most the lexemes of an average
+    paragraph divided by the share, so a few thousand."""
+    out: dict[str, list[str]] = {}
+    for r in spark.read.parquet(os.path.join(path, "frequent")).orderBy("language", "lexeme").collect():
+        out.setdefault(r["language"], []).append(r["lexeme"])
+    return out
+
+
+def write_pairs(stored: DataFrame, path: str, frequent: dict[str, list[str]], buckets: int, catalogue=LANGUAGE_CONFIGS) -> None:
+    """``pairs`` under ``path``, laid out like the postings, from stored paragraphs."""
+    known = " OR ".join(f"(language = {spark_sql_str(n)} AND x IN ({', '.join(map(spark_sql_str, lx))}))" for n, lx in frequent.items()) or "false"
+    lexemes = (f"transform(transform(regexp_extract_all(paragraph, {spark_sql_str(WORD_PATTERN)}, 0), "
+               f"t -> {sql_lexeme_by_language('t', 'language', catalogue)}), x -> IF({known}, x, NULL))")
+    words = stored.where(F.col("language").isNotNull()).select("language", "num", "para", "paragraph")
+    keys = ", ".join(f"named_struct('ti', i, 'lexeme', concat(x, ' ', get(lx, i + {gap}), ' {gap}'))" for gap in range(1, PAIR_GAP + 1))
+    pairs = f"filter(flatten(transform(lx, (x, i) -> array({keys}))), p -> p.lexeme IS NOT NULL)"
+    rows = with_once(words, lx=F.expr(lexemes)).select("language", "num", "para", F.inline(F.expr(pairs)))
+    _write_positions(rows, os.path.join(path, "pairs"), buckets)
+
+
 def book_block(num, blocks: int):
     """Block of a book's paragraphs: ``pmod(xxhash64(num), blocks)``."""
     return F.pmod(F.xxhash64(num), F.lit(blocks)).cast("int")
 
 
 def read_index(spark: SparkSession, path: str) -> dict:
-    """The index tables (a ``dictionary`` if it was built ``stemmed``), plus
-    ``buckets`` and ``blocks`` from its layout and its ``path``."""
+    """The index tables (a ``dictionary`` if it was built ``stemmed``, the
+    ``frequent`` lexemes if it has pairs), ``buckets`` and ``blocks`` from its
+    layout and its ``path``; with what was appended and without what was deleted
+    since (``operators.segments``)."""
+    from .segments import live_tables
+
     idx = {k: spark.read.parquet(os.path.join(path, k))
            for k in ("paragraphs", "postings", "lexeme_stats")}
     layout = spark.read.parquet(os.path.join(path, "layout")).first()
     if layout["stemmed"]:
         idx["dictionary"] = spark.read.parquet(os.path.join(path, "dictionary"))
-    return idx | {"buckets": layout["buckets"], "blocks": layout["blocks"], "path": path}
+    if layout["pairs"]:
+        idx["frequent"] = frequent_lexemes(spark, path)
+    return live_tables(spark, idx | {"buckets": layout["buckets"], "blocks": layout["blocks"], "path": path})
 
 
-def open_postings(spark: SparkSession, path: str, language: str, lexemes, buckets: int) -> DataFrame:
-    """The postings of ``lexemes``, listing only their bucket directories.
+def open_postings(spark: SparkSession, path: str, language: str, lexemes, buckets: int, table: str = "postings") -> DataFrame:
+    """The postings of ``lexemes`` (or the ``pairs`` of pair keys), listing only
+    their bucket directories.
 
     The buckets are computed on an inline table (no job). A language or bucket
     that isn't there gives an empty table.
     """
-    base = os.path.join(path, "postings")
+    base = os.path.join(path, table)
     values = ", ".join(f"({spark_sql_str(lx)})" for lx in lexemes)
     rows = spark.sql(f"SELECT x FROM VALUES {values} AS v(x)").select(lexeme_bucket(F.col("x"), buckets)).collect()
     names = ",".join(sorted({str(r[0]) for r in rows}))
     try:
-        got = (spark.read.option("basePath", base)
+        got = (spark.read.option("basePath", base).schema("num long, para int, ti int, lexeme string, language string, bucket int")
                .parquet(os.path.join(base, f"language={language}", f"bucket={{{names}}}")))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":

@@ -68,5 +68,5 @@ def bind_stemmed(spark: SparkSession, text: str, language: str, dictionary: Data
     terms = tuple((r["lexeme"], r["pos"] - base) for r in rows)
     if dictionary is not None and terms:
         own = dictionary.where((F.col("language") == language) & F.col("lexeme").isin(sorted({lx for lx, _ in terms})))
-        cfg = replace(cfg, forms=tuple(sorted((r["word"], r["lexeme"]) for r in own.select("word", "lexeme").collect())))
+        cfg = replace(cfg, forms=tuple(sorted({(r["word"], r["lexeme"]) for r in own.select("word", "lexeme").collect()})))
     return BoundQuery(text, cfg, terms)

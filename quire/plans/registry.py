@@ -19,6 +19,7 @@ from ..operators import mentions as MN
 from ..operators import paragraphs as PG
 from ..operators import postings as PO
 from ..operators import quality as QA
+from ..operators import segments as SG
 from ..operators import stats as ST
 from ..operators.analysis import (BoundQuery, analyze, bind_query, normalize_with_dictionary, query_terms,
                                   tokenize)
@@ -131,6 +132,85 @@ def q_discovery_search_index(spark, sf):
     return S.index_discovery_search(spark, idx, bk, ALL_WORDS, LANGUAGE, seed=SEED, mode="full")
 
 
+# of all neighbouring frequent lexemes the two that share most paragraphs
+PAIR_SHARE = 0.01
+_COMMON_PAIR_SQL = f"""ctok AS (
+  SELECT num, para, ti, lexeme FROM lx WHERE language = {sql_str(LANGUAGE)} AND lexeme IN (
+    SELECT lexeme FROM lx WHERE language = {sql_str(LANGUAGE)} GROUP BY lexeme
+    HAVING count(DISTINCT (num, para)) >= {PAIR_SHARE} * (SELECT count(*) FROM paragraphs WHERE language = {sql_str(LANGUAGE)}))),
+near AS (SELECT a.num, a.para, a.lexeme AS x, b.lexeme AS y FROM ctok a JOIN ctok b ON a.num = b.num AND a.para = b.para AND b.ti = a.ti + 1),
+common AS (SELECT x, y FROM near GROUP BY x, y ORDER BY count(DISTINCT (num, para)) DESC, x, y LIMIT 1),
+hit AS (SELECT num, para, count(*) AS m FROM near JOIN common USING (x, y) GROUP BY num, para)"""
+
+
+@register("phrase_search_common", _cte(O.tokens_cte("tk", "paragraphs"), O.lexemes_cte("lx", "tk"), _COMMON_PAIR_SQL)
+          + """SELECT b.num, b.author, (SELECT x || ' ' || y FROM common) AS phrase, CAST(sum(m) AS BIGINT) AS matches,
+  round(avg((m * 0.1) / (m * 0.1 + 1)) * 100, 4) AS rank FROM hit JOIN books b ON b.num = hit.num GROUP BY b.num, b.author""")
+def q_phrase_search_common(spark, sf):
+    # read from the index's list of that pair, of two long lists
+    bk = books_view(spark, sf)
+    path = scratch_path(spark, "index")
+    PO.build_index(spark, bk, path, pair_share=PAIR_SHARE)
+    idx = PO.read_index(spark, path)
+    most = (spark.read.parquet(f"{path}/pairs").where((F.col("language") == LANGUAGE) & F.col("lexeme").endswith(" 1"))
+            .groupBy("lexeme").agg(F.count_distinct("num", "para").alias("n"))
+            .orderBy(F.col("n").desc(), F.split_part("lexeme", F.lit(" "), F.lit(1)), "lexeme").first())
+    a, b, _ = most["lexeme"].split(" ")
+    q = BoundQuery(f"{a} {b}", config(LANGUAGE), ((a, 0), (b, 1)))
+    rank = cover_density_rank(F.col("n_matches"), q)
+    per = S.index_hits(spark, idx, q).groupBy("num").agg(F.sum("n_matches").alias("matches"), F.round(F.avg(rank) * 100, 4).alias("rank"))
+    return per.join(bk.select("num", "author"), "num").select("num", "author", F.lit(q.text).alias("phrase"), "matches", "rank")
+
+
+# the stored index after the repair: the parts of over-long paragraphs are
+# appended under new numbers, then the over-long ones are deleted
+_REPAIRED_SQL = f"""longer AS (SELECT num, language, para, paragraph FROM paragraphs WHERE length(paragraph) > {RESPLIT_LIMIT}),
+parts AS (SELECT num, language, CAST(1000000 + para * 1000 + generate_subscripts(p, 1) AS INTEGER) AS para, unnest(p) AS paragraph
+  FROM (SELECT num, language, para, string_split(paragraph, chr(10)) AS p FROM longer)),
+repaired AS (
+  SELECT num, language, para, paragraph FROM paragraphs WHERE length(paragraph) <= {RESPLIT_LIMIT}
+  UNION ALL SELECT num, language, para, paragraph FROM parts)"""
+
+
+def _repaired_index(spark, sf):
+    bk = books_view(spark, sf)
+    path = scratch_path(spark, "index")
+    PO.build_index(spark, bk, path)
+    stored = spark.read.parquet(f"{path}/paragraphs").drop("block")
+    longer = stored.where(F.col("paragraph_length") > RESPLIT_LIMIT)
+    parts = PG.resplit_long(longer, RESPLIT_LIMIT, RESPLIT_DELIMITER)
+    parts = parts.withColumn("para", (1000001 + F.col("para") * 1000 + F.col("part")).cast("int")).drop("part")
+    SG.append_paragraphs(spark, path, parts.select(stored.columns))
+    SG.delete_paragraphs(spark, path, longer.select("num", "para"))
+    return bk, path
+
+
+_INDEX_AFTER = (_cte(_REPAIRED_SQL, O.phrase_matches_sql(PHRASE, LANGUAGE).replace("FROM paragraphs ", "FROM repaired "))
+                + O.rollup_sql("pm", True, S.DEFAULT_LINK_BASE))
+
+
+@register("index_after_append", _INDEX_AFTER)
+def q_index_after_append(spark, sf):
+    bk, path = _repaired_index(spark, sf)
+    return S.index_phrase_search(spark, PO.read_index(spark, path), bk, PHRASE, LANGUAGE, mode="full")
+
+
+@register("index_after_merge", _INDEX_AFTER)
+def q_index_after_merge(spark, sf):
+    bk, path = _repaired_index(spark, sf)
+    merged = scratch_path(spark, "merged")
+    SG.merge_index(spark, path, merged)
+    return S.index_phrase_search(spark, PO.read_index(spark, merged), bk, PHRASE, LANGUAGE, mode="full")
+
+
+@register("lexeme_stats_after_append", _cte(_REPAIRED_SQL, O.tokens_cte("tk", "repaired"), O.lexemes_cte("lx", "tk"),
+                                            """post AS (SELECT language, lexeme, num, para, count(*) AS tf FROM lx GROUP BY language, lexeme, num, para)""")
+          + """SELECT language, lexeme, count(*) AS paragraphs, CAST(sum(tf) AS BIGINT) AS occurrences FROM post GROUP BY language, lexeme""")
+def q_lexeme_stats_after_append(spark, sf):
+    _, path = _repaired_index(spark, sf)
+    return PO.read_index(spark, path)["lexeme_stats"].select("language", "lexeme", "paragraphs", "occurrences")
+
+
 # -------------------------------------------------------- step 1: split, tokens
 
 @register("paragraph_split", _cte() + """SELECT num, para, paragraph,
@@ -1028,7 +1108,7 @@ def q_all_words_many(spark, sf):
             .orderBy(F.col("n").desc(), "num", "para").limit(1).select("num", "para"))
     words = sorted(r[0] for r in english.join(best, ["num", "para"]).select("lexeme").distinct().collect())
     q = BoundQuery(" ".join(words), config(LANGUAGE), tuple((w, i) for i, w in enumerate(words)))
-    return S.all_words_hits(PO.open_postings(spark, idx["path"], LANGUAGE, words, idx["buckets"]), q)
+    return S.all_words_hits(idx["open"](LANGUAGE, words), q)
 
 
 @register("result_sort", _SEARCH_RES + """SELECT * FROM res

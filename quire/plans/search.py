@@ -24,7 +24,7 @@ from ..operators.analysis import BoundQuery, bind_query
 from ..operators.headline import with_headline
 from ..operators.matching import all_words_match, phrase_match
 from ..operators.paragraphs import book_paragraphs
-from ..operators.postings import book_block, open_postings
+from ..operators.postings import PAIR_GAP, book_block, pair_key
 from ..operators.ranking import cover_density_rank
 from ..operators.vocabulary import bind_stemmed
 
@@ -165,20 +165,34 @@ def seeded_random(num: Column, seed: int) -> Column:
 # test and the paragraph count reuse; only counts go on to the book. Text is read for
 # matched paragraphs only, on a page for the page's books only.
 
-def phrase_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
+def phrase_hits(postings: DataFrame, terms) -> DataFrame:
     """``num, para, n_matches`` from positions ``num, para, ti, lexeme``.
 
-    An occurrence starts at ``ti - offset`` and is complete when all the
-    query's terms are there; a position holds one lexeme, so rows are counted.
+    ``terms`` are the lists read and their offsets (a query's terms, or pairs of
+    them). An occurrence starts at ``ti - offset`` and is complete when all the
+    lists have it; a position is once in a list, so rows are counted.
     """
-    offsets = " ".join(f"WHEN {spark_sql_str(lx)} THEN array({', '.join(str(o) for t, o in q.terms if t == lx)})"
-                       for lx in q.lexemes)
+    by = {}
+    for key, off in terms:
+        by.setdefault(key, []).append(str(off))
+    offsets = " ".join(f"WHEN {spark_sql_str(key)} THEN array({', '.join(offs)})" for key, offs in sorted(by.items()))
     dealt = (postings.select("num", "para", "ti", F.explode(F.expr(f"CASE lexeme {offsets} END")).alias("off"))
              .select("num", "para", (F.col("ti") - F.col("off")).alias("start")).repartition("num", "para"))
-    return (dealt.groupBy("num", "para", "start").count().where(F.col("count") == len(q.terms))
+    return (dealt.groupBy("num", "para", "start").count().where(F.col("count") == len(terms))
             .groupBy("num", "para").agg(F.count("*").alias("n_matches")))
 
 
+def phrase_lists(q: BoundQuery, frequent) -> tuple[list, list]:
+    """Which lists a phrase reads: pairs of neighbouring frequent terms, and the
+    terms in no pair; each with its offset."""
+    common, pairs, paired = set(frequent), [], set()
+    for (a, i), (b, j) in zip(q.terms, q.terms[1:]):
+        if a in common and b in common and j - i <= PAIR_GAP:
+            pairs.append((pair_key(a, b, j - i), i))
+            paired |= {i, j}
+    return pairs, [t for t in q.terms if t[1] not in paired]
+
+
 def all_words_hits(postings: DataFrame, q: BoundQuery) -> DataFrame:
     """``num, para`` where every query lexeme occurs; a paragraph's set of them
     is no larger than the query."""
@@ -190,11 +204,20 @@ def _no_hits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "num long, para int, n_matches long")
 
 
-def _index_hits(spark: SparkSession, idx: dict, q: BoundQuery, phrase: bool) -> DataFrame:
+def index_hits(spark: SparkSession, idx: dict, q: BoundQuery, phrase: bool = True) -> DataFrame:
+    """Matched paragraphs ``num, para`` (and ``n_matches`` of a phrase), from the lists alone."""
     if not q.terms:
         return _no_hits(spark)
-    post = open_postings(spark, idx["path"], q.config.name, q.lexemes, idx["buckets"])
-    return phrase_hits(post, q) if phrase else all_words_hits(post, q)
+    name = q.config.name
+    if not phrase:
+        return all_words_hits(idx["open"](name, q.lexemes), q)
+    pairs, single = phrase_lists(q, idx.get("frequent", {}).get(name, ()))
+    read = None
+    for terms, table in ((pairs, "pairs"), (single, "postings")):
+        if terms:
+            rows = idx["open"](name, sorted({key for key, _ in terms}), table).select("num", "para", "ti", "lexeme")
+            read = rows if read is None else read.unionByName(rows)
+    return phrase_hits(read, pairs + single)
 
 
 def _excerpts(idx: dict, hits: DataFrame, q: BoundQuery, mode: str, only_matches: bool) -> DataFrame:
@@ -217,7 +240,7 @@ def index_phrase_search(spark: SparkSession, idx: dict, books: DataFrame, query:
                         mode: str = "fragments", only_matches: bool = False) -> DataFrame:
     """``phrase_search`` over a stored index (``read_index``): all matching books."""
     q = _as_query(spark, query, language, idx)
-    m = _excerpts(idx, _index_hits(spark, idx, q, True), q, mode, only_matches)
+    m = _excerpts(idx, index_hits(spark, idx, q, True), q, mode, only_matches)
     return rollup_books(m, books, link_base, with_rank=True)
 
 
@@ -231,7 +254,7 @@ def index_phrase_page(spark: SparkSession, idx: dict, books: DataFrame, query: s
     if limit < 1 or start < 1:
         raise ValueError("limit and start are 1-based positive integers")
     q = _as_query(spark, query, language, idx)
-    hits = _index_hits(spark, idx, q, True)
+    hits = index_hits(spark, idx, q, True)
     rank = cover_density_rank(F.col("n_matches"), q)
     ranks = hits.groupBy("num").agg(F.round(F.sum(rank) / F.count("*") * 100, 4).alias("rank"))
     top = (ranks.join(books.select("num"), "num", "left_semi")
@@ -254,7 +277,7 @@ def index_discovery_search(spark: SparkSession, idx: dict, books: DataFrame, que
     """``discovery_search`` over a stored index: the ``n`` books are drawn from
     the hits, then only their text is read."""
     q = _as_query(spark, query, language, idx)
-    hits = _index_hits(spark, idx, q, False).select("num", "para")
+    hits = index_hits(spark, idx, q, False).select("num", "para")
     rand = seeded_random(F.col("num"), seed)
     top = (hits.select("num").distinct().join(books.select("num"), "num", "left_semi")
            .orderBy(rand, "num").limit(n))
