@@ -41,6 +41,11 @@ LAYOUT_CHARS = 8 << 20
 MAX_BUCKETS = 4096
 # Positions between the two lexemes of a pair, at most.
 PAIR_GAP = 2
+# The stored tables.
+POSITIONS = "num long, para int, ti int, lexeme string, language string, bucket int"
+SCHEMAS = {"paragraphs": "num long, para int, paragraph string, paragraph_length int, language string, block int",
+           "postings": POSITIONS, "lexeme_stats": "lexeme string, paragraphs long, occurrences long, language string"}
+LAYOUT = "buckets int, blocks int, stemmed boolean, pairs boolean"
 
 
 def default_layout(chars: int) -> int:
@@ -130,7 +135,7 @@ def write_index(spark: SparkSession, paragraphs: DataFrame, path: str, buckets:
         write_table(stats.where(F.col("paragraphs") >= pair_share * F.col("of")).select("language", "lexeme"), os.path.join(path, "frequent"))
         write_pairs(stored, path, frequent_lexemes(spark, path), buckets, catalogue)
     spark.createDataFrame([], "segment int, kind string").write.mode("overwrite").parquet(os.path.join(path, "manifest"))
-    (spark.createDataFrame([(buckets, blocks, stemmed, bool(pair_share))], "buckets int, blocks int, stemmed boolean, pairs boolean")
+    (spark.createDataFrame([(buckets, blocks, stemmed, bool(pair_share))], LAYOUT)
      .coalesce(1).write.mode("overwrite").parquet(out["layout"]))
     return out
 
@@ -203,9 +208,9 @@ def read_index(spark: SparkSession, path: str) -> dict:
     since (``operators.segments``)."""
     from .segments import live_tables
 
-    idx = {k: spark.read.parquet(os.path.join(path, k))
-           for k in ("paragraphs", "postings", "lexeme_stats")}
-    layout = spark.read.parquet(os.path.join(path, "layout")).first()
+    # known schemas: opening an index reads no file footers
+    idx = {k: spark.read.schema(schema).parquet(os.path.join(path, k)) for k, schema in SCHEMAS.items()}
+    layout = spark.read.schema(LAYOUT).parquet(os.path.join(path, "layout")).first()
     if layout["stemmed"]:
         idx["dictionary"] = spark.read.parquet(os.path.join(path, "dictionary"))
     if layout["pairs"]:
@@ -225,12 +230,12 @@ def open_postings(spark: SparkSession, path: str, language: str, lexemes, bucket
     rows = spark.sql(f"SELECT x FROM VALUES {values} AS v(x)").select(lexeme_bucket(F.col("x"), buckets)).collect()
     names = ",".join(sorted({str(r[0]) for r in rows}))
     try:
-        got = (spark.read.option("basePath", base).schema("num long, para int, ti int, lexeme string, language string, bucket int")
+        got = (spark.read.option("basePath", base).schema(POSITIONS)
                .parquet(os.path.join(base, f"language={language}", f"bucket={{{names}}}")))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "num long, para int, ti int, lexeme string, language string, bucket int")
+        return spark.createDataFrame([], POSITIONS)
     return got.where(F.col("lexeme").isin(list(lexemes)))
 
 
