@@ -150,14 +150,28 @@ def log_probs(tables, x: np.ndarray, block: int = 64) -> np.ndarray:
 def fit(docs: DataFrame, wanted: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
         max_texts: int = MAX_TEXTS) -> Network | None:
     """Train on at most ``max_texts`` labelled rows for which ``wanted`` holds,
-    the first by hash, ``DRAWN`` windows from anywhere in each text."""
+    the first by hash, ``DRAWN`` windows from anywhere in each text.
+
+    Rows of null label, or of null text or one without a letter, take no part;
+    repeated rows count again, ties of the hash go by label and windows; an
+    empty table, or one language alone, gives what ``train`` makes of it.
+    """
     size = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
     drawn = [F.substring(F.col(text), F.pmod(F.xxhash64(doc_id, F.lit(i)), size).cast("int") + 1, F.lit(WINDOW))
              for i in range(DRAWN)]
-    rows = (docs.where(wanted & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-            .select(F.col(lang).alias("lang"), F.array(*drawn).alias("parts"),
-                    F.xxhash64(doc_id, F.lit(SEED)).alias("h"))
-            .orderBy("h", "lang", "parts").limit(max_texts).collect())  # a bounded sample
+    labelled = wanted & F.col(lang).isNotNull()
+    picked = (docs.where(labelled & F.col(text).rlike(r"\p{L}"))
+              .select(F.col(lang).alias("lang"), F.array(*drawn).alias("parts"),
+                      F.xxhash64(doc_id, F.lit(SEED)).alias("h")))
+    # a bound on the hash that lets a little more than the sample through, so no
+    # task sends a sample of its own; raised if rows without letters left it short
+    share = 1.25 * max_texts / max(docs.where(labelled).count(), 1)
+    while True:
+        near = picked if share >= 1 else picked.where(F.col("h") < int(share * 2 ** 64) - 2 ** 63)
+        rows = near.orderBy("h", "lang", "parts").limit(max_texts).collect()
+        if share >= 1 or len(rows) >= max_texts:
+            break
+        share *= 4
     texts = [(p.encode(), r["lang"]) for r in rows for p in dict.fromkeys(r["parts"]) if p]
     return train([t for t, _ in texts], [v for _, v in texts])
 
