@@ -829,12 +829,17 @@ def q_json_explode(spark, sf):
                     F.get_json_object("metadata", "$.Title[0]").alias("title"))
 
 
+# Books of one catalogue file (some MB of JSON), and book files of one folder.
+FILE_BOOKS = 10_000
+FOLDER_BOOKS = 1000
+
+
 @register("read_metadata_blocks", _cte(_catalogue_sql()) + """SELECT TRY_CAST(json_extract_string(metadata, '$.Num') AS BIGINT) AS num,
   json_extract_string(metadata, '$.Title[0]') AS title, json_extract_string(metadata, '$.Author[0]') AS author FROM meta""")
 def q_read_metadata_blocks(spark, sf):
-    # the catalogue's arrays as files, read in blocks much smaller than an array
+    # the catalogue as files of one array each, read in blocks much smaller than an array
     path = scratch_path(spark, "catalogue")
-    _catalogue(spark, sf).write.partitionBy("part").text(path)
+    MD.catalogue_records(books_view(spark, sf), FILE_BOOKS).write.partitionBy("part").text(path)
     out = scratch_path(spark, "metadata")
     with split_bytes(spark, 1 << 13):
         write_table(read_json_array(spark, path), out)
@@ -850,12 +855,9 @@ def q_load_files(spark, sf):
     # that also names some files that aren't there
     bk = books_view(spark, sf)
     root = scratch_path(spark, "files")
-    bk.select("num", "content").write.partitionBy("num").text(root)
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-              .select(FS.relative_path(F.col("_metadata.file_path"), root).alias("gd_path")))
-    meta = listed.select(F.regexp_extract("gd_path", r"num=(-?\d+)", 1).cast("long").alias("num"), "gd_path")
+    made = spark.read.parquet(write_table(FS.write_book_files(bk, root, FOLDER_BOOKS), scratch_path(spark, "made")))
     gone = bk.where("num % 100 = 0").select((-F.col("num") - 1).alias("num"), F.concat(F.lit("gone/"), F.col("num"), F.lit(".txt")).alias("gd_path"))
-    meta = spark.read.parquet(write_table(meta.unionByName(gone), scratch_path(spark, "paths")))
+    meta = spark.read.parquet(write_table(made.unionByName(gone), scratch_path(spark, "paths")))
     found = FS.read_contents(spark, meta, root)
     status = FS.content_report(spark, meta, root).where("num IS NOT NULL").select("num", "status")
     return (found.select("num", F.md5("content").alias("content_md5"), F.length("content").alias("length"))

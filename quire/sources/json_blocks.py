@@ -13,7 +13,8 @@ same two facts at the block's beginning, so
    outer array. An element that runs over the end of a block is put together
    from its fragments.
 
-No file, array or block is ever one row; a task holds one element at a time.
+No file, array or block is ever one row; a task holds one element at a time, and
+reads several blocks one after the other where they are small.
 """
 
 from __future__ import annotations
@@ -47,9 +48,17 @@ def structure(text: str, inside: bool) -> Iterator[tuple[int, str]]:
             yield m.start(), m[0]
 
 
+# Bytes one task reads when the splits are smaller: it takes several of them in turn.
+TASK_BYTES = 4 << 20
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("lineSep", "}").text(path)
-            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    """``file, block, value``; many small blocks share a task, each still a block."""
+    pieces = (spark.read.option("lineSep", "}").text(path)
+              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    blocks = pieces.rdd.getNumPartitions()
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return pieces.coalesce(max(spark.sparkContext.defaultParallelism, -(-blocks * split // TASK_BYTES)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:

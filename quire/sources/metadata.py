@@ -95,9 +95,9 @@ def gd_path(num: Column) -> Column:
 CATALOGUE_BOOKS = 25
 
 
-def catalogue_records(books: DataFrame) -> DataFrame:
+def catalogue_records(books: DataFrame, size: int = CATALOGUE_BOOKS) -> DataFrame:
     """Catalogue JSON in the shape the reference reads: ``part, catalogue``, one
-    array for each ``CATALOGUE_BOOKS`` consecutive numbers, records by number.
+    array for each ``size`` consecutive numbers, records by number.
 
     Unknown values are written as ``"?"``, as the catalogue does, so the
     flatten step exercises the sentinel mapping; years, given names and subjects
@@ -127,6 +127,6 @@ def catalogue_records(books: DataFrame) -> DataFrame:
         gd_path(num).alias("gd-path"),
         F.concat(F.lit("/ebooks/"), num.cast("string")).alias("href"),
     )
-    part = F.floor(num / CATALOGUE_BOOKS).alias("part")
+    part = F.floor(num / size).alias("part")
     return (books.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(num.alias("n"), rec.alias("r")))).alias("rs"))
             .select("part", F.to_json(F.transform("rs", lambda x: x["r"])).alias("catalogue")))
