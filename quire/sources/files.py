@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +42,57 @@ def trimmed(content: Column) -> Column:
     return F.regexp_replace(content, r"\n\z", "")
 
 
+# Spark's readers take some 32 small files a task; so many such shares go to one task.
+SHARES = 32
+
+
+def _packed(files: DataFrame) -> DataFrame:
+    """Many small files a task, whose start costs more than reading one."""
+    shares = files.rdd.getNumPartitions()
+    least = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(2 * least, shares // SHARES)) if shares > 2 * least else files
+
+
 def book_files(spark: SparkSession, root: str) -> DataFrame:
     """``rel_path, content`` of every non-empty file under ``root``."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    return files.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
-                        F.col("value").alias("content"))
+    return _packed(files.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+                                F.col("value").alias("content")))
+
+
+def file_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """``rel_path, size`` of every non-empty file under ``root``; no content is read."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return _packed(listing.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+                                  F.col("_metadata.file_size").alias("size")))
+
+
+def write_book_files(books: DataFrame, root: str, folder_books: int) -> DataFrame:
+    """Every book's text as a file of its own under ``root``, with a trailing
+    newline; ``num, gd_path`` of the files, which are there once it is computed.
+
+    A folder holds the books of ``folder_books`` consecutive numbers and one task
+    writes it. Rows of one number are lines of one file.
+    """
+    num = F.col("num")
+    folder = F.floor(num / folder_books).cast("string")
+    whole = (books.withColumn("folder", F.coalesce(folder, F.lit("none"))).repartition("folder").groupBy("folder", "num")
+             .agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("content", F.lit("")))), "\n").alias("content"))
+             .select("num", F.concat("folder", F.lit("/"), F.coalesce(num.cast("string"), F.lit("none")), F.lit(".txt")).alias("gd_path"), "content"))
+
+    def write(batches):
+        target, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for b in batches:
+            for path, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                where = f"{base}/{path.rpartition('/')[0]}"
+                if where not in made:
+                    target.create_dir(where, recursive=True)
+                    made.add(where)
+                with target.open_output_stream(f"{base}/{path}") as out:
+                    out.write(f"{content}\n".encode())
+            yield b.select([0, 1])
+    return whole.mapInArrow(write, "num long, gd_path string")
 
 
 def read_contents(spark: SparkSession, metadata: DataFrame, root: str,
@@ -61,18 +108,22 @@ def read_contents(spark: SparkSession, metadata: DataFrame, root: str,
     wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
     files = book_files(spark, root)
     found = files.join(wanted, "rel_path").select("num", trimmed(F.col("content")).alias("content"))
-    rest = wanted.join(files.select("rel_path"), "rel_path", "left_anti").select("num", F.lit("").alias("content"))
+    rest = wanted.join(file_sizes(spark, root), "rel_path", "left_anti").select("num", F.lit("").alias("content"))
     return found.unionByName(rest)
 
 
 def empty_files(spark: SparkSession, root: str) -> list[str]:
     """Relative paths of zero-byte files, which Spark's readers skip.
 
-    A walk over the file system's listing on the driver (the readers list
-    there too); only the empty ones are kept.
+    When the file system counts as many files as the readers see, there are none;
+    else a walk over its listing on the driver (the readers list there too), of
+    which only the empty ones are kept.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    walk = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getContentSummary(path).getFileCount() == file_sizes(spark, root).count():
+        return []
+    walk = system.listFiles(path, True)
     start, out = _root_path(root), []
     while walk.hasNext():
         f = walk.next()
@@ -90,9 +141,7 @@ def content_report(spark: SparkSession, metadata: DataFrame, root: str,
     there without a byte; ``unlisted``: no catalogue row names the file (null
     num). The listing reads paths and sizes, no content.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
-                       F.col("_metadata.file_size").alias("size")))
+    listing = file_sizes(spark, root)
     none = spark.createDataFrame([(p, 0) for p in empty_files(spark, root)], "rel_path string, size long")
     listing = listing.unionByName(none)
     wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
