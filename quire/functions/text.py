@@ -206,6 +206,22 @@ def sql_lexeme_by_language(token: str, language: str, catalogue=LANGUAGE_CONFIGS
     return f"CASE {parts} ELSE NULL END"
 
 
+def sql_known_word(word: str, language: str, catalogue=LANGUAGE_CONFIGS) -> str:
+    """Whether a lower-cased word has a lexeme: its language has an analyser, of
+    which it is no stopword."""
+    tests = []
+    for n in catalogue:
+        stop = config(n).stopwords
+        tests.append(f"({language} = {sql_str(n)}" + (f" AND {word} NOT IN {sql_list(stop)})" if stop else ")"))
+    return "(" + " OR ".join(tests) + ")"
+
+
+def sql_stem_by_language(word: str, language: str, catalogue=LANGUAGE_CONFIGS) -> str:
+    """Lexeme of a lower-cased word that ``sql_known_word`` lets through."""
+    stemmed = [n for n in catalogue if config(n).stemmer == "s"]
+    return f"CASE WHEN {language} IN {sql_list(stemmed)} THEN {sql_s_stem(word)} ELSE {word} END" if stemmed else word
+
+
 def sql_language_config(language: str, catalogue=LANGUAGE_CONFIGS) -> str:
     return (f"CASE WHEN lower({language}) IN {sql_list(catalogue)} "
             f"THEN lower({language}) END")

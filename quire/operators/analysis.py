@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import (LANGUAGE_CONFIGS, TextConfig, config, lexeme_by_language,
-                              lexemes_of, spark_sql_str, tokens)
+from ..functions.text import (LANGUAGE_CONFIGS, TextConfig, config, lexemes_of, spark_sql_str,
+                              sql_known_word, sql_stem_by_language, tokens)
 
 
 def tokenize(paragraphs: DataFrame, keys=("num", "para")) -> DataFrame:
@@ -31,12 +31,14 @@ def analyze(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS, stem: bool = True
     one get no lexemes, as the reference leaves their vector NULL. Without
     ``stem`` a lexeme is the lower-cased word (for ``operators.vocabulary``).
     """
-    toks = (paragraphs.where(F.col("language").isNotNull())
-            .select("language", "num", "para",
-                    F.posexplode(tokens(F.col("paragraph"))).alias("ti", "token")))
-    return (toks.select("language", "num", "para", "ti",
-                        lexeme_by_language("token", "language", catalogue, stem).alias("lexeme"))
-            .where(F.col("lexeme").isNotNull()))
+    # lower-cased once, in the array, and tested for stopwords once: a condition on
+    # the lexeme would be pushed below it and evaluate the whole expression again
+    words = F.transform(tokens(F.col("paragraph")), lambda t: F.lower(t))
+    known = (paragraphs.where(F.col("language").isNotNull())
+             .select("language", "num", "para", F.posexplode(words).alias("ti", "word"))
+             .where(sql_known_word("word", "language", catalogue)))
+    lexeme = F.expr(sql_stem_by_language("word", "language", catalogue) if stem else "word")
+    return known.select("language", "num", "para", "ti", lexeme.alias("lexeme"))
 
 
 def normalize_with_dictionary(analyzed: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (LANGUAGE_CONFIGS, WORD_PATTERN, spark_sql_str,
-                              sql_lexeme_by_language)
-from ..sources.sinks import write_table
+from ..functions.text import (LANGUAGE_CONFIGS, WORD_PATTERN, spark_sql_str, sql_known_word,
+                              sql_lexeme_by_language, sql_stem_by_language)
+from ..sources.sinks import concurrent_files, write_table
 from .analysis import analyze, normalize_with_dictionary
 from .matching import with_once
 from .paragraphs import book_paragraphs
@@ -39,6 +39,8 @@ from .vocabulary import analyze_stemmed, build_dictionary, vocabulary
 # directories of either kind per language.
 LAYOUT_CHARS = 8 << 20
 MAX_BUCKETS = 4096
+# Files of different buckets that one task may have open.
+OPEN_FILES = 32
 # Positions between the two lexemes of a pair, at most.
 PAIR_GAP = 2
 # The stored tables.
@@ -82,8 +84,10 @@ def paragraph_stats(paragraphs: DataFrame, catalogue=LANGUAGE_CONFIGS, dictionar
     if dictionary is not None:
         return reduced_stats(normalize_with_dictionary(analyze(paragraphs, catalogue), dictionary))
     words = paragraphs.where(F.col("language").isNotNull()).select("language", "paragraph")
-    lexemes = F.expr(f"array_sort(filter(transform(regexp_extract_all(paragraph, {spark_sql_str(WORD_PATTERN)}, 0), "
-                     f"t -> {sql_lexeme_by_language('t', 'language', catalogue)}), x -> x IS NOT NULL))")
+    # words are lower-cased once; sort_array compares strings without a lambda
+    lexemes = F.expr(f"sort_array(transform(filter(transform(regexp_extract_all(paragraph, {spark_sql_str(WORD_PATTERN)}, 0), "
+                     f"t -> lower(t)), w -> {sql_known_word('w', 'language', catalogue)}), "
+                     f"w -> {sql_stem_by_language('w', 'language', catalogue)}))")
     rows = with_once(words, lx=lexemes).select(
         "language", F.expr("inline(transform(lx, (x, i) -> struct(x AS lexeme, i = 0 OR lx[i - 1] <> x AS first)))"))
     return rows.groupBy("language", "lexeme").agg(F.count_if("first").alias("paragraphs"),
@@ -166,8 +170,11 @@ def write_tables(spark: SparkSession, paragraphs: DataFrame, path: str, buckets:
 
 def _write_positions(rows: DataFrame, path: str, buckets: int) -> None:
     keyed = rows.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
-    write_table(keyed.hint("rebalance", "language", "bucket"), path, partition_by=["language", "bucket"],
-                sort_within=["language", "bucket", "lexeme", "num", "para", "ti"])
+    # a task holds few buckets, each a file open at once: rows are sorted by lexeme
+    # first, which tells most of them apart, not by directory, which tells few
+    with concurrent_files(rows.sparkSession, OPEN_FILES):
+        write_table(keyed.hint("rebalance", "language", "bucket"), path, partition_by=["language", "bucket"],
+                    sort_within=["lexeme", "num", "para", "ti"])
 
 
 def pair_key(a: str, b: str, gap: int) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     return path
 
 
+@contextmanager
+def concurrent_files(spark: SparkSession, n: int):
+    """Writes inside the block keep up to ``n`` files of different partitions open
+    a task, instead of sorting the rows by partition (beyond ``n`` they do)."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Quotes are doubled and white space is kept, so a text reads back as it was; an
 #: empty one as NULL, which CSV doesn't tell apart.
 CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
