@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import TextConfig, lexemes_of
+from ..session import scratch_path
+from ..sources.sinks import write_table
 from .analysis import BoundQuery
 
 
@@ -160,15 +162,19 @@ def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFra
        paragraph, and every candidate is verified there: each term at ``start +
        offset``.
 
-    One lazy plan; join sides are broadcast or shuffled by their bytes.
+    The anchors are written, so their bytes are known and decide whether they
+    are broadcast to the positions, which then needn't be shuffled for it; the
+    rest is one lazy plan, whose join sides are broadcast or shuffled by their bytes.
     """
     on = list(on)
+    spark = postings.sparkSession
     qkeys = ["query_id"] + [c for c in on if c != "lexeme"]
     pkeys = [c for c in on if c != "lexeme"] + ["num", "para"]
     ranked = terms.join(freq.select(*on, "n"), on, "left")
     w = Window.partitionBy(*qkeys).orderBy(F.col("n").asc_nulls_first(), "offset", "lexeme")
     anchor = (ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
               .where(F.col("n").isNotNull()).select(*qkeys, "lexeme", "offset"))
+    anchor = spark.read.parquet(write_table(anchor, scratch_path(spark, "anchors")))
     pos = explode_positions(postings)
     starts = (pos.join(anchor, on)
               .select(*qkeys, "num", "para", (F.col("ti") - F.col("offset")).alias("start")))
