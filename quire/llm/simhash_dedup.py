@@ -8,6 +8,10 @@ segment. Each ball is enumerated from above only: of two values one bit apart,
 one has that bit set, and clearing its set bits reaches the other. Matches are
 verified on all 64 bits.
 
+The segments and their balls are some 2 and 32 times as many rows as the
+fingerprints, which Spark's size of an ``explode`` doesn't tell, so their joins
+are asked to be sort merge joins: no table of them is gathered and broadcast.
+
 Copies never meet as pairs (they are one class). The probe joins carry the
 distance test, so only verified links leave them; a hot segment value is split
 over tasks by the adaptive skew join. Links are reduced to spanning forests
@@ -85,6 +89,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = (exact.select("seg", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
               .where("seg & shiftleft(1L, bit) <> 0").select(ball_seg.alias("seg"), "v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
+    exact = exact.hint("merge")
     ball = exact.join(probes, "seg").where(near).select("u", "v")
     twin = exact.select("seg", F.col("u").alias("v"))
     same = exact.join(twin, "seg").where((F.col("u") < F.col("v")) & near).select("u", "v")
