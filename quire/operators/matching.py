@@ -9,7 +9,7 @@ Two physical forms of the same definitions:
 - *postings form* (``phrase_match_postings`` / ``all_words_match_postings``):
   postings joined to a term table, grouped by ``(query_id, num, para, ti -
   offset)``. Used for many queries at once; which side is broadcast is decided
-  by bytes at run time.
+  by bytes at run time, or by the number of query words.
 """
 
 from __future__ import annotations
@@ -149,42 +149,83 @@ def phrase_match_postings(postings: DataFrame, terms: DataFrame, on=("lexeme",))
     return hits.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
 
 
-def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFrame,
-                            on=("lexeme",)) -> DataFrame:
-    """Same result as ``phrase_match_postings``, anchored on each query's
-    rarest term (for many queries with common words, e.g. names).
-
-    1. ``freq`` (``on`` columns + ``n``: corpus frequency) ranks each query's
-       terms; the rarest is its anchor (a term absent from ``freq`` makes the
-       query unmatchable, and it is dropped here).
-    2. Candidate starts come from the anchor postings only.
-    3. The positions of candidate paragraphs only (semi join) are gathered per
-       paragraph, and every candidate is verified there: each term at ``start +
-       offset``.
-
-    The anchors are written, so their bytes are known and decide whether they
-    are broadcast to the positions, which then needn't be shuffled for it; the
-    rest is one lazy plan, whose join sides are broadcast or shuffled by their bytes.
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(write_table(df, scratch_path(spark, name)))
+
+
+def numbered(df: DataFrame, number: str, name: str) -> DataFrame:
+    """``df``, written, with a column ``number`` of integers from 0 on without gaps."""
+    rows = _stored(df.withColumn("_row", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_row", 33)
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = rows.groupBy(part.alias("_part")).count().select("_part", F.coalesce(before, F.lit(0)).alias("_first"))  # a row a partition
+    at = F.col("_first") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(F.broadcast(first), "_part").select(*df.columns, at.cast("int").alias(number))
+
+
+# Words of queries that are broadcast at most (some 100 MB); of more the joins go by bytes.
+FEW_TERMS = 1 << 20
+
+
+def phrase_starts_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFrame | None = None,
+                             on=("lexeme",)) -> DataFrame:
+    """``query_id, num, para, start``: every occurrence of every query, anchored
+    on the query's rarest term (for many queries with common words, e.g. names).
+
+    1. The words of the queries are numbered; of the positions only those of
+       such words go on, as a number each: ``ti`` and the word.
+    2. ``freq`` (``on`` columns + ``n``: corpus frequency; counted here without)
+       ranks each query's terms; the rarest is its anchor (a term absent from
+       ``freq`` makes the query unmatchable, and it is dropped here).
+    3. The positions are gathered per paragraph, which is the one shuffle of
+       them. Each one that has an anchor's word is a candidate start, and every
+       candidate is verified there: each term at its distance from the anchor.
+
+    Words and anchors with their terms are broadcast up to ``FEW_TERMS``; the
+    candidates of more are shuffled to their paragraphs. Of repeated positions
+    with different lexemes each one counts; a position without ``num`` or ``para``
+    is in no paragraph.
     """
     on = list(on)
-    spark = postings.sparkSession
     qkeys = ["query_id"] + [c for c in on if c != "lexeme"]
     pkeys = [c for c in on if c != "lexeme"] + ["num", "para"]
-    ranked = terms.join(freq.select(*on, "n"), on, "left")
-    w = Window.partitionBy(*qkeys).orderBy(F.col("n").asc_nulls_first(), "offset", "lexeme")
-    anchor = (ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
-              .where(F.col("n").isNotNull()).select(*qkeys, "lexeme", "offset"))
-    anchor = spark.read.parquet(write_table(anchor, scratch_path(spark, "anchors")))
-    pos = explode_positions(postings)
-    starts = (pos.join(anchor, on)
-              .select(*qkeys, "num", "para", (F.col("ti") - F.col("offset")).alias("start")))
-    # a query's terms belong to its text, a paragraph's positions to its text
-    wanted = terms.groupBy(*qkeys).agg(F.collect_list(F.struct("offset", "lexeme")).alias("terms"))
-    near = (pos.join(starts.select(*pkeys).distinct(), pkeys, "left_semi")
-            .groupBy(*pkeys).agg(F.map_from_entries(F.collect_list(F.struct("ti", "lexeme"))).alias("at")))
-    there = F.expr("forall(terms, t -> coalesce(try_element_at(at, start + t.offset) = t.lexeme, false))")
-    hits = starts.join(wanted, qkeys).join(near, pkeys).where(there)
-    return hits.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
+    words = numbered(terms.select(*on).distinct(), "word", "words")
+    coded = _stored(terms.join(words, on).select(*qkeys, "word", "offset"), "terms")
+    few = coded.count() <= FEW_TERMS
+    known = explode_positions(postings.join(F.broadcast(words) if few else words, on)).select(*pkeys, "ti", "word")
+    n = freq.join(words, on).select("word", "n") if freq is not None else known.groupBy("word").agg(F.count("*").alias("n"))
+    queries = (coded.join(n, "word", "left").groupBy(*qkeys)
+               .agg(F.min(F.struct("n", "offset", "word")).alias("rare"), F.collect_list(F.struct("offset", "word")).alias("terms"))
+               .where("rare.n IS NOT NULL"))
+    # two integers in a long: the distance from the anchor and the word
+    away = "transform(terms, t -> shiftleft(bigint(t.offset - rare.offset), 32) | t.word)"
+    anchors = _stored(queries.select("query_id", "rare.word", "rare.offset", F.expr(away).alias("terms")), "anchors")
+    packed = F.expr("shiftleft(bigint(ti), 32) | word")
+    near = known.dropna(subset=pkeys).groupBy(*pkeys).agg(F.sort_array(F.collect_set(packed)).alias("has"))
+    near = with_once(near, base=F.expr("int(shiftright(has[0], 32))"),
+                     again=F.expr("filter(has, (x, i) -> i > 0 AND shiftright(x, 32) = shiftright(get(has, i - 1), 32))"))
+    once = F.expr("if(size(again) = 0, has, array_except(has, again))")
+    # the words by place, -1 where there is none
+    gap = "int(shiftright(x, 32) - coalesce(shiftright(get(once, i - 1), 32) + 1, base))"
+    at = F.expr(f"flatten(transform(once, (x, i) -> concat(array_repeat(-1, {gap}), array(int(x & 4294967295L)))))")
+    near = with_once(with_once(near, once=once), at=at).drop("once")
+    each = near.withColumn("x", F.explode("has")).withColumn("word", F.expr("int(x & 4294967295L)")).withColumn("ti", F.expr("int(shiftright(x, 32))"))
+    if few:
+        starts = each.join(F.broadcast(anchors), "word")
+    else:
+        starts = each.select(*pkeys, "word", "ti").join(anchors, "word").join(near, pkeys)
+    there = F.expr("forall(terms, t -> coalesce(get(at, int(ti - base + shiftright(t, 32))) = int(t & 4294967295L), false)"
+                   " OR (size(again) > 0 AND array_contains(again, t + shiftleft(bigint(ti), 32))))")
+    return starts.where(there).select("query_id", "num", "para", (F.col("ti") - F.col("offset")).alias("start"))
+
+
+def phrase_match_rare_first(postings: DataFrame, terms: DataFrame, freq: DataFrame | None = None,
+                            on=("lexeme",)) -> DataFrame:
+    """Same result as ``phrase_match_postings`` for the paragraphs that have a key,
+    by ``phrase_starts_rare_first``."""
+    starts = phrase_starts_rare_first(postings, terms, freq, on)
+    return starts.groupBy("query_id", "num", "para").agg(F.count("*").alias("n_matches"))
 
 
 def all_words_match_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LANGUAGE_CONFIGS, tokens
 from .analysis import query_terms
-from .matching import phrase_match_postings, phrase_match_rare_first, with_once
+from .matching import numbered, phrase_match_postings, phrase_starts_rare_first, with_once
 
 # Author names the reference excludes from mention matching.
 EXCLUDED_NAMES = (
@@ -152,6 +152,10 @@ def _pairs_by_author(hits: DataFrame, books: DataFrame) -> DataFrame:
     by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by"))
     pairs = hits.join(by, "num").select(F.col("name").alias("mentioned_author"), "mentioned_by", "num")
     counted = distinct_count(pairs, ["mentioned_author", "mentioned_by"], "num", "books_mentioned_in")
+    return _most_first(counted)
+
+
+def _most_first(counted: DataFrame) -> DataFrame:
     return counted.orderBy(F.col("books_mentioned_in").desc(), "mentioned_author", "mentioned_by")
 
 
@@ -168,24 +172,24 @@ def mention_pairs_postings(names: DataFrame, analyzed: DataFrame, books: DataFra
     the analyser of the paragraphs it is matched against (stopwords leave
     gaps, as in the text); ``name_config='simple'`` is the reference's mixed
     mode, where a name word that the paragraph analyser drops or stems can
-    never match. Queries go by a hash of the name. With ``rare_first`` each
-    name is anchored on its rarest word, so a common word in many names never
-    joins all of its postings to all of those names.
+    never match. With ``rare_first`` each name is anchored on its rarest word,
+    so a common word in many names never joins all of its postings to all of
+    those names. The names found are gathered per book before the books'
+    authors are joined, so a mention is shuffled once, as the name's number.
     """
-    ids = names.select(F.xxhash64(name_col).alias("query_id"), F.col(name_col).alias("query")).distinct()
     spark = names.sparkSession
+    ids = numbered(names.select(F.col(name_col).alias("query")).distinct(), "query_id", "names")
     terms = None
     for lang in catalogue:
         t = query_terms(spark, ids, name_config or lang).withColumn("language", F.lit(lang))
         terms = t if terms is None else terms.unionByName(t)
-    if rare_first:
-        if freq is None:
-            freq = analyzed.groupBy("language", "lexeme").agg(F.count("*").alias("n"))
-        matched = phrase_match_rare_first(analyzed, terms, freq, on=("language", "lexeme"))
-    else:
-        matched = phrase_match_postings(analyzed, terms, on=("language", "lexeme"))
-    hits = matched.select("query_id", "num").distinct().join(ids, "query_id")
-    return _pairs_by_author(hits.select(F.col("query").alias("name"), "num"), books)
+    find = phrase_starts_rare_first if rare_first else phrase_match_postings
+    hits = find(analyzed, terms, *([freq] if rare_first else []), on=("language", "lexeme"))
+    found = hits.groupBy("num").agg(F.collect_set("query_id").alias("found"))
+    by = books.where(F.col("author").isNotNull()).select("num", F.col("author").alias("mentioned_by")).distinct()
+    pairs = found.join(by, "num").select(F.explode("found").alias("query_id"), "mentioned_by")
+    counted = pairs.groupBy("query_id", "mentioned_by").agg(F.count("*").alias("books_mentioned_in")).join(ids, "query_id")
+    return _most_first(counted.select(F.col("query").alias("mentioned_author"), "mentioned_by", "books_mentioned_in"))
 
 
 def mention_edges(pairs: DataFrame) -> DataFrame:
