@@ -858,8 +858,9 @@ def q_load_files(spark, sf):
     made = spark.read.parquet(write_table(FS.write_book_files(bk, root, FOLDER_BOOKS), scratch_path(spark, "made")))
     gone = bk.where("num % 100 = 0").select((-F.col("num") - 1).alias("num"), F.concat(F.lit("gone/"), F.col("num"), F.lit(".txt")).alias("gd_path"))
     meta = spark.read.parquet(write_table(made.unionByName(gone), scratch_path(spark, "paths")))
-    found = FS.read_contents(spark, meta, root)
-    status = FS.content_report(spark, meta, root).where("num IS NOT NULL").select("num", "status")
+    listing = FS.list_files(spark, root)
+    found = FS.read_contents(spark, meta, root, listing=listing)
+    status = FS.content_report(spark, meta, root, listing=listing).where("num IS NOT NULL").select("num", "status")
     return (found.select("num", F.md5("content").alias("content_md5"), F.length("content").alias("length"))
             .join(status, "num", "left"))
 

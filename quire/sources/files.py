@@ -2,18 +2,23 @@
 
 The reference pastes every file into the database through a generated shell
 script, one book at a time. Here the files are read in parallel by Spark's
-``wholetext`` reader, matched to the catalogue by path, and written once to
-Parquet; nothing is read through the driver.
+``binaryFile`` reader (compressed ones by its text reader, which knows the
+codecs), matched to the catalogue by path, and written once to Parquet; nothing
+is read through the driver. A ``Listing`` of a folder serves several steps.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from .sinks import write_table
+
 
 def path_part(path: Column, index: int, sep: str = "/") -> Column:
     """1-based element of ``path`` split on ``sep``; '' past the end, NULL-safe.
@@ -53,18 +58,53 @@ def _packed(files: DataFrame) -> DataFrame:
     return files.coalesce(max(2 * least, shares // SHARES)) if shares > 2 * least else files
 
 
-def book_files(spark: SparkSession, root: str) -> DataFrame:
-    """``rel_path, content`` of every non-empty file under ``root``."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+class Listing(NamedTuple):
+    """The files of a folder, listed by Spark once: ``files`` reads them, ``sizes``
+    has ``rel_path, size`` of the non-empty ones."""
+    files: DataFrame
+    sizes: DataFrame
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+
+
+def _sizes(files: DataFrame, root: str) -> DataFrame:
     return _packed(files.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
-                                F.col("value").alias("content")))
+                                F.col("_metadata.file_size").alias("size")))
+
+
+def list_files(spark: SparkSession, root: str) -> Listing:
+    """The listing of ``root`` as it is now, with its sizes written."""
+    files = _files(spark, root)
+    sizes = _sizes(files, root)
+    return Listing(files, spark.read.schema(sizes.schema).parquet(write_table(sizes, scratch_path(spark, "listing"))))
+
+
+def _codec_suffixes(spark: SparkSession) -> list[str]:
+    """Name endings of the files that the text reader decompresses."""
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop
+    kinds = hadoop.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    return [hadoop.util.ReflectionUtils.newInstance(k, conf).getDefaultExtension() for k in kinds] or [".gz", ".deflate"]
+
+
+def book_files(spark: SparkSession, root: str, listing: Listing | None = None) -> DataFrame:
+    """``rel_path, content`` of every non-empty file under ``root``."""
+    path = F.col("_metadata.file_path")
+    suffixes = _codec_suffixes(spark)
+    packed = lambda c: F.coalesce(*(F.when(c.endswith(x), True) for x in suffixes), F.lit(False))
+    files = listing.files if listing else _files(spark, root)
+    files = _packed(files.select(relative_path(path, root).alias("rel_path"), F.col("content").cast("string").alias("content")))
+    if listing and listing.sizes.where(packed(F.col("rel_path"))).isEmpty():
+        return files
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{{{','.join(suffixes)}}}")
+    texts = _packed(texts.select(relative_path(path, root).alias("rel_path"), F.col("value").alias("content")))
+    return files.where(~packed(F.col("rel_path"))).unionByName(texts)
 
 
 def file_sizes(spark: SparkSession, root: str) -> DataFrame:
     """``rel_path, size`` of every non-empty file under ``root``; no content is read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return _packed(listing.select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
-                                  F.col("_metadata.file_size").alias("size")))
+    return _sizes(_files(spark, root), root)
 
 
 def write_book_files(books: DataFrame, root: str, folder_books: int) -> DataFrame:
@@ -95,8 +135,12 @@ def write_book_files(books: DataFrame, root: str, folder_books: int) -> DataFram
     return whole.mapInArrow(write, "num long, gd_path string")
 
 
+# Paths that are broadcast at most (some 130 MB), whatever Spark takes their table for.
+MOST_PATHS = 1 << 20
+
+
 def read_contents(spark: SparkSession, metadata: DataFrame, root: str,
-                  path_col: str = "gd_path") -> DataFrame:
+                  path_col: str = "gd_path", listing: Listing | None = None) -> DataFrame:
     """``(num, content)`` for every catalogue row, from files under ``root``.
 
     - Files are matched on their path relative to ``root``. The text meets the
@@ -106,13 +150,16 @@ def read_contents(spark: SparkSession, metadata: DataFrame, root: str,
     - One trailing newline is dropped, as a shell read of the file does.
     """
     wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
-    files = book_files(spark, root)
+    if wanted.count() > MOST_PATHS:
+        wanted = wanted.hint("merge")
+    files = book_files(spark, root, listing)
+    sizes = listing.sizes if listing else file_sizes(spark, root)
     found = files.join(wanted, "rel_path").select("num", trimmed(F.col("content")).alias("content"))
-    rest = wanted.join(file_sizes(spark, root), "rel_path", "left_anti").select("num", F.lit("").alias("content"))
+    rest = wanted.join(sizes, "rel_path", "left_anti").select("num", F.lit("").alias("content"))
     return found.unionByName(rest)
 
 
-def empty_files(spark: SparkSession, root: str) -> list[str]:
+def empty_files(spark: SparkSession, root: str, listing: Listing | None = None) -> list[str]:
     """Relative paths of zero-byte files, which Spark's readers skip.
 
     When the file system counts as many files as the readers see, there are none;
@@ -121,7 +168,7 @@ def empty_files(spark: SparkSession, root: str) -> list[str]:
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.getContentSummary(path).getFileCount() == file_sizes(spark, root).count():
+    if system.getContentSummary(path).getFileCount() == (listing.sizes if listing else file_sizes(spark, root)).count():
         return []
     walk = system.listFiles(path, True)
     start, out = _root_path(root), []
@@ -134,18 +181,18 @@ def empty_files(spark: SparkSession, root: str) -> list[str]:
 
 
 def content_report(spark: SparkSession, metadata: DataFrame, root: str,
-                   path_col: str = "gd_path") -> DataFrame:
+                   path_col: str = "gd_path", listing: Listing | None = None) -> DataFrame:
     """``(num, rel_path, status)`` of what has no counterpart.
 
     ``missing``: the catalogue names a file that isn't there; ``empty``: it is
     there without a byte; ``unlisted``: no catalogue row names the file (null
     num). The listing reads paths and sizes, no content.
     """
-    listing = file_sizes(spark, root)
-    none = spark.createDataFrame([(p, 0) for p in empty_files(spark, root)], "rel_path string, size long")
-    listing = listing.unionByName(none)
+    sizes = listing.sizes if listing else file_sizes(spark, root)
+    if none := empty_files(spark, root, listing):
+        sizes = sizes.unionByName(spark.createDataFrame([(p, 0) for p in none], "rel_path string, size long"))
     wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
-    both = wanted.withColumn("listed", F.lit(True)).join(listing, "rel_path", "full")
+    both = wanted.withColumn("listed", F.lit(True)).join(sizes, "rel_path", "full")
     status = (F.when(F.col("listed").isNull(), "unlisted").when(F.col("size").isNull(), "missing")
               .when(F.col("size") == 0, "empty"))
     return both.select("num", "rel_path", status.alias("status")).where("status is not null")
