@@ -135,7 +135,8 @@ def write_book_files(books: DataFrame, root: str, folder_books: int) -> DataFram
     return whole.mapInArrow(write, "num long, gd_path string")
 
 
-# Paths that are broadcast at most (some 130 MB), whatever Spark takes their table for.
+# So many paths (some 130 MB) are broadcast to the files, else the text would be
+# shuffled; of more both sides are, however small Spark takes their table for.
 MOST_PATHS = 1 << 20
 
 
@@ -144,18 +145,17 @@ def read_contents(spark: SparkSession, metadata: DataFrame, root: str,
     """``(num, content)`` for every catalogue row, from files under ``root``.
 
     - Files are matched on their path relative to ``root``. The text meets the
-      catalogue in an inner join, whose small side can be broadcast, so the
-      text isn't shuffled for it; catalogue rows without text are found by
+      catalogue in an inner join, whose small side is broadcast up to
+      ``MOST_PATHS``, so the text isn't shuffled for it; catalogue rows without text are found by
       paths alone and get ''. ``content_report`` says why.
     - One trailing newline is dropped, as a shell read of the file does.
     """
     wanted = metadata.select("num", F.col(path_col).alias("rel_path"))
-    if wanted.count() > MOST_PATHS:
-        wanted = wanted.hint("merge")
+    few = wanted.count() <= MOST_PATHS
     files = book_files(spark, root, listing)
     sizes = listing.sizes if listing else file_sizes(spark, root)
-    found = files.join(wanted, "rel_path").select("num", trimmed(F.col("content")).alias("content"))
-    rest = wanted.join(sizes, "rel_path", "left_anti").select("num", F.lit("").alias("content"))
+    found = files.join(wanted.hint("broadcast" if few else "merge"), "rel_path").select("num", trimmed(F.col("content")).alias("content"))
+    rest = wanted.join(sizes if few else sizes.hint("merge"), "rel_path", "left_anti").select("num", F.lit("").alias("content"))
     return found.unionByName(rest)
 
 
